@@ -107,3 +107,351 @@ FROM documents
 def q_f1_default(spark, sf_dir):
     headers, sources, _ = fixtures.document_cases(spark, sf_dir)
     return triage.keyword_classify(headers, sources).select("case_id", "risk")
+
+
+# ============================================================ D: evidence
+from ..operators import evidence, scope  # noqa: E402
+
+_OBS_OUT = ["engagement_id", "repository_id", "observation_id", "check", "status", "severity", "path", "message"]
+
+
+@register("D1_normalize_sarif", f"""
+WITH li AS (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linestatus) AS run_index,
+                 row_number() OVER (PARTITION BY l_orderkey, l_linestatus
+                                    ORDER BY l_linenumber, l_partkey, l_suppkey) AS result_index,
+                 'Scan Tool/' || l_linestatus || ' #' || CAST(l_orderkey % 3 AS VARCHAR) AS tool,
+                 CASE WHEN l_tax > 0 THEN 'R' || CAST(l_suppkey AS VARCHAR) ELSE 'unclassified' END AS rule
+            FROM lineitem)
+SELECT l_orderkey AS doc_id, 'eng-1' AS engagement_id, 'repo-' || CAST(l_orderkey % 10 AS VARCHAR) AS repository_id,
+       run_index, result_index,
+       'sarif:' || {O.slug('tool')} || ':' || CAST(run_index AS VARCHAR) || ':' || CAST(result_index AS VARCHAR)
+         || ':' || rule AS observation_id,
+       'sarif:' || tool || ':' || rule AS "check", 'review' AS status,
+       CASE WHEN l_returnflag = 'A' THEN 'high' WHEN l_returnflag = 'N' THEN 'medium'
+            WHEN l_discount >= 0.02::DOUBLE THEN 'low' ELSE 'medium' END AS severity,
+       CASE WHEN l_tax >= 0.02::DOUBLE THEN 'src/' || CAST(l_partkey AS VARCHAR) || '.py' ELSE 'unknown' END AS path,
+       CASE WHEN l_discount < 0.09::DOUBLE THEN 'qty ' || CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR)
+            ELSE 'No message' END AS message
+FROM li
+""")
+def q_d1(spark, sf_dir):
+    obs = evidence.normalize_sarif(fixtures.sarif_documents(spark, sf_dir))
+    return obs.select("doc_id", "engagement_id", "repository_id",
+                      F.col("run_index").cast("bigint").alias("run_index"),
+                      F.col("result_index").cast("bigint").alias("result_index"),
+                      "observation_id", "check", "status", "severity", "path", "message")
+
+
+@register("D2_tool_slug", f"""
+SELECT p_partkey, {O.slug("p_name || ' #' || p_brand || '/' || p_type")} AS slug FROM part
+""")
+def q_d2(spark, sf_dir):
+    part = fixtures.table(spark, sf_dir, "part")
+    return part.select("p_partkey", evidence.tool_slug(
+        F.concat(F.col("p_name"), F.lit(" #"), F.col("p_brand"), F.lit("/"), F.col("p_type"))).alias("slug"))
+
+
+_EVENT_LEVEL = ("CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warning' "
+                "WHEN 'view' THEN 'note' WHEN 'signup' THEN 'none' ELSE event_type END")
+
+
+@register("D3_map_severity", f"""
+SELECT event_id, CASE {_EVENT_LEVEL} WHEN 'error' THEN 'high' WHEN 'warning' THEN 'medium'
+                      WHEN 'note' THEN 'low' WHEN 'none' THEN 'info' ELSE 'medium' END AS severity
+FROM events
+""")
+def q_d3(spark, sf_dir):
+    ev = fixtures.table(spark, sf_dir, "events")
+    return ev.select("event_id", evidence.map_severity(F.expr(_EVENT_LEVEL)).alias("severity"))
+
+
+@register("D4_result_limit", """
+SELECT l_orderkey AS doc_id, count(*) AS n_results,
+       'SARIF report exceeds the configured result limit' AS reason
+FROM lineitem GROUP BY l_orderkey HAVING count(*) > 5
+""")
+def q_d4(spark, sf_dir):
+    obs = evidence.normalize_sarif(fixtures.sarif_documents(spark, sf_dir))
+    _, rejected = evidence.result_limit(obs, max_results=5)
+    return rejected.select("doc_id", F.col("n_results").cast("bigint").alias("n_results"), "reason")
+
+
+@register("D5_control_presence", """
+WITH files AS (SELECT DISTINCT 'cust-' || CAST(o_custkey AS VARCHAR) AS repository_id, o_orderpriority AS path
+               FROM orders),
+  repos AS (SELECT DISTINCT repository_id FROM files),
+  ctl AS (SELECT * FROM (VALUES (0, 'urgent', ['1-URGENT', '2-HIGH'], 'high'),
+                                (1, 'medium', ['3-MEDIUM'], 'medium'),
+                                (2, 'routine', ['4-NOT SPECIFIED', '5-LOW'], 'low')) t(ctl_pos, chk, cands, sev)),
+  cand AS (SELECT ctl_pos, chk, cands, sev, unnest(cands) AS cand, generate_subscripts(cands, 1) AS prio FROM ctl),
+  found AS (SELECT r.repository_id, c.ctl_pos, arg_min(c.cand, c.prio) AS found
+            FROM repos r JOIN cand c ON TRUE JOIN files f ON f.repository_id = r.repository_id AND f.path = c.cand
+            GROUP BY r.repository_id, c.ctl_pos)
+SELECT 'eng-1' AS engagement_id, r.repository_id, CAST(c.ctl_pos AS BIGINT) AS pos,
+       'repo-policy:' || c.chk AS observation_id, c.chk AS "check",
+       CASE WHEN f.found IS NOT NULL THEN 'pass' ELSE 'review' END AS status,
+       CASE WHEN f.found IS NOT NULL THEN 'info' ELSE c.sev END AS severity,
+       coalesce(f.found, c.cands[1]) AS path,
+       CASE WHEN f.found IS NOT NULL THEN 'Control is visible at ' || f.found || '.'
+            ELSE 'No ' || c.chk || ' control was found at the checked standard locations.' END AS message
+FROM repos r JOIN ctl c ON TRUE LEFT JOIN found f ON f.repository_id = r.repository_id AND f.ctl_pos = c.ctl_pos
+""")
+def q_d5(spark, sf_dir):
+    repos, files = fixtures.repository_files(spark, sf_dir)
+    return evidence.control_presence(repos, files, fixtures.PRIORITY_CONTROLS)
+
+
+@register("D6_merge_reports", f"""
+WITH {O.OBS},
+  exp AS (SELECT 'repo-' || CAST(s_suppkey AS VARCHAR) AS merge_id, 'eng-1' AS e,
+                 CASE WHEN s_nationkey = 3 THEN 'repo-x' ELSE 'repo-' || CAST(s_suppkey AS VARCHAR) END AS r
+          FROM supplier),
+  j AS (SELECT exp.merge_id, max(CASE WHEN obs.engagement_id <> exp.e THEN 1 ELSE 0 END) AS be,
+               max(CASE WHEN obs.repository_id <> exp.r THEN 1 ELSE 0 END) AS br, count(*) AS n
+        FROM obs JOIN exp ON obs.repository_id = exp.merge_id GROUP BY exp.merge_id)
+SELECT exp.merge_id,
+       CASE WHEN coalesce(j.be, 0) = 1 OR coalesce(j.br, 0) = 1 THEN 0 ELSE coalesce(j.n, 0) END AS n_merged,
+       CASE WHEN j.be = 1 THEN 'cannot merge reports from different engagements'
+            WHEN j.br = 1 THEN 'cannot merge reports from different repositories' END AS reason
+FROM exp LEFT JOIN j USING (merge_id)
+""")
+def q_d6(spark, sf_dir):
+    obs = fixtures.observations(spark, sf_dir).withColumn("merge_id", F.col("repository_id"))
+    part_a = obs.where(F.col("check") == "flag-A")
+    part_b = obs.where(F.col("check") != "flag-A")
+    sup = fixtures.table(spark, sf_dir, "supplier")
+    expected = sup.select(
+        F.concat(F.lit("repo-"), F.col("s_suppkey").cast("string")).alias("merge_id"),
+        F.lit("eng-1").alias("engagement_id"),
+        F.when(F.col("s_nationkey") == 3, F.lit("repo-x")).otherwise(
+            F.concat(F.lit("repo-"), F.col("s_suppkey").cast("string"))).alias("repository_id"))
+    merged, refused = evidence.merge_reports([part_a, part_b], expected)
+    counts = merged.groupBy("merge_id").agg(F.count(F.lit(1)).alias("n_merged"))
+    return (expected.select("merge_id").join(counts, "merge_id", "left").join(refused, "merge_id", "left")
+            .select("merge_id", F.coalesce("n_merged", F.lit(0)).cast("bigint").alias("n_merged"), "reason"))
+
+
+@register("D7_select_evidence", f"""
+WITH {O.OBS}, {O.selected()}
+SELECT engagement_id, repository_id, observation_id, rn - 1 AS sel_pos, text FROM sel
+""")
+def q_d7(spark, sf_dir):
+    sel = evidence.select_evidence(fixtures.observations(spark, sf_dir))
+    return sel.select("engagement_id", "repository_id", "observation_id", "sel_pos", "text")
+
+
+@register("D7_select_evidence_chars", f"""
+WITH {O.OBS}, {O.selected(100, 5000)}
+SELECT engagement_id, repository_id, observation_id, rn - 1 AS sel_pos FROM sel
+""")
+def q_d7c(spark, sf_dir):
+    sel = evidence.select_evidence(fixtures.observations(spark, sf_dir), max_items=100, max_chars=5000)
+    return sel.select("engagement_id", "repository_id", "observation_id", "sel_pos")
+
+
+_SUMMARY_SQL = f"""
+  tot AS (SELECT engagement_id, repository_id, count(*) AS n FROM obs GROUP BY ALL),
+  k AS (SELECT engagement_id, repository_id, count(*) AS k FROM sel GROUP BY ALL),
+  summ AS (SELECT r.engagement_id, r.repository_id,
+             CASE WHEN coalesce(n, 0) - coalesce(k, 0) > 0 THEN 'scanner-selection-summary'
+                  WHEN coalesce(n, 0) = 0 THEN 'scanner-summary' END AS source_id,
+             CASE WHEN coalesce(n, 0) - coalesce(k, 0) > 0 THEN
+                    CAST(coalesce(n, 0) - coalesce(k, 0) AS VARCHAR) || ' lower-priority observations were preserved '
+                    || 'in the raw report but omitted from model input by configured limits.'
+                  WHEN coalesce(n, 0) = 0 THEN 'The authorized deterministic scan returned no observations.' END AS text,
+             CAST(coalesce(k, 0) AS BIGINT) AS sel_pos
+           FROM reports r LEFT JOIN tot USING (engagement_id, repository_id)
+                          LEFT JOIN k USING (engagement_id, repository_id))"""
+
+
+@register("D8_selection_summary", f"""
+WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL}
+SELECT engagement_id, repository_id, source_id, text, sel_pos FROM summ WHERE source_id IS NOT NULL
+""")
+def q_d8(spark, sf_dir):
+    obs = fixtures.observations(spark, sf_dir)
+    sel = evidence.select_evidence(obs)
+    return evidence.selection_summary(fixtures.reports(spark, sf_dir), obs, sel)
+
+
+@register("D9_build_cases", f"""
+WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL},
+  leaf AS (SELECT engagement_id, repository_id, pos,
+                  sha256({O.canon('observation_id')} || {O.canon('"check"')} || {O.canon('status')}
+                         || {O.canon('severity')} || {O.canon('path')} || {O.canon('message')}) AS leaf
+           FROM obs),
+  {O.merkle('leaf', 'engagement_id, repository_id', 'pos', 'leaf')},
+  hdr AS (SELECT r.engagement_id, r.repository_id,
+                 r.engagement_id || ':' || r.repository_id || ':' ||
+                 substring(coalesce(sha256({O.canon('r.engagement_id')} || {O.canon('r.repository_id')} || mtop.tree),
+                                    sha256({O.canon('r.engagement_id')} || {O.canon('r.repository_id')})), 1, 16) AS case_id,
+                 'Assurance observations for ' || r.repository_id AS title
+          FROM reports r LEFT JOIN mtop USING (engagement_id, repository_id)),
+  src AS (SELECT engagement_id, repository_id, rn - 1 AS pos, observation_id AS source_id, text FROM sel
+          UNION ALL SELECT engagement_id, repository_id, sel_pos, source_id, text FROM summ WHERE source_id IS NOT NULL)
+SELECT hdr.case_id, hdr.title, count(*) AS n_sources, sum(length(src.text)) AS total_chars,
+       arg_max(src.source_id, src.pos) AS last_source_id
+FROM hdr JOIN src USING (engagement_id, repository_id)
+GROUP BY hdr.case_id, hdr.title
+""")
+def q_d9(spark, sf_dir):
+    headers, sources = evidence.build_cases(fixtures.reports(spark, sf_dir), fixtures.observations(spark, sf_dir))
+    agg = sources.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("n_sources"), F.sum(F.length("text")).cast("bigint").alias("total_chars"),
+        F.max_by("source_id", "pos").alias("last_source_id"))
+    return headers.select("case_id", "title").join(agg, "case_id")
+
+
+# Rule table for scanning document texts.
+TEXT_RULES = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "medium", "e-mail address in text"),
+    ("license", r"(?i)licen[sc]ed under [^.\n]*", "info", "license statement"),
+    ("ipv4", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "low", "IPv4 address"),
+    ("card", r"[0-9]{16}", "high", "card-like number"),
+    ("token", r"(?i)(?:api[_-]?key|secret|token|password)[=:][^ \n]+", "critical", "credential-like assignment"),
+)
+
+
+def _rule_scan_sql() -> str:
+    parts = []
+    for rid, pat, sev, _ in TEXT_RULES:
+        parts.append(f"SELECT doc_id, '{rid}' AS rule_id, '{sev}' AS sev, "
+                     f"regexp_extract_all(text, '{pat}') AS m FROM documents")
+    return f"""
+WITH r AS ({' UNION ALL '.join(parts)}),
+  u AS (SELECT doc_id, rule_id, sev, unnest(m) AS mt, generate_subscripts(m, 1) AS idx FROM r)
+SELECT doc_id AS text_id, rule_id, 'rule:' || rule_id || ':' || CAST(doc_id AS VARCHAR) || ':' || CAST(idx AS VARCHAR)
+         AS observation_id, sev AS severity, CAST(idx AS BIGINT) AS match_index, CAST(length(mt) AS BIGINT) AS match_length
+FROM u
+"""
+
+
+@register("D10_rule_scan", _rule_scan_sql())
+def q_d10(spark, sf_dir):
+    docs = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    hits = evidence.rule_scan(docs, TEXT_RULES)
+    return hits.select("text_id", "rule_id", "observation_id", "severity", "match_index", "match_length")
+
+
+_SCANNER = ("CASE event_type WHEN 'click' THEN 'semgrep' WHEN 'view' THEN 'gitleaks' "
+            "WHEN 'purchase' THEN 'osv' ELSE event_type END")
+
+
+@register("D11_scan_status", f"""
+WITH e AS (SELECT event_id, {_SCANNER} AS scanner, user_id % 3 AS rc, value >= 5 AS present FROM events)
+SELECT event_id, scanner, CAST(rc AS BIGINT) AS return_code,
+       CASE WHEN NOT (rc = 0 OR (rc = 1 AND scanner IN ('gitleaks', 'osv'))) THEN 'error'
+            WHEN NOT present THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN NOT (rc = 0 OR (rc = 1 AND scanner IN ('gitleaks', 'osv')))
+              THEN scanner || ' failed with exit code ' || CAST(rc AS VARCHAR)
+            WHEN NOT present THEN scanner || ' did not produce a SARIF report' END AS reason
+FROM e
+""")
+def q_d11(spark, sf_dir):
+    ev = fixtures.table(spark, sf_dir, "events")
+    ex = ev.select("event_id", F.expr(_SCANNER).alias("scanner"),
+                   (F.col("user_id") % 3).cast("bigint").alias("return_code"),
+                   (F.col("value") >= 5).alias("output_present"))
+    return evidence.scan_status(ex).select("event_id", "scanner", "return_code", "status", "reason")
+
+
+# ============================================================ C: scope
+_SCOPES_SQL = """
+  sc AS (SELECT 'nat-' || CAST(n_nationkey AS VARCHAR) AS engagement_id,
+                CASE WHEN n_nationkey = 7 THEN 2 ELSE 1 END AS version,
+                (['deny', 'local-only', 'allow', 'open'])[n_nationkey % 4 + 1] AS egress,
+                DATE '2030-01-01' + CAST(n_nationkey * 30 AS INTEGER) AS expires_on
+         FROM nation),
+  sr AS (SELECT 'nat-' || CAST(c_nationkey AS VARCHAR) AS engagement_id,
+                CASE WHEN c_acctbal < -950 THEN c_name ELSE replace(c_name, '#', '-') END AS repository_id,
+                '/repos/' || CAST(c_custkey AS VARCHAR) AS path,
+                ['repository-policy', lower(c_mktsegment)] AS allowed_checks
+         FROM customer WHERE c_custkey % 10 <> 0)"""
+
+
+@register("C1_validate_scope", f"""
+WITH {_SCOPES_SQL},
+  st AS (SELECT engagement_id, count(*) AS n, count(DISTINCT repository_id) AS nd,
+                max(CASE WHEN regexp_full_match(repository_id, '[A-Za-z0-9._-]+') THEN 0 ELSE 1 END) AS bad
+         FROM sr GROUP BY engagement_id)
+SELECT engagement_id,
+       CASE WHEN version <> 1 THEN 'scope version must be 1'
+            WHEN egress NOT IN ('deny', 'local-only', 'allow') THEN 'egress must be deny, local-only, or allow'
+            WHEN coalesce(n, 0) = 0 THEN 'scope must authorize at least one repository'
+            WHEN bad = 1 THEN 'repository_id contains unsupported characters'
+            WHEN nd <> n THEN 'repository_id values must be unique' END AS reason
+FROM sc LEFT JOIN st USING (engagement_id)
+""")
+def q_c1(spark, sf_dir):
+    sc, repos = fixtures.scopes(spark, sf_dir)
+    return scope.validate_scope(sc, repos)
+
+
+@register("C2_authorize", f"""
+WITH {_SCOPES_SQL},
+  rq AS (SELECT o_orderkey AS request_id, 'nat-' || CAST(c_nationkey AS VARCHAR) AS engagement_id,
+                CASE WHEN c_acctbal < -950 THEN c_name ELSE replace(c_name, '#', '-') END AS repository_id,
+                CASE WHEN o_orderkey % 7 = 0 THEN '/elsewhere' ELSE '/repos/' || CAST(c_custkey AS VARCHAR) END AS path,
+                CASE WHEN o_orderpriority = '1-URGENT' THEN 'osv' ELSE lower(c_mktsegment) END AS chk
+         FROM orders JOIN customer ON o_custkey = c_custkey),
+  j AS (SELECT rq.request_id,
+          CASE WHEN sc.expires_on IS NULL OR sc.expires_on < DATE '2030-06-01' THEN 'pilot authorization has expired'
+               WHEN sr.repository_id IS NULL THEN 'repository is outside pilot scope: ' || rq.repository_id
+               WHEN sr.path <> rq.path THEN 'repository path does not match the authorized checkout'
+               WHEN NOT list_contains(sr.allowed_checks, rq.chk) THEN 'check is outside pilot scope: ' || rq.chk
+          END AS reason
+        FROM rq LEFT JOIN sc USING (engagement_id)
+                LEFT JOIN sr ON sr.engagement_id = rq.engagement_id AND sr.repository_id = rq.repository_id)
+SELECT request_id, reason IS NULL AS allowed, reason FROM j
+""")
+def q_c2(spark, sf_dir):
+    sc, repos = fixtures.scopes(spark, sf_dir)
+    return scope.authorize(fixtures.scope_requests(spark, sf_dir), sc, repos, as_of="2030-06-01")
+
+
+_HOST_SQL = """
+  u0 AS (SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS netloc,
+                lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme FROM urls0),
+  u1 AS (SELECT *, regexp_replace(netloc, '^.*@', '') AS hp FROM u0),
+  u2 AS (SELECT *, CASE WHEN starts_with(hp, '[') THEN regexp_extract(hp, '^\\[([^\\]]*)\\]', 1)
+                        ELSE regexp_replace(hp, ':[^:]*$', '') END AS h FROM u1),
+  u3 AS (SELECT *, CASE WHEN h <> '' THEN lower(h) END AS host FROM u2)"""
+
+
+@register("C3_egress_allowed", f"""
+WITH urls0 AS (SELECT CAST(page_id AS VARCHAR) AS url_id, url FROM pages
+               UNION ALL
+               SELECT 'lo-' || CAST(page_id AS VARCHAR),
+                      (['http://localhost:8080/v1', 'https://127.0.0.1/v1', 'http://[::1]:11434/v1',
+                        'http://LocalHost/v1', 'ftp://localhost/v1', 'http://127.0.0.256/v1',
+                        'http://user@127.1.2.3:99/x', 'localhost/v1'])[page_id % 8 + 1] FROM pages),
+  {_HOST_SQL}
+SELECT url_id, url, host,
+       coalesce(scheme IN ('http', 'https') AND host IS NOT NULL AND
+                (host = 'localhost' OR regexp_matches(host, '{scope.IPV4_LOOPBACK}')
+                 OR regexp_matches(host, '{scope.IPV6_LOOPBACK}')), false) AS allowed
+FROM u3
+""")
+def q_c3(spark, sf_dir):
+    return scope.egress_allowed(fixtures.urls(spark, sf_dir), "deny").select("url_id", "url", "host", "allowed")
+
+
+_REQ_CHECK = ("CASE o_orderstatus WHEN 'F' THEN 'semgrep' WHEN 'O' THEN 'osv' "
+              "ELSE 'scan-' || lower(substring(o_orderpriority, 3)) END")
+
+
+@register("C4_check_coverage", f"""
+WITH rq AS (SELECT DISTINCT o_custkey AS request_id, {_REQ_CHECK} AS chk FROM orders),
+  unk AS (SELECT request_id, string_agg(chk, ', ' ORDER BY chk) AS u
+          FROM (SELECT DISTINCT request_id, chk FROM rq
+                WHERE chk NOT IN ('repository-policy', 'semgrep', 'gitleaks', 'osv')) GROUP BY request_id)
+SELECT c_custkey AS request_id, coalesce(unk.u, '') AS unknown_checks,
+       CASE WHEN unk.u IS NOT NULL THEN 'unsupported checks: ' || unk.u
+            WHEN c_custkey NOT IN (SELECT request_id FROM rq) THEN 'at least one check is required' END AS reason
+FROM customer LEFT JOIN unk ON unk.request_id = c_custkey
+""")
+def q_c4(spark, sf_dir):
+    orders = fixtures.table(spark, sf_dir, "orders")
+    requested = orders.select(F.col("o_custkey").alias("request_id"), F.expr(_REQ_CHECK).alias("check"))
+    requests = fixtures.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"))
+    return scope.check_coverage(requests, requested)

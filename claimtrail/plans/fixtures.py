@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import table  # noqa: F401  (re-exported)
 
 # Keyword tiers for conversation cases (words that occur in the
 # synthetic conversation texts; the default tiers never occur there).
@@ -56,3 +56,161 @@ def document_cases(spark: SparkSession, sf_dir: str):
         .when(F.col("quality") == 0, F.lit("high")).otherwise(F.lit("low")).alias("expected_risk"),
     )
     return headers, sources, golden
+
+
+# ------------------------------------------------------------ observations
+# Severity of each (return flag, line status) pair; R/O maps to
+# a level outside the list, which ranks as medium.
+FLAG_SEVERITY = (("A", "F", "critical"), ("A", "O", "high"), ("N", "F", "medium"),
+                 ("N", "O", "low"), ("R", "F", "info"), ("R", "O", "unknown"))
+
+
+def _flag_severity() -> "F.Column":
+    expr = F.lit(None).cast("string")
+    for flag, status, sev in reversed(FLAG_SEVERITY):
+        expr = F.when((F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status), F.lit(sev)).otherwise(expr)
+    return expr
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One observation per line item; report = supplier (repository);
+    ``pos`` is the report order (order, line, part)."""
+    from pyspark.sql import Window
+    li = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    return li.select(
+        F.lit("eng-1").alias("engagement_id"),
+        F.concat(F.lit("repo-"), F.col("l_suppkey").cast("string")).alias("repository_id"),
+        (F.row_number().over(w) - 1).cast("bigint").alias("pos"),
+        F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+                    F.col("l_partkey").cast("string")).alias("observation_id"),
+        F.concat(F.lit("flag-"), F.col("l_returnflag")).alias("check"),
+        F.when(F.col("l_discount") >= 0.05, F.lit("review")).otherwise(F.lit("pass")).alias("status"),
+        _flag_severity().alias("severity"),
+        F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("path"),
+        F.concat(F.lit("quantity "), F.col("l_quantity").cast("bigint").cast("string"),
+                 F.lit(" \"units\"")).alias("message"),
+    )
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier is a report; every nation is an extra repository
+    without observations (exercises the empty-report source)."""
+    sup = table(spark, sf_dir, "supplier").select(
+        F.lit("eng-1").alias("engagement_id"),
+        F.concat(F.lit("repo-"), F.col("s_suppkey").cast("string")).alias("repository_id"))
+    nat = table(spark, sf_dir, "nation").select(
+        F.lit("eng-1").alias("engagement_id"),
+        F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string")).alias("repository_id"))
+    return sup.unionByName(nat)
+
+
+# ------------------------------------------------------------ SARIF documents
+def sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One SARIF document per order: a run per line status (F before O), a
+    result per line item in (line, part, supplier) order.  Some results lack
+    a rule id, a level, a message or a location."""
+    li = table(spark, sf_dir, "lineitem")
+    result = F.struct(
+        F.struct(F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).alias("k"),
+        F.struct(
+            F.when(F.col("l_tax") > 0, F.concat(F.lit("R"), F.col("l_suppkey").cast("string"))).alias("ruleId"),
+            F.when(F.col("l_returnflag") == "A", F.lit("error")).when(F.col("l_returnflag") == "N", F.lit("warning"))
+            .when(F.col("l_discount") >= 0.02, F.lit("note")).alias("level"),
+            F.when(F.col("l_discount") < 0.09, F.struct(F.concat(
+                F.lit("qty "), F.col("l_quantity").cast("bigint").cast("string")).alias("text"))).alias("message"),
+            F.when(F.col("l_tax") >= 0.02, F.array(F.struct(F.struct(F.struct(F.concat(
+                F.lit("src/"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("uri")).alias(
+                "artifactLocation")).alias("physicalLocation")))).otherwise(
+                F.array().cast("array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>")).alias("locations"),
+        ).alias("r"),
+    )
+    runs = li.groupBy("l_orderkey", "l_linestatus").agg(
+        F.transform(F.array_sort(F.collect_list(result)), lambda e: e["r"]).alias("results"))
+    runs = runs.select("l_orderkey", F.struct(
+        F.col("l_linestatus").alias("k"),
+        F.struct(
+            F.struct(F.struct(F.concat(F.lit("Scan Tool/"), F.col("l_linestatus"), F.lit(" #"),
+                                       (F.col("l_orderkey") % 3).cast("string")).alias("name")).alias("driver")).alias("tool"),
+            F.col("results"),
+        ).alias("run")).alias("run"))
+    docs = runs.groupBy("l_orderkey").agg(
+        F.transform(F.array_sort(F.collect_list("run")), lambda e: e["run"]).alias("runs"))
+    return docs.select(
+        F.col("l_orderkey").alias("doc_id"), F.lit("eng-1").alias("engagement_id"),
+        F.concat(F.lit("repo-"), (F.col("l_orderkey") % 10).cast("string")).alias("repository_id"),
+        F.struct(F.lit("2.1.0").alias("version"), F.col("runs")).alias("sarif"))
+
+
+# ------------------------------------------------------------ files / controls
+# Order-priority "controls" for the files fixture.
+PRIORITY_CONTROLS = (
+    ("urgent", ("1-URGENT", "2-HIGH"), "high"),
+    ("medium", ("3-MEDIUM",), "medium"),
+    ("routine", ("4-NOT SPECIFIED", "5-LOW"), "low"),
+)
+
+
+def repository_files(spark: SparkSession, sf_dir: str):
+    """repositories = customers with orders, files = their order priorities."""
+    orders = table(spark, sf_dir, "orders")
+    files = orders.select(F.concat(F.lit("cust-"), F.col("o_custkey").cast("string")).alias("repository_id"),
+                          F.col("o_orderpriority").alias("path"))
+    repos = files.select("repository_id").distinct().withColumn("engagement_id", F.lit("eng-1"))
+    return repos, files
+
+
+# ------------------------------------------------------------ scopes
+def scopes(spark: SparkSession, sf_dir: str):
+    """A scope per nation; its repositories are the nation's customers with
+    every tenth customer left out.  Version, egress and expiry vary by
+    nation; ids keep the '#' of the customer name for balances under -950."""
+    nation = table(spark, sf_dir, "nation")
+    cust = table(spark, sf_dir, "customer")
+    sc = nation.select(
+        F.concat(F.lit("nat-"), F.col("n_nationkey").cast("string")).alias("engagement_id"),
+        F.when(F.col("n_nationkey") == 7, F.lit(2)).otherwise(F.lit(1)).alias("version"),
+        F.element_at(F.array(*[F.lit(x) for x in ("deny", "local-only", "allow", "open")]),
+                     (F.col("n_nationkey") % 4 + 1).cast("int")).alias("egress"),
+        F.col("n_name").alias("customer"),
+        F.date_add(F.to_date(F.lit("2030-01-01")), (F.col("n_nationkey") * 30).cast("int")).alias("expires_on"),
+    )
+    repo_id = F.when(F.col("c_acctbal") < -950, F.col("c_name")).otherwise(
+        F.regexp_replace("c_name", "#", "-"))
+    repos = cust.where(F.col("c_custkey") % 10 != 0).select(
+        F.concat(F.lit("nat-"), F.col("c_nationkey").cast("string")).alias("engagement_id"),
+        F.col("c_custkey").alias("pos"),
+        repo_id.alias("repository_id"),
+        F.concat(F.lit("/repos/"), F.col("c_custkey").cast("string")).alias("path"),
+        F.split(F.concat_ws(",", F.lit("repository-policy"), F.lower("c_mktsegment")), ",").alias("allowed_checks"),
+    )
+    return sc, repos
+
+
+def scope_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One authorization request per order for its customer's repository;
+    every seventh order names another checkout path; the check is the
+    customer segment or, for urgent orders, a check nobody lists."""
+    orders = table(spark, sf_dir, "orders")
+    cust = table(spark, sf_dir, "customer")
+    j = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    repo_id = F.when(F.col("c_acctbal") < -950, F.col("c_name")).otherwise(F.regexp_replace("c_name", "#", "-"))
+    return j.select(
+        F.col("o_orderkey").alias("request_id"),
+        F.concat(F.lit("nat-"), F.col("c_nationkey").cast("string")).alias("engagement_id"),
+        repo_id.alias("repository_id"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit("/elsewhere")).otherwise(
+            F.concat(F.lit("/repos/"), F.col("c_custkey").cast("string"))).alias("path"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("osv")).otherwise(F.lower("c_mktsegment")).alias("check"),
+    )
+
+
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page URLs plus loopback variants derived from them."""
+    pages = table(spark, sf_dir, "pages")
+    forms = F.element_at(F.array(*[F.lit(x) for x in (
+        "http://localhost:8080/v1", "https://127.0.0.1/v1", "http://[::1]:11434/v1",
+        "http://LocalHost/v1", "ftp://localhost/v1", "http://127.0.0.256/v1", "http://user@127.1.2.3:99/x",
+        "localhost/v1")]), (F.col("page_id") % 8 + 1).cast("int"))
+    return pages.select(F.col("page_id").cast("string").alias("url_id"), F.col("url")).unionByName(
+        pages.select(F.concat(F.lit("lo-"), F.col("page_id").cast("string")).alias("url_id"), forms.alias("url")))

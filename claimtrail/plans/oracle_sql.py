@@ -63,3 +63,71 @@ def tier_case(tiers) -> str:
 
 
 RISK_NAME = "(['low','medium','high','critical'])[{x} + 1]"
+
+
+def canon(x: str) -> str:
+    return f"coalesce(CAST(length(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '~')"
+
+
+def sev_rank(x: str) -> str:
+    return (f"CASE {x} WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 "
+            f"WHEN 'low' THEN 3 WHEN 'info' THEN 4 ELSE 2 END")
+
+
+def slug(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+def obs_json(p: str = "") -> str:
+    fields = ["check", "message", "observation_id", "path", "severity", "status"]
+    parts = []
+    for i, f in enumerate(fields):
+        parts.append(("'{" if i == 0 else "', ") + f'"{f}": ' + "'")
+        parts.append(f'CAST(to_json({p}"{f}") AS VARCHAR)')
+    return " || ".join(parts) + " || '}'"
+
+
+OBS = """
+  obs AS (SELECT 'eng-1' AS engagement_id, 'repo-' || CAST(l_suppkey AS VARCHAR) AS repository_id,
+           row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS pos,
+           CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR)
+             AS observation_id,
+           'flag-' || l_returnflag AS "check",
+           CASE WHEN l_discount >= 0.05::DOUBLE THEN 'review' ELSE 'pass' END AS status,
+           CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'critical'
+                WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'high'
+                WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'medium'
+                WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'low'
+                WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'info'
+                WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'unknown' END AS severity,
+           'part/' || CAST(l_partkey AS VARCHAR) AS path,
+           'quantity ' || CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR) || ' "units"' AS message,
+           l_suppkey
+         FROM lineitem)"""
+
+REPORTS = """
+  reports AS (SELECT 'eng-1' AS engagement_id, 'repo-' || CAST(s_suppkey AS VARCHAR) AS repository_id FROM supplier
+              UNION ALL
+              SELECT 'eng-1', 'nation-' || CAST(n_nationkey AS VARCHAR) FROM nation)"""
+
+
+def selected(max_items: int = 100, max_chars: int = 90000) -> str:
+    return f"""
+  ranked AS (SELECT *, {obs_json()} AS text,
+               row_number() OVER (PARTITION BY engagement_id, repository_id
+                                  ORDER BY {sev_rank('severity')}, observation_id) AS rn
+             FROM obs),
+  capped AS (SELECT *, sum(length(text)) OVER (PARTITION BY engagement_id, repository_id ORDER BY rn
+                                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chars
+             FROM ranked WHERE rn <= {max_items}),
+  sel AS (SELECT * FROM capped WHERE chars <= {max_chars})"""
+
+
+def merkle(src: str, keys: str, pos: str, digest: str, block: int = 4096) -> str:
+    """Two block levels then the top, as functions.hashing.ordered_digest."""
+    return f"""
+  m1 AS (SELECT {keys}, {pos} // {block} AS p, sha256(string_agg({digest}, '' ORDER BY {pos})) AS d
+         FROM {src} GROUP BY {keys}, {pos} // {block}),
+  m2 AS (SELECT {keys}, p // {block} AS p, sha256(string_agg(d, '' ORDER BY p)) AS d
+         FROM m1 GROUP BY {keys}, p // {block}),
+  mtop AS (SELECT {keys}, sha256(string_agg(d, '' ORDER BY p)) AS tree FROM m2 GROUP BY {keys})"""
