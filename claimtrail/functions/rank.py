@@ -47,7 +47,7 @@ def global_rank(df: DataFrame, order_by: Sequence, rank_col: str = "rank",
     )
     counts = {
         r["pid"]: r["n"]
-        for r in laid_out.groupBy((F.col("_mid") >> _LOW_BITS).alias("pid"))
+        for r in laid_out.groupBy((F.shiftright(F.col("_mid"), _LOW_BITS)).alias("pid"))
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
     }
@@ -58,7 +58,7 @@ def global_rank(df: DataFrame, order_by: Sequence, rank_col: str = "rank",
         acc += counts.get(pid, 0)
     if offsets:
         offset = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]),
-                              (F.col("_mid") >> _LOW_BITS).cast("int") + 1)
+                              (F.shiftright(F.col("_mid"), _LOW_BITS)).cast("int") + 1)
     else:
         offset = F.lit(0).cast("bigint")
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1))

@@ -33,7 +33,7 @@ def risk_ordinal(risk: Column) -> Column:
 
 
 def risk_from_ordinal(o: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(r) for r in RISKS]), o + 1)
+    return F.get(F.array(*[F.lit(r) for r in RISKS]), o)
 
 
 def _tier_ordinal(text_lower: Column, tiers) -> Column:

@@ -48,7 +48,9 @@ def transition_matrix(allow_reject: bool = False) -> list[list[bool]]:
 
 
 def state_name(c: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in STATES]), F.when(c > 0, c))
+    # get() is 0-based and null outside the array (element_at with a null
+    # index over a literal array returned the last element here)
+    return F.get(F.array(*[F.lit(s) for s in STATES]), c - 1)
 
 
 def state_id(c: Column) -> Column:

@@ -455,3 +455,303 @@ def q_c4(spark, sf_dir):
     requested = orders.select(F.col("o_custkey").alias("request_id"), F.expr(_REQ_CHECK).alias("check"))
     requests = fixtures.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"))
     return scope.check_coverage(requests, requested)
+
+
+# ============================================================ B: fingerprints and audit chain
+from ..functions import hashing  # noqa: E402
+from ..operators import chain as chainops  # noqa: E402
+
+
+@register("B1_case_fingerprint", f"""
+WITH {O.CONV_SOURCES},
+  leaf AS (SELECT case_id, pos, sha256({O.canon('source_id')} || {O.canon('text')}) AS leaf FROM src),
+  {O.merkle('leaf', 'case_id', 'pos', 'leaf')},
+  n AS (SELECT case_id, count(*) AS n FROM src GROUP BY case_id)
+SELECT hdr.case_id, sha256({O.canon('hdr.case_id')} || {O.canon('hdr.title')} || {O.canon('n.n')} || mtop.tree)
+         AS fingerprint
+FROM hdr JOIN n USING (case_id) JOIN mtop USING (case_id)
+""")
+def q_b1(spark, sf_dir):
+    headers, sources = fixtures.conversation_cases(spark, sf_dir)
+    return hashing.case_fingerprints(headers, sources)
+
+
+@register("B1_record_fingerprint", f"""
+SELECT doc_id, sha256({O.canon('lang')} || {O.canon('source')} || {O.canon('text')}) AS fingerprint FROM documents
+""")
+def q_b1r(spark, sf_dir):
+    d = fixtures.table(spark, sf_dir, "documents")
+    return d.select("doc_id", hashing.fingerprint("lang", "source", "text").alias("fingerprint"))
+
+
+@register("B2_idempotency_key", """
+SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id,
+       sha256('case:' || CAST(user_id AS VARCHAR)) || ':' || sha256('assessment:' || CAST(user_id AS VARCHAR))
+         AS idempotency_key
+FROM (SELECT DISTINCT user_id FROM events)
+""")
+def q_b2(spark, sf_dir):
+    st = fixtures.state_snapshot(spark, sf_dir)
+    return st.select("case_id", hashing.idempotency_key("case_fingerprint", "assessment_fp").alias("idempotency_key"))
+
+
+@register("B3_chain_append", f"""
+WITH RECURSIVE {O.AUDIT}
+SELECT chain, seq, prev AS previous_hash, h AS event_hash FROM chainh
+""")
+def q_b3(spark, sf_dir):
+    out = chainops.chain_append(fixtures.audit_events(spark, sf_dir))
+    return out.select("chain", "seq", "previous_hash", "event_hash")
+
+
+_TAMPER = "seq % 997 = 0"
+
+
+@register("B4_chain_verify", f"""
+WITH RECURSIVE {O.AUDIT},
+  tam AS (SELECT a.chain, a.seq, a.rn,
+                 CASE WHEN a.{_TAMPER} THEN 'tampered' ELSE a.event END AS event, a.case_id, a.props, a.ts_us,
+                 ch.prev, ch.h FROM aud a JOIN chainh ch USING (chain, rn)),
+  chk AS (SELECT *, sha256({O.record_canon_sql()} || '64:' || prev) = h AS self_ok,
+                 prev = coalesce(lag(h) OVER (PARTITION BY chain ORDER BY seq), repeat('0', 64)) AS link_ok
+          FROM tam)
+SELECT chain, bool_and(self_ok AND link_ok) AS valid, min(CASE WHEN NOT (self_ok AND link_ok) THEN seq END)
+         AS first_bad_seq, count(*) AS n
+FROM chk GROUP BY chain
+""")
+def q_b4(spark, sf_dir):
+    audit = chainops.chain_append(fixtures.audit_events(spark, sf_dir))
+    tampered = audit.withColumn("event", F.when(F.expr(_TAMPER), F.lit("tampered")).otherwise(F.col("event")))
+    return chainops.chain_verify(tampered).select("chain", "valid", "first_bad_seq",
+                                                  F.col("n").cast("bigint").alias("n"))
+
+
+@register("B5_chain_tail", f"""
+WITH RECURSIVE {O.AUDIT}
+SELECT chain, max(seq) AS last_seq, arg_max(h, seq) AS tail_hash FROM chainh GROUP BY chain
+""")
+def q_b5(spark, sf_dir):
+    return chainops.chain_tail(chainops.chain_append(fixtures.audit_events(spark, sf_dir)))
+
+
+# ============================================================ G: workflow
+def _allowed_sql(a: str, b: str) -> str:
+    m = workflow.transition_matrix()
+    return "(" + " OR ".join(f"({a} = {i} AND {b} = {j})" for i, row in enumerate(m)
+                             for j, ok in enumerate(row) if ok) + ")"
+
+
+_STATE_NAMES = "(['received', 'pending_approval', 'approved', 'published', 'rejected', 'failed'])"
+_EV_STATE_ID = ("CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 "
+                "WHEN 'purchase' THEN 4 WHEN 'error' THEN 6 END")
+_FOLD_SQL = f"""
+  ev AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id, event_id AS seq, {_EV_STATE_ID} AS t,
+                row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+  f(case_id, rn, seq, t, st_before, st) AS (
+    SELECT case_id, 0, NULL::BIGINT, NULL::INTEGER, 0, 0 FROM (SELECT DISTINCT case_id FROM ev)
+    UNION ALL
+    SELECT e.case_id, e.rn, e.seq, e.t, f.st, CASE WHEN {_allowed_sql('f.st', 'e.t')} THEN e.t ELSE f.st END
+    FROM f JOIN ev e ON e.case_id = f.case_id AND e.rn = f.rn + 1),
+  folded AS (SELECT case_id, seq, {_STATE_NAMES}[t] AS to_state,
+                    CASE WHEN st_before > 0 THEN {_STATE_NAMES}[st_before] END AS from_state,
+                    CASE WHEN st > 0 THEN {_STATE_NAMES}[st] END AS state,
+                    {_allowed_sql('st_before', 't')} AS accepted
+             FROM f WHERE rn > 0)"""
+
+
+@register("G4_fold_states", f"""
+WITH RECURSIVE {_FOLD_SQL}
+SELECT case_id, seq, to_state, from_state, state, accepted FROM folded
+""")
+def q_g4(spark, sf_dir):
+    return workflow.fold_states(fixtures.transitions(spark, sf_dir))
+
+
+@register("G4_final_states", f"""
+WITH RECURSIVE {_FOLD_SQL}
+SELECT case_id, arg_max(state, seq) AS state, sum(CASE WHEN accepted THEN 1 ELSE 0 END) AS accepted,
+       sum(CASE WHEN accepted THEN 0 ELSE 1 END) AS rejected
+FROM folded GROUP BY case_id
+""")
+def q_g4f(spark, sf_dir):
+    return workflow.final_states(workflow.fold_states(fixtures.transitions(spark, sf_dir)))
+
+
+_SUBMISSIONS = f"""
+  sub AS (SELECT 'cust-' || CAST(o_custkey AS VARCHAR) AS case_id, o_orderkey AS seq,
+                 sha256({O.canon('o_orderpriority')} || {O.canon('o_orderstatus')}) AS fp FROM orders)"""
+
+
+@register("G1_admit", f"""
+WITH {_SUBMISSIONS},
+  first AS (SELECT case_id, arg_min(fp, seq) AS stored FROM sub GROUP BY case_id),
+  fm AS (SELECT s.case_id, min(s.seq) AS first_match FROM sub s JOIN first f USING (case_id)
+         WHERE s.fp = f.stored GROUP BY s.case_id)
+SELECT s.case_id, s.seq, s.fp AS fingerprint,
+       CASE WHEN s.fp <> f.stored THEN 'conflict' WHEN s.seq = fm.first_match THEN 'new' ELSE 'deduplicated' END
+         AS admission
+FROM sub s JOIN first f USING (case_id) LEFT JOIN fm USING (case_id)
+""")
+def q_g1(spark, sf_dir):
+    return workflow.admit(fixtures.submissions(spark, sf_dir))
+
+
+@register("G1_admit_with_state", f"""
+WITH {_SUBMISSIONS},
+  st AS (SELECT 'cust-' || CAST(c_custkey AS VARCHAR) AS case_id,
+                sha256({O.canon("'1-URGENT'")} || {O.canon("'O'")}) AS st_fp,
+                CASE WHEN c_custkey % 10 = 0 THEN 'failed' ELSE 'pending_approval' END AS st_state
+         FROM customer WHERE c_custkey % 5 = 0),
+  first AS (SELECT case_id, coalesce(st.st_fp, arg_min(fp, seq)) AS stored, st.st_state
+            FROM sub LEFT JOIN st USING (case_id) GROUP BY case_id, st.st_fp, st.st_state),
+  fm AS (SELECT s.case_id, min(s.seq) AS first_match FROM sub s JOIN first f USING (case_id)
+         WHERE s.fp = f.stored GROUP BY s.case_id)
+SELECT s.case_id, s.seq, s.fp AS fingerprint,
+       CASE WHEN s.fp <> f.stored THEN 'conflict'
+            WHEN s.seq = fm.first_match AND f.st_state IS NULL THEN 'new'
+            WHEN s.seq = fm.first_match AND f.st_state = 'failed' THEN 'retried'
+            ELSE 'deduplicated' END AS admission
+FROM sub s JOIN first f USING (case_id) LEFT JOIN fm USING (case_id)
+""")
+def q_g1s(spark, sf_dir):
+    return workflow.admit(fixtures.submissions(spark, sf_dir), fixtures.submission_state(spark, sf_dir))
+
+
+_ATTEMPTS = """
+  att AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id,
+                 row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt,
+                 CASE event_type WHEN 'error' THEN 'transient' WHEN 'purchase' THEN 'permanent' ELSE 'success' END
+                   AS outcome FROM events)"""
+
+
+@register("G2_retry_outcome", f"""
+WITH {_ATTEMPTS},
+  a AS (SELECT case_id, min(CASE WHEN outcome <> 'transient' THEN attempt END) AS dec,
+               arg_min(CASE WHEN outcome <> 'transient' THEN outcome END,
+                       CASE WHEN outcome <> 'transient' THEN attempt END) AS dec_outcome,
+               sum(CASE WHEN outcome = 'transient' THEN 1 ELSE 0 END) AS nt
+        FROM att WHERE attempt <= 3 GROUP BY case_id),
+  b AS (SELECT *, CASE WHEN dec_outcome = 'success' THEN 'pending_approval' WHEN dec_outcome IS NOT NULL THEN 'failed'
+                       WHEN nt >= 3 THEN 'failed' ELSE 'retrying' END AS final_state FROM a)
+SELECT case_id, final_state, CAST(CASE WHEN dec IS NOT NULL THEN dec - 1 ELSE nt END AS BIGINT) AS provider_retries,
+       CAST(CASE WHEN final_state = 'failed' THEN 1 ELSE 0 END AS BIGINT) AS failure_events,
+       CAST(coalesce(dec, nt) AS BIGINT) AS attempts_used
+FROM b
+""")
+def q_g2(spark, sf_dir):
+    return workflow.retry_outcome(fixtures.attempts(spark, sf_dir))
+
+
+@register("G3_backoff_schedule", f"""
+WITH {_ATTEMPTS},
+  d AS (SELECT case_id, min(CASE WHEN outcome <> 'transient' THEN attempt END) AS dec FROM att WHERE attempt <= 3
+        GROUP BY case_id),
+  a AS (SELECT att.*, CASE WHEN outcome = 'transient' AND attempt < 3 THEN 0.01::DOUBLE * pow(2.0, attempt - 1) END
+                 AS delay_s
+        FROM att JOIN d USING (case_id) WHERE attempt <= 3 AND (d.dec IS NULL OR attempt <= d.dec))
+SELECT case_id, CAST(attempt AS BIGINT) AS attempt, outcome, delay_s,
+       coalesce(sum(delay_s) OVER (PARTITION BY case_id ORDER BY attempt
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0) AS cumulative_wait_s
+FROM a
+""")
+def q_g3(spark, sf_dir):
+    return workflow.backoff_schedule(fixtures.attempts(spark, sf_dir))
+
+
+_SNAPSHOT = """
+  last AS (SELECT user_id, arg_max(event_type, event_id) AS lt, max(event_id) AS updated_seq FROM events GROUP BY user_id),
+  snap AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id,
+                  sha256('case:' || CAST(user_id AS VARCHAR)) AS case_fingerprint,
+                  CASE lt WHEN 'signup' THEN 'received' WHEN 'view' THEN 'pending_approval' WHEN 'click' THEN 'approved'
+                          WHEN 'purchase' THEN 'published' WHEN 'error' THEN 'failed' END AS state,
+                  (['low', 'medium', 'high', 'critical'])[user_id % 4 + 1] AS risk,
+                  sha256('assessment:' || CAST(user_id AS VARCHAR)) AS assessment_fp,
+                  CASE WHEN lt IN ('click', 'purchase') THEN 'rev-' || CAST(user_id % 5 AS VARCHAR) END AS reviewer,
+                  CASE WHEN lt = 'purchase' THEN 'file:handoff/approved-'
+                       || substring(sha256('user-' || CAST(user_id AS VARCHAR)), 1, 20) || '.json' END AS receipt,
+                  updated_seq
+           FROM last)"""
+
+_DECISIONS = ("CASE WHEN value < 100 THEN ' ' ELSE 'rev-' || CAST(event_id % 5 AS STRING) END")
+
+
+@register("G5_approve", f"""
+WITH {_SNAPSHOT},
+  dec AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id, event_id AS seq, {_DECISIONS} AS reviewer
+          FROM events WHERE event_type = 'view'
+          UNION ALL SELECT 'ghost-' || CAST(event_id AS VARCHAR), event_id, 'rev-1' FROM events WHERE event_id % 500 = 0),
+  d AS (SELECT dec.*, snap.state AS st FROM dec LEFT JOIN snap USING (case_id)),
+  ok AS (SELECT case_id, min(seq) AS ok_seq FROM d
+         WHERE st = 'pending_approval' AND NOT {O.blank('reviewer')} GROUP BY case_id),
+  e AS (SELECT d.*, CASE WHEN ok.ok_seq IS NOT NULL AND d.seq > ok.ok_seq THEN 'approved' ELSE d.st END AS eff
+        FROM d LEFT JOIN ok USING (case_id))
+SELECT case_id, seq, reviewer,
+       CASE WHEN st IS NULL THEN 'error' WHEN eff = 'published' THEN 'noop' WHEN eff <> 'pending_approval' THEN 'error'
+            WHEN {O.blank('reviewer')} THEN 'error' ELSE 'approved' END AS outcome,
+       CASE WHEN st IS NULL THEN 'unknown case_id: ' || case_id WHEN eff = 'published' THEN NULL
+            WHEN eff <> 'pending_approval' THEN 'cannot approve a case in state ' || eff
+            WHEN {O.blank('reviewer')} THEN 'a named reviewer is required' END AS message
+FROM e
+""")
+def q_g5(spark, sf_dir):
+    ev = fixtures.table(spark, sf_dir, "events")
+    dec = ev.where(F.col("event_type") == "view").select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"),
+        F.col("event_id").alias("seq"), F.expr(_DECISIONS).alias("reviewer")).unionByName(
+        ev.where(F.col("event_id") % 500 == 0).select(
+            F.concat(F.lit("ghost-"), F.col("event_id").cast("string")).alias("case_id"),
+            F.col("event_id").alias("seq"), F.lit("rev-1").alias("reviewer")))
+    return workflow.approve(fixtures.state_snapshot(spark, sf_dir), dec)
+
+
+@register("G6_publish", f"""
+WITH {_SNAPSHOT},
+  rq AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id, event_id AS seq FROM events
+         WHERE event_type IN ('purchase', 'click')),
+  exported AS (SELECT case_fingerprint || ':' || assessment_fp AS k FROM snap
+               WHERE CAST(substring(case_id, 6) AS BIGINT) % 4 = 0),
+  r AS (SELECT rq.*, snap.state AS st, snap.receipt AS old, snap.case_fingerprint || ':' || snap.assessment_fp AS k
+        FROM rq LEFT JOIN snap USING (case_id)),
+  fst AS (SELECT case_id, min(seq) AS f FROM r WHERE st = 'approved' GROUP BY case_id),
+  o AS (SELECT r.*, fst.f,
+               CASE WHEN st IS NULL THEN 'error' WHEN st = 'published' THEN 'deduplicated'
+                    WHEN fst.f IS NOT NULL AND seq = fst.f THEN 'published'
+                    WHEN fst.f IS NOT NULL THEN 'deduplicated' ELSE 'blocked' END AS outcome,
+               'file:handoff/approved-' || substring(sha256(case_id), 1, 20) || '.json' AS nr
+        FROM r LEFT JOIN fst USING (case_id))
+SELECT case_id, seq, outcome,
+       CASE WHEN outcome = 'published' THEN nr WHEN st = 'published' THEN old WHEN outcome = 'deduplicated' THEN nr END
+         AS receipt,
+       k AS idempotency_key,
+       outcome = 'published' AND k NOT IN (SELECT k FROM exported) AS export
+FROM o
+""")
+def q_g6(spark, sf_dir):
+    ev = fixtures.table(spark, sf_dir, "events")
+    rq = ev.where(F.col("event_type").isin("purchase", "click")).select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"), F.col("event_id").alias("seq"))
+    snap = fixtures.state_snapshot(spark, sf_dir)
+    exported = snap.where(F.substring("case_id", 6, 100).cast("bigint") % 4 == 0).select(
+        hashing.idempotency_key("case_fingerprint", "assessment_fp").alias("idempotency_key"))
+    return workflow.publish(snap, rq, exported).select("case_id", "seq", "outcome", "receipt",
+                                                         "idempotency_key", "export")
+
+
+@register("G8_case_summaries", f"""
+WITH {_SNAPSHOT}
+SELECT case_id, state, risk, reviewer, updated_seq FROM snap
+""")
+def q_g8(spark, sf_dir):
+    return workflow.case_summaries(fixtures.state_snapshot(spark, sf_dir))
+
+
+@register("G9_lookup", f"""
+WITH {_SNAPSHOT}
+SELECT w.case_id, snap.state, snap.risk,
+       CASE WHEN snap.state IS NULL THEN 'unknown case_id: ' || w.case_id END AS error
+FROM (SELECT 'user-' || CAST(c_custkey AS VARCHAR) AS case_id FROM customer) w LEFT JOIN snap USING (case_id)
+""")
+def q_g9(spark, sf_dir):
+    wanted = fixtures.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("user-"), F.col("c_custkey").cast("string")).alias("case_id"))
+    return workflow.lookup(fixtures.state_snapshot(spark, sf_dir), wanted).select("case_id", "state", "risk", "error")

@@ -214,3 +214,87 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "localhost/v1")]), (F.col("page_id") % 8 + 1).cast("int"))
     return pages.select(F.col("page_id").cast("string").alias("url_id"), F.col("url")).unionByName(
         pages.select(F.concat(F.lit("lo-"), F.col("page_id").cast("string")).alias("url_id"), forms.alias("url")))
+
+
+# ------------------------------------------------------------ events-derived views
+def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows before hashing: chain = user, seq = event id."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        F.col("user_id").alias("chain"), F.col("event_id").alias("seq"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        F.col("event_type").alias("event"),
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"),
+        F.create_map(F.lit("props"), F.col("props")).alias("details"),
+    )
+
+
+# Event type → workflow state of the transition fixture.
+EVENT_STATE = (("signup", "received"), ("view", "pending_approval"), ("click", "approved"),
+               ("purchase", "published"), ("error", "failed"))
+
+
+def _event_state(col: str = "event_type"):
+    return F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_STATE for x in kv]), F.col(col))
+
+
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    return ev.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"),
+                     F.col("event_id").alias("seq"), _event_state().alias("to_state"))
+
+
+def state_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workflow state table: one row per user, state = the state of the
+    user's last event; fingerprints from the user id; receipts for published
+    cases."""
+    ev = table(spark, sf_dir, "events")
+    last = ev.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("_last"),
+                                     F.max("event_id").alias("updated_seq"))
+    case_id = F.concat(F.lit("user-"), F.col("user_id").cast("string"))
+    st = _event_state("_last")
+    return last.select(
+        case_id.alias("case_id"),
+        F.sha2(F.concat(F.lit("case:"), F.col("user_id").cast("string")), 256).alias("case_fingerprint"),
+        st.alias("state"),
+        F.element_at(F.array(*[F.lit(r) for r in ("low", "medium", "high", "critical")]),
+                     (F.col("user_id") % 4 + 1).cast("int")).alias("risk"),
+        F.sha2(F.concat(F.lit("assessment:"), F.col("user_id").cast("string")), 256).alias("assessment_fp"),
+        F.when(st.isin("approved", "published"), F.concat(F.lit("rev-"), (F.col("user_id") % 5).cast("string"))).alias("reviewer"),
+        F.when(st == "published", F.concat(F.lit("file:handoff/approved-"),
+                                           F.substring(F.sha2(case_id, 256), 1, 20), F.lit(".json"))).alias("receipt"),
+        F.col("updated_seq"),
+    )
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider attempts: case = user, attempt = 1-based event order,
+    error → transient, purchase → permanent, else success."""
+    from pyspark.sql import Window
+    ev = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return ev.select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"),
+        F.row_number().over(w).alias("attempt"),
+        F.when(F.col("event_type") == "error", F.lit("transient"))
+        .when(F.col("event_type") == "purchase", F.lit("permanent")).otherwise(F.lit("success")).alias("outcome"),
+    )
+
+
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case submissions: case = customer, seq = order, content = priority and
+    status."""
+    from ..functions.hashing import fingerprint
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.concat(F.lit("cust-"), F.col("o_custkey").cast("string")).alias("case_id"),
+                    F.col("o_orderkey").alias("seq"),
+                    fingerprint("o_orderpriority", "o_orderstatus").alias("fingerprint"))
+
+
+def submission_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored records for every fifth customer (every tenth failed)."""
+    from ..functions.hashing import fingerprint
+    c = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 5 == 0)
+    return c.select(F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("case_id"),
+                    fingerprint(F.lit("1-URGENT"), F.lit("O")).alias("case_fingerprint"),
+                    F.when(F.col("c_custkey") % 10 == 0, F.lit("failed")).otherwise(F.lit("pending_approval")).alias("state"))

@@ -131,3 +131,22 @@ def merkle(src: str, keys: str, pos: str, digest: str, block: int = 4096) -> str
   m2 AS (SELECT {keys}, p // {block} AS p, sha256(string_agg(d, '' ORDER BY p)) AS d
          FROM m1 GROUP BY {keys}, p // {block}),
   mtop AS (SELECT {keys}, sha256(string_agg(d, '' ORDER BY p)) AS tree FROM m2 GROUP BY {keys})"""
+
+
+def record_canon_sql() -> str:
+    """Canonical audit record (case_id, details, event, seq, ts_us)."""
+    det = "'1#' || " + canon("'props'") + " || " + canon("props")
+    return " || ".join([canon("case_id"), canon(f"({det})"), canon("event"), canon("seq"), canon("ts_us")])
+
+
+AUDIT = f"""
+  aud AS (SELECT user_id AS chain, event_id AS seq, epoch_us(ts) AS ts_us, event_type AS event,
+                 'user-' || CAST(user_id AS VARCHAR) AS case_id, props,
+                 row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
+          FROM events),
+  audc AS (SELECT *, {{rc}} AS c FROM aud),
+  chainh(chain, rn, seq, prev, h) AS (
+    SELECT chain, rn, seq, repeat('0', 64), sha256(c || '64:' || repeat('0', 64)) FROM audc WHERE rn = 1
+    UNION ALL
+    SELECT a.chain, a.rn, a.seq, ch.h, sha256(a.c || '64:' || ch.h)
+    FROM audc a JOIN chainh ch ON a.chain = ch.chain AND a.rn = ch.rn + 1)""".replace("{rc}", record_canon_sql())
