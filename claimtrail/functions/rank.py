@@ -66,6 +66,37 @@ def global_rank(df: DataFrame, order_by: Sequence, rank_col: str = "rank",
     return Ranked(ranked, acc)
 
 
+def global_running_sum(df: DataFrame, order_by: Sequence, value: str, rank_col: str = "rank",
+                       out: str = "running_sum", num_partitions: int | None = None) -> Ranked:
+    """Rank plus the running sum of ``value`` over a total order, without a
+    single-partition window: per-partition sums (one row per partition) give
+    the offsets, and each partition adds its local cumulative sum in one
+    streaming pass (Arrow batches, vectorized cumsum)."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    ranked = global_rank(df, order_by, rank_col, num_partitions)
+    laid = ranked.df
+    sums = {r["pid"]: (r["s"] or 0) for r in laid.groupBy(F.spark_partition_id().alias("pid"))
+            .agg(F.sum(value).alias("s")).collect()}
+    offsets, acc = {}, 0
+    for pid in sorted(sums):
+        offsets[pid] = acc
+        acc += sums[pid]
+    schema = T.StructType(laid.schema.fields + [T.StructField(out, T.DoubleType())])
+
+    def run(it):
+        from pyspark import TaskContext
+        carry = float(offsets.get(TaskContext.get().partitionId(), 0))
+        for pdf in it:
+            cs = pdf[value].fillna(0).astype("float64").cumsum() + carry
+            if len(cs):
+                carry = float(cs.iloc[-1])
+            yield pdf.assign(**{out: cs.astype("float64")})
+
+    return Ranked(laid.mapInPandas(run, schema), ranked.n)
+
+
 def rank_within(ranked: DataFrame, group_cols: Sequence[str], rank_col: str = "rank",
                 out: str = "rank_in_group", size_col: str | None = "group_size") -> DataFrame:
     """Per-group rank from a global rank whose order starts with ``group_cols``:

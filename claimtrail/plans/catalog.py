@@ -755,3 +755,353 @@ def q_g9(spark, sf_dir):
     wanted = fixtures.table(spark, sf_dir, "customer").select(
         F.concat(F.lit("user-"), F.col("c_custkey").cast("string")).alias("case_id"))
     return workflow.lookup(fixtures.state_snapshot(spark, sf_dir), wanted).select("case_id", "state", "risk", "error")
+
+
+# ============================================================ F2 / F3 / H: evaluation
+from ..operators import evaluate, measure  # noqa: E402
+
+
+def _f3_sql(off: int) -> str:
+    return f"""
+  e AS (SELECT vec_id AS key, 'c' || CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS lg FROM embeddings),
+  c AS (SELECT *, [greatest(lg[i + {off + 1}], lg[i + {off + 11}]) FOR i IN range(10)] AS cls FROM e),
+  m AS (SELECT *, list_max(cls) AS mx FROM c),
+  x AS (SELECT *, [exp(v - mx) FOR v IN cls] AS ex, list_position(cls, mx) AS k FROM m),
+  pr AS (SELECT key, label, 'c' || CAST(k - 1 AS VARCHAR) AS pred, ex[k] / list_sum(ex) AS confidence,
+                list_position(lg, list_max(lg)) - 1 AS top_id FROM x),
+  preds AS (SELECT key, label, pred, confidence, pred = label AS correct,
+                   (top_id % 20 < 10 OR top_id IN ({', '.join(str(i) for i in range(off, off + 20))}))
+                   AND top_id >= {off} AND top_id < {off + 20} AS free_top_is_letter FROM pr)"""
+
+
+@register("F3_constrained_classify", f"""
+WITH {_f3_sql(0)}
+SELECT key, label, pred, confidence, correct, free_top_is_letter FROM preds
+""")
+def q_f3(spark, sf_dir):
+    return fixtures.predictions(spark, sf_dir)
+
+
+@register("H2_accuracy", f"""
+WITH {_f3_sql(0)}
+SELECT count(*) AS n, avg(CAST(correct AS DOUBLE)) AS accuracy, avg(confidence) AS mean_confidence,
+       avg(CAST(free_top_is_letter AS DOUBLE)) AS letter_rate FROM preds
+""")
+def q_h2(spark, sf_dir):
+    return evaluate.accuracy(fixtures.predictions(spark, sf_dir))
+
+
+_LABELS_SQL = "(SELECT unnest(['c0','c1','c2','c3','c4','c5','c6','c7','c8','c9']) AS c)"
+
+
+@register("H3_confusion", f"""
+WITH {_f3_sql(0)},
+  cnt AS (SELECT label, pred, count(*) AS n FROM preds GROUP BY ALL)
+SELECT a.c AS label, b.c AS pred, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n
+FROM {_LABELS_SQL} a JOIN {_LABELS_SQL} b ON TRUE LEFT JOIN cnt ON cnt.label = a.c AND cnt.pred = b.c
+""")
+def q_h3(spark, sf_dir):
+    return evaluate.confusion(fixtures.predictions(spark, sf_dir), fixtures.CLASS_NAMES)
+
+
+_PER_CLASS_SQL = f"""
+  pc AS (SELECT l.c AS label,
+                sum(CASE WHEN p.pred = l.c AND p.label = l.c THEN 1 ELSE 0 END)::DOUBLE AS tp,
+                sum(CASE WHEN p.pred = l.c AND p.label <> l.c THEN 1 ELSE 0 END)::DOUBLE AS fp,
+                sum(CASE WHEN p.pred <> l.c AND p.label = l.c THEN 1 ELSE 0 END)::DOUBLE AS fn
+         FROM {_LABELS_SQL} l JOIN preds p ON TRUE GROUP BY l.c),
+  prc AS (SELECT label, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+                CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM pc),
+  f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END
+                  AS f1 FROM prc)"""
+
+
+@register("H4_per_class", f"""
+WITH {_f3_sql(0)}, {_PER_CLASS_SQL}
+SELECT label, precision, recall, f1, CAST(tp + fn AS BIGINT) AS support FROM f
+""")
+def q_h4(spark, sf_dir):
+    return evaluate.per_class(fixtures.predictions(spark, sf_dir), fixtures.CLASS_NAMES)
+
+
+@register("H5_macro_f1", f"""
+WITH {_f3_sql(0)}, {_PER_CLASS_SQL}
+SELECT avg(f1) AS macro_f1 FROM f
+""")
+def q_h5(spark, sf_dir):
+    return evaluate.macro_f1(evaluate.per_class(fixtures.predictions(spark, sf_dir), fixtures.CLASS_NAMES))
+
+
+_SCORED = """
+  sc AS (SELECT event_id AS key, value > 50 AS correct, (user_id % 100) / 100 AS confidence FROM events),
+  rk AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, key) AS rank, count(*) OVER () AS n FROM sc)"""
+
+
+@register("H6_selective_accuracy", f"""
+WITH {_SCORED},
+  k AS (SELECT max(n) AS n, CAST(round_even(0.9::DOUBLE * max(n), 0) AS BIGINT) AS k FROM rk)
+SELECT k.n, k.k,
+       coalesce(sum(CASE WHEN rank <= k.k THEN CAST(correct AS DOUBLE) END) / greatest(k.k, 1), 0.0)
+         AS selective_accuracy,
+       coalesce(sum(CASE WHEN rank > k.k THEN CAST(correct AS DOUBLE) END), 0.0) / greatest(k.n - k.k, 1)
+         AS abstained_accuracy
+FROM rk, k GROUP BY k.n, k.k
+""")
+def q_h6(spark, sf_dir):
+    return evaluate.selective_accuracy(fixtures.scored(spark, sf_dir), 0.9, "key")
+
+
+@register("H7_risk_coverage", f"""
+WITH {_SCORED},
+  cov AS (SELECT unnest([1.0, 0.95, 0.9, 0.8, 0.7, 0.5]::DOUBLE[]) AS coverage),
+  ks AS (SELECT coverage, greatest(1, CAST(round_even(coverage * (SELECT count(*) FROM sc), 0) AS BIGINT)) AS kept,
+                (SELECT count(*) FROM sc) AS n FROM cov)
+SELECT ks.coverage, ks.kept,
+       max(CASE WHEN rank = ks.kept THEN confidence END) AS threshold,
+       sum(CASE WHEN rank <= ks.kept THEN CAST(correct AS DOUBLE) END) / ks.kept AS selective_accuracy,
+       CASE WHEN ks.n > ks.kept THEN sum(CASE WHEN rank > ks.kept THEN CAST(correct AS DOUBLE) END) / (ks.n - ks.kept)
+       END AS abstained_accuracy
+FROM ks JOIN rk ON TRUE GROUP BY ks.coverage, ks.kept, ks.n
+""")
+def q_h7(spark, sf_dir):
+    return evaluate.risk_coverage(fixtures.scored(spark, sf_dir), tie_break="key")
+
+
+@register("H8_ece", f"""
+WITH {_SCORED},
+  b AS (SELECT least(9, CAST(floor(confidence * 10.0) AS INTEGER)) AS bin, count(*) AS nb,
+               avg(CAST(correct AS DOUBLE)) AS acc, avg(confidence) AS conf FROM sc GROUP BY 1)
+SELECT sum(nb * abs(acc - conf)) / sum(nb) AS ece FROM b
+""")
+def q_h8(spark, sf_dir):
+    return evaluate.ece(fixtures.scored(spark, sf_dir))
+
+
+@register("H9_brier", f"""
+WITH {_SCORED}
+SELECT avg(pow(confidence - CAST(correct AS DOUBLE), 2)) AS brier FROM sc
+""")
+def q_h9(spark, sf_dir):
+    return evaluate.brier(fixtures.scored(spark, sf_dir))
+
+
+@register("H10_compare_runs", f"""
+WITH {_f3_sql(0)}, b AS (SELECT * FROM preds),
+  {_f3_sql(20).replace('e AS (', 'e2 AS (').replace('FROM e)', 'FROM e2)').replace('c AS (', 'c2 AS (')
+   .replace('FROM c)', 'FROM c2)').replace('m AS (', 'm2 AS (').replace('FROM m)', 'FROM m2)')
+   .replace('x AS (', 'x2 AS (').replace('FROM x)', 'FROM x2)').replace('pr AS (', 'pr2 AS (')
+   .replace('FROM pr)', 'FROM pr2)').replace('preds AS (', 'preds2 AS (')},
+  j AS (SELECT b.pred AS pa, b.confidence AS ca, p2.pred AS pb, p2.confidence AS cb
+        FROM b JOIN preds2 p2 USING (key))
+SELECT bool_and(pa = pb) AS identical_predictions, max(abs(ca - cb)) AS max_abs_conf_delta,
+       bool_and(pa = pb AND ca = cb) AS identical_content, CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b
+FROM j
+""")
+def q_h10(spark, sf_dir):
+    return evaluate.compare_runs(fixtures.predictions(spark, sf_dir, "a"), fixtures.predictions(spark, sf_dir, "b"))
+
+
+@register("H11_acceptance")
+def q_h11(spark, sf_dir):
+    base = evaluate.macro_f1(evaluate.per_class(fixtures.predictions(spark, sf_dir, "b"), fixtures.CLASS_NAMES))
+    tuned = evaluate.macro_f1(evaluate.per_class(fixtures.predictions(spark, sf_dir, "a"), fixtures.CLASS_NAMES))
+    return evaluate.acceptance(base, tuned)
+
+
+@register("H12_running_accuracy", f"""
+WITH sc AS (SELECT event_id AS key, value > 50 AS correct FROM events),
+  r AS (SELECT row_number() OVER (ORDER BY key) AS row,
+               sum(CAST(correct AS DOUBLE)) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+               count(*) OVER () AS n FROM sc)
+SELECT row, cum / row AS running_accuracy FROM r WHERE row % 25 = 0 OR row = n
+""")
+def q_h12(spark, sf_dir):
+    return evaluate.running_accuracy(fixtures.scored(spark, sf_dir), [F.col("key")])
+
+
+_SPLIT_SQL = """
+  it AS (SELECT vec_id, label, sha256('42:' || CAST(vec_id AS VARCHAR)) AS h FROM embeddings),
+  r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, vec_id) AS rn,
+               count(*) OVER (PARTITION BY label) AS n FROM it),
+  sp AS (SELECT vec_id, CAST(label AS BIGINT) AS label,
+                CASE WHEN rn <= floor(0.7::DOUBLE * n) THEN 'train'
+                     WHEN rn <= floor(0.7::DOUBLE * n) + floor(0.1::DOUBLE * n) THEN 'val' ELSE 'test' END AS split
+         FROM r)"""
+
+
+@register("H13_stratified_split", f"""
+WITH {_SPLIT_SQL}
+SELECT vec_id, label, split FROM sp
+""")
+def q_h13(spark, sf_dir):
+    e = fixtures.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("label"))
+    return evaluate.stratified_split(e, "label", "vec_id").select("vec_id", "label", "split")
+
+
+@register("H14_split_counts", f"""
+WITH {_SPLIT_SQL}
+SELECT coalesce(CAST(label AS VARCHAR), '*') AS label, coalesce(split, '*') AS split, count(*) AS n
+FROM sp GROUP BY ROLLUP (label, split)
+""")
+def q_h14(spark, sf_dir):
+    e = fixtures.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("label"))
+    return evaluate.split_counts(evaluate.stratified_split(e, "label", "vec_id"))
+
+
+_MANIFEST_SQL = """
+  man AS (SELECT 'docs/' || CAST(doc_id AS VARCHAR) AS path, lang AS label,
+                 CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 = 7 THEN 'val' ELSE 'test' END AS split,
+                 sha256(text) AS sha256 FROM documents WHERE doc_id % 20 <> 0),
+  act AS (SELECT 'docs/' || CAST(doc_id AS VARCHAR) AS path,
+                 CASE WHEN doc_id % 10 = 7 THEN sha256(text || '!') ELSE sha256(text) END AS sha256
+          FROM documents WHERE doc_id % 10 <> 3)"""
+
+
+@register("H15_verify_manifest", f"""
+WITH {_MANIFEST_SQL}
+SELECT coalesce(man.path, act.path) AS path,
+       CASE WHEN act.path IS NULL THEN 'missing' WHEN man.path IS NULL THEN 'extra'
+            WHEN man.sha256 = act.sha256 THEN 'ok' ELSE 'changed' END AS status
+FROM man FULL OUTER JOIN act ON man.path = act.path
+""")
+def q_h15(spark, sf_dir):
+    m, a = fixtures.doc_manifest(spark, sf_dir)
+    return evaluate.verify_manifest(m, a)
+
+
+@register("H16_duplicate_content", f"""
+WITH {_MANIFEST_SQL},
+  g AS (SELECT sha256, count(*) AS n_paths, list_sort(list_distinct(list(split))) AS s FROM man GROUP BY sha256)
+SELECT sha256, n_paths, array_to_string(s, ',') AS splits, len(s) > 1 AS leakage FROM g WHERE n_paths > 1
+""")
+def q_h16(spark, sf_dir):
+    m, _ = fixtures.doc_manifest(spark, sf_dir)
+    return evaluate.duplicate_content(m)
+
+
+@register("H17_train_curve", """
+SELECT user_id AS run, count(*) AS steps, max(event_id) AS last_step, arg_max(value / 100, event_id) AS last_loss,
+       avg(value / 100) AS mean_loss, min(value / 100) AS min_loss
+FROM events GROUP BY user_id
+""")
+def q_h17(spark, sf_dir):
+    ev = fixtures.table(spark, sf_dir, "events")
+    log = ev.select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), (F.col("value") / 100).alias("loss"))
+    return evaluate.train_curve(log)
+
+
+@register("H1_golden_eval", f"""
+WITH g AS (SELECT CAST(doc_id AS VARCHAR) AS case_id,
+                  CASE WHEN toxic = 1 THEN 'critical' WHEN quality = 0 THEN 'high' ELSE 'low' END AS expected FROM labels),
+  d AS (SELECT CAST(doc_id AS VARCHAR) AS case_id, text, source FROM documents),
+  v AS (SELECT case_id,
+          CASE WHEN contains(lower(text), 'credential leak') OR contains(lower(text), 'remote code')
+                    OR contains(lower(text), 'critical') THEN 'critical'
+               WHEN contains(lower(text), 'failed') OR contains(lower(text), 'exposed')
+                    OR contains(lower(text), 'unauthorized') THEN 'high'
+               WHEN contains(lower(text), 'warning') OR contains(lower(text), 'stale')
+                    OR contains(lower(text), 'degraded') THEN 'medium' ELSE 'low' END AS risk,
+          {O.blank('source')} OR {O.blank('text')} OR length(text) > 100000 AS rejected
+        FROM d)
+SELECT count(*) AS cases,
+       coalesce(avg(CASE WHEN NOT coalesce(v.rejected, true) AND v.risk = g.expected THEN 1.0 ELSE 0.0 END), 0.0)
+         AS risk_accuracy,
+       coalesce(avg(CASE WHEN NOT coalesce(v.rejected, true) THEN 1.0 ELSE 0.0 END), 0.0) AS citation_validity
+FROM g LEFT JOIN v USING (case_id)
+""")
+def q_h1(spark, sf_dir):
+    headers, sources, golden = fixtures.document_cases(spark, sf_dir)
+    assessed = workflow.analyze(headers, sources)
+    ok = assessed.where(F.col("input_reason").isNull())
+    return evaluate.golden_eval(ok, golden)
+
+
+# ============================================================ I: measurement
+_MEAS_SQL = r"""
+  res AS (SELECT CASE WHEN l_linenumber = 7 THEN 'img_P' || CAST(l_partkey AS VARCHAR) || 'x.png'
+                      ELSE printf('d%d_a%d_%s_r%d-%d-%d_P%dx.png', l_orderkey % 900 + 100, l_linenumber * 15 % 90,
+                                  CASE WHEN l_returnflag = 'A' THEN 'lamp' ELSE 'sun' END, l_orderkey, l_linenumber,
+                                  l_suppkey, l_partkey) END AS image,
+                 l_extendedprice / l_quantity AS measured_mm, l_partkey FROM lineitem),
+  tr AS (SELECT 'P' || CAST(p_partkey AS VARCHAR) || 'x' AS object, p_retailprice AS true_mm, p_partkey FROM part),
+  m AS (SELECT res.image, res.measured_mm, tr.object, tr.true_mm FROM res JOIN tr ON tr.p_partkey = res.l_partkey),
+  pm AS (SELECT *, regexp_extract(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)', 1) AS dist,
+                regexp_extract(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)', 2) AS angle,
+                regexp_extract(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)', 3) AS light,
+                regexp_extract(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)', 4) AS "repeat"
+         FROM m WHERE regexp_matches(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)')),
+  errs AS (SELECT *, measured_mm - true_mm AS err_mm, 100.0 * abs(measured_mm - true_mm) / true_mm AS rel_pct FROM pm)"""
+
+
+@register("I3_measurement_errors", f"""
+WITH {_MEAS_SQL}
+SELECT image, object, dist, angle, light, "repeat", measured_mm, true_mm, err_mm, rel_pct FROM errs
+""")
+def q_i3(spark, sf_dir):
+    return measure.measurement_errors(fixtures.measurement_results(spark, sf_dir),
+                                      fixtures.measurement_truth(spark, sf_dir))
+
+
+@register("I2_parse_condition", r"""
+WITH res AS (SELECT CASE WHEN l_linenumber = 7 THEN 'img_P' || CAST(l_partkey AS VARCHAR) || 'x.png'
+                      ELSE printf('d%d_a%d_%s_r%d-%d-%d_P%dx.png', l_orderkey % 900 + 100, l_linenumber * 15 % 90,
+                                  CASE WHEN l_returnflag = 'A' THEN 'lamp' ELSE 'sun' END, l_orderkey, l_linenumber,
+                                  l_suppkey, l_partkey) END AS image FROM lineitem)
+SELECT image, regexp_extract(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)', 1) AS dist,
+       regexp_extract(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)', 2) AS angle,
+       regexp_extract(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)', 3) AS light,
+       regexp_extract(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)', 4) AS "repeat"
+FROM res WHERE regexp_matches(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)')
+""")
+def q_i2(spark, sf_dir):
+    return measure.parse_condition(fixtures.measurement_results(spark, sf_dir)).select(
+        "image", "dist", "angle", "light", "repeat")
+
+
+@register("I4_error_summary", f"""
+WITH {_MEAS_SQL},
+  r AS (SELECT rel_pct, row_number() OVER (ORDER BY rel_pct, image) AS rn, count(*) OVER () AS n FROM errs),
+  s AS (SELECT max(n) AS n, quantile_cont(rel_pct, 0.5) AS median_pct,
+               max(CASE WHEN rn = least(n - 1, CAST(floor(0.95::DOUBLE * n) AS BIGINT)) + 1 THEN rel_pct END) AS p95_pct
+        FROM r)
+SELECT n, median_pct, p95_pct,
+       CASE WHEN median_pct <= 2.0 AND p95_pct <= 4.0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM s
+""")
+def q_i4(spark, sf_dir):
+    errs = measure.measurement_errors(fixtures.measurement_results(spark, sf_dir),
+                                      fixtures.measurement_truth(spark, sf_dir))
+    return measure.error_summary(errs)
+
+
+@register("I1_plane_distance", """
+WITH e AS (SELECT vec_id AS image, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  p AS (SELECT image,
+               [1.0 + v[1] * 0.01, v[2] * 0.01, v[3], v[4] * 0.01, 1.0 + v[5] * 0.01, v[6], v[7] * 0.001,
+                v[8] * 0.001, 1.0]::DOUBLE[] AS h,
+               v[11] * 100 + 500 AS x1, v[12] * 100 + 500 AS y1, v[13] * 100 + 500 AS x2, v[14] * 100 + 500 AS y2
+        FROM e),
+  q AS (SELECT image,
+               (h[1] * x1 + h[2] * y1 + h[3]) / (h[7] * x1 + h[8] * y1 + h[9]) AS u1,
+               (h[4] * x1 + h[5] * y1 + h[6]) / (h[7] * x1 + h[8] * y1 + h[9]) AS w1,
+               (h[1] * x2 + h[2] * y2 + h[3]) / (h[7] * x2 + h[8] * y2 + h[9]) AS u2,
+               (h[4] * x2 + h[5] * y2 + h[6]) / (h[7] * x2 + h[8] * y2 + h[9]) AS w2 FROM p)
+SELECT image, sqrt(pow(u1 - u2, 2) + pow(w1 - w2, 2)) AS measured_mm FROM q
+""")
+def q_i1(spark, sf_dir):
+    pts, homs = fixtures.plane_points(spark, sf_dir)
+    return measure.plane_distance(pts, homs)
+
+
+@register("I5_reprojection_rms", """
+WITH e AS (SELECT label AS view, vec_id AS corner, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  d AS (SELECT view, pow(v[1] - (v[1] + v[3] * 0.01), 2) + pow(v[2] - (v[2] + v[4] * 0.01), 2) AS d2 FROM e),
+  per AS (SELECT CAST(view AS VARCHAR) AS view, sqrt(avg(d2)) AS rms_px, count(*) AS points, sum(d2) AS s FROM d
+          GROUP BY view)
+SELECT view, rms_px, points, NULL::VARCHAR AS verdict FROM per
+UNION ALL
+SELECT '*', sqrt(sum(s) / sum(points)), CAST(sum(points) AS BIGINT),
+       CASE WHEN count(*) >= 10 AND sqrt(sum(s) / sum(points)) <= 0.5 THEN 'PASS' ELSE 'FAIL' END FROM per
+""")
+def q_i5(spark, sf_dir):
+    obs, prj = fixtures.reprojection(spark, sf_dir)
+    return measure.reprojection_rms(obs, prj)

@@ -298,3 +298,93 @@ def submission_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("case_id"),
                     fingerprint(F.lit("1-URGENT"), F.lit("O")).alias("case_fingerprint"),
                     F.when(F.col("c_custkey") % 10 == 0, F.lit("failed")).otherwise(F.lit("pending_approval")).alias("state"))
+
+
+# ------------------------------------------------------------ predictions
+N_CLASSES = 10
+
+
+def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("key"),
+                    F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"), "embedding")
+
+
+def token_groups(run: str = "a"):
+    """Class c is read from tokens (c, c+10) in run a and (c+20, c+30) in
+    run b."""
+    off = 0 if run == "a" else 20
+    return [[c + off, c + off + 10] for c in range(N_CLASSES)]
+
+
+CLASS_NAMES = tuple(f"c{i}" for i in range(N_CLASSES))
+
+
+def predictions(spark: SparkSession, sf_dir: str, run: str = "a") -> DataFrame:
+    from ..operators.triage import constrained_classify
+    p = constrained_classify(logits(spark, sf_dir), "embedding", token_groups(run), CLASS_NAMES)
+    return p.select("key", "label", "pred", "confidence", (F.col("pred") == F.col("label")).alias("correct"),
+                    F.col("free_top_is_class").alias("free_top_is_letter"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows with many confidence ties: correct = value > 50,
+    confidence = (user % 100) / 100, tie-break = event id."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(F.col("event_id").alias("key"), (F.col("value") > 50).alias("correct"),
+                     ((F.col("user_id") % 100) / 100.0).alias("confidence"))
+
+
+def doc_manifest(spark: SparkSession, sf_dir: str):
+    """manifest / actual over documents: 5 % absent from the manifest,
+    10 % absent on disk, 10 % altered."""
+    d = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"))
+    split = F.when(F.col("doc_id") % 10 < 7, F.lit("train")).when(F.col("doc_id") % 10 == 7, F.lit("val")).otherwise(F.lit("test"))
+    manifest = d.where(F.col("doc_id") % 20 != 0).select(
+        path.alias("path"), F.col("lang").alias("label"), split.alias("split"),
+        F.octet_length("text").cast("bigint").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    actual = d.where(F.col("doc_id") % 10 != 3).select(
+        path.alias("path"),
+        F.when(F.col("doc_id") % 10 == 7, F.sha2(F.concat("text", F.lit("!")), 256))
+        .otherwise(F.sha2("text", 256)).alias("sha256"))
+    return manifest, actual
+
+
+# ------------------------------------------------------------ measurements
+def measurement_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    name = F.when(F.col("l_linenumber") == 7, F.concat(F.lit("img_P"), F.col("l_partkey").cast("string"), F.lit("x.png"))) \
+        .otherwise(F.format_string("d%d_a%d_%s_r%d-%d-%d_P%dx.png", (F.col("l_orderkey") % 900 + 100),
+                                   (F.col("l_linenumber") * 15 % 90),
+                                   F.when(F.col("l_returnflag") == "A", F.lit("lamp")).otherwise(F.lit("sun")),
+                                   F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_partkey")))
+    return li.select(name.alias("image"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("measured_mm"))
+
+
+def measurement_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string"), F.lit("x")).alias("object"),
+                    F.col("p_retailprice").alias("true_mm"), F.col("p_partkey").alias("truth_pos"))
+
+
+def _emb(i: int):
+    return F.col("embedding")[i].cast("double")
+
+
+def plane_points(spark: SparkSession, sf_dir: str):
+    e = table(spark, sf_dir, "embeddings")
+    h = F.array(F.lit(1.0) + _emb(0) * 0.01, _emb(1) * 0.01, _emb(2), _emb(3) * 0.01, F.lit(1.0) + _emb(4) * 0.01,
+                _emb(5), _emb(6) * 0.001, _emb(7) * 0.001, F.lit(1.0))
+    homs = e.select(F.col("vec_id").alias("image"), h.alias("h"))
+    pts = e.select(F.col("vec_id").alias("image"), (_emb(10) * 100 + 500).alias("x1"), (_emb(11) * 100 + 500).alias("y1"),
+                   (_emb(12) * 100 + 500).alias("x2"), (_emb(13) * 100 + 500).alias("y2"))
+    return pts, homs
+
+
+def reprojection(spark: SparkSession, sf_dir: str):
+    e = table(spark, sf_dir, "embeddings")
+    obs = e.select(F.col("label").alias("view"), F.col("vec_id").alias("corner"), _emb(0).alias("x"), _emb(1).alias("y"))
+    prj = e.select(F.col("label").alias("view"), F.col("vec_id").alias("corner"),
+                   (_emb(0) + _emb(2) * 0.01).alias("x"), (_emb(1) + _emb(3) * 0.01).alias("y"))
+    return obs, prj
