@@ -264,17 +264,16 @@ def passage_overlap(passages: DataFrame, texts: DataFrame, q: int = 16, s: int =
     short_p = p.where((F.col("_plen") < min_long) & (F.col("_plen") > 0))
 
     p_grams = long_p.select(
-        "passage_id", "passage",
-        F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("_off"),
-    ).select("passage_id", "passage", F.substring("passage", F.col("_off") + 1, q).alias("_g"))
-    t_grams = t.select(
-        "text_id", "text",
-        F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - q, F.lit(-1)), F.lit(s))).alias("_pos"),
-    ).where(F.col("_pos") >= 0).select(
+        "passage_id", F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("_off"), "passage",
+    ).select("passage_id", F.substring("passage", F.col("_off") + 1, q).alias("_g"))
+    starts = F.when(F.length("text") >= q, F.sequence(F.lit(0), F.length("text") - q, F.lit(s))) \
+        .otherwise(F.array().cast("array<int>"))
+    t_grams = t.select("text_id", F.explode(starts).alias("_pos"), "text").select(
         "text_id", F.substring("text", F.col("_pos") + 1, q).alias("_g"))
-    cand = p_grams.join(t_grams, "_g").select("passage_id", "text_id", "passage").distinct()
-    long_hits = cand.join(t, "text_id").where(F.instr("text", F.col("passage")) > 0)
-    long_hits = long_hits.select("passage_id", "text_id")
+    # candidate pairs, deduplicated on ids only, then verified on the whole text
+    cand = p_grams.join(t_grams, "_g").select("passage_id", "text_id").distinct()
+    long_hits = (cand.join(long_p.select("passage_id", "passage"), "passage_id").join(t, "text_id")
+                 .where(F.instr("text", F.col("passage")) > 0).select("passage_id", "text_id"))
 
     n_short = short_p.count()
     if n_short == 0:
@@ -284,8 +283,11 @@ def passage_overlap(passages: DataFrame, texts: DataFrame, q: int = 16, s: int =
     else:
         qmin = short_p.agg(F.min("_plen")).first()[0]
         sg = short_p.select("passage_id", "passage", F.substring("passage", 1, qmin).alias("_g"))
-        tg = t.select("text_id", "text", F.explode(F.sequence(F.lit(1), F.greatest(F.length("text") - qmin + 1, F.lit(1)))).alias("_pos")) \
+        every = F.when(F.length("text") >= qmin, F.sequence(F.lit(1), F.length("text") - qmin + 1)) \
+            .otherwise(F.array().cast("array<int>"))
+        tg = t.select("text_id", F.explode(every).alias("_pos"), "text") \
             .select("text_id", F.substring("text", F.col("_pos"), qmin).alias("_g"))
-        c2 = sg.join(tg, "_g").select("passage_id", "text_id", "passage").distinct()
-        short_hits = c2.join(t, "text_id").where(F.instr("text", F.col("passage")) > 0)
+        c2 = sg.join(tg, "_g").select("passage_id", "text_id").distinct()
+        short_hits = (c2.join(short_p.select("passage_id", "passage"), "passage_id").join(t, "text_id")
+                      .where(F.instr("text", F.col("passage")) > 0))
     return long_hits.unionByName(short_hits.select("passage_id", "text_id"))

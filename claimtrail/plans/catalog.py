@@ -1105,3 +1105,185 @@ SELECT '*', sqrt(sum(s) / sum(points)), CAST(sum(points) AS BIGINT),
 def q_i5(spark, sf_dir):
     obs, prj = fixtures.reprojection(spark, sf_dir)
     return measure.reprojection_rms(obs, prj)
+
+
+# ============================================================ E2-E7, F2
+_RESP_SQL = f"""
+  rs AS (SELECT CAST(conv_id AS VARCHAR) AS case_id, turn + 1 AS attempt, turn, text, role,
+                (['low', 'medium', 'high', 'critical', 'severe'])[(conv_id + turn) % 5 + 1] AS risk0,
+                CASE WHEN (conv_id + turn) % 6 = 0 THEN 'The system is compliant with policy.'
+                     ELSE substring(text, 1, 60) END AS summary0,
+                CASE WHEN (conv_id + turn) % 7 = 0 THEN ['review', 'Certified '] ELSE [role] END AS labels0,
+                CASE WHEN turn % 3 = 0 THEN CAST((conv_id + turn) % 2 AS VARCHAR) || '.5'
+                     WHEN turn % 3 = 1 THEN '0.' || CAST((conv_id + turn) % 10 AS VARCHAR) ELSE 'high' END AS conf0,
+                NOT (turn = 0 AND conv_id % 4 = 0) AS is_json,
+                turn <> 1 AS has_cit
+         FROM conversations),
+  parsed AS (SELECT case_id, attempt, turn, text,
+                    CASE WHEN is_json THEN risk0 END AS risk, CASE WHEN is_json THEN summary0 END AS summary,
+                    CASE WHEN is_json THEN labels0 ELSE [] END AS labels,
+                    CASE WHEN is_json AND has_cit THEN 1 ELSE 0 END AS n_citations,
+                    CASE WHEN is_json THEN TRY_CAST(conf0 AS DOUBLE) END AS confidence,
+                    coalesce(is_json AND risk0 IN ('low', 'medium', 'high', 'critical') AND has_cit
+                             AND TRY_CAST(conf0 AS DOUBLE) IS NOT NULL, false) AS parse_ok
+             FROM rs)"""
+
+
+def _banned_sql(labels: str, summary: str) -> str:
+    lab = ", ".join(f"'{w}'" for w in validate.PROHIBITED_LABELS)
+    norm = f"lower(regexp_replace(regexp_replace({summary}, '{O.WS_RUN}', ' ', 'g'), '{O.STRIP}', '', 'g'))"
+    phrases = " OR ".join(f"contains({norm}, '{p}')" for p in validate.PROHIBITED_PHRASES)
+    return (f"CASE WHEN len(list_intersect([lower(regexp_replace(x, '{O.STRIP}', '', 'g')) FOR x IN {labels}], "
+            f"[{lab}])) > 0 THEN 'assessment contains a prohibited assurance label' "
+            f"WHEN coalesce({phrases}, false) THEN 'assessment contains a prohibited assurance claim' END")
+
+
+@register("E2_parse_assessments", f"""
+WITH {_RESP_SQL}
+SELECT case_id, attempt, parse_ok, risk, summary, n_citations, confidence FROM parsed
+""")
+def q_e2(spark, sf_dir):
+    p = validate.parse_assessments(fixtures.responses(spark, sf_dir))
+    return p.select("case_id", "attempt", "parse_ok", "risk", "summary",
+                    F.coalesce(F.size("citations"), F.lit(0)).cast("int").alias("n_citations"), "confidence")
+
+
+@register("E3_first_valid_attempt", f"""
+WITH {_RESP_SQL},
+  v AS (SELECT *, CASE WHEN NOT parse_ok THEN 'provider returned an invalid assessment'
+                       WHEN {_banned_sql('labels', 'summary')} IS NOT NULL
+                         THEN 'provider returned prohibited assurance semantics' END AS err
+        FROM parsed WHERE attempt <= 2),
+  a AS (SELECT case_id, min(CASE WHEN err IS NULL THEN attempt END) AS acc, max(attempt) AS last,
+               arg_max(err, attempt) AS last_err FROM v GROUP BY case_id)
+SELECT a.case_id, a.acc AS accepted_attempt, coalesce(a.acc, a.last) AS attempts_used,
+       CASE WHEN a.acc IS NULL THEN a.last_err END AS reason, v.risk
+FROM a LEFT JOIN v ON v.case_id = a.case_id AND v.attempt = a.acc
+""")
+def q_e3(spark, sf_dir):
+    p = validate.parse_assessments(fixtures.responses(spark, sf_dir))
+    out = validate.first_valid_attempt(p, lambda d: validate.prohibited_claims_reason(), max_repairs=1)
+    return out.select("case_id", "accepted_attempt", "attempts_used", "reason", "risk")
+
+
+@register("E6_prohibited_claims", f"""
+WITH {_RESP_SQL}
+SELECT case_id, attempt, {_banned_sql('labels', 'summary')} AS reason FROM parsed WHERE parse_ok
+""")
+def q_e6(spark, sf_dir):
+    p = validate.parse_assessments(fixtures.responses(spark, sf_dir)).where("parse_ok")
+    return p.select("case_id", "attempt", validate.prohibited_claims_reason().alias("reason"))
+
+
+_CITES = """
+  cit AS (SELECT CAST(conv_id AS VARCHAR) AS case_id, turn AS cpos,
+                 CASE WHEN turn % 3 = 0 THEN CAST(turn AS VARCHAR) WHEN turn % 3 = 1 THEN '99'
+                      ELSE CAST(turn - 1 AS VARCHAR) END AS source_id,
+                 substring(text, 3, 25) AS quote FROM conversations)"""
+
+
+@register("E5_ground_citations", f"""
+WITH {_CITES}, {O.CONV_SOURCES}
+SELECT cit.case_id, cit.cpos, cit.source_id,
+       CASE WHEN src.text IS NULL THEN 'unknown_source'
+            WHEN {O.blank('cit.quote')} OR NOT contains(src.text, cit.quote) THEN 'unresolved' ELSE 'ok' END AS status,
+       CASE WHEN src.text IS NULL THEN 'unknown citation source: ' || cit.source_id
+            WHEN {O.blank('cit.quote')} OR NOT contains(src.text, cit.quote)
+              THEN 'citation quote does not resolve in source: ' || cit.source_id END AS reason
+FROM cit LEFT JOIN src ON src.case_id = cit.case_id AND src.source_id = cit.source_id
+""")
+def q_e5(spark, sf_dir):
+    c = fixtures.table(spark, sf_dir, "conversations")
+    cites = c.select(
+        F.col("conv_id").cast("string").alias("case_id"), F.col("turn").alias("cpos"),
+        F.when(F.col("turn") % 3 == 0, F.col("turn").cast("string")).when(F.col("turn") % 3 == 1, F.lit("99"))
+        .otherwise((F.col("turn") - 1).cast("string")).alias("source_id"),
+        F.substring("text", 3, 25).alias("quote"))
+    _, sources = fixtures.conversation_cases(spark, sf_dir)
+    return validate.ground_citations(cites, sources)
+
+
+@register("E4_validate_assessments", f"""
+WITH {O.CONV_SOURCES},
+  a AS (SELECT CAST(conv_id AS VARCHAR) AS case_id,
+               CASE WHEN conv_id % 10 = 0 THEN '  ' ELSE 'summary ' || CAST(conv_id AS VARCHAR) END AS summary,
+               CASE WHEN conv_id % 7 = 0 THEN 1.5 ELSE 0.5 END::DOUBLE AS confidence FROM conversations
+        WHERE turn = 0),
+  c AS (SELECT CAST(conv_id AS VARCHAR) AS case_id, turn AS cpos,
+               CASE WHEN turn = 1 AND conv_id % 4 = 0 THEN '42' ELSE CAST(turn AS VARCHAR) END AS source_id,
+               CASE WHEN turn = 1 AND conv_id % 3 = 0 THEN 'nope' ELSE substring(text, 10, 20) END AS quote
+        FROM conversations WHERE turn < 2),
+  g AS (SELECT c.case_id, c.cpos,
+               CASE WHEN src.text IS NULL THEN 'unknown citation source: ' || c.source_id
+                    WHEN {O.blank('c.quote')} OR NOT contains(src.text, c.quote)
+                      THEN 'citation quote does not resolve in source: ' || c.source_id END AS reason
+        FROM c LEFT JOIN src ON src.case_id = c.case_id AND src.source_id = c.source_id),
+  fb AS (SELECT case_id, arg_min(reason, cpos) AS cr FROM g WHERE reason IS NOT NULL GROUP BY case_id)
+SELECT a.case_id,
+       CASE WHEN {O.blank('a.summary')} THEN 'assessment summary is required'
+            WHEN a.confidence < 0 OR a.confidence > 1 THEN 'confidence must be between 0 and 1'
+            ELSE fb.cr END AS reason
+FROM a LEFT JOIN fb USING (case_id)
+""")
+def q_e4(spark, sf_dir):
+    c = fixtures.table(spark, sf_dir, "conversations")
+    cit = c.where(F.col("turn") < 2).select(
+        F.col("conv_id").cast("string").alias("case_id"), F.col("turn"),
+        F.struct(
+            F.when((F.col("turn") == 1) & (F.col("conv_id") % 4 == 0), F.lit("42"))
+            .otherwise(F.col("turn").cast("string")).alias("source_id"),
+            F.when((F.col("turn") == 1) & (F.col("conv_id") % 3 == 0), F.lit("nope"))
+            .otherwise(F.substring("text", 10, 20)).alias("quote")).alias("c"))
+    cites = cit.groupBy("case_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "c"))), lambda e: e["c"]).alias("citations"))
+    heads = c.where(F.col("turn") == 0).select(
+        F.col("conv_id").cast("string").alias("case_id"),
+        F.when(F.col("conv_id") % 10 == 0, F.lit("  ")).otherwise(
+            F.concat(F.lit("summary "), F.col("conv_id").cast("string"))).alias("summary"),
+        F.when(F.col("conv_id") % 7 == 0, F.lit(1.5)).otherwise(F.lit(0.5)).alias("confidence"))
+    _, sources = fixtures.conversation_cases(spark, sf_dir)
+    return validate.validate_assessments(heads.join(cites, "case_id"), sources)
+
+
+@register("E7_passage_overlap", """
+SELECT b.item_id AS passage_id, d.doc_id AS text_id
+FROM benchmark b JOIN documents d ON contains(d.text, b.text)
+""")
+def q_e7(spark, sf_dir):
+    b = fixtures.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage_id"),
+                                                         F.col("text").alias("passage"))
+    d = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return validate.passage_overlap(b, d)
+
+
+@register("F2_triage", f"""
+WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL},
+  src AS (SELECT repository_id AS case_id, rn - 1 AS pos, observation_id AS source_id, text FROM sel
+          UNION ALL SELECT repository_id, sel_pos, source_id, text FROM summ WHERE source_id IS NOT NULL),
+  p AS (SELECT *, json_valid(text) AND starts_with(ltrim(text), '{{') AS obj FROM src),
+  q AS (SELECT *, CASE WHEN obj THEN coalesce(json_extract_string(text, '$.status'), 'None') ELSE 'review' END = 'review'
+                    AS review,
+               CASE CASE WHEN obj THEN coalesce(json_extract_string(text, '$.severity'), 'None') ELSE 'low' END
+                 WHEN 'info' THEN 0 WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'critical' THEN 3
+                 ELSE 1 END AS ord FROM p),
+  agg AS (SELECT case_id, sum(CASE WHEN review THEN 1 ELSE 0 END) AS n_review,
+                 max(CASE WHEN review THEN ord END) AS ord_r, max(ord) AS ord_a FROM q GROUP BY case_id),
+  cand AS (SELECT q.*, row_number() OVER (PARTITION BY q.case_id ORDER BY pos) AS rn FROM q JOIN agg USING (case_id)
+           WHERE (agg.n_review > 0 AND q.review) OR agg.n_review = 0),
+  c AS (SELECT case_id, count(*) AS n_citations, arg_min(source_id, pos) AS first_citation FROM cand WHERE rn <= 10
+        GROUP BY case_id)
+SELECT agg.case_id, (['low', 'medium', 'high', 'critical'])[coalesce(CASE WHEN n_review > 0 THEN ord_r ELSE ord_a END, 0) + 1]
+         AS risk, CAST(n_review AS BIGINT) AS n_review, c.n_citations, c.first_citation
+FROM agg JOIN c USING (case_id)
+""")
+def q_f2(spark, sf_dir):
+    obs = fixtures.observations(spark, sf_dir)
+    sel = evidence.select_evidence(obs)
+    summ = evidence.selection_summary(fixtures.reports(spark, sf_dir), obs, sel)
+    src = sel.select(F.col("repository_id").alias("case_id"), F.col("sel_pos").alias("pos"),
+                     F.col("observation_id").alias("source_id"), "text").unionByName(
+        summ.select(F.col("repository_id").alias("case_id"), F.col("sel_pos").alias("pos"), "source_id", "text"))
+    heads = src.select("case_id").distinct()
+    t = triage.triage(heads, src)
+    return t.select("case_id", "risk", "n_review", F.size("citations").cast("bigint").alias("n_citations"),
+                    F.col("citations")[0]["source_id"].alias("first_citation"))

@@ -388,3 +388,29 @@ def reprojection(spark: SparkSession, sf_dir: str):
     prj = e.select(F.col("label").alias("view"), F.col("vec_id").alias("corner"),
                    (_emb(0) + _emb(2) * 0.01).alias("x"), (_emb(1) + _emb(3) * 0.01).alias("y"))
     return obs, prj
+
+
+# ------------------------------------------------------------ model responses
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model output text per (conversation, turn): turn 0 of every fourth
+    conversation is not JSON, turn 1 lacks citations; confidence is a number,
+    a quoted number or a word; some summaries and labels make banned claims."""
+    from ..functions.text import json_string
+    c = table(spark, sf_dir, "conversations")
+    k = F.col("conv_id") + F.col("turn")
+    risk = F.get(F.array(*[F.lit(x) for x in ("low", "medium", "high", "critical", "severe")]), (k % 5).cast("int"))
+    summary = F.when(k % 6 == 0, F.lit("The system is compliant with policy.")).otherwise(F.substring("text", 1, 60))
+    labels = F.when(k % 7 == 0, F.lit('["review","Certified "]')).otherwise(
+        F.concat(F.lit("["), json_string(F.col("role")), F.lit("]")))
+    cites = F.concat(F.lit('[{"source_id":'), json_string(F.col("turn").cast("string")), F.lit(',"quote":'),
+                     json_string(F.substring("text", 3, 25)), F.lit("}]"))
+    conf = (F.when(F.col("turn") % 3 == 0, F.format_string("%d.5", (k % 2)))
+            .when(F.col("turn") % 3 == 1, F.format_string('"0.%d"', (k % 10)))
+            .otherwise(F.lit('"high"')))
+    body = F.concat(F.lit('{"risk":'), json_string(risk), F.lit(',"summary":'), json_string(summary),
+                    F.lit(',"labels":'), labels,
+                    F.when(F.col("turn") != 1, F.concat(F.lit(',"citations":'), cites)).otherwise(F.lit("")),
+                    F.lit(',"confidence":'), conf, F.lit("}"))
+    content = F.when((F.col("turn") == 0) & (F.col("conv_id") % 4 == 0), F.col("text")).otherwise(body)
+    return c.select(F.col("conv_id").cast("string").alias("case_id"), (F.col("turn") + 1).alias("attempt"),
+                    content.alias("content"))

@@ -150,3 +150,8 @@ AUDIT = f"""
     UNION ALL
     SELECT a.chain, a.rn, a.seq, ch.h, sha256(a.c || '64:' || ch.h)
     FROM audc a JOIN chainh ch ON a.chain = ch.chain AND a.rn = ch.rn + 1)""".replace("{rc}", record_canon_sql())
+
+from ..functions.text import STRIP_PATTERN, WS_RUN_PATTERN  # noqa: E402
+
+STRIP = STRIP_PATTERN.replace("'", "''")
+WS_RUN = WS_RUN_PATTERN.replace("'", "''")
