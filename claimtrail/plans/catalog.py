@@ -1256,8 +1256,7 @@ def q_e7(spark, sf_dir):
     return validate.passage_overlap(b, d)
 
 
-@register("F2_triage", f"""
-WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL},
+_TRIAGE_SQL = f"""
   src AS (SELECT repository_id AS case_id, rn - 1 AS pos, observation_id AS source_id, text FROM sel
           UNION ALL SELECT repository_id, sel_pos, source_id, text FROM summ WHERE source_id IS NOT NULL),
   p AS (SELECT *, json_valid(text) AND starts_with(ltrim(text), '{{') AS obj FROM src),
@@ -1271,10 +1270,16 @@ WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL},
   cand AS (SELECT q.*, row_number() OVER (PARTITION BY q.case_id ORDER BY pos) AS rn FROM q JOIN agg USING (case_id)
            WHERE (agg.n_review > 0 AND q.review) OR agg.n_review = 0),
   c AS (SELECT case_id, count(*) AS n_citations, arg_min(source_id, pos) AS first_citation FROM cand WHERE rn <= 10
-        GROUP BY case_id)
-SELECT agg.case_id, (['low', 'medium', 'high', 'critical'])[coalesce(CASE WHEN n_review > 0 THEN ord_r ELSE ord_a END, 0) + 1]
-         AS risk, CAST(n_review AS BIGINT) AS n_review, c.n_citations, c.first_citation
-FROM agg JOIN c USING (case_id)
+        GROUP BY case_id),
+  tri AS (SELECT agg.case_id,
+                 (['low', 'medium', 'high', 'critical'])[coalesce(CASE WHEN n_review > 0 THEN ord_r ELSE ord_a END, 0) + 1]
+                   AS risk, CAST(n_review AS BIGINT) AS n_review, c.n_citations, c.first_citation
+          FROM agg JOIN c USING (case_id))"""
+
+
+@register("F2_triage", f"""
+WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL}, {_TRIAGE_SQL}
+SELECT case_id, risk, n_review, n_citations, first_citation FROM tri
 """)
 def q_f2(spark, sf_dir):
     obs = fixtures.observations(spark, sf_dir)
@@ -1287,3 +1292,123 @@ def q_f2(spark, sf_dir):
     t = triage.triage(heads, src)
     return t.select("case_id", "risk", "n_review", F.size("citations").cast("bigint").alias("n_citations"),
                     F.col("citations")[0]["source_id"].alias("first_citation"))
+
+
+def _triage_by_repo(spark, sf_dir):
+    obs = fixtures.observations(spark, sf_dir)
+    sel = evidence.select_evidence(obs)
+    summ = evidence.selection_summary(fixtures.reports(spark, sf_dir), obs, sel)
+    src = sel.select(F.col("repository_id").alias("case_id"), F.col("sel_pos").alias("pos"),
+                     F.col("observation_id").alias("source_id"), "text").unionByName(
+        summ.select(F.col("repository_id").alias("case_id"), F.col("sel_pos").alias("pos"), "source_id", "text"))
+    return obs, src, triage.triage(src.select("case_id").distinct(), src)
+
+
+# ============================================================ J: reporting
+from ..operators import report  # noqa: E402
+
+_EXEC_SQL = """
+  ex AS (SELECT 'eng-1' AS engagement_id, 'repo-' || CAST(user_id % 100 + 1 AS VARCHAR) AS repository_id,
+                value > 2 AS iso FROM events)"""
+
+
+def _executions(spark, sf_dir):
+    ev = fixtures.table(spark, sf_dir, "events")
+    return ev.select(F.lit("eng-1").alias("engagement_id"),
+                     F.concat(F.lit("repo-"), (F.col("user_id") % 100 + 1).cast("string")).alias("repository_id"),
+                     F.col("event_type").alias("scanner"), (F.col("value") > 2).alias("network_isolated"),
+                     F.col("value").alias("duration_ms"))
+
+
+def _metrics(spark, sf_dir):
+    obs, _, tri = _triage_by_repo(spark, sf_dir)
+    a = tri.select(F.lit("eng-1").alias("engagement_id"), F.col("case_id").alias("repository_id"),
+                   "risk", "confidence", "citations")
+    return report.pilot_metrics(obs, a, _executions(spark, sf_dir))
+
+
+@register("J1_pilot_metrics", f"""
+WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL}, {_TRIAGE_SQL}, {_EXEC_SQL},
+  tob AS (SELECT engagement_id, repository_id, count(*) AS observations FROM obs GROUP BY ALL),
+  stc AS (SELECT engagement_id, repository_id, string_agg(status || '=' || CAST(n AS VARCHAR), ',' ORDER BY status)
+                   AS status_counts
+          FROM (SELECT engagement_id, repository_id, status, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL),
+  svc AS (SELECT engagement_id, repository_id, string_agg(severity || '=' || CAST(n AS VARCHAR), ',' ORDER BY severity)
+                   AS severity_counts
+          FROM (SELECT engagement_id, repository_id, severity, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL),
+  iso AS (SELECT engagement_id, repository_id, bool_and(iso) AS iso, count(*) AS executions FROM ex GROUP BY ALL)
+SELECT tob.engagement_id, tob.repository_id, tob.observations, stc.status_counts, svc.severity_counts, tri.risk,
+       1.0::DOUBLE AS confidence, tri.n_citations AS citation_count, coalesce(iso.executions, 0) AS executions,
+       coalesce(iso.iso, true) AS all_isolated
+FROM tob JOIN stc USING (engagement_id, repository_id) JOIN svc USING (engagement_id, repository_id)
+     LEFT JOIN tri ON tri.case_id = tob.repository_id LEFT JOIN iso USING (engagement_id, repository_id)
+""")
+def q_j1(spark, sf_dir):
+    return _metrics(spark, sf_dir)
+
+
+@register("J2_management_summary")
+def q_j2(spark, sf_dir):
+    return report.management_summary(_metrics(spark, sf_dir))
+
+
+@register("J3_evidence_pack")
+def q_j3(spark, sf_dir):
+    reports = fixtures.reports(spark, sf_dir)
+    headers, sources = evidence.build_cases(reports, fixtures.observations(spark, sf_dir))
+    assessed = triage.triage(headers.select("case_id"), sources)
+    return report.evidence_pack(headers.select("case_id", "title"), sources, assessed)
+
+
+_AUDIT_EVENT = ("CASE event_type WHEN 'signup' THEN 'case_received' WHEN 'view' THEN 'analysis_completed' "
+                "WHEN 'click' THEN 'case_approved' WHEN 'purchase' THEN 'case_published' "
+                "WHEN 'error' THEN 'analysis_failed' END")
+
+
+@register("J4_counters", f"""
+SELECT {_AUDIT_EVENT} AS name, count(*) AS count FROM events GROUP BY 1
+""")
+def q_j4(spark, sf_dir):
+    ev = fixtures.table(spark, sf_dir, "events").select(F.expr(_AUDIT_EVENT).alias("event"))
+    return report.counters(ev)
+
+
+@register("J5_latency", """
+WITH r AS (SELECT event_type AS name, value, ts, row_number() OVER (PARTITION BY event_type ORDER BY value, ts) AS rn,
+                  count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT name, max(n) AS count, arg_max(value, ts) AS last,
+       max(CASE WHEN rn = ceil(0.5 * n) THEN value END) AS p50, max(CASE WHEN rn = ceil(0.95 * n) THEN value END) AS p95
+FROM r GROUP BY name
+""")
+def q_j5(spark, sf_dir):
+    ev = fixtures.table(spark, sf_dir, "events").select(F.col("event_type").alias("name"),
+                                                        F.col("value").alias("duration_ms"), "ts")
+    return report.latency(ev).withColumnRenamed("p50", "p50").select("name", "count", "last", "p50", "p95")
+
+
+@register("J6_workflow_sli", f"""
+WITH a AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id, {_AUDIT_EVENT} AS event, ts FROM events),
+  pc AS (SELECT case_id, min(CASE WHEN event = 'analysis_completed' THEN ts END) AS c,
+                min(CASE WHEN event = 'case_approved' THEN ts END) AS ap FROM a GROUP BY case_id),
+  w AS (SELECT avg(epoch_us(ap) - epoch_us(c)) AS w FROM pc WHERE ap >= c),
+  n AS (SELECT sum(CASE WHEN event = 'case_received' THEN 1 ELSE 0 END) AS received,
+               sum(CASE WHEN event = 'analysis_completed' THEN 1 ELSE 0 END) AS completed,
+               sum(CASE WHEN event = 'analysis_failed' THEN 1 ELSE 0 END) AS failed,
+               sum(CASE WHEN event = 'case_published' THEN 1 ELSE 0 END) AS published FROM a)
+SELECT received, completed / received AS completion_rate, failed / received AS failure_rate,
+       0.0::DOUBLE AS retry_rate, 0.0::DOUBLE AS rejection_rate, 0.0::DOUBLE AS publish_dedupe_rate,
+       w.w / 1e6 AS mean_approval_wait_s
+FROM n, w
+""")
+def q_j6(spark, sf_dir):
+    ev = fixtures.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"),
+        F.expr(_AUDIT_EVENT).alias("event"), "ts")
+    return report.workflow_sli(ev)
+
+
+@register("J7_markdown_table")
+def q_j7(spark, sf_dir):
+    pc = evaluate.per_class(fixtures.predictions(spark, sf_dir), fixtures.CLASS_NAMES)
+    return report.markdown_table(pc, ["label", "precision", "recall", "f1", "support"], ["label"],
+                                 {"precision": "%.3f", "recall": "%.3f", "f1": "%.3f"})
