@@ -289,7 +289,7 @@ WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL},
           FROM reports r LEFT JOIN mtop USING (engagement_id, repository_id)),
   src AS (SELECT engagement_id, repository_id, rn - 1 AS pos, observation_id AS source_id, text FROM sel
           UNION ALL SELECT engagement_id, repository_id, sel_pos, source_id, text FROM summ WHERE source_id IS NOT NULL)
-SELECT hdr.case_id, hdr.title, count(*) AS n_sources, sum(length(src.text)) AS total_chars,
+SELECT hdr.case_id, hdr.title, count(*) AS n_sources, CAST(sum(length(src.text)) AS BIGINT) AS total_chars,
        arg_max(src.source_id, src.pos) AS last_source_id
 FROM hdr JOIN src USING (engagement_id, repository_id)
 GROUP BY hdr.case_id, hdr.title
@@ -569,8 +569,8 @@ def q_g4(spark, sf_dir):
 
 @register("G4_final_states", f"""
 WITH RECURSIVE {_FOLD_SQL}
-SELECT case_id, arg_max(state, seq) AS state, sum(CASE WHEN accepted THEN 1 ELSE 0 END) AS accepted,
-       sum(CASE WHEN accepted THEN 0 ELSE 1 END) AS rejected
+SELECT case_id, arg_max(state, seq) AS state, CAST(sum(CASE WHEN accepted THEN 1 ELSE 0 END) AS BIGINT) AS accepted,
+       CAST(sum(CASE WHEN accepted THEN 0 ELSE 1 END) AS BIGINT) AS rejected
 FROM folded GROUP BY case_id
 """)
 def q_g4f(spark, sf_dir):
@@ -901,7 +901,22 @@ def q_h10(spark, sf_dir):
     return evaluate.compare_runs(fixtures.predictions(spark, sf_dir, "a"), fixtures.predictions(spark, sf_dir, "b"))
 
 
-@register("H11_acceptance")
+def _f1_sql(off: int, sfx: str) -> str:
+    body = _f3_sql(off) + "," + _PER_CLASS_SQL
+    for name in ("e", "c", "m", "x", "pr", "preds", "pc", "prc", "f"):
+        body = body.replace(f"  {name} AS (", f"  {name}{sfx} AS (")
+        for tail in (")", ",", " ", "\n"):
+            body = body.replace(f"FROM {name}{tail}", f"FROM {name}{sfx}{tail}")
+            body = body.replace(f"JOIN {name} ", f"JOIN {name}{sfx} ")
+    return body
+
+
+@register("H11_acceptance", f"""
+WITH {_f1_sql(20, '_b')}, {_f1_sql(0, '_t')},
+  s AS (SELECT (SELECT avg(f1) FROM f_b) AS base, (SELECT avg(f1) FROM f_t) AS tuned)
+SELECT base, tuned, (tuned - base) * 100.0 AS delta_points,
+       CASE WHEN (tuned - base) * 100.0 >= 10.0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM s
+""")
 def q_h11(spark, sf_dir):
     base = evaluate.macro_f1(evaluate.per_class(fixtures.predictions(spark, sf_dir, "b"), fixtures.CLASS_NAMES))
     tuned = evaluate.macro_f1(evaluate.per_class(fixtures.predictions(spark, sf_dir, "a"), fixtures.CLASS_NAMES))
@@ -1395,7 +1410,7 @@ WITH a AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id, {_AUDIT_EVENT}
                sum(CASE WHEN event = 'analysis_completed' THEN 1 ELSE 0 END) AS completed,
                sum(CASE WHEN event = 'analysis_failed' THEN 1 ELSE 0 END) AS failed,
                sum(CASE WHEN event = 'case_published' THEN 1 ELSE 0 END) AS published FROM a)
-SELECT received, completed / received AS completion_rate, failed / received AS failure_rate,
+SELECT CAST(received AS BIGINT) AS received, completed / received AS completion_rate, failed / received AS failure_rate,
        0.0::DOUBLE AS retry_rate, 0.0::DOUBLE AS rejection_rate, 0.0::DOUBLE AS publish_dedupe_rate,
        w.w / 1e6 AS mean_approval_wait_s
 FROM n, w
@@ -1412,3 +1427,216 @@ def q_j7(spark, sf_dir):
     pc = evaluate.per_class(fixtures.predictions(spark, sf_dir), fixtures.CLASS_NAMES)
     return report.markdown_table(pc, ["label", "precision", "recall", "f1", "support"], ["label"],
                                  {"precision": "%.3f", "recall": "%.3f", "f1": "%.3f"})
+
+
+# ============================================================ A: sources and sinks
+from ..session import scratch_path  # noqa: E402
+from ..sources import io as sio  # noqa: E402
+from ..sources import state as sstate  # noqa: E402
+
+
+@register("A1_read_cases", f"""
+WITH {O.CONV_SOURCES}, {O.e1_reason()}
+SELECT case_id, reason FROM e1
+""")
+def q_a1(spark, sf_dir):
+    """Conversation cases written as case JSON lines, read back, validated."""
+    conv = fixtures.table(spark, sf_dir, "conversations")
+    nested = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
+        "turn", F.col("turn").cast("string").alias("source_id"), "text"))).alias("_s"))
+    cases = nested.select(F.col("conv_id").cast("string").alias("case_id"),
+                          F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("title"),
+                          F.transform("_s", lambda e: F.struct(e["source_id"].alias("source_id"),
+                                                               e["text"].alias("text"))).alias("sources"))
+    path = scratch_path(spark, "cases")
+    cases.write.json(path)
+    headers, sources = sio.explode_cases(sio.read_cases(spark, path))
+    return validate.validate_cases(headers, sources)
+
+
+@register("A2_read_sarif", """
+SELECT 'repo-' || CAST(l_orderkey % 10 AS VARCHAR) AS repository_id, count(*) AS n_results,
+       count(DISTINCT (l_orderkey, l_linestatus)) AS n_runs
+FROM lineitem GROUP BY 1
+""")
+def q_a2(spark, sf_dir):
+    """SARIF documents (one per repository, one file each) written, read with
+    the size cap, normalized, counted."""
+    docs = fixtures.sarif_documents(spark, sf_dir)
+    runs = docs.select("repository_id", "doc_id", F.explode("sarif.runs").alias("run"))
+    per_repo = runs.groupBy("repository_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "run"))), lambda e: e["run"]).alias("runs"))
+    path = scratch_path(spark, "sarif")
+    (per_repo.select("repository_id", F.to_json(F.struct(F.lit("2.1.0").alias("version"), "runs")).alias("value"))
+     .write.partitionBy("repository_id").text(path))
+    ok, _ = sio.read_sarif(spark, path, glob="*.txt")
+    ok = ok.select(F.regexp_extract("doc_id", r"repository_id=([^/]+)", 1).alias("repository_id"),
+                   F.col("doc_id"), F.col("sarif"))
+    obs = evidence.normalize_sarif(ok.withColumn("engagement_id", F.lit("eng-1")))
+    return obs.groupBy("repository_id").agg(
+        F.count(F.lit(1)).alias("n_results"),
+        F.count_distinct("doc_id", "run_index").alias("n_runs"))
+
+
+@register("A3_read_scope", f"""
+WITH {_SCOPES_SQL},
+  st AS (SELECT engagement_id, count(*) AS n, count(DISTINCT repository_id) AS nd,
+                max(CASE WHEN regexp_full_match(repository_id, '[A-Za-z0-9._-]+') THEN 0 ELSE 1 END) AS bad
+         FROM sr GROUP BY engagement_id)
+SELECT engagement_id,
+       CASE WHEN version <> 1 THEN 'scope version must be 1'
+            WHEN egress NOT IN ('deny', 'local-only', 'allow') THEN 'egress must be deny, local-only, or allow'
+            WHEN coalesce(n, 0) = 0 THEN 'scope must authorize at least one repository'
+            WHEN bad = 1 THEN 'repository_id contains unsupported characters'
+            WHEN nd <> n THEN 'repository_id values must be unique' END AS reason
+FROM sc LEFT JOIN st USING (engagement_id)
+""")
+def q_a3(spark, sf_dir):
+    """Scope manifests (one JSON file per nation) written, read, validated."""
+    sc, repos = fixtures.scopes(spark, sf_dir)
+    nested = repos.groupBy("engagement_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(
+        "pos", "repository_id", "path", "allowed_checks"))), lambda e: F.struct(
+        e["repository_id"].alias("repository_id"), e["path"].alias("path"),
+        e["allowed_checks"].alias("allowed_checks"))).alias("repositories"))
+    doc = sc.join(nested, "engagement_id", "left").select(
+        F.col("engagement_id").alias("part"),
+        F.to_json(F.struct(F.col("version").cast("long").alias("version"), "engagement_id", "customer",
+                           F.col("expires_on").cast("string").alias("expires_on"), "egress", "repositories"))
+        .alias("value"))
+    path = scratch_path(spark, "scope")
+    doc.write.partitionBy("part").text(path)
+    scopes, scope_repos = sio.read_scope(spark, path)
+    return scope.validate_scope(scopes, scope_repos)
+
+
+@register("A4_read_audit", """
+SELECT user_id AS chain, true AS valid, CAST(NULL AS BIGINT) AS first_bad_seq, count(*) AS n
+FROM events GROUP BY user_id
+""")
+def q_a4(spark, sf_dir):
+    """Hashed audit rows appended as JSON lines (A8), read back (A4),
+    verified (B4)."""
+    audit = chainops.chain_append(fixtures.audit_events(spark, sf_dir))
+    path = scratch_path(spark, "audit")
+    sio.write_audit(audit, path)
+    back = sio.read_audit(spark, path)
+    return chainops.chain_verify(back).select("chain", "valid", "first_bad_seq", F.col("n").cast("bigint").alias("n"))
+
+
+@register("A5_read_predictions", f"""
+WITH {_f3_sql(0)}
+SELECT count(*) AS n, avg(CAST(correct AS DOUBLE)) AS accuracy, avg(confidence) AS mean_confidence,
+       avg(CAST(free_top_is_letter AS DOUBLE)) AS letter_rate FROM preds
+""")
+def q_a5(spark, sf_dir):
+    """Prediction JSON lines written and read with the prediction schema."""
+    p = fixtures.predictions(spark, sf_dir).select(
+        F.col("key").cast("string").alias("path"), "label", "pred", "confidence", "correct", "free_top_is_letter")
+    path = scratch_path(spark, "predictions")
+    p.write.json(path)
+    return evaluate.accuracy(sio.read_predictions(spark, path))
+
+
+@register("A5_read_measurements", f"""
+WITH {_MEAS_SQL},
+  r AS (SELECT rel_pct, row_number() OVER (ORDER BY rel_pct, image) AS rn, count(*) OVER () AS n FROM errs),
+  s AS (SELECT max(n) AS n, quantile_cont(rel_pct, 0.5) AS median_pct,
+               max(CASE WHEN rn = least(n - 1, CAST(floor(0.95::DOUBLE * n) AS BIGINT)) + 1 THEN rel_pct END) AS p95_pct
+        FROM r)
+SELECT n, median_pct, p95_pct,
+       CASE WHEN median_pct <= 2.0 AND p95_pct <= 4.0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM s
+""")
+def q_a5m(spark, sf_dir):
+    """Measurement and truth CSV files written, read back, summarized."""
+    res = fixtures.measurement_results(spark, sf_dir).select(
+        "image", F.lit("(0, 0)").alias("px1"), F.lit("(0, 0)").alias("px2"), "measured_mm")
+    tr = fixtures.measurement_truth(spark, sf_dir)
+    p1, p2 = scratch_path(spark, "results"), scratch_path(spark, "truth")
+    res.write.option("header", True).csv(p1)
+    tr.select("object", "true_mm").write.option("header", True).csv(p2)
+    truth = sio.read_truth(spark, p2).join(tr.select("object", "truth_pos"), "object")
+    errs = measure.measurement_errors(sio.read_measurements(spark, p1), truth)
+    return measure.error_summary(errs)
+
+
+@register("A6_file_manifest", """
+SELECT 'lang=' || lang AS label, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY lang
+""")
+def q_a6(spark, sf_dir):
+    """Document texts written as files per language; the manifest hashes and
+    measures every file; bytes summed per label."""
+    d = fixtures.table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "files")
+    d.select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(path)
+    m = sio.file_manifest(spark, path, extensions=(".txt",))
+    return m.groupBy("label").agg(F.sum("bytes").cast("bigint").alias("bytes"))
+
+
+@register("A7_read_train_log", """
+SELECT user_id AS run, count(*) AS steps, max(event_id) AS last_step, arg_max(value / 100, event_id) AS last_loss,
+       avg(value / 100) AS mean_loss, min(value / 100) AS min_loss
+FROM events GROUP BY user_id
+""")
+def q_a7(spark, sf_dir):
+    """One trainer-state JSON per user written, read (log_history exploded),
+    summarized per run."""
+    ev = fixtures.table(spark, sf_dir, "events")
+    hist = ev.groupBy("user_id").agg(F.max("event_id").alias("global_step"), F.transform(F.array_sort(
+        F.collect_list(F.struct(F.col("event_id").alias("step"), (F.col("value") / 100).alias("loss")))),
+        lambda e: F.struct(F.lit(1.0).alias("epoch"), F.lit(None).cast("double").alias("grad_norm"),
+                           F.lit(0.0002).alias("learning_rate"), e["loss"].alias("loss"),
+                           e["step"].alias("step"))).alias("log_history"))
+    path = scratch_path(spark, "trainlog")
+    hist.select(F.col("user_id").alias("run"), F.to_json(F.struct("global_step", "log_history")).alias("value")) \
+        .write.partitionBy("run").text(path)
+    log = sio.read_train_log(spark, path).withColumn(
+        "run", F.regexp_extract("run", r"run=([0-9]+)", 1).cast("bigint"))
+    return evaluate.train_curve(log)
+
+
+@register("A9_upsert_state", f"""
+WITH {_SNAPSHOT},
+  st AS (SELECT * FROM snap WHERE CAST(substring(case_id, 6) AS BIGINT) % 3 <> 0),
+  up AS (SELECT case_id,
+                CASE WHEN CAST(substring(case_id, 6) AS BIGINT) % 5 = 0 THEN sha256('other') ELSE case_fingerprint END
+                  AS case_fingerprint, 'approved' AS state FROM snap WHERE CAST(substring(case_id, 6) AS BIGINT) % 2 = 0),
+  j AS (SELECT coalesce(st.case_id, up.case_id) AS case_id, st.case_fingerprint AS ofp, st.state AS ost,
+               up.case_fingerprint AS nfp, up.state AS nst FROM st FULL OUTER JOIN up ON st.case_id = up.case_id)
+SELECT case_id,
+       CASE WHEN nfp IS NOT NULL AND NOT coalesce(ofp <> nfp, false) THEN nfp ELSE ofp END AS case_fingerprint,
+       CASE WHEN nfp IS NOT NULL AND NOT coalesce(ofp <> nfp, false) THEN nst ELSE ost END AS state,
+       coalesce(ofp <> nfp, false) AS refused
+FROM j
+""")
+def q_a9(spark, sf_dir):
+    snap = fixtures.state_snapshot(spark, sf_dir)
+    uid = F.substring("case_id", 6, 100).cast("bigint")
+    st = snap.where(uid % 3 != 0)
+    up = snap.where(uid % 2 == 0).withColumn(
+        "case_fingerprint", F.when(uid % 5 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("case_fingerprint"))
+    ).withColumn("state", F.lit("approved"))
+    new_state, refused = sstate.upsert_state(st, up)
+    flag = refused.select("case_id", F.lit(True).alias("refused"))
+    return new_state.join(flag, "case_id", "left").select(
+        "case_id", "case_fingerprint", "state", F.coalesce("refused", F.lit(False)).alias("refused"))
+
+
+@register("A10_export_approved", f"""
+WITH {_SNAPSHOT},
+  ap AS (SELECT case_id, case_fingerprint || ':' || assessment_fp AS k, substring(sha256(case_id), 1, 20) AS slug,
+                CAST(substring(case_id, 6) AS BIGINT) AS uid FROM snap WHERE state IN ('approved', 'published')),
+  ex AS (SELECT slug, CASE WHEN uid % 6 = 0 THEN 'other-key' ELSE k END AS ek FROM ap WHERE uid % 4 = 0 OR uid % 6 = 0)
+SELECT ap.case_id, ap.slug, ap.k AS idempotency_key,
+       CASE WHEN ex.ek IS NULL THEN 'export' WHEN ex.ek = ap.k THEN 'existing' ELSE 'conflict' END AS status,
+       CASE WHEN ex.ek IS NULL OR ex.ek = ap.k THEN 'file:handoff/approved-' || ap.slug || '.json' END AS receipt
+FROM ap LEFT JOIN ex USING (slug)
+""")
+def q_a10(spark, sf_dir):
+    snap = fixtures.state_snapshot(spark, sf_dir).where(F.col("state").isin("approved", "published"))
+    uid = F.substring("case_id", 6, 100).cast("bigint")
+    ap = snap.select("case_id", hashing.idempotency_key("case_fingerprint", "assessment_fp").alias("idempotency_key"),
+                     uid.alias("uid"))
+    ex = ap.where((F.col("uid") % 4 == 0) | (F.col("uid") % 6 == 0)).select(
+        F.substring(F.sha2("case_id", 256), 1, 20).alias("slug"),
+        F.when(F.col("uid") % 6 == 0, F.lit("other-key")).otherwise(F.col("idempotency_key")).alias("idempotency_key"))
+    return sstate.export_approved(ap.select("case_id", "idempotency_key"), ex)

@@ -38,13 +38,24 @@ def digest(cols, rows):
     return hashlib.sha256("\n".join(lines).encode()).hexdigest(), lines
 
 
-def duck(sf_dir, sql):
+SPARK_TO_DUCK = {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+                 "BooleanType": "BOOLEAN", "FloatType": "FLOAT", "ShortType": "SMALLINT", "DateType": "DATE",
+                 "TimestampType": "TIMESTAMP WITH TIME ZONE", "TimestampNTZType": "TIMESTAMP"}
+
+
+def spark_types(df):
+    return {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__, str(f.dataType)) for f in df.schema.fields}
+
+
+def duck(sf_dir, sql, with_types=False):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
-    rel = con.execute(sql)
-    cols = [d[0] for d in rel.description]
-    return cols, rel.fetchall()
+    rel = con.sql(sql)
+    cols = rel.columns
+    types = {c: str(t) for c, t in zip(cols, rel.types)}
+    rows = rel.fetchall()
+    return (cols, rows, types) if with_types else (cols, rows)
 
 
 def compare(spark, name, fn, sql, sf_dir, show=3):
@@ -57,12 +68,18 @@ def compare(spark, name, fn, sql, sf_dir, show=3):
     if sql is None:
         res["status"] = "rows-only"
         return res
-    dcols, drows = duck(sf_dir, sql)
+    dcols, drows, dtypes = duck(sf_dir, sql, with_types=True)
     h1, l1 = digest(cols, rows)
     h2, l2 = digest(dcols, drows)
+    stypes = spark_types(df)
+    type_diff = {c: (stypes.get(c), dtypes.get(c)) for c in cols if stypes.get(c) != dtypes.get(c)}
     res.update(duck_rows=len(drows), cols_match=sorted(cols) == sorted(dcols),
-               hash_match=h1 == h2)
+               hash_match=h1 == h2, types_match=not type_diff)
+    if type_diff:
+        res["type_diff"] = type_diff
     res["status"] = "ok" if (res["cols_match"] and h1 == h2) else "MISMATCH"
+    if res["status"] == "ok" and type_diff:
+        res["status"] = "TYPES"
     if res["status"] != "ok":
         res["spark_cols"], res["duck_cols"] = sorted(cols), sorted(dcols)
         s1, s2 = set(l1), set(l2)
@@ -87,6 +104,6 @@ if __name__ == "__main__":
             r = compare(spark, name, fn, sqls.get(name), sf)
         except Exception as exc:  # report and continue
             r = {"name": name, "status": "ERROR", "error": str(exc)[:800]}
-        bad += r["status"] in ("MISMATCH", "ERROR")
+        bad += r["status"] in ("MISMATCH", "ERROR", "TYPES")
         print(json.dumps(r, default=str), flush=True)
     print("bad", bad)
