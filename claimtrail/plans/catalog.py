@@ -1640,3 +1640,138 @@ def q_a10(spark, sf_dir):
         F.substring(F.sha2("case_id", 256), 1, 20).alias("slug"),
         F.when(F.col("uid") % 6 == 0, F.lit("other-key")).otherwise(F.col("idempotency_key")).alias("idempotency_key"))
     return sstate.export_approved(ap.select("case_id", "idempotency_key"), ex)
+
+
+# ============================================================ K: streaming
+from ..streaming import streams  # noqa: E402
+
+_EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+                  "props string")
+
+
+def _replayed_events(spark, sf_dir, name):
+    inp, out, ckpt = streams.new_run_paths(spark, name)
+    streams.write_replay(fixtures.table(spark, sf_dir, "events"), "ts", inp, n_files=4)
+    from pyspark.sql.types import _parse_datatype_string
+    return streams.stream_files(spark, inp, _parse_datatype_string(_EVENTS_SCHEMA)), out, ckpt
+
+
+_K1_SQL = """
+WITH e AS (SELECT epoch_us(ts) AS t, event_type FROM events),
+  wm AS (SELECT max(t) - 3600000000 AS wm FROM e),
+  w AS (SELECT (t // 86400000000) * 86400000000 AS ws, event_type, count(*) AS n FROM e GROUP BY ALL)
+SELECT ws AS window_start, ws + 86400000000 AS window_end, event_type, n FROM w, wm WHERE ws + 86400000000 <= wm.wm
+"""
+
+
+@register("K1_stream_counters", _K1_SQL)
+def q_k1(spark, sf_dir):
+    """Events replayed as 4 time-ordered files; daily counts per event type,
+    emitted as windows close."""
+    stream, out, ckpt = _replayed_events(spark, sf_dir, "k1")
+    streams.run_to_folder(streams.stream_counters(stream, "ts", ["event_type"], "1 day", delay="1 hour"), out, ckpt)
+    return streams.read_folder(spark, out, "window_start long, window_end long, event_type string, n long")
+
+
+_K6_SQL = """
+WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events),
+  wm AS (SELECT max(t) - 3600000000 AS wm FROM e),
+  g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 21600000000 THEN 0 ELSE 1 END AS brk
+        FROM e),
+  s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+  ss AS (SELECT user_id, min(t) AS session_start, max(t) + 21600000000 AS session_end, count(*) AS n
+         FROM s GROUP BY user_id, sid)
+SELECT user_id, session_start, session_end, n FROM ss, wm WHERE session_end <= wm.wm
+"""
+
+
+@register("K6_case_sessions", _K6_SQL)
+def q_k6(spark, sf_dir):
+    """Activity sessions per user (6 hour gap), emitted once closed."""
+    stream, out, ckpt = _replayed_events(spark, sf_dir, "k6")
+    streams.run_to_folder(streams.case_sessions(stream, "ts", "user_id", "6 hours", "1 hour"), out, ckpt)
+    return streams.read_folder(spark, out, "user_id long, session_start long, session_end long, n long")
+
+
+@register("K2_stream_dedupe", """
+SELECT DISTINCT user_id, event_type FROM events
+""")
+def q_k2(spark, sf_dir):
+    """One row per (user, event type) over the whole replay (delay covers
+    the table's time span)."""
+    stream, out, ckpt = _replayed_events(spark, sf_dir, "k2")
+    streams.run_to_folder(streams.stream_dedupe(stream, "ts", ["user_id", "event_type"], "60 days"), out, ckpt)
+    return streams.read_folder(spark, out).select("user_id", "event_type")
+
+
+@register("K3_stream_states", f"""
+WITH RECURSIVE {_FOLD_SQL}
+SELECT case_id, arg_max(state, seq) AS state, CAST(sum(CASE WHEN accepted THEN 1 ELSE 0 END) AS BIGINT) AS accepted,
+       CAST(sum(CASE WHEN accepted THEN 0 ELSE 1 END) AS BIGINT) AS rejected
+FROM folded GROUP BY case_id
+""")
+def q_k3(spark, sf_dir):
+    """The workflow state machine per user over the replayed stream; the
+    final states equal the batch fold (G4)."""
+    stream, out, ckpt = _replayed_events(spark, sf_dir, "k3")
+    tr = stream.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"),
+                       F.col("event_id").alias("seq"), fixtures._event_state().alias("to_state"), "ts")
+    streams.run_to_folder(streams.stream_states(tr), out, ckpt, mode="update")
+    return streams.latest_states(streams.read_folder(spark, out))
+
+
+@register("K4_stream_publish", f"""
+WITH {_SNAPSHOT}
+SELECT DISTINCT s.case_id, s.case_fingerprint || ':' || s.assessment_fp AS idempotency_key
+FROM snap s JOIN events e ON s.case_id = 'user-' || CAST(e.user_id AS VARCHAR)
+WHERE s.state = 'approved' AND e.event_type IN ('purchase', 'click')
+""")
+def q_k4(spark, sf_dir):
+    """Publish requests (purchase and click events) streamed against the
+    state snapshot; each approved case's key is exported exactly once."""
+    stream, out, ckpt = _replayed_events(spark, sf_dir, "k4")
+    rq = stream.where(F.col("event_type").isin("purchase", "click")).select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"), F.col("event_id").alias("seq"))
+    streams.stream_publish(rq, fixtures.state_snapshot(spark, sf_dir), out, ckpt)
+    return streams.read_folder(spark, out, "case_id string, idempotency_key string").select(
+        "case_id", "idempotency_key")
+
+
+@register("K5_stream_validate", f"""
+WITH {_CITES}, {O.CONV_SOURCES}
+SELECT cit.case_id, cit.cpos, cit.source_id,
+       CASE WHEN src.text IS NULL THEN 'unknown_source'
+            WHEN {O.blank('cit.quote')} OR NOT contains(src.text, cit.quote) THEN 'unresolved' ELSE 'ok' END AS status
+FROM cit LEFT JOIN src ON src.case_id = cit.case_id AND src.source_id = cit.source_id
+""")
+def q_k5(spark, sf_dir):
+    """Citations streamed from replayed conversation files, grounded against
+    the static conversation sources (stream-static join)."""
+    inp, out, ckpt = streams.new_run_paths(spark, "k5")
+    c = fixtures.table(spark, sf_dir, "conversations")
+    cites = c.select(
+        F.col("conv_id").cast("string").alias("case_id"), F.col("turn").alias("cpos"),
+        F.when(F.col("turn") % 3 == 0, F.col("turn").cast("string")).when(F.col("turn") % 3 == 1, F.lit("99"))
+        .otherwise((F.col("turn") - 1).cast("string")).alias("source_id"),
+        F.substring("text", 3, 25).alias("quote"))
+    cites.repartition(4).write.parquet(inp)
+    stream = streams.stream_files(spark, inp, cites.schema)
+    _, sources = fixtures.conversation_cases(spark, sf_dir)
+    streams.run_to_folder(streams.stream_validate(stream, sources), out, ckpt)
+    return streams.read_folder(spark, out).select("case_id", "cpos", "source_id", "status")
+
+
+@register("K7_stream_chain", f"""
+WITH RECURSIVE {O.AUDIT}
+SELECT chain, seq, prev AS previous_hash, h AS event_hash FROM chainh
+""")
+def q_k7(spark, sf_dir):
+    """Audit rows streamed in event-time order and hash-chained per user
+    across micro-batches; equals the batch chain (B3)."""
+    inp, out, ckpt = streams.new_run_paths(spark, "k7")
+    audit = fixtures.audit_events(spark, sf_dir).join(
+        fixtures.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "ts"), "seq")
+    streams.write_replay(audit, "ts", inp, n_files=4)
+    stream = streams.stream_files(spark, inp, audit.schema)
+    streams.run_to_folder(streams.stream_chain(stream), out, ckpt)
+    return streams.read_folder(spark, out).select("chain", "seq", "previous_hash", "event_hash")
