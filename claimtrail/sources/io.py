@@ -128,10 +128,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return rank_within(r, ["file"], "_rk", "line_no", None).drop("_blk", "_mid", "_rk")
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
+def read_audit(spark: SparkSession, path: str, chain_type: str = "bigint") -> DataFrame:
     """A4: our audit JSONL (rows carry chain and seq); a malformed line
     yields a row of nulls, which chain verification counts as invalid."""
-    return spark.read.schema(AUDIT).option("mode", "PERMISSIVE").json(path)
+    schema = T.StructType([T.StructField("chain", T._parse_datatype_string(chain_type))] + AUDIT.fields[1:])
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
 # ---------------------------------------------------------------- A5
