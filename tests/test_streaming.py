@@ -67,4 +67,4 @@ def test_stream_states_match_batch_fold(spark, tmp_path):
         F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[F.col("event_type")].alias("to_state"))
     want = {r.case_id: (r.state, r.accepted, r.rejected)
             for r in workflow.final_states(workflow.fold_states(batch)).collect()}
-    assert got == want and got["user-0"][0] == "published" and got["user-1"][0] == "received"
+    assert got == want and got["user-0"][0] == "published" and got["user-1"][0] == "failed"
