@@ -51,10 +51,20 @@ def parse_condition(results: DataFrame, image: str = "image") -> DataFrame:
 
 def match_objects(results: DataFrame, truth: DataFrame, image: str = "image") -> DataFrame:
     """The first truth object (in truth order) whose key occurs in the image
-    name, as an exact equi-join: every substring of the name whose length is
-    a truth-key length is a candidate key (names are short file names, so
-    the candidates per row are bounded by name length × key lengths), then
-    the smallest truth position wins.  No nested-loop join."""
+    name.
+
+    A truth table within the broadcast limits (checked: key count and total
+    length) is matched by one Aho-Corasick scan per name inside the tasks
+    (``functions.substring``), the smallest truth position chosen in the
+    scan.  Beyond the limits: an exact equi-join — every substring of the
+    name whose length is a truth-key length is a candidate key (names are
+    short file names, so candidates per row are bounded by name length × key
+    lengths), the smallest truth position wins.  No nested-loop join."""
+    from ..functions.substring import find_patterns, fits_broadcast
+    if fits_broadcast(truth, "object"):
+        found = find_patterns(results, image, results.columns, truth, "object",
+                              ["truth_pos", "object", "true_mm"], mode="min", keep_unmatched=True)
+        return found.drop("truth_pos")
     lens = [r[0] for r in truth.select(F.length("object").alias("l")).distinct().collect()]
     if not lens:
         return results.withColumn("object", F.lit(None).cast("string")).withColumn("true_mm", F.lit(None).cast("double"))

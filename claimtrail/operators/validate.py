@@ -249,7 +249,10 @@ def passage_overlap(passages: DataFrame, texts: DataFrame, q: int = 16, s: int =
     """All (passage_id, text_id) where the passage occurs verbatim in the
     text.  ``passages(passage_id, passage)``, ``texts(text_id, text)``.
 
-    Long passages (length >= q + s - 1) use an exact sampled q-gram equi-join:
+    A passage table within the broadcast limits (checked: count and total
+    length) is found by one Aho-Corasick scan of every whole text inside the
+    tasks.  Beyond them, long passages (length >= q + s - 1) use an exact
+    sampled q-gram equi-join:
     the text side emits the q-gram at every position divisible by ``s``, the
     passage side emits its q-grams at offsets 0..s-1; any occurrence meets one
     of them, and ``instr`` verifies the candidate pair.  Short passages are
@@ -257,6 +260,11 @@ def passage_overlap(passages: DataFrame, texts: DataFrame, q: int = 16, s: int =
     ``broadcast_limit`` (checked), otherwise by an exact join on the
     ``qmin``-gram at every text position.
     """
+    from ..functions.substring import find_patterns, fits_broadcast
+    nonempty = passages.where(F.length("passage") > 0)
+    if fits_broadcast(nonempty, "passage", max_patterns=broadcast_limit):
+        return find_patterns(texts, "text", ["text_id"], nonempty, "passage", ["passage_id"]).select(
+            "passage_id", "text_id")
     min_long = q + s - 1
     p = passages.select("passage_id", "passage", F.length("passage").alias("_plen"))
     t = texts.select("text_id", "text")
