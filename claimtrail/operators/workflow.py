@@ -275,19 +275,25 @@ def analyze(headers: DataFrame, sources: DataFrame, *,
     else:
         cases = headers.withColumn("admission", F.lit("new")).withColumn(
             "_st_state", F.lit(None).cast("string"))
-    proceed = cases.where(F.col("admission").isin("new", "retried"))
-    input_check = validate.validate_cases(proceed.select("case_id", "title"), sources, max_chars)
-    valid = input_check.where(F.col("reason").isNull()).select("case_id")
-    valid_sources = sources.join(valid, "case_id", "left_semi")
-    assessed = classifier(proceed.select("case_id", "title").join(valid, "case_id", "left_semi"), valid_sources)
-    checks = validate.validate_assessments(assessed, valid_sources).withColumnRenamed("reason", "_r1")
+    proceed = cases.where(F.col("admission").isin("new", "retried")).select("case_id", "title")
+    # one aggregate for the input rules; the classifier and the grounding
+    # join run over all cases and their results are masked for rejected
+    # inputs below, so no stage reads the rule results back through
+    # semi-joins (each of which would recompute them)
+    input_check = validate.validate_cases(proceed, sources, max_chars)
+    assessed = classifier(proceed, sources)
+    checks = validate.validate_assessments(assessed, sources).withColumnRenamed("reason", "_r1")
     a = assessed.join(checks, "case_id", "left")
     extra = [v(a) for v in validators]
     reason = F.coalesce(F.col("_r1"), *extra) if extra else F.col("_r1")
-    a = a.withColumn("reason", reason).drop("_r1")
+    a = a.withColumn("_reason", reason).drop("_r1")
     out = (cases.select("case_id", "admission", "_st_state")
            .join(input_check.withColumnRenamed("reason", "input_reason"), "case_id", "left")
            .join(a, "case_id", "left"))
+    ran = F.col("admission").isin("new", "retried") & F.col("input_reason").isNull()
+    masked = [F.when(ran, F.col(c)).alias(c) for c in a.columns if c not in ("case_id", "_reason")]
+    out = out.select("case_id", "admission", "_st_state", "input_reason", *masked,
+                     F.when(ran, F.col("_reason")).alias("reason"))
     state_col = (
         F.when(F.col("admission").isin("deduplicated", "conflict"), F.col("_st_state"))
         .when(F.col("input_reason").isNotNull(), F.lit(None).cast("string"))

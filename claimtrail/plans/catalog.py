@@ -269,7 +269,7 @@ WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL}
 SELECT engagement_id, repository_id, source_id, text, sel_pos FROM summ WHERE source_id IS NOT NULL
 """)
 def q_d8(spark, sf_dir):
-    obs = fixtures.observations(spark, sf_dir)
+    obs = fixtures.observations(spark, sf_dir, materialize=True)
     sel = evidence.select_evidence(obs)
     return evidence.selection_summary(fixtures.reports(spark, sf_dir), obs, sel)
 
@@ -295,7 +295,7 @@ FROM hdr JOIN src USING (engagement_id, repository_id)
 GROUP BY hdr.case_id, hdr.title
 """)
 def q_d9(spark, sf_dir):
-    headers, sources = evidence.build_cases(fixtures.reports(spark, sf_dir), fixtures.observations(spark, sf_dir))
+    headers, sources = evidence.build_cases(fixtures.reports(spark, sf_dir), fixtures.observations(spark, sf_dir, materialize=True))
     agg = sources.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n_sources"), F.sum(F.length("text")).cast("bigint").alias("total_chars"),
         F.max_by("source_id", "pos").alias("last_source_id"))
@@ -1310,7 +1310,7 @@ def q_f2(spark, sf_dir):
 
 
 def _triage_by_repo(spark, sf_dir):
-    obs = fixtures.observations(spark, sf_dir)
+    obs = fixtures.observations(spark, sf_dir, materialize=True)
     sel = evidence.select_evidence(obs)
     summ = evidence.selection_summary(fixtures.reports(spark, sf_dir), obs, sel)
     src = sel.select(F.col("repository_id").alias("case_id"), F.col("sel_pos").alias("pos"),
@@ -1370,7 +1370,7 @@ def q_j2(spark, sf_dir):
 @register("J3_evidence_pack")
 def q_j3(spark, sf_dir):
     reports = fixtures.reports(spark, sf_dir)
-    headers, sources = evidence.build_cases(reports, fixtures.observations(spark, sf_dir))
+    headers, sources = evidence.build_cases(reports, fixtures.observations(spark, sf_dir, materialize=True))
     assessed = triage.triage(headers.select("case_id"), sources)
     return report.evidence_pack(headers.select("case_id", "title"), sources, assessed)
 

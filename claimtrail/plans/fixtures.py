@@ -72,13 +72,15 @@ def _flag_severity() -> "F.Column":
     return expr
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
     """One observation per line item; report = supplier (repository);
-    ``pos`` is the report order (order, line, part)."""
+    ``pos`` is the report order (order, line, part).  ``materialize`` writes
+    the table once as a reliable checkpoint for plans that read it several
+    times (selection, summary, fingerprint, metrics)."""
     from pyspark.sql import Window
     li = table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    return li.select(
+    obs = li.select(
         F.lit("eng-1").alias("engagement_id"),
         F.concat(F.lit("repo-"), F.col("l_suppkey").cast("string")).alias("repository_id"),
         (F.row_number().over(w) - 1).cast("bigint").alias("pos"),
@@ -91,6 +93,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("quantity "), F.col("l_quantity").cast("bigint").cast("string"),
                  F.lit(" \"units\"")).alias("message"),
     )
+    if materialize:
+        from ..session import checkpoint_root
+        checkpoint_root(spark)
+        obs = obs.checkpoint(eager=True)
+    return obs
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
