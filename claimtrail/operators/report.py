@@ -154,30 +154,29 @@ def latency(durations: DataFrame, name: str = "name", value: str = "duration_ms"
 def workflow_sli(audit: DataFrame, case: str = "case_id", event: str = "event", ts: str = "ts") -> DataFrame:
     """Completion, failure, retry, input rejection, publish dedupe rates
     and the mean approval wait (seconds from the first completion to the
-    first approval of a case)."""
+    first approval of a case).  One per-case partial aggregate, then one
+    global aggregate over the cases — no join."""
     def n(e):
-        return F.sum((F.col(event) == e).cast("long"))
+        return F.sum((F.col(event) == e).cast("long")).alias(e)
+    names = (EV_RECEIVED, EV_COMPLETED, EV_FAILED, EV_RETRY, EV_INPUT_REJECTED, EV_PUBLISHED, EV_PUBLISH_DEDUP)
     per_case = audit.groupBy(case).agg(
+        *[n(e) for e in names],
         F.min(F.when(F.col(event) == EV_COMPLETED, F.col(ts))).alias("_c"),
         F.min(F.when(F.col(event) == EV_APPROVED, F.col(ts))).alias("_a"))
-    wait = per_case.where(F.col("_a") >= F.col("_c")).agg(
-        F.avg(F.unix_micros(F.col("_a").cast("timestamp")) - F.unix_micros(F.col("_c").cast("timestamp")))
-        .alias("_w"))
-    rates = audit.agg(
-        n(EV_RECEIVED).alias("received"), n(EV_COMPLETED).alias("completed"), n(EV_FAILED).alias("failed"),
-        n(EV_RETRY).alias("retries"), n(EV_INPUT_REJECTED).alias("rejected"),
-        n(EV_PUBLISHED).alias("published"), n(EV_PUBLISH_DEDUP).alias("dedup"))
+    waited = F.col("_a") >= F.col("_c")
+    wait_us = F.unix_micros(F.col("_a").cast("timestamp")) - F.unix_micros(F.col("_c").cast("timestamp"))
+    tot = per_case.agg(*[F.sum(e).alias(e) for e in names], F.avg(F.when(waited, wait_us)).alias("_w"))
 
     def rate(a, b):
         return F.when(F.col(b) > 0, F.col(a) / F.col(b))
-    return rates.crossJoin(wait).select(
-        "received", rate("completed", "received").alias("completion_rate"),
-        rate("failed", "received").alias("failure_rate"),
-        rate("retries", "received").alias("retry_rate"),
-        F.when(F.col("received") + F.col("rejected") > 0,
-               F.col("rejected") / (F.col("received") + F.col("rejected"))).alias("rejection_rate"),
-        F.when(F.col("published") + F.col("dedup") > 0,
-               F.col("dedup") / (F.col("published") + F.col("dedup"))).alias("publish_dedupe_rate"),
+    return tot.select(
+        F.col(EV_RECEIVED).alias("received"), rate(EV_COMPLETED, EV_RECEIVED).alias("completion_rate"),
+        rate(EV_FAILED, EV_RECEIVED).alias("failure_rate"),
+        rate(EV_RETRY, EV_RECEIVED).alias("retry_rate"),
+        F.when(F.col(EV_RECEIVED) + F.col(EV_INPUT_REJECTED) > 0,
+               F.col(EV_INPUT_REJECTED) / (F.col(EV_RECEIVED) + F.col(EV_INPUT_REJECTED))).alias("rejection_rate"),
+        F.when(F.col(EV_PUBLISHED) + F.col(EV_PUBLISH_DEDUP) > 0,
+               F.col(EV_PUBLISH_DEDUP) / (F.col(EV_PUBLISHED) + F.col(EV_PUBLISH_DEDUP))).alias("publish_dedupe_rate"),
         (F.col("_w") / 1e6).alias("mean_approval_wait_s"))
 
 

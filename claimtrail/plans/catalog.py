@@ -304,7 +304,7 @@ def q_d9(spark, sf_dir):
 
 # Rule table for scanning document texts.
 TEXT_RULES = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "medium", "e-mail address in text"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "medium", "e-mail address in text", "@"),
     ("license", r"(?i)licen[sc]ed under [^.\n]*", "info", "license statement"),
     ("ipv4", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "low", "IPv4 address"),
     ("card", r"[0-9]{16}", "high", "card-like number"),
@@ -314,7 +314,7 @@ TEXT_RULES = (
 
 def _rule_scan_sql() -> str:
     parts = []
-    for rid, pat, sev, _ in TEXT_RULES:
+    for rid, pat, sev, *_ in TEXT_RULES:
         parts.append(f"SELECT doc_id, '{rid}' AS rule_id, '{sev}' AS sev, "
                      f"regexp_extract_all(text, '{pat}') AS m FROM documents")
     return f"""
