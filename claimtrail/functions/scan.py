@@ -31,14 +31,6 @@ from pyspark.sql import types as T
 from ..session import checkpoint_root
 
 
-def _compose_segment(targets: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    n_states = allowed.shape[0]
-    cur = np.arange(n_states)
-    for t in targets:
-        cur = np.where(allowed[cur, t], t, cur)
-    return cur
-
-
 def fsm_fold(events: DataFrame, key: str, order: str, target: str,
              allowed: Sequence[Sequence[bool]], num_partitions: int | None = None) -> DataFrame:
     """Replay ``events`` (key, order, target state id ≥ 1) through the

@@ -52,10 +52,6 @@ def accuracy(preds: DataFrame) -> DataFrame:
     )
 
 
-def _labels_df(preds: DataFrame, labels: Sequence[str]) -> DataFrame:
-    return preds.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in labels])).alias("c"))
-
-
 def confusion(preds: DataFrame, labels: Sequence[str]) -> DataFrame:
     """H3: dense (label, pred, n) over the fixed label list, zeros kept; a
     pair outside the list is counted under pred ``"(other)"`` instead of

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import collapse_ws, is_blank
+from ..functions.text import collapse_ws, is_blank, py_strip
 
 MAX_SOURCE_CHARS = 100_000
 RISKS = ("low", "medium", "high", "critical")
@@ -223,7 +223,7 @@ def prohibited_claims_reason(labels="labels", summary="summary",
                              banned_phrases: Sequence[str] = PROHIBITED_PHRASES) -> Column:
     lab = F.col(labels) if isinstance(labels, str) else labels
     summ = F.col(summary) if isinstance(summary, str) else summary
-    norm = F.transform(F.coalesce(lab, F.array().cast("array<string>")), lambda x: F.lower(collapse_strip(x)))
+    norm = F.transform(F.coalesce(lab, F.array().cast("array<string>")), lambda x: F.lower(py_strip(x)))
     banned = F.array(*[F.lit(w) for w in banned_labels])
     text = F.lower(collapse_ws(summ))
     phrase_hit = F.exists(F.array(*[F.lit(p) for p in banned_phrases]), lambda p: text.contains(p))
@@ -233,11 +233,6 @@ def prohibited_claims_reason(labels="labels", summary="summary",
     )
 
 
-def collapse_strip(x: Column) -> Column:
-    from ..functions.text import py_strip
-    return py_strip(x)
-
-
 def prohibited_claims(assessments: DataFrame, **kw) -> DataFrame:
     """(case_id, reason)."""
     return assessments.select("case_id", prohibited_claims_reason(**kw).alias("reason"))

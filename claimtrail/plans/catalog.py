@@ -1775,3 +1775,22 @@ def q_k7(spark, sf_dir):
     stream = streams.stream_files(spark, inp, audit.schema)
     streams.run_to_folder(streams.stream_chain(stream), out, ckpt)
     return streams.read_folder(spark, out).select("chain", "seq", "previous_hash", "event_hash")
+
+
+@register("A8_write_report", f"""
+WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL}, {_TRIAGE_SQL}, {_EXEC_SQL},
+  tob AS (SELECT engagement_id, repository_id, count(*) AS observations FROM obs GROUP BY ALL),
+  iso AS (SELECT engagement_id, repository_id, bool_and(iso) AS iso FROM ex GROUP BY ALL)
+SELECT tob.repository_id, tob.observations, tri.risk, coalesce(iso.iso, true) AS all_isolated
+FROM tob LEFT JOIN tri ON tri.case_id = tob.repository_id LEFT JOIN iso USING (engagement_id, repository_id)
+""")
+def q_a8(spark, sf_dir):
+    """Per-repository metrics written as one JSON artifact per repository
+    (partitioned text), read back with a schema."""
+    m = _metrics(spark, sf_dir)
+    path = scratch_path(spark, "reports")
+    sio.write_report(m.select("repository_id", F.to_json(F.struct("observations", "risk", "all_isolated")).alias("text")),
+                     path)
+    back = spark.read.schema("observations long, risk string, all_isolated boolean").json(path)
+    return back.select(F.col("repository_id").cast("string").alias("repository_id"), "observations", "risk",
+                       "all_isolated")
