@@ -105,20 +105,20 @@ def triage(headers: DataFrame, sources: DataFrame) -> DataFrame:
         F.max(F.when(F.col("_review"), F.col("_ord"))).alias("_ord_review"),
         F.max("_ord").alias("_ord_all"),
     )
-    w_all = Window.partitionBy("case_id").orderBy("pos")
-    w_rev = Window.partitionBy("case_id", "_review").orderBy("pos")
-    top_all = s.withColumn("_rn", F.row_number().over(w_all)).where(F.col("_rn") <= TRIAGE_CITATIONS)
-    top_rev = (s.withColumn("_rn", F.row_number().over(w_rev))
-               .where(F.col("_review") & (F.col("_rn") <= TRIAGE_CITATIONS)))
-
-    def cites(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("case_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "source_id", "text"))),
-                        lambda e: F.struct(e["source_id"].alias("source_id"), e["text"].alias("quote"))).alias(name))
-
-    j = (headers.select("case_id").join(per_case, "case_id", "inner")
-         .join(cites(top_all, "_c_all"), "case_id", "left")
-         .join(cites(top_rev, "_c_rev"), "case_id", "left"))
+    # the first 10 sources of a case lie within the first 10 of its review
+    # rows plus the first 10 of its other rows: one (case, review) window
+    # whose row_number() <= 10 limit runs before the shuffle leaves at most
+    # 20 rows per case, gathered into one small list
+    w = Window.partitionBy("case_id", "_review").orderBy("pos")
+    top = s.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= TRIAGE_CITATIONS)
+    lists = top.groupBy("case_id").agg(F.array_sort(F.collect_list(
+        F.struct("pos", "source_id", "text", "_review"))).alias("_top"))
+
+    def cite(arr):
+        return F.transform(F.slice(arr, 1, TRIAGE_CITATIONS),
+                           lambda e: F.struct(e["source_id"].alias("source_id"), e["text"].alias("quote")))
+
+    j = headers.select("case_id").join(per_case, "case_id", "inner").join(lists, "case_id", "left")
     has_review = F.col("n_review") > 0
     ordv = F.when(has_review, F.col("_ord_review")).otherwise(F.col("_ord_all"))
     return j.select(
@@ -128,7 +128,7 @@ def triage(headers: DataFrame, sources: DataFrame) -> DataFrame:
                  F.lit(" observation(s) requiring human review.")).alias("summary"),
         F.array(F.lit("deterministic-baseline"),
                 F.when(has_review, F.lit("human-review-required")).otherwise(F.lit("no-review-observations"))).alias("labels"),
-        F.when(has_review, F.col("_c_rev")).otherwise(F.col("_c_all")).alias("citations"),
+        F.when(has_review, cite(F.filter("_top", lambda e: e["_review"]))).otherwise(cite(F.col("_top"))).alias("citations"),
         F.lit(1.0).alias("confidence"),
         F.col("n_review").cast("bigint").alias("n_review"),
     )

@@ -776,19 +776,20 @@ def _f3_sql(off: int) -> str:
 
 @register("F3_constrained_classify", f"""
 WITH {_f3_sql(0)}
-SELECT key, label, pred, confidence, correct, free_top_is_letter FROM preds
+SELECT key, label, pred, round(confidence, 6) AS confidence, correct, free_top_is_letter FROM preds
 """)
 def q_f3(spark, sf_dir):
-    return fixtures.predictions(spark, sf_dir)
+    return fixtures.predictions(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
 
 
 @register("H2_accuracy", f"""
 WITH {_f3_sql(0)}
-SELECT count(*) AS n, avg(CAST(correct AS DOUBLE)) AS accuracy, avg(confidence) AS mean_confidence,
+SELECT count(*) AS n, avg(CAST(correct AS DOUBLE)) AS accuracy, round(avg(confidence), 6) AS mean_confidence,
        avg(CAST(free_top_is_letter AS DOUBLE)) AS letter_rate FROM preds
 """)
 def q_h2(spark, sf_dir):
-    return evaluate.accuracy(fixtures.predictions(spark, sf_dir))
+    return evaluate.accuracy(fixtures.predictions(spark, sf_dir)).withColumn(
+        "mean_confidence", F.round("mean_confidence", 6))
 
 
 _LABELS_SQL = "(SELECT unnest(['c0','c1','c2','c3','c4','c5','c6','c7','c8','c9']) AS c)"
@@ -826,10 +827,11 @@ def q_h4(spark, sf_dir):
 
 @register("H5_macro_f1", f"""
 WITH {_f3_sql(0)}, {_PER_CLASS_SQL}
-SELECT avg(f1) AS macro_f1 FROM f
+SELECT round(avg(f1), 6) AS macro_f1 FROM f
 """)
 def q_h5(spark, sf_dir):
-    return evaluate.macro_f1(evaluate.per_class(fixtures.predictions(spark, sf_dir), fixtures.CLASS_NAMES))
+    return evaluate.macro_f1(evaluate.per_class(fixtures.predictions(spark, sf_dir), fixtures.CLASS_NAMES)).select(
+        F.round("macro_f1", 6).alias("macro_f1"))
 
 
 _SCORED = """
@@ -871,18 +873,18 @@ def q_h7(spark, sf_dir):
 WITH {_SCORED},
   b AS (SELECT least(9, CAST(floor(confidence * 10.0) AS INTEGER)) AS bin, count(*) AS nb,
                avg(CAST(correct AS DOUBLE)) AS acc, avg(confidence) AS conf FROM sc GROUP BY 1)
-SELECT sum(nb * abs(acc - conf)) / sum(nb) AS ece FROM b
+SELECT round(sum(nb * abs(acc - conf)) / sum(nb), 6) AS ece FROM b
 """)
 def q_h8(spark, sf_dir):
-    return evaluate.ece(fixtures.scored(spark, sf_dir))
+    return evaluate.ece(fixtures.scored(spark, sf_dir)).select(F.round("ece", 6).alias("ece"))
 
 
 @register("H9_brier", f"""
 WITH {_SCORED}
-SELECT avg(pow(confidence - CAST(correct AS DOUBLE), 2)) AS brier FROM sc
+SELECT round(avg(pow(confidence - CAST(correct AS DOUBLE), 2)), 6) AS brier FROM sc
 """)
 def q_h9(spark, sf_dir):
-    return evaluate.brier(fixtures.scored(spark, sf_dir))
+    return evaluate.brier(fixtures.scored(spark, sf_dir)).select(F.round("brier", 6).alias("brier"))
 
 
 @register("H10_compare_runs", f"""
@@ -914,13 +916,14 @@ def _f1_sql(off: int, sfx: str) -> str:
 @register("H11_acceptance", f"""
 WITH {_f1_sql(20, '_b')}, {_f1_sql(0, '_t')},
   s AS (SELECT (SELECT avg(f1) FROM f_b) AS base, (SELECT avg(f1) FROM f_t) AS tuned)
-SELECT base, tuned, (tuned - base) * 100.0 AS delta_points,
+SELECT round(base, 6) AS base, round(tuned, 6) AS tuned, round((tuned - base) * 100.0, 6) AS delta_points,
        CASE WHEN (tuned - base) * 100.0 >= 10.0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM s
 """)
 def q_h11(spark, sf_dir):
     base = evaluate.macro_f1(evaluate.per_class(fixtures.predictions(spark, sf_dir, "b"), fixtures.CLASS_NAMES))
     tuned = evaluate.macro_f1(evaluate.per_class(fixtures.predictions(spark, sf_dir, "a"), fixtures.CLASS_NAMES))
-    return evaluate.acceptance(base, tuned)
+    return evaluate.acceptance(base, tuned).select(
+        *[F.round(c, 6).alias(c) for c in ("base", "tuned", "delta_points")], "verdict")
 
 
 @register("H12_running_accuracy", f"""
@@ -996,13 +999,13 @@ def q_h16(spark, sf_dir):
 
 @register("H17_train_curve", """
 SELECT user_id AS run, count(*) AS steps, max(event_id) AS last_step, arg_max(value / 100, event_id) AS last_loss,
-       avg(value / 100) AS mean_loss, min(value / 100) AS min_loss
+       round(avg(value / 100), 6) AS mean_loss, min(value / 100) AS min_loss
 FROM events GROUP BY user_id
 """)
 def q_h17(spark, sf_dir):
     ev = fixtures.table(spark, sf_dir, "events")
     log = ev.select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), (F.col("value") / 100).alias("loss"))
-    return evaluate.train_curve(log)
+    return evaluate.train_curve(log).withColumn("mean_loss", F.round("mean_loss", 6))
 
 
 @register("H1_golden_eval", f"""
@@ -1032,6 +1035,11 @@ def q_h1(spark, sf_dir):
 
 
 # ============================================================ I: measurement
+def _round_summary(df):
+    return df.select("n", F.round("median_pct", 6).alias("median_pct"), F.round("p95_pct", 6).alias("p95_pct"),
+                     "verdict")
+
+
 _MEAS_SQL = r"""
   res AS (SELECT CASE WHEN l_linenumber = 7 THEN 'img_P' || CAST(l_partkey AS VARCHAR) || 'x.png'
                       ELSE printf('d%d_a%d_%s_r%d-%d-%d_P%dx.png', l_orderkey % 900 + 100, l_linenumber * 15 % 90,
@@ -1079,13 +1087,13 @@ WITH {_MEAS_SQL},
   s AS (SELECT max(n) AS n, quantile_cont(rel_pct, 0.5) AS median_pct,
                max(CASE WHEN rn = least(n - 1, CAST(floor(0.95::DOUBLE * n) AS BIGINT)) + 1 THEN rel_pct END) AS p95_pct
         FROM r)
-SELECT n, median_pct, p95_pct,
+SELECT n, round(median_pct, 6) AS median_pct, round(p95_pct, 6) AS p95_pct,
        CASE WHEN median_pct <= 2.0 AND p95_pct <= 4.0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM s
 """)
 def q_i4(spark, sf_dir):
     errs = measure.measurement_errors(fixtures.measurement_results(spark, sf_dir),
                                       fixtures.measurement_truth(spark, sf_dir))
-    return measure.error_summary(errs)
+    return _round_summary(measure.error_summary(errs))
 
 
 @register("I1_plane_distance", """
@@ -1100,11 +1108,11 @@ WITH e AS (SELECT vec_id AS image, CAST(embedding AS DOUBLE[]) AS v FROM embeddi
                (h[4] * x1 + h[5] * y1 + h[6]) / (h[7] * x1 + h[8] * y1 + h[9]) AS w1,
                (h[1] * x2 + h[2] * y2 + h[3]) / (h[7] * x2 + h[8] * y2 + h[9]) AS u2,
                (h[4] * x2 + h[5] * y2 + h[6]) / (h[7] * x2 + h[8] * y2 + h[9]) AS w2 FROM p)
-SELECT image, sqrt(pow(u1 - u2, 2) + pow(w1 - w2, 2)) AS measured_mm FROM q
+SELECT image, round(sqrt(pow(u1 - u2, 2) + pow(w1 - w2, 2)), 6) AS measured_mm FROM q
 """)
 def q_i1(spark, sf_dir):
     pts, homs = fixtures.plane_points(spark, sf_dir)
-    return measure.plane_distance(pts, homs)
+    return measure.plane_distance(pts, homs).withColumn("measured_mm", F.round("measured_mm", 6))
 
 
 @register("I5_reprojection_rms", """
@@ -1112,14 +1120,14 @@ WITH e AS (SELECT label AS view, vec_id AS corner, CAST(embedding AS DOUBLE[]) A
   d AS (SELECT view, pow(v[1] - (v[1] + v[3] * 0.01), 2) + pow(v[2] - (v[2] + v[4] * 0.01), 2) AS d2 FROM e),
   per AS (SELECT CAST(view AS VARCHAR) AS view, sqrt(avg(d2)) AS rms_px, count(*) AS points, sum(d2) AS s FROM d
           GROUP BY view)
-SELECT view, rms_px, points, NULL::VARCHAR AS verdict FROM per
+SELECT view, round(rms_px, 6) AS rms_px, points, NULL::VARCHAR AS verdict FROM per
 UNION ALL
-SELECT '*', sqrt(sum(s) / sum(points)), CAST(sum(points) AS BIGINT),
+SELECT '*', round(sqrt(sum(s) / sum(points)), 6), CAST(sum(points) AS BIGINT),
        CASE WHEN count(*) >= 10 AND sqrt(sum(s) / sum(points)) <= 0.5 THEN 'PASS' ELSE 'FAIL' END FROM per
 """)
 def q_i5(spark, sf_dir):
     obs, prj = fixtures.reprojection(spark, sf_dir)
-    return measure.reprojection_rms(obs, prj)
+    return measure.reprojection_rms(obs, prj).withColumn("rms_px", F.round("rms_px", 6))
 
 
 # ============================================================ E2-E7, F2
@@ -1316,6 +1324,7 @@ def _triage_by_repo(spark, sf_dir):
     src = sel.select(F.col("repository_id").alias("case_id"), F.col("sel_pos").alias("pos"),
                      F.col("observation_id").alias("source_id"), "text").unionByName(
         summ.select(F.col("repository_id").alias("case_id"), F.col("sel_pos").alias("pos"), "source_id", "text"))
+    src = src.checkpoint(eager=True)   # the case sources are read by several steps
     return obs, src, triage.triage(src.select("case_id").distinct(), src)
 
 
@@ -1525,7 +1534,7 @@ def q_a4(spark, sf_dir):
 
 @register("A5_read_predictions", f"""
 WITH {_f3_sql(0)}
-SELECT count(*) AS n, avg(CAST(correct AS DOUBLE)) AS accuracy, avg(confidence) AS mean_confidence,
+SELECT count(*) AS n, avg(CAST(correct AS DOUBLE)) AS accuracy, round(avg(confidence), 6) AS mean_confidence,
        avg(CAST(free_top_is_letter AS DOUBLE)) AS letter_rate FROM preds
 """)
 def q_a5(spark, sf_dir):
@@ -1534,7 +1543,8 @@ def q_a5(spark, sf_dir):
         F.col("key").cast("string").alias("path"), "label", "pred", "confidence", "correct", "free_top_is_letter")
     path = scratch_path(spark, "predictions")
     p.write.json(path)
-    return evaluate.accuracy(sio.read_predictions(spark, path))
+    return evaluate.accuracy(sio.read_predictions(spark, path)).withColumn(
+        "mean_confidence", F.round("mean_confidence", 6))
 
 
 @register("A5_read_measurements", f"""
@@ -1543,7 +1553,7 @@ WITH {_MEAS_SQL},
   s AS (SELECT max(n) AS n, quantile_cont(rel_pct, 0.5) AS median_pct,
                max(CASE WHEN rn = least(n - 1, CAST(floor(0.95::DOUBLE * n) AS BIGINT)) + 1 THEN rel_pct END) AS p95_pct
         FROM r)
-SELECT n, median_pct, p95_pct,
+SELECT n, round(median_pct, 6) AS median_pct, round(p95_pct, 6) AS p95_pct,
        CASE WHEN median_pct <= 2.0 AND p95_pct <= 4.0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM s
 """)
 def q_a5m(spark, sf_dir):
@@ -1556,7 +1566,7 @@ def q_a5m(spark, sf_dir):
     tr.select("object", "true_mm").write.option("header", True).csv(p2)
     truth = sio.read_truth(spark, p2).join(tr.select("object", "truth_pos"), "object")
     errs = measure.measurement_errors(sio.read_measurements(spark, p1), truth)
-    return measure.error_summary(errs)
+    return _round_summary(measure.error_summary(errs))
 
 
 @register("A6_file_manifest", """
@@ -1574,7 +1584,7 @@ def q_a6(spark, sf_dir):
 
 @register("A7_read_train_log", """
 SELECT user_id AS run, count(*) AS steps, max(event_id) AS last_step, arg_max(value / 100, event_id) AS last_loss,
-       avg(value / 100) AS mean_loss, min(value / 100) AS min_loss
+       round(avg(value / 100), 6) AS mean_loss, min(value / 100) AS min_loss
 FROM events GROUP BY user_id
 """)
 def q_a7(spark, sf_dir):
@@ -1591,7 +1601,7 @@ def q_a7(spark, sf_dir):
         .write.partitionBy("run").text(path)
     log = sio.read_train_log(spark, path).withColumn(
         "run", F.regexp_extract("run", r"run=([0-9]+)", 1).cast("bigint"))
-    return evaluate.train_curve(log)
+    return evaluate.train_curve(log).withColumn("mean_loss", F.round("mean_loss", 6))
 
 
 @register("A9_upsert_state", f"""

@@ -16,13 +16,16 @@ sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 from claimtrail.plans.tables import TABLES  # noqa: E402
 
 
+STRICT = False
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return repr(v) if STRICT else round(v, 6)
     if hasattr(v, "item"):
         return _norm(v.item())
     if isinstance(v, (list, tuple)):
@@ -92,9 +95,13 @@ if __name__ == "__main__":
     import __spark_entry__ as E
     from claimtrail.session import local_session
 
-    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    only = set(sys.argv[2:])
-    spark = local_session()
+    args = [a for a in sys.argv[1:] if a != "--strict"]
+    STRICT = "--strict" in sys.argv
+    sf = args[0] if args else "/root/testdata/sf0.01"
+    only = set(args[1:])
+    import os
+    spark = local_session(cores=os.environ.get("CHECK_CORES", "*"),
+                          shuffle_partitions=int(os.environ.get("CHECK_PARTITIONS", "8")))
     qs, sqls = E.queries(), E.oracle_sql()
     bad = 0
     for name, fn in qs.items():
