@@ -45,10 +45,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The reliable checkpoint folder of this session.
 
-    Reads ``spark.checkpoint.dir`` from the session; a local session without
-    one (tests, the bench) gets a fresh folder.  A cluster session without it
-    is an error, because a machine-local folder would not survive the loss of
-    an executor.
+    Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
+    does claimtrail choose one: a fresh temporary folder for a local master
+    (tests, the bench), otherwise a folder under the SQL warehouse, which a
+    cluster keeps on its shared file system — never a machine-local path.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,12 +58,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise RuntimeError(
-            "set spark.checkpoint.dir to a shared folder; claimtrail cuts long "
-            "lineages with reliable checkpoints there"
-        )
-    folder = tempfile.mkdtemp(prefix="claimtrail-ckpt-")
+    if sc.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="claimtrail-ckpt-")
+    else:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        folder = f"{warehouse.rstrip('/')}/_claimtrail_checkpoints"
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
