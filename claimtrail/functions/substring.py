@@ -25,8 +25,10 @@ try:  # gated: the plain Spark plans are used without it
 except ImportError:  # pragma: no cover
     HAVE_AHOCORASICK = False
 
-MAX_PATTERNS = 2_000_000
-MAX_PATTERN_CHARS = 256_000_000
+# an automaton takes several times its pattern text in memory in every
+# Python worker, so the broadcast path is kept well below worker memory
+MAX_PATTERNS = 1_000_000
+MAX_PATTERN_CHARS = 32_000_000
 
 _AUTOMATA: dict[str, object] = {}
 

@@ -260,9 +260,15 @@ def passage_overlap(passages: DataFrame, texts: DataFrame, q: int = 16, s: int =
     if fits_broadcast(nonempty, "passage", max_patterns=broadcast_limit):
         return find_patterns(texts, "text", ["text_id"], nonempty, "passage", ["passage_id"]).select(
             "passage_id", "text_id")
-    min_long = q + s - 1
     p = passages.select("passage_id", "passage", F.length("passage").alias("_plen"))
     t = texts.select("text_id", "text")
+    # the sampling step grows with the shortest long passage (one small
+    # aggregate): every passage of length >= q + s - 1 still meets a sampled
+    # text q-gram, and the text side emits only len/s rows
+    shortest = p.where(F.col("_plen") >= q + s - 1).agg(F.min("_plen")).first()[0]
+    if shortest is not None:
+        s = max(s, min(int(shortest) - q + 1, 4096))
+    min_long = q + s - 1
     long_p = p.where(F.col("_plen") >= min_long)
     short_p = p.where((F.col("_plen") < min_long) & (F.col("_plen") > 0))
 
