@@ -1804,3 +1804,29 @@ def q_a8(spark, sf_dir):
     back = spark.read.schema("observations long, risk string, all_isolated boolean").json(path)
     return back.select(F.col("repository_id").cast("string").alias("repository_id"), "observations", "risk",
                        "all_isolated")
+
+
+@register("B6_canonical_json", """
+SELECT event_id, CAST(json(props) AS VARCHAR) AS canonical FROM events
+""")
+def q_b6(spark, sf_dir):
+    """Canonical (sorted, compact) JSON of every event's property text."""
+    ev = fixtures.table(spark, sf_dir, "events")
+    return ev.select("event_id", chainops.canonical_json("props").alias("canonical"))
+
+
+@register("K1_stream_counters_sliding", """
+WITH e AS (SELECT epoch_us(ts) AS t, event_type FROM events),
+  wm AS (SELECT max(t) - 3600000000 AS wm FROM e),
+  s AS (SELECT (t // 43200000000) * 43200000000 AS b, event_type FROM e),
+  w AS (SELECT b - k * 43200000000 AS ws, event_type FROM s, (SELECT unnest([0, 1]) AS k) ks),
+  c AS (SELECT ws, event_type, count(*) AS n FROM w GROUP BY ALL)
+SELECT ws AS window_start, ws + 86400000000 AS window_end, event_type, n FROM c, wm
+WHERE ws + 86400000000 <= wm.wm
+""")
+def q_k1s(spark, sf_dir):
+    """Sliding one-day windows every 12 hours, per event type."""
+    stream, out, ckpt = _replayed_events(spark, sf_dir, "k1s")
+    streams.run_to_folder(streams.stream_counters(stream, "ts", ["event_type"], "1 day", "12 hours", "1 hour"),
+                          out, ckpt)
+    return streams.read_folder(spark, out, "window_start long, window_end long, event_type string, n long")

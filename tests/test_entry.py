@@ -20,7 +20,7 @@ def test_entry_smoke(spark):
 
 def test_oracle_keys_are_registered():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert len(E.queries()) >= 80
+    assert len(E.queries()) >= 90
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
