@@ -132,17 +132,16 @@ def sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.array().cast("array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>")).alias("locations"),
         ).alias("r"),
     )
-    runs = li.groupBy("l_orderkey", "l_linestatus").agg(
-        F.transform(F.array_sort(F.collect_list(result)), lambda e: e["r"]).alias("results"))
-    runs = runs.select("l_orderkey", F.struct(
-        F.col("l_linestatus").alias("k"),
-        F.struct(
-            F.struct(F.struct(F.concat(F.lit("Scan Tool/"), F.col("l_linestatus"), F.lit(" #"),
-                                       (F.col("l_orderkey") % 3).cast("string")).alias("name")).alias("driver")).alias("tool"),
-            F.col("results"),
-        ).alias("run")).alias("run"))
-    docs = runs.groupBy("l_orderkey").agg(
-        F.transform(F.array_sort(F.collect_list("run")), lambda e: e["run"]).alias("runs"))
+    # one shuffle: all line items of an order, then runs formed per line
+    # status inside the (small) per-order array
+    items = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(
+        F.struct(F.col("l_linestatus").alias("st"), result.alias("x")))).alias("_items"))
+    statuses = F.array_sort(F.array_distinct(F.transform("_items", lambda e: e["st"])))
+    runs = F.transform(statuses, lambda st: F.struct(
+        F.struct(F.struct(F.concat(F.lit("Scan Tool/"), st, F.lit(" #"),
+                                   (F.col("l_orderkey") % 3).cast("string")).alias("name")).alias("driver")).alias("tool"),
+        F.transform(F.filter("_items", lambda e: e["st"] == st), lambda e: e["x"]["r"]).alias("results")))
+    docs = items.select("l_orderkey", runs.alias("runs"))
     return docs.select(
         F.col("l_orderkey").alias("doc_id"), F.lit("eng-1").alias("engagement_id"),
         F.concat(F.lit("repo-"), (F.col("l_orderkey") % 10).cast("string")).alias("repository_id"),
