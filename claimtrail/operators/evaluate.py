@@ -26,18 +26,30 @@ def _round_half_even(x: float) -> int:
 
 
 # ---------------------------------------------------------------- H1
-def golden_eval(assessed: DataFrame, golden: DataFrame) -> DataFrame:
+def golden_eval(assessed: DataFrame, golden: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """H1: cases, risk_accuracy, citation_validity (share with at least one
-    citation); 0.0 when there are no golden rows.  A golden case without an
-    assessment (rejected input) counts as wrong and uncited."""
-    j = golden.join(assessed.select("case_id", "risk", "citations"), "case_id", "left")
-    return j.agg(
+    citation, as the reference counts it); 0.0 when there are no golden rows.
+    A golden case without an assessment (rejected input) counts as wrong and
+    uncited.  With ``sources``, ``grounded_validity`` re-checks the citations
+    (share of cases whose citations all resolve, E5)."""
+    a = assessed.select("case_id", "risk", "citations")
+    if sources is not None:
+        from .validate import explode_citations, ground_citations
+        bad = ground_citations(explode_citations(a), sources).where(F.col("status") != "ok") \
+            .select("case_id").distinct().withColumn("_bad", F.lit(True))
+        a = a.join(bad, "case_id", "left")
+    j = golden.join(a, "case_id", "left")
+    cited = F.coalesce(F.size("citations"), F.lit(0)) > 0
+    aggs = [
         F.count(F.lit(1)).alias("cases"),
         F.coalesce(F.avg(F.coalesce(F.col("risk") == F.col("expected_risk"), F.lit(False)).cast("double")),
                    F.lit(0.0)).alias("risk_accuracy"),
-        F.coalesce(F.avg((F.coalesce(F.size("citations"), F.lit(0)) > 0).cast("double")),
-                   F.lit(0.0)).alias("citation_validity"),
-    )
+        F.coalesce(F.avg(cited.cast("double")), F.lit(0.0)).alias("citation_validity"),
+    ]
+    if sources is not None:
+        aggs.append(F.coalesce(F.avg((cited & F.col("_bad").isNull()).cast("double")), F.lit(0.0))
+                    .alias("grounded_validity"))
+    return j.agg(*aggs)
 
 
 # ---------------------------------------------------------------- H2-H5

@@ -91,6 +91,17 @@ def measurement_errors(results: DataFrame, truth: DataFrame, image: str = "image
                     err.alias("err_mm"), (F.lit(100.0) * F.abs(err) / F.col("true_mm")).alias("rel_pct"))
 
 
+def measurement_rejects(results: DataFrame, truth: DataFrame, image: str = "image") -> DataFrame:
+    """Rows I3 drops, counted by cause: no truth object in the name, or no
+    condition pattern (the reference drops both silently)."""
+    m = match_objects(results, truth, image)
+    has_cond = F.regexp_extract(F.col(image), CONDITION_PATTERN, 0) != ""
+    return m.agg(
+        F.count(F.lit(1)).cast("bigint").alias("rows"),
+        F.sum(F.col("object").isNull().cast("long")).cast("bigint").alias("no_object"),
+        F.sum((F.col("object").isNotNull() & ~has_cond).cast("long")).cast("bigint").alias("no_condition"))
+
+
 def error_summary(errors: DataFrame, tie_break: str = "image") -> DataFrame:
     """I4: n, median (mean of the two middle values for even n), p95 =
     sorted[min(n−1, int(0.95·n))], and the verdict.  Exact, from one global

@@ -168,26 +168,38 @@ def final_states(folded: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- G5
-def approve(state: DataFrame, decisions: DataFrame) -> DataFrame:
-    """decisions(case_id, seq, reviewer) → per decision outcome.
+def approve(state: DataFrame, decisions: DataFrame, allow_reject: bool = False) -> DataFrame:
+    """decisions(case_id, seq, reviewer[, decision]) → per decision
+    outcome.
 
     Unknown case → error; published → silent no-op; otherwise only a pending
-    case with a non-blank reviewer is approved — the first such decision in
+    case with a non-blank reviewer is decided — by the first such decision in
     seq order; blank reviewers before it are errors, decisions after it see
-    an approved case (error, as approving twice is).
+    the decided case (error, as approving twice is).  ``decision = 'reject'``
+    moves a pending case to ``rejected`` when ``allow_reject`` is on (an
+    extension: the reference declares the state but never reaches it);
+    otherwise a reject decision is an error.
     """
+    if "decision" not in decisions.columns:
+        decisions = decisions.withColumn("decision", F.lit("approve"))
+    is_reject = F.coalesce(F.col("decision") == "reject", F.lit(False))
     st = state.select("case_id", F.col("state").alias("_state"))
     d = decisions.join(st, "case_id", "left")
-    first_ok = d.where((F.col("_state") == "pending_approval") & ~is_blank("reviewer")).groupBy(
-        "case_id").agg(F.min("seq").alias("_ok_seq"))
+    valid_kind = ~is_reject | F.lit(allow_reject)
+    first_ok = d.where((F.col("_state") == "pending_approval") & ~is_blank("reviewer") & valid_kind).groupBy(
+        "case_id").agg(F.min_by(F.struct("seq", "decision"), "seq").alias("_ok"))
     d = d.join(first_ok, "case_id", "left")
-    eff_state = F.when(F.col("_ok_seq").isNotNull() & (F.col("seq") > F.col("_ok_seq")),
-                       F.lit("approved")).otherwise(F.col("_state"))
+    ok_seq = F.col("_ok.seq")
+    decided = F.when(F.coalesce(F.col("_ok.decision") == "reject", F.lit(False)), F.lit("rejected")) \
+        .otherwise(F.lit("approved"))
+    eff_state = F.when(ok_seq.isNotNull() & (F.col("seq") > ok_seq), decided).otherwise(F.col("_state"))
     outcome = (
         F.when(F.col("_state").isNull(), F.lit("error"))
         .when(eff_state == "published", F.lit("noop"))
         .when(eff_state != "pending_approval", F.lit("error"))
         .when(is_blank("reviewer"), F.lit("error"))
+        .when(is_reject & F.lit(not allow_reject), F.lit("error"))
+        .when(is_reject, F.lit("rejected"))
         .otherwise(F.lit("approved"))
     )
     message = (
@@ -195,14 +207,18 @@ def approve(state: DataFrame, decisions: DataFrame) -> DataFrame:
         .when(eff_state == "published", F.lit(None))
         .when(eff_state != "pending_approval", F.concat(F.lit("cannot approve a case in state "), eff_state))
         .when(is_blank("reviewer"), F.lit("a named reviewer is required"))
+        .when(is_reject & F.lit(not allow_reject), F.lit("rejection is not enabled"))
     )
     return d.select("case_id", "seq", "reviewer", outcome.alias("outcome"), message.alias("message"))
 
 
 def apply_approvals(state: DataFrame, outcomes: DataFrame) -> DataFrame:
-    ok = outcomes.where(F.col("outcome") == "approved").select("case_id", F.col("reviewer").alias("_rev"))
+    """New state table after G5: approved or rejected cases take the new
+    state and reviewer."""
+    ok = outcomes.where(F.col("outcome").isin("approved", "rejected")).select(
+        "case_id", F.col("reviewer").alias("_rev"), F.col("outcome").alias("_new"))
     return state.join(ok, "case_id", "left").select(
-        *[F.when(F.col("_rev").isNotNull(), F.lit("approved")).otherwise(F.col("state")).alias("state")
+        *[F.coalesce(F.col("_new"), F.col("state")).alias("state")
           if c == "state" else
           (F.coalesce(F.col("_rev"), F.col("reviewer")).alias("reviewer") if c == "reviewer" else F.col(c))
           for c in state.columns])

@@ -1830,3 +1830,41 @@ def q_k1s(spark, sf_dir):
     streams.run_to_folder(streams.stream_counters(stream, "ts", ["event_type"], "1 day", "12 hours", "1 hour"),
                           out, ckpt)
     return streams.read_folder(spark, out, "window_start long, window_end long, event_type string, n long")
+
+
+@register("I3_measurement_rejects", r"""
+WITH res AS (SELECT CASE WHEN l_linenumber = 7 THEN 'img_P' || CAST(l_partkey AS VARCHAR) || 'x.png'
+                      ELSE printf('d%d_a%d_%s_r%d-%d-%d_P%dx.png', l_orderkey % 900 + 100, l_linenumber * 15 % 90,
+                                  CASE WHEN l_returnflag = 'A' THEN 'lamp' ELSE 'sun' END, l_orderkey, l_linenumber,
+                                  l_suppkey, l_partkey) END AS image, l_partkey FROM lineitem)
+SELECT count(*) AS "rows",
+       CAST(sum(CASE WHEN l_partkey NOT IN (SELECT p_partkey FROM part) THEN 1 ELSE 0 END) AS BIGINT) AS no_object,
+       CAST(sum(CASE WHEN l_partkey IN (SELECT p_partkey FROM part)
+                      AND NOT regexp_matches(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)') THEN 1 ELSE 0 END) AS BIGINT)
+         AS no_condition
+FROM res
+""")
+def q_i3r(spark, sf_dir):
+    """Measurement rows dropped by I3, by cause."""
+    return measure.measurement_rejects(fixtures.measurement_results(spark, sf_dir),
+                                       fixtures.measurement_truth(spark, sf_dir))
+
+
+@register("H1_golden_eval_grounded", """
+WITH g AS (SELECT CAST(doc_id AS VARCHAR) AS case_id FROM labels),
+  d AS (SELECT CAST(doc_id AS VARCHAR) AS case_id, text, source FROM documents),
+  v AS (SELECT case_id,
+               NOT (source IS NULL OR regexp_matches(source, '^\\s*$') OR length(text) > 100000) AS ok,
+               substring(regexp_split_to_array(text, '\\r\\n|[\\n\\r]')[1], 1, 240) AS quote, text FROM d)
+SELECT count(*) AS cases,
+       coalesce(avg(CASE WHEN coalesce(v.ok, false) THEN 1.0 ELSE 0.0 END), 0.0) AS citation_validity,
+       coalesce(avg(CASE WHEN coalesce(v.ok, false) AND NOT regexp_matches(v.quote, '^\\s*$')
+                         AND contains(v.text, v.quote) THEN 1.0 ELSE 0.0 END), 0.0) AS grounded_validity
+FROM g LEFT JOIN v USING (case_id)
+""")
+def q_h1g(spark, sf_dir):
+    """Golden evaluation with the re-checked (grounded) citation validity."""
+    headers, sources, golden = fixtures.document_cases(spark, sf_dir)
+    assessed = workflow.analyze(headers, sources)
+    ok = assessed.where(F.col("input_reason").isNull())
+    return evaluate.golden_eval(ok, golden, sources).select("cases", "citation_validity", "grounded_validity")

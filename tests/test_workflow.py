@@ -130,3 +130,17 @@ def test_summaries_and_lookup(spark):
     assert [r.case_id for r in workflow.case_summaries(st).collect()] == ["b", "a"]
     got = {r.case_id: r.error for r in workflow.lookup(st, spark.createDataFrame([("a",), ("zz",)], "case_id string")).collect()}
     assert got == {"a": None, "zz": "unknown case_id: zz"}
+
+
+def test_reject_decision_extension(spark):
+    st = spark.createDataFrame([("p", "fp", "pending_approval", "high", "afp", None, None, 1)],
+                               "case_id string, case_fingerprint string, state string, risk string, "
+                               "assessment_fp string, reviewer string, receipt string, updated_seq long")
+    dec = spark.createDataFrame([("p", 1, "ann", "reject"), ("p", 2, "bob", "approve")],
+                                "case_id string, seq long, reviewer string, decision string")
+    off = {r.seq: r for r in workflow.approve(st, dec).collect()}
+    assert off[1].outcome == "error" and off[1].message == "rejection is not enabled" and off[2].outcome == "approved"
+    on = {r.seq: r for r in workflow.approve(st, dec, allow_reject=True).collect()}
+    assert on[1].outcome == "rejected" and on[2].message == "cannot approve a case in state rejected"
+    new = workflow.apply_approvals(st, workflow.approve(st, dec, allow_reject=True)).first()
+    assert new.state == "rejected" and new.reviewer == "ann"
