@@ -68,3 +68,22 @@ def test_stream_states_match_batch_fold(spark, tmp_path):
     want = {r.case_id: (r.state, r.accepted, r.rejected)
             for r in workflow.final_states(workflow.fold_states(batch)).collect()}
     assert got == want and got["user-0"][0] == "published" and got["user-1"][0] == "failed"
+
+
+def test_stale_cases_time_out(spark, tmp_path):
+    inp, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    _write(spark, f"{inp}/b1", [(1, T0, 1, "signup"), (2, T0, 2, "signup")])
+    _write(spark, f"{inp}/b2", [(3, T0 + 10 * DAY, 2, "view")])
+    _write(spark, f"{inp}/b3", [(4, T0 + 20 * DAY, 2, "click")])
+    stream = streams.stream_files(spark, inp, spark.createDataFrame([], SCHEMA).schema)
+    m = {"signup": "received", "view": "pending_approval", "click": "approved"}
+    to_state = F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[F.col("event_type")]
+    tr = stream.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"),
+                       F.col("event_id").alias("seq"), to_state.alias("to_state"), "ts")
+    streams.run_to_folder(streams.stream_states(tr, delay="1 hour", stale_after_ms=2 * 86_400_000), out, ck,
+                          mode="update")
+    rows = streams.read_folder(spark, out).collect()
+    stale = {r.case_id for r in rows if r.stale}
+    assert "user-1" in stale                         # no event for 10 days: timed out
+    final = {r.case_id: r.state for r in streams.latest_states(streams.read_folder(spark, out)).collect()}
+    assert final["user-2"] == "approved" and final["user-1"] == "received"
