@@ -1655,6 +1655,13 @@ def q_a10(spark, sf_dir):
 # ============================================================ K: streaming
 from ..streaming import streams  # noqa: E402
 
+def _state_parts(spark):
+    """State-store partitions of the replay streams: the session's cores
+    (the replayed tables are small; a production stream sizes this for its
+    key count)."""
+    return max(2, spark.sparkContext.defaultParallelism)
+
+
 _EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
                   "props string")
 
@@ -1679,7 +1686,8 @@ def q_k1(spark, sf_dir):
     """Events replayed as 4 time-ordered files; daily counts per event type,
     emitted as windows close."""
     stream, out, ckpt = _replayed_events(spark, sf_dir, "k1")
-    streams.run_to_folder(streams.stream_counters(stream, "ts", ["event_type"], "1 day", delay="1 hour"), out, ckpt)
+    streams.run_to_folder(streams.stream_counters(stream, "ts", ["event_type"], "1 day", delay="1 hour"), out, ckpt,
+                          state_partitions=_state_parts(spark))
     return streams.read_folder(spark, out, "window_start long, window_end long, event_type string, n long")
 
 
@@ -1699,7 +1707,8 @@ SELECT user_id, session_start, session_end, n FROM ss, wm WHERE session_end <= w
 def q_k6(spark, sf_dir):
     """Activity sessions per user (6 hour gap), emitted once closed."""
     stream, out, ckpt = _replayed_events(spark, sf_dir, "k6")
-    streams.run_to_folder(streams.case_sessions(stream, "ts", "user_id", "6 hours", "1 hour"), out, ckpt)
+    streams.run_to_folder(streams.case_sessions(stream, "ts", "user_id", "6 hours", "1 hour"), out, ckpt,
+                          state_partitions=_state_parts(spark))
     return streams.read_folder(spark, out, "user_id long, session_start long, session_end long, n long")
 
 
@@ -1710,7 +1719,8 @@ def q_k2(spark, sf_dir):
     """One row per (user, event type) over the whole replay (delay covers
     the table's time span)."""
     stream, out, ckpt = _replayed_events(spark, sf_dir, "k2")
-    streams.run_to_folder(streams.stream_dedupe(stream, "ts", ["user_id", "event_type"], "60 days"), out, ckpt)
+    streams.run_to_folder(streams.stream_dedupe(stream, "ts", ["user_id", "event_type"], "60 days"), out, ckpt,
+                          state_partitions=_state_parts(spark))
     return streams.read_folder(spark, out).select("user_id", "event_type")
 
 
@@ -1726,7 +1736,8 @@ def q_k3(spark, sf_dir):
     stream, out, ckpt = _replayed_events(spark, sf_dir, "k3")
     tr = stream.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"),
                        F.col("event_id").alias("seq"), fixtures._event_state().alias("to_state"), "ts")
-    streams.run_to_folder(streams.stream_states(tr), out, ckpt, mode="update")
+    streams.run_to_folder(streams.stream_states(tr), out, ckpt, mode="update",
+                          state_partitions=_state_parts(spark))
     return streams.latest_states(streams.read_folder(spark, out))
 
 
@@ -1742,7 +1753,8 @@ def q_k4(spark, sf_dir):
     stream, out, ckpt = _replayed_events(spark, sf_dir, "k4")
     rq = stream.where(F.col("event_type").isin("purchase", "click")).select(
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"), F.col("event_id").alias("seq"))
-    streams.stream_publish(rq, fixtures.state_snapshot(spark, sf_dir), out, ckpt)
+    streams.stream_publish(rq, fixtures.state_snapshot(spark, sf_dir), out, ckpt,
+                           state_partitions=_state_parts(spark))
     return streams.read_folder(spark, out, "case_id string, idempotency_key string").select(
         "case_id", "idempotency_key")
 
@@ -1767,7 +1779,8 @@ def q_k5(spark, sf_dir):
     cites.repartition(4).write.parquet(inp)
     stream = streams.stream_files(spark, inp, cites.schema)
     _, sources = fixtures.conversation_cases(spark, sf_dir)
-    streams.run_to_folder(streams.stream_validate(stream, sources), out, ckpt)
+    streams.run_to_folder(streams.stream_validate(stream, sources), out, ckpt,
+                          state_partitions=_state_parts(spark))
     return streams.read_folder(spark, out).select("case_id", "cpos", "source_id", "status")
 
 
@@ -1783,7 +1796,8 @@ def q_k7(spark, sf_dir):
         fixtures.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "ts"), "seq")
     streams.write_replay(audit, "ts", inp, n_files=4)
     stream = streams.stream_files(spark, inp, audit.schema)
-    streams.run_to_folder(streams.stream_chain(stream), out, ckpt)
+    streams.run_to_folder(streams.stream_chain(stream), out, ckpt,
+                          state_partitions=_state_parts(spark))
     return streams.read_folder(spark, out).select("chain", "seq", "previous_hash", "event_hash")
 
 
@@ -1828,7 +1842,8 @@ def q_k1s(spark, sf_dir):
     """Sliding one-day windows every 12 hours, per event type."""
     stream, out, ckpt = _replayed_events(spark, sf_dir, "k1s")
     streams.run_to_folder(streams.stream_counters(stream, "ts", ["event_type"], "1 day", "12 hours", "1 hour"),
-                          out, ckpt)
+                          out, ckpt,
+                          state_partitions=_state_parts(spark))
     return streams.read_folder(spark, out, "window_start long, window_end long, event_type string, n long")
 
 

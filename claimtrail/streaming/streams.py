@@ -52,8 +52,24 @@ def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per
             .option("recursiveFileLookup", "true").parquet(path))
 
 
+def _start(writer, spark: SparkSession, state_partitions: int | None):
+    """Start a query; ``state_partitions`` fixes the number of state-store
+    partitions of a new checkpoint (Spark copies the session when a stream
+    starts, so the caller's setting is restored right after)."""
+    if not state_partitions:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
+
+
 def run_to_folder(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",
-                  transform: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
+                  transform: Callable[[DataFrame, int], DataFrame] | None = None,
+                  state_partitions: int | None = None) -> None:
     """Run a stream over everything available (``availableNow``), writing
     each micro-batch to ``out/batch=<id>`` (overwrite: a replayed batch
     replaces itself)."""
@@ -61,9 +77,9 @@ def run_to_folder(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
         b = transform(batch, batch_id) if transform else batch
         b.write.mode("overwrite").parquet(f"{out}/batch={batch_id:08d}")
 
-    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-         .foreachBatch(sink).trigger(availableNow=True).start())
-    q.awaitTermination()
+    w = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+         .foreachBatch(sink).trigger(availableNow=True))
+    _start(w, stream.sparkSession, state_partitions).awaitTermination()
 
 
 def read_folder(spark: SparkSession, out: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -156,7 +172,8 @@ def latest_states(emitted: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- K4
-def stream_publish(requests: DataFrame, state: DataFrame, exported_path: str, checkpoint: str) -> None:
+def stream_publish(requests: DataFrame, state: DataFrame, exported_path: str, checkpoint: str,
+                   state_partitions: int | None = None) -> None:
     """K4: exactly-once publication.  Each micro-batch keeps requests for
     approved cases, drops keys already exported (anti join against the
     export table) and appends the new keys; the batch folder is keyed by the
@@ -177,9 +194,8 @@ def stream_publish(requests: DataFrame, state: DataFrame, exported_path: str, ch
         keys.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
             f"{exported_path}/batch={batch_id:08d}")
 
-    q = (requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    w = requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True)
+    _start(w, requests.sparkSession, state_partitions).awaitTermination()
 
 
 # ---------------------------------------------------------------- K5
