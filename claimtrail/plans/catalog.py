@@ -1,1885 +1,7 @@
-"""The registered queries: one per operator of SURVEY §2, each a callable
-``(spark, sf_dir) -> DataFrame`` over a fixture view of the driver's tables,
-and the matching DuckDB statement where SQL can express it."""
+"""The registered queries: one or more per operator of SURVEY §2, each a
+callable ``(spark, sf_dir) -> DataFrame`` over a fixture view of the driver's
+tables, and the matching DuckDB statement where SQL can express it.  The
+queries live in ``plans/queries/`` (one module per operator group)."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..operators import triage, validate, workflow
-from . import fixtures
-from . import oracle_sql as O
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return deco
-
-
-# ------------------------------------------------------------ flagship
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which conversations are valid evidence cases, what risk does each get,
-    and does the quoted evidence resolve in its source?"""
-    headers, sources = fixtures.conversation_cases(spark, sf_dir)
-    out = workflow.analyze(
-        headers, sources,
-        classifier=lambda h, s: triage.keyword_classify(h, s, fixtures.CONVERSATION_TIERS),
-        validators=[lambda a: validate.prohibited_claims_reason()],
-    )
-    return out.select("case_id", "risk", F.col("citations")[0]["quote"].alias("quote"),
-                      F.coalesce("input_reason", "reason").alias("reason"), "state")
-
-
-register("G7_analyze", f"""
-WITH {O.CONV_SOURCES}, {O.e1_reason()},
-  cls AS (SELECT case_id, max({O.tier_case(fixtures.CONVERSATION_TIERS)}) AS tier,
-                 arg_min(source_id, pos) AS sid, arg_min({O.first_line('text')}, pos) AS quote
-          FROM src WHERE case_id IN (SELECT case_id FROM e1 WHERE reason IS NULL) GROUP BY case_id)
-SELECT e1.case_id,
-       {O.RISK_NAME.format(x='cls.tier')} AS risk,
-       cls.quote AS quote,
-       coalesce(e1.reason, CASE WHEN {O.blank('cls.quote')} THEN
-           'citation quote does not resolve in source: ' || cls.sid END) AS reason,
-       CASE WHEN e1.reason IS NOT NULL THEN NULL
-            WHEN {O.blank('cls.quote')} THEN 'failed' ELSE 'pending_approval' END AS state
-FROM e1 LEFT JOIN cls USING (case_id)
-""")(flagship)
-
-
-# ------------------------------------------------------------ E1
-@register("E1_validate_cases", f"""
-WITH {O.CONV_ROLE_SOURCES}, {O.e1_reason()}
-SELECT case_id, reason FROM e1
-""")
-def q_e1(spark, sf_dir):
-    headers, sources = fixtures.conversation_cases(spark, sf_dir, source_id="role")
-    return validate.validate_cases(headers, sources)
-
-
-@register("E1_validate_cases_size", f"""
-WITH {O.CONV_SOURCES}, {O.e1_reason(2000)}
-SELECT case_id, reason FROM e1
-""")
-def q_e1_size(spark, sf_dir):
-    headers, sources = fixtures.conversation_cases(spark, sf_dir)
-    return validate.validate_cases(headers, sources, max_chars=2000)
-
-
-# ------------------------------------------------------------ F1
-@register("F1_keyword_classify", f"""
-WITH {O.CONV_SOURCES},
-  cls AS (SELECT case_id, max({O.tier_case(fixtures.CONVERSATION_TIERS)}) AS tier,
-                 arg_min(source_id, pos) AS sid, arg_min({O.first_line('text')}, pos) AS quote
-          FROM src GROUP BY case_id)
-SELECT case_id, {O.RISK_NAME.format(x='tier')} AS risk,
-       'Evidence classified as ' || {O.RISK_NAME.format(x='tier')} || ' risk.' AS summary,
-       sid AS citation_source, quote, 0.8::DOUBLE AS confidence
-FROM cls
-""")
-def q_f1(spark, sf_dir):
-    headers, sources = fixtures.conversation_cases(spark, sf_dir)
-    a = triage.keyword_classify(headers, sources, fixtures.CONVERSATION_TIERS)
-    return a.select("case_id", "risk", "summary",
-                    F.col("citations")[0]["source_id"].alias("citation_source"),
-                    F.col("citations")[0]["quote"].alias("quote"), "confidence")
-
-
-@register("F1_keyword_classify_default", """
-SELECT CAST(doc_id AS VARCHAR) AS case_id,
-       CASE WHEN contains(lower(text), 'credential leak') OR contains(lower(text), 'remote code')
-                 OR contains(lower(text), 'critical') THEN 'critical'
-            WHEN contains(lower(text), 'failed') OR contains(lower(text), 'exposed')
-                 OR contains(lower(text), 'unauthorized') THEN 'high'
-            WHEN contains(lower(text), 'warning') OR contains(lower(text), 'stale')
-                 OR contains(lower(text), 'degraded') THEN 'medium' ELSE 'low' END AS risk
-FROM documents
-""")
-def q_f1_default(spark, sf_dir):
-    headers, sources, _ = fixtures.document_cases(spark, sf_dir)
-    return triage.keyword_classify(headers, sources).select("case_id", "risk")
-
-
-# ============================================================ D: evidence
-from ..operators import evidence, scope  # noqa: E402
-
-_OBS_OUT = ["engagement_id", "repository_id", "observation_id", "check", "status", "severity", "path", "message"]
-
-
-@register("D1_normalize_sarif", f"""
-WITH li AS (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linestatus) AS run_index,
-                 row_number() OVER (PARTITION BY l_orderkey, l_linestatus
-                                    ORDER BY l_linenumber, l_partkey, l_suppkey) AS result_index,
-                 'Scan Tool/' || l_linestatus || ' #' || CAST(l_orderkey % 3 AS VARCHAR) AS tool,
-                 CASE WHEN l_tax > 0 THEN 'R' || CAST(l_suppkey AS VARCHAR) ELSE 'unclassified' END AS rule
-            FROM lineitem)
-SELECT l_orderkey AS doc_id, 'eng-1' AS engagement_id, 'repo-' || CAST(l_orderkey % 10 AS VARCHAR) AS repository_id,
-       run_index, result_index,
-       'sarif:' || {O.slug('tool')} || ':' || CAST(run_index AS VARCHAR) || ':' || CAST(result_index AS VARCHAR)
-         || ':' || rule AS observation_id,
-       'sarif:' || tool || ':' || rule AS "check", 'review' AS status,
-       CASE WHEN l_returnflag = 'A' THEN 'high' WHEN l_returnflag = 'N' THEN 'medium'
-            WHEN l_discount >= 0.02::DOUBLE THEN 'low' ELSE 'medium' END AS severity,
-       CASE WHEN l_tax >= 0.02::DOUBLE THEN 'src/' || CAST(l_partkey AS VARCHAR) || '.py' ELSE 'unknown' END AS path,
-       CASE WHEN l_discount < 0.09::DOUBLE THEN 'qty ' || CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR)
-            ELSE 'No message' END AS message
-FROM li
-""")
-def q_d1(spark, sf_dir):
-    obs = evidence.normalize_sarif(fixtures.sarif_documents(spark, sf_dir))
-    return obs.select("doc_id", "engagement_id", "repository_id",
-                      F.col("run_index").cast("bigint").alias("run_index"),
-                      F.col("result_index").cast("bigint").alias("result_index"),
-                      "observation_id", "check", "status", "severity", "path", "message")
-
-
-@register("D2_tool_slug", f"""
-SELECT p_partkey, {O.slug("p_name || ' #' || p_brand || '/' || p_type")} AS slug FROM part
-""")
-def q_d2(spark, sf_dir):
-    part = fixtures.table(spark, sf_dir, "part")
-    return part.select("p_partkey", evidence.tool_slug(
-        F.concat(F.col("p_name"), F.lit(" #"), F.col("p_brand"), F.lit("/"), F.col("p_type"))).alias("slug"))
-
-
-_EVENT_LEVEL = ("CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warning' "
-                "WHEN 'view' THEN 'note' WHEN 'signup' THEN 'none' ELSE event_type END")
-
-
-@register("D3_map_severity", f"""
-SELECT event_id, CASE {_EVENT_LEVEL} WHEN 'error' THEN 'high' WHEN 'warning' THEN 'medium'
-                      WHEN 'note' THEN 'low' WHEN 'none' THEN 'info' ELSE 'medium' END AS severity
-FROM events
-""")
-def q_d3(spark, sf_dir):
-    ev = fixtures.table(spark, sf_dir, "events")
-    return ev.select("event_id", evidence.map_severity(F.expr(_EVENT_LEVEL)).alias("severity"))
-
-
-@register("D4_result_limit", """
-SELECT l_orderkey AS doc_id, count(*) AS n_results,
-       'SARIF report exceeds the configured result limit' AS reason
-FROM lineitem GROUP BY l_orderkey HAVING count(*) > 5
-""")
-def q_d4(spark, sf_dir):
-    obs = evidence.normalize_sarif(fixtures.sarif_documents(spark, sf_dir))
-    _, rejected = evidence.result_limit(obs, max_results=5)
-    return rejected.select("doc_id", F.col("n_results").cast("bigint").alias("n_results"), "reason")
-
-
-@register("D5_control_presence", """
-WITH files AS (SELECT DISTINCT 'cust-' || CAST(o_custkey AS VARCHAR) AS repository_id, o_orderpriority AS path
-               FROM orders),
-  repos AS (SELECT DISTINCT repository_id FROM files),
-  ctl AS (SELECT * FROM (VALUES (0, 'urgent', ['1-URGENT', '2-HIGH'], 'high'),
-                                (1, 'medium', ['3-MEDIUM'], 'medium'),
-                                (2, 'routine', ['4-NOT SPECIFIED', '5-LOW'], 'low')) t(ctl_pos, chk, cands, sev)),
-  cand AS (SELECT ctl_pos, chk, cands, sev, unnest(cands) AS cand, generate_subscripts(cands, 1) AS prio FROM ctl),
-  found AS (SELECT r.repository_id, c.ctl_pos, arg_min(c.cand, c.prio) AS found
-            FROM repos r JOIN cand c ON TRUE JOIN files f ON f.repository_id = r.repository_id AND f.path = c.cand
-            GROUP BY r.repository_id, c.ctl_pos)
-SELECT 'eng-1' AS engagement_id, r.repository_id, CAST(c.ctl_pos AS BIGINT) AS pos,
-       'repo-policy:' || c.chk AS observation_id, c.chk AS "check",
-       CASE WHEN f.found IS NOT NULL THEN 'pass' ELSE 'review' END AS status,
-       CASE WHEN f.found IS NOT NULL THEN 'info' ELSE c.sev END AS severity,
-       coalesce(f.found, c.cands[1]) AS path,
-       CASE WHEN f.found IS NOT NULL THEN 'Control is visible at ' || f.found || '.'
-            ELSE 'No ' || c.chk || ' control was found at the checked standard locations.' END AS message
-FROM repos r JOIN ctl c ON TRUE LEFT JOIN found f ON f.repository_id = r.repository_id AND f.ctl_pos = c.ctl_pos
-""")
-def q_d5(spark, sf_dir):
-    repos, files = fixtures.repository_files(spark, sf_dir)
-    return evidence.control_presence(repos, files, fixtures.PRIORITY_CONTROLS)
-
-
-@register("D6_merge_reports", f"""
-WITH {O.OBS},
-  exp AS (SELECT 'repo-' || CAST(s_suppkey AS VARCHAR) AS merge_id, 'eng-1' AS e,
-                 CASE WHEN s_nationkey = 3 THEN 'repo-x' ELSE 'repo-' || CAST(s_suppkey AS VARCHAR) END AS r
-          FROM supplier),
-  j AS (SELECT exp.merge_id, max(CASE WHEN obs.engagement_id <> exp.e THEN 1 ELSE 0 END) AS be,
-               max(CASE WHEN obs.repository_id <> exp.r THEN 1 ELSE 0 END) AS br, count(*) AS n
-        FROM obs JOIN exp ON obs.repository_id = exp.merge_id GROUP BY exp.merge_id)
-SELECT exp.merge_id,
-       CASE WHEN coalesce(j.be, 0) = 1 OR coalesce(j.br, 0) = 1 THEN 0 ELSE coalesce(j.n, 0) END AS n_merged,
-       CASE WHEN j.be = 1 THEN 'cannot merge reports from different engagements'
-            WHEN j.br = 1 THEN 'cannot merge reports from different repositories' END AS reason
-FROM exp LEFT JOIN j USING (merge_id)
-""")
-def q_d6(spark, sf_dir):
-    obs = fixtures.observations(spark, sf_dir).withColumn("merge_id", F.col("repository_id"))
-    part_a = obs.where(F.col("check") == "flag-A")
-    part_b = obs.where(F.col("check") != "flag-A")
-    sup = fixtures.table(spark, sf_dir, "supplier")
-    expected = sup.select(
-        F.concat(F.lit("repo-"), F.col("s_suppkey").cast("string")).alias("merge_id"),
-        F.lit("eng-1").alias("engagement_id"),
-        F.when(F.col("s_nationkey") == 3, F.lit("repo-x")).otherwise(
-            F.concat(F.lit("repo-"), F.col("s_suppkey").cast("string"))).alias("repository_id"))
-    merged, refused = evidence.merge_reports([part_a, part_b], expected)
-    counts = merged.groupBy("merge_id").agg(F.count(F.lit(1)).alias("n_merged"))
-    return (expected.select("merge_id").join(counts, "merge_id", "left").join(refused, "merge_id", "left")
-            .select("merge_id", F.coalesce("n_merged", F.lit(0)).cast("bigint").alias("n_merged"), "reason"))
-
-
-@register("D7_select_evidence", f"""
-WITH {O.OBS}, {O.selected()}
-SELECT engagement_id, repository_id, observation_id, rn - 1 AS sel_pos, text FROM sel
-""")
-def q_d7(spark, sf_dir):
-    sel = evidence.select_evidence(fixtures.observations(spark, sf_dir))
-    return sel.select("engagement_id", "repository_id", "observation_id", "sel_pos", "text")
-
-
-@register("D7_select_evidence_chars", f"""
-WITH {O.OBS}, {O.selected(100, 5000)}
-SELECT engagement_id, repository_id, observation_id, rn - 1 AS sel_pos FROM sel
-""")
-def q_d7c(spark, sf_dir):
-    sel = evidence.select_evidence(fixtures.observations(spark, sf_dir), max_items=100, max_chars=5000)
-    return sel.select("engagement_id", "repository_id", "observation_id", "sel_pos")
-
-
-_SUMMARY_SQL = f"""
-  tot AS (SELECT engagement_id, repository_id, count(*) AS n FROM obs GROUP BY ALL),
-  k AS (SELECT engagement_id, repository_id, count(*) AS k FROM sel GROUP BY ALL),
-  summ AS (SELECT r.engagement_id, r.repository_id,
-             CASE WHEN coalesce(n, 0) - coalesce(k, 0) > 0 THEN 'scanner-selection-summary'
-                  WHEN coalesce(n, 0) = 0 THEN 'scanner-summary' END AS source_id,
-             CASE WHEN coalesce(n, 0) - coalesce(k, 0) > 0 THEN
-                    CAST(coalesce(n, 0) - coalesce(k, 0) AS VARCHAR) || ' lower-priority observations were preserved '
-                    || 'in the raw report but omitted from model input by configured limits.'
-                  WHEN coalesce(n, 0) = 0 THEN 'The authorized deterministic scan returned no observations.' END AS text,
-             CAST(coalesce(k, 0) AS BIGINT) AS sel_pos
-           FROM reports r LEFT JOIN tot USING (engagement_id, repository_id)
-                          LEFT JOIN k USING (engagement_id, repository_id))"""
-
-
-@register("D8_selection_summary", f"""
-WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL}
-SELECT engagement_id, repository_id, source_id, text, sel_pos FROM summ WHERE source_id IS NOT NULL
-""")
-def q_d8(spark, sf_dir):
-    obs = fixtures.observations(spark, sf_dir, materialize=True)
-    sel = evidence.select_evidence(obs)
-    return evidence.selection_summary(fixtures.reports(spark, sf_dir), obs, sel)
-
-
-@register("D9_build_cases", f"""
-WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL},
-  leaf AS (SELECT engagement_id, repository_id, pos,
-                  sha256({O.canon('observation_id')} || {O.canon('"check"')} || {O.canon('status')}
-                         || {O.canon('severity')} || {O.canon('path')} || {O.canon('message')}) AS leaf
-           FROM obs),
-  {O.merkle('leaf', 'engagement_id, repository_id', 'pos', 'leaf')},
-  hdr AS (SELECT r.engagement_id, r.repository_id,
-                 r.engagement_id || ':' || r.repository_id || ':' ||
-                 substring(coalesce(sha256({O.canon('r.engagement_id')} || {O.canon('r.repository_id')} || mtop.tree),
-                                    sha256({O.canon('r.engagement_id')} || {O.canon('r.repository_id')})), 1, 16) AS case_id,
-                 'Assurance observations for ' || r.repository_id AS title
-          FROM reports r LEFT JOIN mtop USING (engagement_id, repository_id)),
-  src AS (SELECT engagement_id, repository_id, rn - 1 AS pos, observation_id AS source_id, text FROM sel
-          UNION ALL SELECT engagement_id, repository_id, sel_pos, source_id, text FROM summ WHERE source_id IS NOT NULL)
-SELECT hdr.case_id, hdr.title, count(*) AS n_sources, CAST(sum(length(src.text)) AS BIGINT) AS total_chars,
-       arg_max(src.source_id, src.pos) AS last_source_id
-FROM hdr JOIN src USING (engagement_id, repository_id)
-GROUP BY hdr.case_id, hdr.title
-""")
-def q_d9(spark, sf_dir):
-    headers, sources = evidence.build_cases(fixtures.reports(spark, sf_dir), fixtures.observations(spark, sf_dir, materialize=True))
-    agg = sources.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("n_sources"), F.sum(F.length("text")).cast("bigint").alias("total_chars"),
-        F.max_by("source_id", "pos").alias("last_source_id"))
-    return headers.select("case_id", "title").join(agg, "case_id")
-
-
-# Rule table for scanning document texts.
-TEXT_RULES = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "medium", "e-mail address in text", "@"),
-    ("license", r"(?i)licen[sc]ed under [^.\n]*", "info", "license statement"),
-    ("ipv4", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "low", "IPv4 address"),
-    ("card", r"[0-9]{16}", "high", "card-like number"),
-    ("token", r"(?i)(?:api[_-]?key|secret|token|password)[=:][^ \n]+", "critical", "credential-like assignment"),
-)
-
-
-def _rule_scan_sql() -> str:
-    parts = []
-    for rid, pat, sev, *_ in TEXT_RULES:
-        parts.append(f"SELECT doc_id, '{rid}' AS rule_id, '{sev}' AS sev, "
-                     f"regexp_extract_all(text, '{pat}') AS m FROM documents")
-    return f"""
-WITH r AS ({' UNION ALL '.join(parts)}),
-  u AS (SELECT doc_id, rule_id, sev, unnest(m) AS mt, generate_subscripts(m, 1) AS idx FROM r)
-SELECT doc_id AS text_id, rule_id, 'rule:' || rule_id || ':' || CAST(doc_id AS VARCHAR) || ':' || CAST(idx AS VARCHAR)
-         AS observation_id, sev AS severity, CAST(idx AS BIGINT) AS match_index, CAST(length(mt) AS BIGINT) AS match_length
-FROM u
-"""
-
-
-@register("D10_rule_scan", _rule_scan_sql())
-def q_d10(spark, sf_dir):
-    docs = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    hits = evidence.rule_scan(docs, TEXT_RULES)
-    return hits.select("text_id", "rule_id", "observation_id", "severity", "match_index", "match_length")
-
-
-_SCANNER = ("CASE event_type WHEN 'click' THEN 'semgrep' WHEN 'view' THEN 'gitleaks' "
-            "WHEN 'purchase' THEN 'osv' ELSE event_type END")
-
-
-@register("D11_scan_status", f"""
-WITH e AS (SELECT event_id, {_SCANNER} AS scanner, user_id % 3 AS rc, value >= 5 AS present FROM events)
-SELECT event_id, scanner, CAST(rc AS BIGINT) AS return_code,
-       CASE WHEN NOT (rc = 0 OR (rc = 1 AND scanner IN ('gitleaks', 'osv'))) THEN 'error'
-            WHEN NOT present THEN 'error' ELSE 'ok' END AS status,
-       CASE WHEN NOT (rc = 0 OR (rc = 1 AND scanner IN ('gitleaks', 'osv')))
-              THEN scanner || ' failed with exit code ' || CAST(rc AS VARCHAR)
-            WHEN NOT present THEN scanner || ' did not produce a SARIF report' END AS reason
-FROM e
-""")
-def q_d11(spark, sf_dir):
-    ev = fixtures.table(spark, sf_dir, "events")
-    ex = ev.select("event_id", F.expr(_SCANNER).alias("scanner"),
-                   (F.col("user_id") % 3).cast("bigint").alias("return_code"),
-                   (F.col("value") >= 5).alias("output_present"))
-    return evidence.scan_status(ex).select("event_id", "scanner", "return_code", "status", "reason")
-
-
-# ============================================================ C: scope
-_SCOPES_SQL = """
-  sc AS (SELECT 'nat-' || CAST(n_nationkey AS VARCHAR) AS engagement_id,
-                CASE WHEN n_nationkey = 7 THEN 2 ELSE 1 END AS version,
-                (['deny', 'local-only', 'allow', 'open'])[n_nationkey % 4 + 1] AS egress,
-                DATE '2030-01-01' + CAST(n_nationkey * 30 AS INTEGER) AS expires_on
-         FROM nation),
-  sr AS (SELECT 'nat-' || CAST(c_nationkey AS VARCHAR) AS engagement_id,
-                CASE WHEN c_acctbal < -950 THEN c_name ELSE replace(c_name, '#', '-') END AS repository_id,
-                '/repos/' || CAST(c_custkey AS VARCHAR) AS path,
-                ['repository-policy', lower(c_mktsegment)] AS allowed_checks
-         FROM customer WHERE c_custkey % 10 <> 0)"""
-
-
-@register("C1_validate_scope", f"""
-WITH {_SCOPES_SQL},
-  st AS (SELECT engagement_id, count(*) AS n, count(DISTINCT repository_id) AS nd,
-                max(CASE WHEN regexp_full_match(repository_id, '[A-Za-z0-9._-]+') THEN 0 ELSE 1 END) AS bad
-         FROM sr GROUP BY engagement_id)
-SELECT engagement_id,
-       CASE WHEN version <> 1 THEN 'scope version must be 1'
-            WHEN egress NOT IN ('deny', 'local-only', 'allow') THEN 'egress must be deny, local-only, or allow'
-            WHEN coalesce(n, 0) = 0 THEN 'scope must authorize at least one repository'
-            WHEN bad = 1 THEN 'repository_id contains unsupported characters'
-            WHEN nd <> n THEN 'repository_id values must be unique' END AS reason
-FROM sc LEFT JOIN st USING (engagement_id)
-""")
-def q_c1(spark, sf_dir):
-    sc, repos = fixtures.scopes(spark, sf_dir)
-    return scope.validate_scope(sc, repos)
-
-
-@register("C2_authorize", f"""
-WITH {_SCOPES_SQL},
-  rq AS (SELECT o_orderkey AS request_id, 'nat-' || CAST(c_nationkey AS VARCHAR) AS engagement_id,
-                CASE WHEN c_acctbal < -950 THEN c_name ELSE replace(c_name, '#', '-') END AS repository_id,
-                CASE WHEN o_orderkey % 7 = 0 THEN '/elsewhere' ELSE '/repos/' || CAST(c_custkey AS VARCHAR) END AS path,
-                CASE WHEN o_orderpriority = '1-URGENT' THEN 'osv' ELSE lower(c_mktsegment) END AS chk
-         FROM orders JOIN customer ON o_custkey = c_custkey),
-  j AS (SELECT rq.request_id,
-          CASE WHEN sc.expires_on IS NULL OR sc.expires_on < DATE '2030-06-01' THEN 'pilot authorization has expired'
-               WHEN sr.repository_id IS NULL THEN 'repository is outside pilot scope: ' || rq.repository_id
-               WHEN sr.path <> rq.path THEN 'repository path does not match the authorized checkout'
-               WHEN NOT list_contains(sr.allowed_checks, rq.chk) THEN 'check is outside pilot scope: ' || rq.chk
-          END AS reason
-        FROM rq LEFT JOIN sc USING (engagement_id)
-                LEFT JOIN sr ON sr.engagement_id = rq.engagement_id AND sr.repository_id = rq.repository_id)
-SELECT request_id, reason IS NULL AS allowed, reason FROM j
-""")
-def q_c2(spark, sf_dir):
-    sc, repos = fixtures.scopes(spark, sf_dir)
-    return scope.authorize(fixtures.scope_requests(spark, sf_dir), sc, repos, as_of="2030-06-01")
-
-
-_HOST_SQL = """
-  u0 AS (SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS netloc,
-                lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme FROM urls0),
-  u1 AS (SELECT *, regexp_replace(netloc, '^.*@', '') AS hp FROM u0),
-  u2 AS (SELECT *, CASE WHEN starts_with(hp, '[') THEN regexp_extract(hp, '^\\[([^\\]]*)\\]', 1)
-                        ELSE regexp_replace(hp, ':[^:]*$', '') END AS h FROM u1),
-  u3 AS (SELECT *, CASE WHEN h <> '' THEN lower(h) END AS host FROM u2)"""
-
-
-@register("C3_egress_allowed", f"""
-WITH urls0 AS (SELECT CAST(page_id AS VARCHAR) AS url_id, url FROM pages
-               UNION ALL
-               SELECT 'lo-' || CAST(page_id AS VARCHAR),
-                      (['http://localhost:8080/v1', 'https://127.0.0.1/v1', 'http://[::1]:11434/v1',
-                        'http://LocalHost/v1', 'ftp://localhost/v1', 'http://127.0.0.256/v1',
-                        'http://user@127.1.2.3:99/x', 'localhost/v1'])[page_id % 8 + 1] FROM pages),
-  {_HOST_SQL}
-SELECT url_id, url, host,
-       coalesce(scheme IN ('http', 'https') AND host IS NOT NULL AND
-                (host = 'localhost' OR regexp_matches(host, '{scope.IPV4_LOOPBACK}')
-                 OR regexp_matches(host, '{scope.IPV6_LOOPBACK}')), false) AS allowed
-FROM u3
-""")
-def q_c3(spark, sf_dir):
-    return scope.egress_allowed(fixtures.urls(spark, sf_dir), "deny").select("url_id", "url", "host", "allowed")
-
-
-_REQ_CHECK = ("CASE o_orderstatus WHEN 'F' THEN 'semgrep' WHEN 'O' THEN 'osv' "
-              "ELSE 'scan-' || lower(substring(o_orderpriority, 3)) END")
-
-
-@register("C4_check_coverage", f"""
-WITH rq AS (SELECT DISTINCT o_custkey AS request_id, {_REQ_CHECK} AS chk FROM orders),
-  unk AS (SELECT request_id, string_agg(chk, ', ' ORDER BY chk) AS u
-          FROM (SELECT DISTINCT request_id, chk FROM rq
-                WHERE chk NOT IN ('repository-policy', 'semgrep', 'gitleaks', 'osv')) GROUP BY request_id)
-SELECT c_custkey AS request_id, coalesce(unk.u, '') AS unknown_checks,
-       CASE WHEN unk.u IS NOT NULL THEN 'unsupported checks: ' || unk.u
-            WHEN c_custkey NOT IN (SELECT request_id FROM rq) THEN 'at least one check is required' END AS reason
-FROM customer LEFT JOIN unk ON unk.request_id = c_custkey
-""")
-def q_c4(spark, sf_dir):
-    orders = fixtures.table(spark, sf_dir, "orders")
-    requested = orders.select(F.col("o_custkey").alias("request_id"), F.expr(_REQ_CHECK).alias("check"))
-    requests = fixtures.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"))
-    return scope.check_coverage(requests, requested)
-
-
-# ============================================================ B: fingerprints and audit chain
-from ..functions import hashing  # noqa: E402
-from ..operators import chain as chainops  # noqa: E402
-
-
-@register("B1_case_fingerprint", f"""
-WITH {O.CONV_SOURCES},
-  leaf AS (SELECT case_id, pos, sha256({O.canon('source_id')} || {O.canon('text')}) AS leaf FROM src),
-  {O.merkle('leaf', 'case_id', 'pos', 'leaf')},
-  n AS (SELECT case_id, count(*) AS n FROM src GROUP BY case_id)
-SELECT hdr.case_id, sha256({O.canon('hdr.case_id')} || {O.canon('hdr.title')} || {O.canon('n.n')} || mtop.tree)
-         AS fingerprint
-FROM hdr JOIN n USING (case_id) JOIN mtop USING (case_id)
-""")
-def q_b1(spark, sf_dir):
-    headers, sources = fixtures.conversation_cases(spark, sf_dir)
-    return hashing.case_fingerprints(headers, sources)
-
-
-@register("B1_record_fingerprint", f"""
-SELECT doc_id, sha256({O.canon('lang')} || {O.canon('source')} || {O.canon('text')}) AS fingerprint FROM documents
-""")
-def q_b1r(spark, sf_dir):
-    d = fixtures.table(spark, sf_dir, "documents")
-    return d.select("doc_id", hashing.fingerprint("lang", "source", "text").alias("fingerprint"))
-
-
-@register("B2_idempotency_key", """
-SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id,
-       sha256('case:' || CAST(user_id AS VARCHAR)) || ':' || sha256('assessment:' || CAST(user_id AS VARCHAR))
-         AS idempotency_key
-FROM (SELECT DISTINCT user_id FROM events)
-""")
-def q_b2(spark, sf_dir):
-    st = fixtures.state_snapshot(spark, sf_dir)
-    return st.select("case_id", hashing.idempotency_key("case_fingerprint", "assessment_fp").alias("idempotency_key"))
-
-
-@register("B3_chain_append", f"""
-WITH RECURSIVE {O.AUDIT}
-SELECT chain, seq, prev AS previous_hash, h AS event_hash FROM chainh
-""")
-def q_b3(spark, sf_dir):
-    out = chainops.chain_append(fixtures.audit_events(spark, sf_dir))
-    return out.select("chain", "seq", "previous_hash", "event_hash")
-
-
-_TAMPER = "seq % 997 = 0"
-
-
-@register("B4_chain_verify", f"""
-WITH RECURSIVE {O.AUDIT},
-  tam AS (SELECT a.chain, a.seq, a.rn,
-                 CASE WHEN a.{_TAMPER} THEN 'tampered' ELSE a.event END AS event, a.case_id, a.props, a.ts_us,
-                 ch.prev, ch.h FROM aud a JOIN chainh ch USING (chain, rn)),
-  chk AS (SELECT *, sha256({O.record_canon_sql()} || '64:' || prev) = h AS self_ok,
-                 prev = coalesce(lag(h) OVER (PARTITION BY chain ORDER BY seq), repeat('0', 64)) AS link_ok
-          FROM tam)
-SELECT chain, bool_and(self_ok AND link_ok) AS valid, min(CASE WHEN NOT (self_ok AND link_ok) THEN seq END)
-         AS first_bad_seq, count(*) AS n
-FROM chk GROUP BY chain
-""")
-def q_b4(spark, sf_dir):
-    audit = chainops.chain_append(fixtures.audit_events(spark, sf_dir))
-    tampered = audit.withColumn("event", F.when(F.expr(_TAMPER), F.lit("tampered")).otherwise(F.col("event")))
-    return chainops.chain_verify(tampered).select("chain", "valid", "first_bad_seq",
-                                                  F.col("n").cast("bigint").alias("n"))
-
-
-@register("B5_chain_tail", f"""
-WITH RECURSIVE {O.AUDIT}
-SELECT chain, max(seq) AS last_seq, arg_max(h, seq) AS tail_hash FROM chainh GROUP BY chain
-""")
-def q_b5(spark, sf_dir):
-    return chainops.chain_tail(chainops.chain_append(fixtures.audit_events(spark, sf_dir)))
-
-
-# ============================================================ G: workflow
-def _allowed_sql(a: str, b: str) -> str:
-    m = workflow.transition_matrix()
-    return "(" + " OR ".join(f"({a} = {i} AND {b} = {j})" for i, row in enumerate(m)
-                             for j, ok in enumerate(row) if ok) + ")"
-
-
-_STATE_NAMES = "(['received', 'pending_approval', 'approved', 'published', 'rejected', 'failed'])"
-_EV_STATE_ID = ("CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 "
-                "WHEN 'purchase' THEN 4 WHEN 'error' THEN 6 END")
-_FOLD_SQL = f"""
-  ev AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id, event_id AS seq, {_EV_STATE_ID} AS t,
-                row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
-  f(case_id, rn, seq, t, st_before, st) AS (
-    SELECT case_id, 0, NULL::BIGINT, NULL::INTEGER, 0, 0 FROM (SELECT DISTINCT case_id FROM ev)
-    UNION ALL
-    SELECT e.case_id, e.rn, e.seq, e.t, f.st, CASE WHEN {_allowed_sql('f.st', 'e.t')} THEN e.t ELSE f.st END
-    FROM f JOIN ev e ON e.case_id = f.case_id AND e.rn = f.rn + 1),
-  folded AS (SELECT case_id, seq, {_STATE_NAMES}[t] AS to_state,
-                    CASE WHEN st_before > 0 THEN {_STATE_NAMES}[st_before] END AS from_state,
-                    CASE WHEN st > 0 THEN {_STATE_NAMES}[st] END AS state,
-                    {_allowed_sql('st_before', 't')} AS accepted
-             FROM f WHERE rn > 0)"""
-
-
-@register("G4_fold_states", f"""
-WITH RECURSIVE {_FOLD_SQL}
-SELECT case_id, seq, to_state, from_state, state, accepted FROM folded
-""")
-def q_g4(spark, sf_dir):
-    return workflow.fold_states(fixtures.transitions(spark, sf_dir))
-
-
-@register("G4_final_states", f"""
-WITH RECURSIVE {_FOLD_SQL}
-SELECT case_id, arg_max(state, seq) AS state, CAST(sum(CASE WHEN accepted THEN 1 ELSE 0 END) AS BIGINT) AS accepted,
-       CAST(sum(CASE WHEN accepted THEN 0 ELSE 1 END) AS BIGINT) AS rejected
-FROM folded GROUP BY case_id
-""")
-def q_g4f(spark, sf_dir):
-    return workflow.final_states(workflow.fold_states(fixtures.transitions(spark, sf_dir)))
-
-
-_SUBMISSIONS = f"""
-  sub AS (SELECT 'cust-' || CAST(o_custkey AS VARCHAR) AS case_id, o_orderkey AS seq,
-                 sha256({O.canon('o_orderpriority')} || {O.canon('o_orderstatus')}) AS fp FROM orders)"""
-
-
-@register("G1_admit", f"""
-WITH {_SUBMISSIONS},
-  first AS (SELECT case_id, arg_min(fp, seq) AS stored FROM sub GROUP BY case_id),
-  fm AS (SELECT s.case_id, min(s.seq) AS first_match FROM sub s JOIN first f USING (case_id)
-         WHERE s.fp = f.stored GROUP BY s.case_id)
-SELECT s.case_id, s.seq, s.fp AS fingerprint,
-       CASE WHEN s.fp <> f.stored THEN 'conflict' WHEN s.seq = fm.first_match THEN 'new' ELSE 'deduplicated' END
-         AS admission
-FROM sub s JOIN first f USING (case_id) LEFT JOIN fm USING (case_id)
-""")
-def q_g1(spark, sf_dir):
-    return workflow.admit(fixtures.submissions(spark, sf_dir))
-
-
-@register("G1_admit_with_state", f"""
-WITH {_SUBMISSIONS},
-  st AS (SELECT 'cust-' || CAST(c_custkey AS VARCHAR) AS case_id,
-                sha256({O.canon("'1-URGENT'")} || {O.canon("'O'")}) AS st_fp,
-                CASE WHEN c_custkey % 10 = 0 THEN 'failed' ELSE 'pending_approval' END AS st_state
-         FROM customer WHERE c_custkey % 5 = 0),
-  first AS (SELECT case_id, coalesce(st.st_fp, arg_min(fp, seq)) AS stored, st.st_state
-            FROM sub LEFT JOIN st USING (case_id) GROUP BY case_id, st.st_fp, st.st_state),
-  fm AS (SELECT s.case_id, min(s.seq) AS first_match FROM sub s JOIN first f USING (case_id)
-         WHERE s.fp = f.stored GROUP BY s.case_id)
-SELECT s.case_id, s.seq, s.fp AS fingerprint,
-       CASE WHEN s.fp <> f.stored THEN 'conflict'
-            WHEN s.seq = fm.first_match AND f.st_state IS NULL THEN 'new'
-            WHEN s.seq = fm.first_match AND f.st_state = 'failed' THEN 'retried'
-            ELSE 'deduplicated' END AS admission
-FROM sub s JOIN first f USING (case_id) LEFT JOIN fm USING (case_id)
-""")
-def q_g1s(spark, sf_dir):
-    return workflow.admit(fixtures.submissions(spark, sf_dir), fixtures.submission_state(spark, sf_dir))
-
-
-_ATTEMPTS = """
-  att AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id,
-                 row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt,
-                 CASE event_type WHEN 'error' THEN 'transient' WHEN 'purchase' THEN 'permanent' ELSE 'success' END
-                   AS outcome FROM events)"""
-
-
-@register("G2_retry_outcome", f"""
-WITH {_ATTEMPTS},
-  a AS (SELECT case_id, min(CASE WHEN outcome <> 'transient' THEN attempt END) AS dec,
-               arg_min(CASE WHEN outcome <> 'transient' THEN outcome END,
-                       CASE WHEN outcome <> 'transient' THEN attempt END) AS dec_outcome,
-               sum(CASE WHEN outcome = 'transient' THEN 1 ELSE 0 END) AS nt
-        FROM att WHERE attempt <= 3 GROUP BY case_id),
-  b AS (SELECT *, CASE WHEN dec_outcome = 'success' THEN 'pending_approval' WHEN dec_outcome IS NOT NULL THEN 'failed'
-                       WHEN nt >= 3 THEN 'failed' ELSE 'retrying' END AS final_state FROM a)
-SELECT case_id, final_state, CAST(CASE WHEN dec IS NOT NULL THEN dec - 1 ELSE nt END AS BIGINT) AS provider_retries,
-       CAST(CASE WHEN final_state = 'failed' THEN 1 ELSE 0 END AS BIGINT) AS failure_events,
-       CAST(coalesce(dec, nt) AS BIGINT) AS attempts_used
-FROM b
-""")
-def q_g2(spark, sf_dir):
-    return workflow.retry_outcome(fixtures.attempts(spark, sf_dir))
-
-
-@register("G3_backoff_schedule", f"""
-WITH {_ATTEMPTS},
-  d AS (SELECT case_id, min(CASE WHEN outcome <> 'transient' THEN attempt END) AS dec FROM att WHERE attempt <= 3
-        GROUP BY case_id),
-  a AS (SELECT att.*, CASE WHEN outcome = 'transient' AND attempt < 3 THEN 0.01::DOUBLE * pow(2.0, attempt - 1) END
-                 AS delay_s
-        FROM att JOIN d USING (case_id) WHERE attempt <= 3 AND (d.dec IS NULL OR attempt <= d.dec))
-SELECT case_id, CAST(attempt AS BIGINT) AS attempt, outcome, delay_s,
-       coalesce(sum(delay_s) OVER (PARTITION BY case_id ORDER BY attempt
-                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0) AS cumulative_wait_s
-FROM a
-""")
-def q_g3(spark, sf_dir):
-    return workflow.backoff_schedule(fixtures.attempts(spark, sf_dir))
-
-
-_SNAPSHOT = """
-  last AS (SELECT user_id, arg_max(event_type, event_id) AS lt, max(event_id) AS updated_seq FROM events GROUP BY user_id),
-  snap AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id,
-                  sha256('case:' || CAST(user_id AS VARCHAR)) AS case_fingerprint,
-                  CASE lt WHEN 'signup' THEN 'received' WHEN 'view' THEN 'pending_approval' WHEN 'click' THEN 'approved'
-                          WHEN 'purchase' THEN 'published' WHEN 'error' THEN 'failed' END AS state,
-                  (['low', 'medium', 'high', 'critical'])[user_id % 4 + 1] AS risk,
-                  sha256('assessment:' || CAST(user_id AS VARCHAR)) AS assessment_fp,
-                  CASE WHEN lt IN ('click', 'purchase') THEN 'rev-' || CAST(user_id % 5 AS VARCHAR) END AS reviewer,
-                  CASE WHEN lt = 'purchase' THEN 'file:handoff/approved-'
-                       || substring(sha256('user-' || CAST(user_id AS VARCHAR)), 1, 20) || '.json' END AS receipt,
-                  updated_seq
-           FROM last)"""
-
-_DECISIONS = ("CASE WHEN value < 100 THEN ' ' ELSE 'rev-' || CAST(event_id % 5 AS STRING) END")
-
-
-@register("G5_approve", f"""
-WITH {_SNAPSHOT},
-  dec AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id, event_id AS seq, {_DECISIONS} AS reviewer
-          FROM events WHERE event_type = 'view'
-          UNION ALL SELECT 'ghost-' || CAST(event_id AS VARCHAR), event_id, 'rev-1' FROM events WHERE event_id % 500 = 0),
-  d AS (SELECT dec.*, snap.state AS st FROM dec LEFT JOIN snap USING (case_id)),
-  ok AS (SELECT case_id, min(seq) AS ok_seq FROM d
-         WHERE st = 'pending_approval' AND NOT {O.blank('reviewer')} GROUP BY case_id),
-  e AS (SELECT d.*, CASE WHEN ok.ok_seq IS NOT NULL AND d.seq > ok.ok_seq THEN 'approved' ELSE d.st END AS eff
-        FROM d LEFT JOIN ok USING (case_id))
-SELECT case_id, seq, reviewer,
-       CASE WHEN st IS NULL THEN 'error' WHEN eff = 'published' THEN 'noop' WHEN eff <> 'pending_approval' THEN 'error'
-            WHEN {O.blank('reviewer')} THEN 'error' ELSE 'approved' END AS outcome,
-       CASE WHEN st IS NULL THEN 'unknown case_id: ' || case_id WHEN eff = 'published' THEN NULL
-            WHEN eff <> 'pending_approval' THEN 'cannot approve a case in state ' || eff
-            WHEN {O.blank('reviewer')} THEN 'a named reviewer is required' END AS message
-FROM e
-""")
-def q_g5(spark, sf_dir):
-    ev = fixtures.table(spark, sf_dir, "events")
-    dec = ev.where(F.col("event_type") == "view").select(
-        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"),
-        F.col("event_id").alias("seq"), F.expr(_DECISIONS).alias("reviewer")).unionByName(
-        ev.where(F.col("event_id") % 500 == 0).select(
-            F.concat(F.lit("ghost-"), F.col("event_id").cast("string")).alias("case_id"),
-            F.col("event_id").alias("seq"), F.lit("rev-1").alias("reviewer")))
-    return workflow.approve(fixtures.state_snapshot(spark, sf_dir), dec)
-
-
-@register("G6_publish", f"""
-WITH {_SNAPSHOT},
-  rq AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id, event_id AS seq FROM events
-         WHERE event_type IN ('purchase', 'click')),
-  exported AS (SELECT case_fingerprint || ':' || assessment_fp AS k FROM snap
-               WHERE CAST(substring(case_id, 6) AS BIGINT) % 4 = 0),
-  r AS (SELECT rq.*, snap.state AS st, snap.receipt AS old, snap.case_fingerprint || ':' || snap.assessment_fp AS k
-        FROM rq LEFT JOIN snap USING (case_id)),
-  fst AS (SELECT case_id, min(seq) AS f FROM r WHERE st = 'approved' GROUP BY case_id),
-  o AS (SELECT r.*, fst.f,
-               CASE WHEN st IS NULL THEN 'error' WHEN st = 'published' THEN 'deduplicated'
-                    WHEN fst.f IS NOT NULL AND seq = fst.f THEN 'published'
-                    WHEN fst.f IS NOT NULL THEN 'deduplicated' ELSE 'blocked' END AS outcome,
-               'file:handoff/approved-' || substring(sha256(case_id), 1, 20) || '.json' AS nr
-        FROM r LEFT JOIN fst USING (case_id))
-SELECT case_id, seq, outcome,
-       CASE WHEN outcome = 'published' THEN nr WHEN st = 'published' THEN old WHEN outcome = 'deduplicated' THEN nr END
-         AS receipt,
-       k AS idempotency_key,
-       outcome = 'published' AND k NOT IN (SELECT k FROM exported) AS export
-FROM o
-""")
-def q_g6(spark, sf_dir):
-    ev = fixtures.table(spark, sf_dir, "events")
-    rq = ev.where(F.col("event_type").isin("purchase", "click")).select(
-        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"), F.col("event_id").alias("seq"))
-    snap = fixtures.state_snapshot(spark, sf_dir)
-    exported = snap.where(F.substring("case_id", 6, 100).cast("bigint") % 4 == 0).select(
-        hashing.idempotency_key("case_fingerprint", "assessment_fp").alias("idempotency_key"))
-    return workflow.publish(snap, rq, exported).select("case_id", "seq", "outcome", "receipt",
-                                                         "idempotency_key", "export")
-
-
-@register("G8_case_summaries", f"""
-WITH {_SNAPSHOT}
-SELECT case_id, state, risk, reviewer, updated_seq FROM snap
-""")
-def q_g8(spark, sf_dir):
-    return workflow.case_summaries(fixtures.state_snapshot(spark, sf_dir))
-
-
-@register("G9_lookup", f"""
-WITH {_SNAPSHOT}
-SELECT w.case_id, snap.state, snap.risk,
-       CASE WHEN snap.state IS NULL THEN 'unknown case_id: ' || w.case_id END AS error
-FROM (SELECT 'user-' || CAST(c_custkey AS VARCHAR) AS case_id FROM customer) w LEFT JOIN snap USING (case_id)
-""")
-def q_g9(spark, sf_dir):
-    wanted = fixtures.table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("user-"), F.col("c_custkey").cast("string")).alias("case_id"))
-    return workflow.lookup(fixtures.state_snapshot(spark, sf_dir), wanted).select("case_id", "state", "risk", "error")
-
-
-# ============================================================ F2 / F3 / H: evaluation
-from ..operators import evaluate, measure  # noqa: E402
-
-
-def _f3_sql(off: int) -> str:
-    return f"""
-  e AS (SELECT vec_id AS key, 'c' || CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS lg FROM embeddings),
-  c AS (SELECT *, [greatest(lg[i + {off + 1}], lg[i + {off + 11}]) FOR i IN range(10)] AS cls FROM e),
-  m AS (SELECT *, list_max(cls) AS mx FROM c),
-  x AS (SELECT *, [exp(v - mx) FOR v IN cls] AS ex, list_position(cls, mx) AS k FROM m),
-  pr AS (SELECT key, label, 'c' || CAST(k - 1 AS VARCHAR) AS pred, ex[k] / list_sum(ex) AS confidence,
-                list_position(lg, list_max(lg)) - 1 AS top_id FROM x),
-  preds AS (SELECT key, label, pred, confidence, pred = label AS correct,
-                   (top_id % 20 < 10 OR top_id IN ({', '.join(str(i) for i in range(off, off + 20))}))
-                   AND top_id >= {off} AND top_id < {off + 20} AS free_top_is_letter FROM pr)"""
-
-
-@register("F3_constrained_classify", f"""
-WITH {_f3_sql(0)}
-SELECT key, label, pred, round(confidence, 6) AS confidence, correct, free_top_is_letter FROM preds
-""")
-def q_f3(spark, sf_dir):
-    return fixtures.predictions(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
-
-
-@register("H2_accuracy", f"""
-WITH {_f3_sql(0)}
-SELECT count(*) AS n, avg(CAST(correct AS DOUBLE)) AS accuracy, round(avg(confidence), 6) AS mean_confidence,
-       avg(CAST(free_top_is_letter AS DOUBLE)) AS letter_rate FROM preds
-""")
-def q_h2(spark, sf_dir):
-    return evaluate.accuracy(fixtures.predictions(spark, sf_dir)).withColumn(
-        "mean_confidence", F.round("mean_confidence", 6))
-
-
-_LABELS_SQL = "(SELECT unnest(['c0','c1','c2','c3','c4','c5','c6','c7','c8','c9']) AS c)"
-
-
-@register("H3_confusion", f"""
-WITH {_f3_sql(0)},
-  cnt AS (SELECT label, pred, count(*) AS n FROM preds GROUP BY ALL)
-SELECT a.c AS label, b.c AS pred, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n
-FROM {_LABELS_SQL} a JOIN {_LABELS_SQL} b ON TRUE LEFT JOIN cnt ON cnt.label = a.c AND cnt.pred = b.c
-""")
-def q_h3(spark, sf_dir):
-    return evaluate.confusion(fixtures.predictions(spark, sf_dir), fixtures.CLASS_NAMES)
-
-
-_PER_CLASS_SQL = f"""
-  pc AS (SELECT l.c AS label,
-                sum(CASE WHEN p.pred = l.c AND p.label = l.c THEN 1 ELSE 0 END)::DOUBLE AS tp,
-                sum(CASE WHEN p.pred = l.c AND p.label <> l.c THEN 1 ELSE 0 END)::DOUBLE AS fp,
-                sum(CASE WHEN p.pred <> l.c AND p.label = l.c THEN 1 ELSE 0 END)::DOUBLE AS fn
-         FROM {_LABELS_SQL} l JOIN preds p ON TRUE GROUP BY l.c),
-  prc AS (SELECT label, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
-                CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM pc),
-  f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END
-                  AS f1 FROM prc)"""
-
-
-@register("H4_per_class", f"""
-WITH {_f3_sql(0)}, {_PER_CLASS_SQL}
-SELECT label, precision, recall, f1, CAST(tp + fn AS BIGINT) AS support FROM f
-""")
-def q_h4(spark, sf_dir):
-    return evaluate.per_class(fixtures.predictions(spark, sf_dir), fixtures.CLASS_NAMES)
-
-
-@register("H5_macro_f1", f"""
-WITH {_f3_sql(0)}, {_PER_CLASS_SQL}
-SELECT round(avg(f1), 6) AS macro_f1 FROM f
-""")
-def q_h5(spark, sf_dir):
-    return evaluate.macro_f1(evaluate.per_class(fixtures.predictions(spark, sf_dir), fixtures.CLASS_NAMES)).select(
-        F.round("macro_f1", 6).alias("macro_f1"))
-
-
-_SCORED = """
-  sc AS (SELECT event_id AS key, value > 50 AS correct, (user_id % 100) / 100 AS confidence FROM events),
-  rk AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, key) AS rank, count(*) OVER () AS n FROM sc)"""
-
-
-@register("H6_selective_accuracy", f"""
-WITH {_SCORED},
-  k AS (SELECT max(n) AS n, CAST(round_even(0.9::DOUBLE * max(n), 0) AS BIGINT) AS k FROM rk)
-SELECT k.n, k.k,
-       coalesce(sum(CASE WHEN rank <= k.k THEN CAST(correct AS DOUBLE) END) / greatest(k.k, 1), 0.0)
-         AS selective_accuracy,
-       coalesce(sum(CASE WHEN rank > k.k THEN CAST(correct AS DOUBLE) END), 0.0) / greatest(k.n - k.k, 1)
-         AS abstained_accuracy
-FROM rk, k GROUP BY k.n, k.k
-""")
-def q_h6(spark, sf_dir):
-    return evaluate.selective_accuracy(fixtures.scored(spark, sf_dir), 0.9, "key")
-
-
-@register("H7_risk_coverage", f"""
-WITH {_SCORED},
-  cov AS (SELECT unnest([1.0, 0.95, 0.9, 0.8, 0.7, 0.5]::DOUBLE[]) AS coverage),
-  ks AS (SELECT coverage, greatest(1, CAST(round_even(coverage * (SELECT count(*) FROM sc), 0) AS BIGINT)) AS kept,
-                (SELECT count(*) FROM sc) AS n FROM cov)
-SELECT ks.coverage, ks.kept,
-       max(CASE WHEN rank = ks.kept THEN confidence END) AS threshold,
-       sum(CASE WHEN rank <= ks.kept THEN CAST(correct AS DOUBLE) END) / ks.kept AS selective_accuracy,
-       CASE WHEN ks.n > ks.kept THEN sum(CASE WHEN rank > ks.kept THEN CAST(correct AS DOUBLE) END) / (ks.n - ks.kept)
-       END AS abstained_accuracy
-FROM ks JOIN rk ON TRUE GROUP BY ks.coverage, ks.kept, ks.n
-""")
-def q_h7(spark, sf_dir):
-    return evaluate.risk_coverage(fixtures.scored(spark, sf_dir), tie_break="key")
-
-
-@register("H8_ece", f"""
-WITH {_SCORED},
-  b AS (SELECT least(9, CAST(floor(confidence * 10.0) AS INTEGER)) AS bin, count(*) AS nb,
-               avg(CAST(correct AS DOUBLE)) AS acc, avg(confidence) AS conf FROM sc GROUP BY 1)
-SELECT round(sum(nb * abs(acc - conf)) / sum(nb), 6) AS ece FROM b
-""")
-def q_h8(spark, sf_dir):
-    return evaluate.ece(fixtures.scored(spark, sf_dir)).select(F.round("ece", 6).alias("ece"))
-
-
-@register("H9_brier", f"""
-WITH {_SCORED}
-SELECT round(avg(pow(confidence - CAST(correct AS DOUBLE), 2)), 6) AS brier FROM sc
-""")
-def q_h9(spark, sf_dir):
-    return evaluate.brier(fixtures.scored(spark, sf_dir)).select(F.round("brier", 6).alias("brier"))
-
-
-@register("H10_compare_runs", f"""
-WITH {_f3_sql(0)}, b AS (SELECT * FROM preds),
-  {_f3_sql(20).replace('e AS (', 'e2 AS (').replace('FROM e)', 'FROM e2)').replace('c AS (', 'c2 AS (')
-   .replace('FROM c)', 'FROM c2)').replace('m AS (', 'm2 AS (').replace('FROM m)', 'FROM m2)')
-   .replace('x AS (', 'x2 AS (').replace('FROM x)', 'FROM x2)').replace('pr AS (', 'pr2 AS (')
-   .replace('FROM pr)', 'FROM pr2)').replace('preds AS (', 'preds2 AS (')},
-  j AS (SELECT b.pred AS pa, b.confidence AS ca, p2.pred AS pb, p2.confidence AS cb
-        FROM b JOIN preds2 p2 USING (key))
-SELECT bool_and(pa = pb) AS identical_predictions, max(abs(ca - cb)) AS max_abs_conf_delta,
-       bool_and(pa = pb AND ca = cb) AS identical_content, CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b
-FROM j
-""")
-def q_h10(spark, sf_dir):
-    return evaluate.compare_runs(fixtures.predictions(spark, sf_dir, "a"), fixtures.predictions(spark, sf_dir, "b"))
-
-
-def _f1_sql(off: int, sfx: str) -> str:
-    body = _f3_sql(off) + "," + _PER_CLASS_SQL
-    for name in ("e", "c", "m", "x", "pr", "preds", "pc", "prc", "f"):
-        body = body.replace(f"  {name} AS (", f"  {name}{sfx} AS (")
-        for tail in (")", ",", " ", "\n"):
-            body = body.replace(f"FROM {name}{tail}", f"FROM {name}{sfx}{tail}")
-            body = body.replace(f"JOIN {name} ", f"JOIN {name}{sfx} ")
-    return body
-
-
-@register("H11_acceptance", f"""
-WITH {_f1_sql(20, '_b')}, {_f1_sql(0, '_t')},
-  s AS (SELECT (SELECT avg(f1) FROM f_b) AS base, (SELECT avg(f1) FROM f_t) AS tuned)
-SELECT round(base, 6) AS base, round(tuned, 6) AS tuned, round((tuned - base) * 100.0, 6) AS delta_points,
-       CASE WHEN (tuned - base) * 100.0 >= 10.0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM s
-""")
-def q_h11(spark, sf_dir):
-    base = evaluate.macro_f1(evaluate.per_class(fixtures.predictions(spark, sf_dir, "b"), fixtures.CLASS_NAMES))
-    tuned = evaluate.macro_f1(evaluate.per_class(fixtures.predictions(spark, sf_dir, "a"), fixtures.CLASS_NAMES))
-    return evaluate.acceptance(base, tuned).select(
-        *[F.round(c, 6).alias(c) for c in ("base", "tuned", "delta_points")], "verdict")
-
-
-@register("H12_running_accuracy", f"""
-WITH sc AS (SELECT event_id AS key, value > 50 AS correct FROM events),
-  r AS (SELECT row_number() OVER (ORDER BY key) AS row,
-               sum(CAST(correct AS DOUBLE)) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
-               count(*) OVER () AS n FROM sc)
-SELECT row, cum / row AS running_accuracy FROM r WHERE row % 25 = 0 OR row = n
-""")
-def q_h12(spark, sf_dir):
-    return evaluate.running_accuracy(fixtures.scored(spark, sf_dir), [F.col("key")])
-
-
-_SPLIT_SQL = """
-  it AS (SELECT vec_id, label, sha256('42:' || CAST(vec_id AS VARCHAR)) AS h FROM embeddings),
-  r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, vec_id) AS rn,
-               count(*) OVER (PARTITION BY label) AS n FROM it),
-  sp AS (SELECT vec_id, CAST(label AS BIGINT) AS label,
-                CASE WHEN rn <= floor(0.7::DOUBLE * n) THEN 'train'
-                     WHEN rn <= floor(0.7::DOUBLE * n) + floor(0.1::DOUBLE * n) THEN 'val' ELSE 'test' END AS split
-         FROM r)"""
-
-
-@register("H13_stratified_split", f"""
-WITH {_SPLIT_SQL}
-SELECT vec_id, label, split FROM sp
-""")
-def q_h13(spark, sf_dir):
-    e = fixtures.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("label"))
-    return evaluate.stratified_split(e, "label", "vec_id").select("vec_id", "label", "split")
-
-
-@register("H14_split_counts", f"""
-WITH {_SPLIT_SQL}
-SELECT coalesce(CAST(label AS VARCHAR), '*') AS label, coalesce(split, '*') AS split, count(*) AS n
-FROM sp GROUP BY ROLLUP (label, split)
-""")
-def q_h14(spark, sf_dir):
-    e = fixtures.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("label"))
-    return evaluate.split_counts(evaluate.stratified_split(e, "label", "vec_id"))
-
-
-_MANIFEST_SQL = """
-  man AS (SELECT 'docs/' || CAST(doc_id AS VARCHAR) AS path, lang AS label,
-                 CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 = 7 THEN 'val' ELSE 'test' END AS split,
-                 sha256(text) AS sha256 FROM documents WHERE doc_id % 20 <> 0),
-  act AS (SELECT 'docs/' || CAST(doc_id AS VARCHAR) AS path,
-                 CASE WHEN doc_id % 10 = 7 THEN sha256(text || '!') ELSE sha256(text) END AS sha256
-          FROM documents WHERE doc_id % 10 <> 3)"""
-
-
-@register("H15_verify_manifest", f"""
-WITH {_MANIFEST_SQL}
-SELECT coalesce(man.path, act.path) AS path,
-       CASE WHEN act.path IS NULL THEN 'missing' WHEN man.path IS NULL THEN 'extra'
-            WHEN man.sha256 = act.sha256 THEN 'ok' ELSE 'changed' END AS status
-FROM man FULL OUTER JOIN act ON man.path = act.path
-""")
-def q_h15(spark, sf_dir):
-    m, a = fixtures.doc_manifest(spark, sf_dir)
-    return evaluate.verify_manifest(m, a)
-
-
-@register("H16_duplicate_content", f"""
-WITH {_MANIFEST_SQL},
-  g AS (SELECT sha256, count(*) AS n_paths, list_sort(list_distinct(list(split))) AS s FROM man GROUP BY sha256)
-SELECT sha256, n_paths, array_to_string(s, ',') AS splits, len(s) > 1 AS leakage FROM g WHERE n_paths > 1
-""")
-def q_h16(spark, sf_dir):
-    m, _ = fixtures.doc_manifest(spark, sf_dir)
-    return evaluate.duplicate_content(m)
-
-
-@register("H17_train_curve", """
-SELECT user_id AS run, count(*) AS steps, max(event_id) AS last_step, arg_max(value / 100, event_id) AS last_loss,
-       round(avg(value / 100), 6) AS mean_loss, min(value / 100) AS min_loss
-FROM events GROUP BY user_id
-""")
-def q_h17(spark, sf_dir):
-    ev = fixtures.table(spark, sf_dir, "events")
-    log = ev.select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), (F.col("value") / 100).alias("loss"))
-    return evaluate.train_curve(log).withColumn("mean_loss", F.round("mean_loss", 6))
-
-
-@register("H1_golden_eval", f"""
-WITH g AS (SELECT CAST(doc_id AS VARCHAR) AS case_id,
-                  CASE WHEN toxic = 1 THEN 'critical' WHEN quality = 0 THEN 'high' ELSE 'low' END AS expected FROM labels),
-  d AS (SELECT CAST(doc_id AS VARCHAR) AS case_id, text, source FROM documents),
-  v AS (SELECT case_id,
-          CASE WHEN contains(lower(text), 'credential leak') OR contains(lower(text), 'remote code')
-                    OR contains(lower(text), 'critical') THEN 'critical'
-               WHEN contains(lower(text), 'failed') OR contains(lower(text), 'exposed')
-                    OR contains(lower(text), 'unauthorized') THEN 'high'
-               WHEN contains(lower(text), 'warning') OR contains(lower(text), 'stale')
-                    OR contains(lower(text), 'degraded') THEN 'medium' ELSE 'low' END AS risk,
-          {O.blank('source')} OR {O.blank('text')} OR length(text) > 100000 AS rejected
-        FROM d)
-SELECT count(*) AS cases,
-       coalesce(avg(CASE WHEN NOT coalesce(v.rejected, true) AND v.risk = g.expected THEN 1.0 ELSE 0.0 END), 0.0)
-         AS risk_accuracy,
-       coalesce(avg(CASE WHEN NOT coalesce(v.rejected, true) THEN 1.0 ELSE 0.0 END), 0.0) AS citation_validity
-FROM g LEFT JOIN v USING (case_id)
-""")
-def q_h1(spark, sf_dir):
-    headers, sources, golden = fixtures.document_cases(spark, sf_dir)
-    assessed = workflow.analyze(headers, sources)
-    ok = assessed.where(F.col("input_reason").isNull())
-    return evaluate.golden_eval(ok, golden)
-
-
-# ============================================================ I: measurement
-def _round_summary(df):
-    return df.select("n", F.round("median_pct", 6).alias("median_pct"), F.round("p95_pct", 6).alias("p95_pct"),
-                     "verdict")
-
-
-_MEAS_SQL = r"""
-  res AS (SELECT CASE WHEN l_linenumber = 7 THEN 'img_P' || CAST(l_partkey AS VARCHAR) || 'x.png'
-                      ELSE printf('d%d_a%d_%s_r%d-%d-%d_P%dx.png', l_orderkey % 900 + 100, l_linenumber * 15 % 90,
-                                  CASE WHEN l_returnflag = 'A' THEN 'lamp' ELSE 'sun' END, l_orderkey, l_linenumber,
-                                  l_suppkey, l_partkey) END AS image,
-                 l_extendedprice / l_quantity AS measured_mm, l_partkey FROM lineitem),
-  tr AS (SELECT 'P' || CAST(p_partkey AS VARCHAR) || 'x' AS object, p_retailprice AS true_mm, p_partkey FROM part),
-  m AS (SELECT res.image, res.measured_mm, tr.object, tr.true_mm FROM res JOIN tr ON tr.p_partkey = res.l_partkey),
-  pm AS (SELECT *, regexp_extract(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)', 1) AS dist,
-                regexp_extract(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)', 2) AS angle,
-                regexp_extract(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)', 3) AS light,
-                regexp_extract(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)', 4) AS "repeat"
-         FROM m WHERE regexp_matches(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)')),
-  errs AS (SELECT *, measured_mm - true_mm AS err_mm, 100.0 * abs(measured_mm - true_mm) / true_mm AS rel_pct FROM pm)"""
-
-
-@register("I3_measurement_errors", f"""
-WITH {_MEAS_SQL}
-SELECT image, object, dist, angle, light, "repeat", measured_mm, true_mm, err_mm, rel_pct FROM errs
-""")
-def q_i3(spark, sf_dir):
-    return measure.measurement_errors(fixtures.measurement_results(spark, sf_dir),
-                                      fixtures.measurement_truth(spark, sf_dir))
-
-
-@register("I2_parse_condition", r"""
-WITH res AS (SELECT CASE WHEN l_linenumber = 7 THEN 'img_P' || CAST(l_partkey AS VARCHAR) || 'x.png'
-                      ELSE printf('d%d_a%d_%s_r%d-%d-%d_P%dx.png', l_orderkey % 900 + 100, l_linenumber * 15 % 90,
-                                  CASE WHEN l_returnflag = 'A' THEN 'lamp' ELSE 'sun' END, l_orderkey, l_linenumber,
-                                  l_suppkey, l_partkey) END AS image FROM lineitem)
-SELECT image, regexp_extract(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)', 1) AS dist,
-       regexp_extract(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)', 2) AS angle,
-       regexp_extract(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)', 3) AS light,
-       regexp_extract(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)', 4) AS "repeat"
-FROM res WHERE regexp_matches(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)')
-""")
-def q_i2(spark, sf_dir):
-    return measure.parse_condition(fixtures.measurement_results(spark, sf_dir)).select(
-        "image", "dist", "angle", "light", "repeat")
-
-
-@register("I4_error_summary", f"""
-WITH {_MEAS_SQL},
-  r AS (SELECT rel_pct, row_number() OVER (ORDER BY rel_pct, image) AS rn, count(*) OVER () AS n FROM errs),
-  s AS (SELECT max(n) AS n, quantile_cont(rel_pct, 0.5) AS median_pct,
-               max(CASE WHEN rn = least(n - 1, CAST(floor(0.95::DOUBLE * n) AS BIGINT)) + 1 THEN rel_pct END) AS p95_pct
-        FROM r)
-SELECT n, round(median_pct, 6) AS median_pct, round(p95_pct, 6) AS p95_pct,
-       CASE WHEN median_pct <= 2.0 AND p95_pct <= 4.0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM s
-""")
-def q_i4(spark, sf_dir):
-    errs = measure.measurement_errors(fixtures.measurement_results(spark, sf_dir),
-                                      fixtures.measurement_truth(spark, sf_dir))
-    return _round_summary(measure.error_summary(errs))
-
-
-@register("I1_plane_distance", """
-WITH e AS (SELECT vec_id AS image, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-  p AS (SELECT image,
-               [1.0 + v[1] * 0.01, v[2] * 0.01, v[3], v[4] * 0.01, 1.0 + v[5] * 0.01, v[6], v[7] * 0.001,
-                v[8] * 0.001, 1.0]::DOUBLE[] AS h,
-               v[11] * 100 + 500 AS x1, v[12] * 100 + 500 AS y1, v[13] * 100 + 500 AS x2, v[14] * 100 + 500 AS y2
-        FROM e),
-  q AS (SELECT image,
-               (h[1] * x1 + h[2] * y1 + h[3]) / (h[7] * x1 + h[8] * y1 + h[9]) AS u1,
-               (h[4] * x1 + h[5] * y1 + h[6]) / (h[7] * x1 + h[8] * y1 + h[9]) AS w1,
-               (h[1] * x2 + h[2] * y2 + h[3]) / (h[7] * x2 + h[8] * y2 + h[9]) AS u2,
-               (h[4] * x2 + h[5] * y2 + h[6]) / (h[7] * x2 + h[8] * y2 + h[9]) AS w2 FROM p)
-SELECT image, round(sqrt(pow(u1 - u2, 2) + pow(w1 - w2, 2)), 6) AS measured_mm FROM q
-""")
-def q_i1(spark, sf_dir):
-    pts, homs = fixtures.plane_points(spark, sf_dir)
-    return measure.plane_distance(pts, homs).withColumn("measured_mm", F.round("measured_mm", 6))
-
-
-@register("I5_reprojection_rms", """
-WITH e AS (SELECT label AS view, vec_id AS corner, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-  d AS (SELECT view, pow(v[1] - (v[1] + v[3] * 0.01), 2) + pow(v[2] - (v[2] + v[4] * 0.01), 2) AS d2 FROM e),
-  per AS (SELECT CAST(view AS VARCHAR) AS view, sqrt(avg(d2)) AS rms_px, count(*) AS points, sum(d2) AS s FROM d
-          GROUP BY view)
-SELECT view, round(rms_px, 6) AS rms_px, points, NULL::VARCHAR AS verdict FROM per
-UNION ALL
-SELECT '*', round(sqrt(sum(s) / sum(points)), 6), CAST(sum(points) AS BIGINT),
-       CASE WHEN count(*) >= 10 AND sqrt(sum(s) / sum(points)) <= 0.5 THEN 'PASS' ELSE 'FAIL' END FROM per
-""")
-def q_i5(spark, sf_dir):
-    obs, prj = fixtures.reprojection(spark, sf_dir)
-    return measure.reprojection_rms(obs, prj).withColumn("rms_px", F.round("rms_px", 6))
-
-
-# ============================================================ E2-E7, F2
-_RESP_SQL = f"""
-  rs AS (SELECT CAST(conv_id AS VARCHAR) AS case_id, turn + 1 AS attempt, turn, text, role,
-                (['low', 'medium', 'high', 'critical', 'severe'])[(conv_id + turn) % 5 + 1] AS risk0,
-                CASE WHEN (conv_id + turn) % 6 = 0 THEN 'The system is compliant with policy.'
-                     ELSE substring(text, 1, 60) END AS summary0,
-                CASE WHEN (conv_id + turn) % 7 = 0 THEN ['review', 'Certified '] ELSE [role] END AS labels0,
-                CASE WHEN turn % 3 = 0 THEN CAST((conv_id + turn) % 2 AS VARCHAR) || '.5'
-                     WHEN turn % 3 = 1 THEN '0.' || CAST((conv_id + turn) % 10 AS VARCHAR) ELSE 'high' END AS conf0,
-                NOT (turn = 0 AND conv_id % 4 = 0) AS is_json,
-                turn <> 1 AS has_cit
-         FROM conversations),
-  parsed AS (SELECT case_id, attempt, turn, text,
-                    CASE WHEN is_json THEN risk0 END AS risk, CASE WHEN is_json THEN summary0 END AS summary,
-                    CASE WHEN is_json THEN labels0 ELSE [] END AS labels,
-                    CASE WHEN is_json AND has_cit THEN 1 ELSE 0 END AS n_citations,
-                    CASE WHEN is_json THEN TRY_CAST(conf0 AS DOUBLE) END AS confidence,
-                    coalesce(is_json AND risk0 IN ('low', 'medium', 'high', 'critical') AND has_cit
-                             AND TRY_CAST(conf0 AS DOUBLE) IS NOT NULL, false) AS parse_ok
-             FROM rs)"""
-
-
-def _banned_sql(labels: str, summary: str) -> str:
-    lab = ", ".join(f"'{w}'" for w in validate.PROHIBITED_LABELS)
-    norm = f"lower(regexp_replace(regexp_replace({summary}, '{O.WS_RUN}', ' ', 'g'), '{O.STRIP}', '', 'g'))"
-    phrases = " OR ".join(f"contains({norm}, '{p}')" for p in validate.PROHIBITED_PHRASES)
-    return (f"CASE WHEN len(list_intersect([lower(regexp_replace(x, '{O.STRIP}', '', 'g')) FOR x IN {labels}], "
-            f"[{lab}])) > 0 THEN 'assessment contains a prohibited assurance label' "
-            f"WHEN coalesce({phrases}, false) THEN 'assessment contains a prohibited assurance claim' END")
-
-
-@register("E2_parse_assessments", f"""
-WITH {_RESP_SQL}
-SELECT case_id, attempt, parse_ok, risk, summary, n_citations, confidence FROM parsed
-""")
-def q_e2(spark, sf_dir):
-    p = validate.parse_assessments(fixtures.responses(spark, sf_dir))
-    return p.select("case_id", "attempt", "parse_ok", "risk", "summary",
-                    F.coalesce(F.size("citations"), F.lit(0)).cast("int").alias("n_citations"), "confidence")
-
-
-@register("E3_first_valid_attempt", f"""
-WITH {_RESP_SQL},
-  v AS (SELECT *, CASE WHEN NOT parse_ok THEN 'provider returned an invalid assessment'
-                       WHEN {_banned_sql('labels', 'summary')} IS NOT NULL
-                         THEN 'provider returned prohibited assurance semantics' END AS err
-        FROM parsed WHERE attempt <= 2),
-  a AS (SELECT case_id, min(CASE WHEN err IS NULL THEN attempt END) AS acc, max(attempt) AS last,
-               arg_max(err, attempt) AS last_err FROM v GROUP BY case_id)
-SELECT a.case_id, a.acc AS accepted_attempt, coalesce(a.acc, a.last) AS attempts_used,
-       CASE WHEN a.acc IS NULL THEN a.last_err END AS reason, v.risk
-FROM a LEFT JOIN v ON v.case_id = a.case_id AND v.attempt = a.acc
-""")
-def q_e3(spark, sf_dir):
-    p = validate.parse_assessments(fixtures.responses(spark, sf_dir))
-    out = validate.first_valid_attempt(p, lambda d: validate.prohibited_claims_reason(), max_repairs=1)
-    return out.select("case_id", "accepted_attempt", "attempts_used", "reason", "risk")
-
-
-@register("E6_prohibited_claims", f"""
-WITH {_RESP_SQL}
-SELECT case_id, attempt, {_banned_sql('labels', 'summary')} AS reason FROM parsed WHERE parse_ok
-""")
-def q_e6(spark, sf_dir):
-    p = validate.parse_assessments(fixtures.responses(spark, sf_dir)).where("parse_ok")
-    return p.select("case_id", "attempt", validate.prohibited_claims_reason().alias("reason"))
-
-
-_CITES = """
-  cit AS (SELECT CAST(conv_id AS VARCHAR) AS case_id, turn AS cpos,
-                 CASE WHEN turn % 3 = 0 THEN CAST(turn AS VARCHAR) WHEN turn % 3 = 1 THEN '99'
-                      ELSE CAST(turn - 1 AS VARCHAR) END AS source_id,
-                 substring(text, 3, 25) AS quote FROM conversations)"""
-
-
-@register("E5_ground_citations", f"""
-WITH {_CITES}, {O.CONV_SOURCES}
-SELECT cit.case_id, cit.cpos, cit.source_id,
-       CASE WHEN src.text IS NULL THEN 'unknown_source'
-            WHEN {O.blank('cit.quote')} OR NOT contains(src.text, cit.quote) THEN 'unresolved' ELSE 'ok' END AS status,
-       CASE WHEN src.text IS NULL THEN 'unknown citation source: ' || cit.source_id
-            WHEN {O.blank('cit.quote')} OR NOT contains(src.text, cit.quote)
-              THEN 'citation quote does not resolve in source: ' || cit.source_id END AS reason
-FROM cit LEFT JOIN src ON src.case_id = cit.case_id AND src.source_id = cit.source_id
-""")
-def q_e5(spark, sf_dir):
-    c = fixtures.table(spark, sf_dir, "conversations")
-    cites = c.select(
-        F.col("conv_id").cast("string").alias("case_id"), F.col("turn").alias("cpos"),
-        F.when(F.col("turn") % 3 == 0, F.col("turn").cast("string")).when(F.col("turn") % 3 == 1, F.lit("99"))
-        .otherwise((F.col("turn") - 1).cast("string")).alias("source_id"),
-        F.substring("text", 3, 25).alias("quote"))
-    _, sources = fixtures.conversation_cases(spark, sf_dir)
-    return validate.ground_citations(cites, sources)
-
-
-@register("E4_validate_assessments", f"""
-WITH {O.CONV_SOURCES},
-  a AS (SELECT CAST(conv_id AS VARCHAR) AS case_id,
-               CASE WHEN conv_id % 10 = 0 THEN '  ' ELSE 'summary ' || CAST(conv_id AS VARCHAR) END AS summary,
-               CASE WHEN conv_id % 7 = 0 THEN 1.5 ELSE 0.5 END::DOUBLE AS confidence FROM conversations
-        WHERE turn = 0),
-  c AS (SELECT CAST(conv_id AS VARCHAR) AS case_id, turn AS cpos,
-               CASE WHEN turn = 1 AND conv_id % 4 = 0 THEN '42' ELSE CAST(turn AS VARCHAR) END AS source_id,
-               CASE WHEN turn = 1 AND conv_id % 3 = 0 THEN 'nope' ELSE substring(text, 10, 20) END AS quote
-        FROM conversations WHERE turn < 2),
-  g AS (SELECT c.case_id, c.cpos,
-               CASE WHEN src.text IS NULL THEN 'unknown citation source: ' || c.source_id
-                    WHEN {O.blank('c.quote')} OR NOT contains(src.text, c.quote)
-                      THEN 'citation quote does not resolve in source: ' || c.source_id END AS reason
-        FROM c LEFT JOIN src ON src.case_id = c.case_id AND src.source_id = c.source_id),
-  fb AS (SELECT case_id, arg_min(reason, cpos) AS cr FROM g WHERE reason IS NOT NULL GROUP BY case_id)
-SELECT a.case_id,
-       CASE WHEN {O.blank('a.summary')} THEN 'assessment summary is required'
-            WHEN a.confidence < 0 OR a.confidence > 1 THEN 'confidence must be between 0 and 1'
-            ELSE fb.cr END AS reason
-FROM a LEFT JOIN fb USING (case_id)
-""")
-def q_e4(spark, sf_dir):
-    c = fixtures.table(spark, sf_dir, "conversations")
-    cit = c.where(F.col("turn") < 2).select(
-        F.col("conv_id").cast("string").alias("case_id"), F.col("turn"),
-        F.struct(
-            F.when((F.col("turn") == 1) & (F.col("conv_id") % 4 == 0), F.lit("42"))
-            .otherwise(F.col("turn").cast("string")).alias("source_id"),
-            F.when((F.col("turn") == 1) & (F.col("conv_id") % 3 == 0), F.lit("nope"))
-            .otherwise(F.substring("text", 10, 20)).alias("quote")).alias("c"))
-    cites = cit.groupBy("case_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("turn", "c"))), lambda e: e["c"]).alias("citations"))
-    heads = c.where(F.col("turn") == 0).select(
-        F.col("conv_id").cast("string").alias("case_id"),
-        F.when(F.col("conv_id") % 10 == 0, F.lit("  ")).otherwise(
-            F.concat(F.lit("summary "), F.col("conv_id").cast("string"))).alias("summary"),
-        F.when(F.col("conv_id") % 7 == 0, F.lit(1.5)).otherwise(F.lit(0.5)).alias("confidence"))
-    _, sources = fixtures.conversation_cases(spark, sf_dir)
-    return validate.validate_assessments(heads.join(cites, "case_id"), sources)
-
-
-@register("E7_passage_overlap", """
-SELECT b.item_id AS passage_id, d.doc_id AS text_id
-FROM benchmark b JOIN documents d ON contains(d.text, b.text)
-""")
-def q_e7(spark, sf_dir):
-    b = fixtures.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage_id"),
-                                                         F.col("text").alias("passage"))
-    d = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    return validate.passage_overlap(b, d)
-
-
-_TRIAGE_SQL = f"""
-  src AS (SELECT repository_id AS case_id, rn - 1 AS pos, observation_id AS source_id, text FROM sel
-          UNION ALL SELECT repository_id, sel_pos, source_id, text FROM summ WHERE source_id IS NOT NULL),
-  p AS (SELECT *, json_valid(text) AND starts_with(ltrim(text), '{{') AS obj FROM src),
-  q AS (SELECT *, CASE WHEN obj THEN coalesce(json_extract_string(text, '$.status'), 'None') ELSE 'review' END = 'review'
-                    AS review,
-               CASE CASE WHEN obj THEN coalesce(json_extract_string(text, '$.severity'), 'None') ELSE 'low' END
-                 WHEN 'info' THEN 0 WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'critical' THEN 3
-                 ELSE 1 END AS ord FROM p),
-  agg AS (SELECT case_id, sum(CASE WHEN review THEN 1 ELSE 0 END) AS n_review,
-                 max(CASE WHEN review THEN ord END) AS ord_r, max(ord) AS ord_a FROM q GROUP BY case_id),
-  cand AS (SELECT q.*, row_number() OVER (PARTITION BY q.case_id ORDER BY pos) AS rn FROM q JOIN agg USING (case_id)
-           WHERE (agg.n_review > 0 AND q.review) OR agg.n_review = 0),
-  c AS (SELECT case_id, count(*) AS n_citations, arg_min(source_id, pos) AS first_citation FROM cand WHERE rn <= 10
-        GROUP BY case_id),
-  tri AS (SELECT agg.case_id,
-                 (['low', 'medium', 'high', 'critical'])[coalesce(CASE WHEN n_review > 0 THEN ord_r ELSE ord_a END, 0) + 1]
-                   AS risk, CAST(n_review AS BIGINT) AS n_review, c.n_citations, c.first_citation
-          FROM agg JOIN c USING (case_id))"""
-
-
-@register("F2_triage", f"""
-WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL}, {_TRIAGE_SQL}
-SELECT case_id, risk, n_review, n_citations, first_citation FROM tri
-""")
-def q_f2(spark, sf_dir):
-    obs = fixtures.observations(spark, sf_dir)
-    sel = evidence.select_evidence(obs)
-    summ = evidence.selection_summary(fixtures.reports(spark, sf_dir), obs, sel)
-    src = sel.select(F.col("repository_id").alias("case_id"), F.col("sel_pos").alias("pos"),
-                     F.col("observation_id").alias("source_id"), "text").unionByName(
-        summ.select(F.col("repository_id").alias("case_id"), F.col("sel_pos").alias("pos"), "source_id", "text"))
-    heads = src.select("case_id").distinct()
-    t = triage.triage(heads, src)
-    return t.select("case_id", "risk", "n_review", F.size("citations").cast("bigint").alias("n_citations"),
-                    F.col("citations")[0]["source_id"].alias("first_citation"))
-
-
-def _triage_by_repo(spark, sf_dir):
-    obs = fixtures.observations(spark, sf_dir, materialize=True)
-    sel = evidence.select_evidence(obs)
-    summ = evidence.selection_summary(fixtures.reports(spark, sf_dir), obs, sel)
-    src = sel.select(F.col("repository_id").alias("case_id"), F.col("sel_pos").alias("pos"),
-                     F.col("observation_id").alias("source_id"), "text").unionByName(
-        summ.select(F.col("repository_id").alias("case_id"), F.col("sel_pos").alias("pos"), "source_id", "text"))
-    src = src.checkpoint(eager=True)   # the case sources are read by several steps
-    return obs, src, triage.triage(src.select("case_id").distinct(), src)
-
-
-# ============================================================ J: reporting
-from ..operators import report  # noqa: E402
-
-_EXEC_SQL = """
-  ex AS (SELECT 'eng-1' AS engagement_id, 'repo-' || CAST(user_id % 100 + 1 AS VARCHAR) AS repository_id,
-                value > 2 AS iso FROM events)"""
-
-
-def _executions(spark, sf_dir):
-    ev = fixtures.table(spark, sf_dir, "events")
-    return ev.select(F.lit("eng-1").alias("engagement_id"),
-                     F.concat(F.lit("repo-"), (F.col("user_id") % 100 + 1).cast("string")).alias("repository_id"),
-                     F.col("event_type").alias("scanner"), (F.col("value") > 2).alias("network_isolated"),
-                     F.col("value").alias("duration_ms"))
-
-
-def _metrics(spark, sf_dir):
-    obs, _, tri = _triage_by_repo(spark, sf_dir)
-    a = tri.select(F.lit("eng-1").alias("engagement_id"), F.col("case_id").alias("repository_id"),
-                   "risk", "confidence", "citations")
-    return report.pilot_metrics(obs, a, _executions(spark, sf_dir))
-
-
-@register("J1_pilot_metrics", f"""
-WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL}, {_TRIAGE_SQL}, {_EXEC_SQL},
-  tob AS (SELECT engagement_id, repository_id, count(*) AS observations FROM obs GROUP BY ALL),
-  stc AS (SELECT engagement_id, repository_id, string_agg(status || '=' || CAST(n AS VARCHAR), ',' ORDER BY status)
-                   AS status_counts
-          FROM (SELECT engagement_id, repository_id, status, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL),
-  svc AS (SELECT engagement_id, repository_id, string_agg(severity || '=' || CAST(n AS VARCHAR), ',' ORDER BY severity)
-                   AS severity_counts
-          FROM (SELECT engagement_id, repository_id, severity, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL),
-  iso AS (SELECT engagement_id, repository_id, bool_and(iso) AS iso, count(*) AS executions FROM ex GROUP BY ALL)
-SELECT tob.engagement_id, tob.repository_id, tob.observations, stc.status_counts, svc.severity_counts, tri.risk,
-       1.0::DOUBLE AS confidence, tri.n_citations AS citation_count, coalesce(iso.executions, 0) AS executions,
-       coalesce(iso.iso, true) AS all_isolated
-FROM tob JOIN stc USING (engagement_id, repository_id) JOIN svc USING (engagement_id, repository_id)
-     LEFT JOIN tri ON tri.case_id = tob.repository_id LEFT JOIN iso USING (engagement_id, repository_id)
-""")
-def q_j1(spark, sf_dir):
-    return _metrics(spark, sf_dir)
-
-
-@register("J2_management_summary")
-def q_j2(spark, sf_dir):
-    return report.management_summary(_metrics(spark, sf_dir))
-
-
-@register("J3_evidence_pack")
-def q_j3(spark, sf_dir):
-    reports = fixtures.reports(spark, sf_dir)
-    headers, sources = evidence.build_cases(reports, fixtures.observations(spark, sf_dir, materialize=True))
-    assessed = triage.triage(headers.select("case_id"), sources)
-    return report.evidence_pack(headers.select("case_id", "title"), sources, assessed)
-
-
-_AUDIT_EVENT = ("CASE event_type WHEN 'signup' THEN 'case_received' WHEN 'view' THEN 'analysis_completed' "
-                "WHEN 'click' THEN 'case_approved' WHEN 'purchase' THEN 'case_published' "
-                "WHEN 'error' THEN 'analysis_failed' END")
-
-
-@register("J4_counters", f"""
-SELECT {_AUDIT_EVENT} AS name, count(*) AS count FROM events GROUP BY 1
-""")
-def q_j4(spark, sf_dir):
-    ev = fixtures.table(spark, sf_dir, "events").select(F.expr(_AUDIT_EVENT).alias("event"))
-    return report.counters(ev)
-
-
-@register("J5_latency", """
-WITH r AS (SELECT event_type AS name, value, ts, row_number() OVER (PARTITION BY event_type ORDER BY value, ts) AS rn,
-                  count(*) OVER (PARTITION BY event_type) AS n FROM events)
-SELECT name, max(n) AS count, arg_max(value, ts) AS last,
-       max(CASE WHEN rn = ceil(0.5 * n) THEN value END) AS p50, max(CASE WHEN rn = ceil(0.95 * n) THEN value END) AS p95
-FROM r GROUP BY name
-""")
-def q_j5(spark, sf_dir):
-    ev = fixtures.table(spark, sf_dir, "events").select(F.col("event_type").alias("name"),
-                                                        F.col("value").alias("duration_ms"), "ts")
-    return report.latency(ev).withColumnRenamed("p50", "p50").select("name", "count", "last", "p50", "p95")
-
-
-@register("J6_workflow_sli", f"""
-WITH a AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id, {_AUDIT_EVENT} AS event, ts FROM events),
-  pc AS (SELECT case_id, min(CASE WHEN event = 'analysis_completed' THEN ts END) AS c,
-                min(CASE WHEN event = 'case_approved' THEN ts END) AS ap FROM a GROUP BY case_id),
-  w AS (SELECT avg(epoch_us(ap) - epoch_us(c)) AS w FROM pc WHERE ap >= c),
-  n AS (SELECT sum(CASE WHEN event = 'case_received' THEN 1 ELSE 0 END) AS received,
-               sum(CASE WHEN event = 'analysis_completed' THEN 1 ELSE 0 END) AS completed,
-               sum(CASE WHEN event = 'analysis_failed' THEN 1 ELSE 0 END) AS failed,
-               sum(CASE WHEN event = 'case_published' THEN 1 ELSE 0 END) AS published FROM a)
-SELECT CAST(received AS BIGINT) AS received, completed / received AS completion_rate, failed / received AS failure_rate,
-       0.0::DOUBLE AS retry_rate, 0.0::DOUBLE AS rejection_rate, 0.0::DOUBLE AS publish_dedupe_rate,
-       w.w / 1e6 AS mean_approval_wait_s
-FROM n, w
-""")
-def q_j6(spark, sf_dir):
-    ev = fixtures.table(spark, sf_dir, "events").select(
-        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"),
-        F.expr(_AUDIT_EVENT).alias("event"), "ts")
-    return report.workflow_sli(ev)
-
-
-@register("J7_markdown_table")
-def q_j7(spark, sf_dir):
-    pc = evaluate.per_class(fixtures.predictions(spark, sf_dir), fixtures.CLASS_NAMES)
-    return report.markdown_table(pc, ["label", "precision", "recall", "f1", "support"], ["label"],
-                                 {"precision": "%.3f", "recall": "%.3f", "f1": "%.3f"})
-
-
-# ============================================================ A: sources and sinks
-from ..session import scratch_path  # noqa: E402
-from ..sources import io as sio  # noqa: E402
-from ..sources import state as sstate  # noqa: E402
-
-
-@register("A1_read_cases", f"""
-WITH {O.CONV_SOURCES}, {O.e1_reason()}
-SELECT case_id, reason FROM e1
-""")
-def q_a1(spark, sf_dir):
-    """Conversation cases written as case JSON lines, read back, validated."""
-    conv = fixtures.table(spark, sf_dir, "conversations")
-    nested = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
-        "turn", F.col("turn").cast("string").alias("source_id"), "text"))).alias("_s"))
-    cases = nested.select(F.col("conv_id").cast("string").alias("case_id"),
-                          F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("title"),
-                          F.transform("_s", lambda e: F.struct(e["source_id"].alias("source_id"),
-                                                               e["text"].alias("text"))).alias("sources"))
-    path = scratch_path(spark, "cases")
-    cases.write.json(path)
-    headers, sources = sio.explode_cases(sio.read_cases(spark, path))
-    return validate.validate_cases(headers, sources)
-
-
-@register("A2_read_sarif", """
-SELECT 'repo-' || CAST(l_orderkey % 10 AS VARCHAR) AS repository_id, count(*) AS n_results,
-       count(DISTINCT (l_orderkey, l_linestatus)) AS n_runs
-FROM lineitem GROUP BY 1
-""")
-def q_a2(spark, sf_dir):
-    """SARIF documents (one per repository, one file each) written, read with
-    the size cap, normalized, counted."""
-    docs = fixtures.sarif_documents(spark, sf_dir)
-    runs = docs.select("repository_id", "doc_id", F.explode("sarif.runs").alias("run"))
-    per_repo = runs.groupBy("repository_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "run"))), lambda e: e["run"]).alias("runs"))
-    path = scratch_path(spark, "sarif")
-    (per_repo.select("repository_id", F.to_json(F.struct(F.lit("2.1.0").alias("version"), "runs")).alias("value"))
-     .write.partitionBy("repository_id").text(path))
-    ok, _ = sio.read_sarif(spark, path, glob="*.txt")
-    ok = ok.select(F.regexp_extract("doc_id", r"repository_id=([^/]+)", 1).alias("repository_id"),
-                   F.col("doc_id"), F.col("sarif"))
-    obs = evidence.normalize_sarif(ok.withColumn("engagement_id", F.lit("eng-1")))
-    return obs.groupBy("repository_id").agg(
-        F.count(F.lit(1)).alias("n_results"),
-        F.count_distinct("doc_id", "run_index").alias("n_runs"))
-
-
-@register("A3_read_scope", f"""
-WITH {_SCOPES_SQL},
-  st AS (SELECT engagement_id, count(*) AS n, count(DISTINCT repository_id) AS nd,
-                max(CASE WHEN regexp_full_match(repository_id, '[A-Za-z0-9._-]+') THEN 0 ELSE 1 END) AS bad
-         FROM sr GROUP BY engagement_id)
-SELECT engagement_id,
-       CASE WHEN version <> 1 THEN 'scope version must be 1'
-            WHEN egress NOT IN ('deny', 'local-only', 'allow') THEN 'egress must be deny, local-only, or allow'
-            WHEN coalesce(n, 0) = 0 THEN 'scope must authorize at least one repository'
-            WHEN bad = 1 THEN 'repository_id contains unsupported characters'
-            WHEN nd <> n THEN 'repository_id values must be unique' END AS reason
-FROM sc LEFT JOIN st USING (engagement_id)
-""")
-def q_a3(spark, sf_dir):
-    """Scope manifests (one JSON file per nation) written, read, validated."""
-    sc, repos = fixtures.scopes(spark, sf_dir)
-    nested = repos.groupBy("engagement_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(
-        "pos", "repository_id", "path", "allowed_checks"))), lambda e: F.struct(
-        e["repository_id"].alias("repository_id"), e["path"].alias("path"),
-        e["allowed_checks"].alias("allowed_checks"))).alias("repositories"))
-    doc = sc.join(nested, "engagement_id", "left").select(
-        F.col("engagement_id").alias("part"),
-        F.to_json(F.struct(F.col("version").cast("long").alias("version"), "engagement_id", "customer",
-                           F.col("expires_on").cast("string").alias("expires_on"), "egress", "repositories"))
-        .alias("value"))
-    path = scratch_path(spark, "scope")
-    doc.write.partitionBy("part").text(path)
-    scopes, scope_repos = sio.read_scope(spark, path)
-    return scope.validate_scope(scopes, scope_repos)
-
-
-@register("A4_read_audit", """
-SELECT user_id AS chain, true AS valid, CAST(NULL AS BIGINT) AS first_bad_seq, count(*) AS n
-FROM events GROUP BY user_id
-""")
-def q_a4(spark, sf_dir):
-    """Hashed audit rows appended as JSON lines (A8), read back (A4),
-    verified (B4)."""
-    audit = chainops.chain_append(fixtures.audit_events(spark, sf_dir))
-    path = scratch_path(spark, "audit")
-    sio.write_audit(audit, path)
-    back = sio.read_audit(spark, path)
-    return chainops.chain_verify(back).select("chain", "valid", "first_bad_seq", F.col("n").cast("bigint").alias("n"))
-
-
-@register("A5_read_predictions", f"""
-WITH {_f3_sql(0)}
-SELECT count(*) AS n, avg(CAST(correct AS DOUBLE)) AS accuracy, round(avg(confidence), 6) AS mean_confidence,
-       avg(CAST(free_top_is_letter AS DOUBLE)) AS letter_rate FROM preds
-""")
-def q_a5(spark, sf_dir):
-    """Prediction JSON lines written and read with the prediction schema."""
-    p = fixtures.predictions(spark, sf_dir).select(
-        F.col("key").cast("string").alias("path"), "label", "pred", "confidence", "correct", "free_top_is_letter")
-    path = scratch_path(spark, "predictions")
-    p.write.json(path)
-    return evaluate.accuracy(sio.read_predictions(spark, path)).withColumn(
-        "mean_confidence", F.round("mean_confidence", 6))
-
-
-@register("A5_read_measurements", f"""
-WITH {_MEAS_SQL},
-  r AS (SELECT rel_pct, row_number() OVER (ORDER BY rel_pct, image) AS rn, count(*) OVER () AS n FROM errs),
-  s AS (SELECT max(n) AS n, quantile_cont(rel_pct, 0.5) AS median_pct,
-               max(CASE WHEN rn = least(n - 1, CAST(floor(0.95::DOUBLE * n) AS BIGINT)) + 1 THEN rel_pct END) AS p95_pct
-        FROM r)
-SELECT n, round(median_pct, 6) AS median_pct, round(p95_pct, 6) AS p95_pct,
-       CASE WHEN median_pct <= 2.0 AND p95_pct <= 4.0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM s
-""")
-def q_a5m(spark, sf_dir):
-    """Measurement and truth CSV files written, read back, summarized."""
-    res = fixtures.measurement_results(spark, sf_dir).select(
-        "image", F.lit("(0, 0)").alias("px1"), F.lit("(0, 0)").alias("px2"), "measured_mm")
-    tr = fixtures.measurement_truth(spark, sf_dir)
-    p1, p2 = scratch_path(spark, "results"), scratch_path(spark, "truth")
-    res.write.option("header", True).csv(p1)
-    tr.select("object", "true_mm").write.option("header", True).csv(p2)
-    truth = sio.read_truth(spark, p2).join(tr.select("object", "truth_pos"), "object")
-    errs = measure.measurement_errors(sio.read_measurements(spark, p1), truth)
-    return _round_summary(measure.error_summary(errs))
-
-
-@register("A6_file_manifest", """
-SELECT 'lang=' || lang AS label, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY lang
-""")
-def q_a6(spark, sf_dir):
-    """Document texts written as files per language; the manifest hashes and
-    measures every file; bytes summed per label."""
-    d = fixtures.table(spark, sf_dir, "documents")
-    path = scratch_path(spark, "files")
-    d.select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(path)
-    m = sio.file_manifest(spark, path, extensions=(".txt",))
-    return m.groupBy("label").agg(F.sum("bytes").cast("bigint").alias("bytes"))
-
-
-@register("A7_read_train_log", """
-SELECT user_id AS run, count(*) AS steps, max(event_id) AS last_step, arg_max(value / 100, event_id) AS last_loss,
-       round(avg(value / 100), 6) AS mean_loss, min(value / 100) AS min_loss
-FROM events GROUP BY user_id
-""")
-def q_a7(spark, sf_dir):
-    """One trainer-state JSON per user written, read (log_history exploded),
-    summarized per run."""
-    ev = fixtures.table(spark, sf_dir, "events")
-    hist = ev.groupBy("user_id").agg(F.max("event_id").alias("global_step"), F.transform(F.array_sort(
-        F.collect_list(F.struct(F.col("event_id").alias("step"), (F.col("value") / 100).alias("loss")))),
-        lambda e: F.struct(F.lit(1.0).alias("epoch"), F.lit(None).cast("double").alias("grad_norm"),
-                           F.lit(0.0002).alias("learning_rate"), e["loss"].alias("loss"),
-                           e["step"].alias("step"))).alias("log_history"))
-    path = scratch_path(spark, "trainlog")
-    hist.select(F.col("user_id").alias("run"), F.to_json(F.struct("global_step", "log_history")).alias("value")) \
-        .write.partitionBy("run").text(path)
-    log = sio.read_train_log(spark, path).withColumn(
-        "run", F.regexp_extract("run", r"run=([0-9]+)", 1).cast("bigint"))
-    return evaluate.train_curve(log).withColumn("mean_loss", F.round("mean_loss", 6))
-
-
-@register("A9_upsert_state", f"""
-WITH {_SNAPSHOT},
-  st AS (SELECT * FROM snap WHERE CAST(substring(case_id, 6) AS BIGINT) % 3 <> 0),
-  up AS (SELECT case_id,
-                CASE WHEN CAST(substring(case_id, 6) AS BIGINT) % 5 = 0 THEN sha256('other') ELSE case_fingerprint END
-                  AS case_fingerprint, 'approved' AS state FROM snap WHERE CAST(substring(case_id, 6) AS BIGINT) % 2 = 0),
-  j AS (SELECT coalesce(st.case_id, up.case_id) AS case_id, st.case_fingerprint AS ofp, st.state AS ost,
-               up.case_fingerprint AS nfp, up.state AS nst FROM st FULL OUTER JOIN up ON st.case_id = up.case_id)
-SELECT case_id,
-       CASE WHEN nfp IS NOT NULL AND NOT coalesce(ofp <> nfp, false) THEN nfp ELSE ofp END AS case_fingerprint,
-       CASE WHEN nfp IS NOT NULL AND NOT coalesce(ofp <> nfp, false) THEN nst ELSE ost END AS state,
-       coalesce(ofp <> nfp, false) AS refused
-FROM j
-""")
-def q_a9(spark, sf_dir):
-    snap = fixtures.state_snapshot(spark, sf_dir)
-    uid = F.substring("case_id", 6, 100).cast("bigint")
-    st = snap.where(uid % 3 != 0)
-    up = snap.where(uid % 2 == 0).withColumn(
-        "case_fingerprint", F.when(uid % 5 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("case_fingerprint"))
-    ).withColumn("state", F.lit("approved"))
-    new_state, refused = sstate.upsert_state(st, up)
-    flag = refused.select("case_id", F.lit(True).alias("refused"))
-    return new_state.join(flag, "case_id", "left").select(
-        "case_id", "case_fingerprint", "state", F.coalesce("refused", F.lit(False)).alias("refused"))
-
-
-@register("A10_export_approved", f"""
-WITH {_SNAPSHOT},
-  ap AS (SELECT case_id, case_fingerprint || ':' || assessment_fp AS k, substring(sha256(case_id), 1, 20) AS slug,
-                CAST(substring(case_id, 6) AS BIGINT) AS uid FROM snap WHERE state IN ('approved', 'published')),
-  ex AS (SELECT slug, CASE WHEN uid % 6 = 0 THEN 'other-key' ELSE k END AS ek FROM ap WHERE uid % 4 = 0 OR uid % 6 = 0)
-SELECT ap.case_id, ap.slug, ap.k AS idempotency_key,
-       CASE WHEN ex.ek IS NULL THEN 'export' WHEN ex.ek = ap.k THEN 'existing' ELSE 'conflict' END AS status,
-       CASE WHEN ex.ek IS NULL OR ex.ek = ap.k THEN 'file:handoff/approved-' || ap.slug || '.json' END AS receipt
-FROM ap LEFT JOIN ex USING (slug)
-""")
-def q_a10(spark, sf_dir):
-    snap = fixtures.state_snapshot(spark, sf_dir).where(F.col("state").isin("approved", "published"))
-    uid = F.substring("case_id", 6, 100).cast("bigint")
-    ap = snap.select("case_id", hashing.idempotency_key("case_fingerprint", "assessment_fp").alias("idempotency_key"),
-                     uid.alias("uid"))
-    ex = ap.where((F.col("uid") % 4 == 0) | (F.col("uid") % 6 == 0)).select(
-        F.substring(F.sha2("case_id", 256), 1, 20).alias("slug"),
-        F.when(F.col("uid") % 6 == 0, F.lit("other-key")).otherwise(F.col("idempotency_key")).alias("idempotency_key"))
-    return sstate.export_approved(ap.select("case_id", "idempotency_key"), ex)
-
-
-# ============================================================ K: streaming
-from ..streaming import streams  # noqa: E402
-
-def _state_parts(spark):
-    """State-store partitions of the replay streams: the session's cores
-    (the replayed tables are small; a production stream sizes this for its
-    key count)."""
-    return max(2, spark.sparkContext.defaultParallelism)
-
-
-_EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
-                  "props string")
-
-
-def _replayed_events(spark, sf_dir, name):
-    inp, out, ckpt = streams.new_run_paths(spark, name)
-    streams.write_replay(fixtures.table(spark, sf_dir, "events"), "ts", inp, n_files=4)
-    from pyspark.sql.types import _parse_datatype_string
-    return streams.stream_files(spark, inp, _parse_datatype_string(_EVENTS_SCHEMA)), out, ckpt
-
-
-_K1_SQL = """
-WITH e AS (SELECT epoch_us(ts) AS t, event_type FROM events),
-  wm AS (SELECT max(t) - 3600000000 AS wm FROM e),
-  w AS (SELECT (t // 86400000000) * 86400000000 AS ws, event_type, count(*) AS n FROM e GROUP BY ALL)
-SELECT ws AS window_start, ws + 86400000000 AS window_end, event_type, n FROM w, wm WHERE ws + 86400000000 <= wm.wm
-"""
-
-
-@register("K1_stream_counters", _K1_SQL)
-def q_k1(spark, sf_dir):
-    """Events replayed as 4 time-ordered files; daily counts per event type,
-    emitted as windows close."""
-    stream, out, ckpt = _replayed_events(spark, sf_dir, "k1")
-    streams.run_to_folder(streams.stream_counters(stream, "ts", ["event_type"], "1 day", delay="1 hour"), out, ckpt,
-                          state_partitions=_state_parts(spark))
-    return streams.read_folder(spark, out, "window_start long, window_end long, event_type string, n long")
-
-
-_K6_SQL = """
-WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events),
-  wm AS (SELECT max(t) - 3600000000 AS wm FROM e),
-  g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 21600000000 THEN 0 ELSE 1 END AS brk
-        FROM e),
-  s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid FROM g),
-  ss AS (SELECT user_id, min(t) AS session_start, max(t) + 21600000000 AS session_end, count(*) AS n
-         FROM s GROUP BY user_id, sid)
-SELECT user_id, session_start, session_end, n FROM ss, wm WHERE session_end <= wm.wm
-"""
-
-
-@register("K6_case_sessions", _K6_SQL)
-def q_k6(spark, sf_dir):
-    """Activity sessions per user (6 hour gap), emitted once closed."""
-    stream, out, ckpt = _replayed_events(spark, sf_dir, "k6")
-    streams.run_to_folder(streams.case_sessions(stream, "ts", "user_id", "6 hours", "1 hour"), out, ckpt,
-                          state_partitions=_state_parts(spark))
-    return streams.read_folder(spark, out, "user_id long, session_start long, session_end long, n long")
-
-
-@register("K2_stream_dedupe", """
-SELECT DISTINCT user_id, event_type FROM events
-""")
-def q_k2(spark, sf_dir):
-    """One row per (user, event type) over the whole replay (delay covers
-    the table's time span)."""
-    stream, out, ckpt = _replayed_events(spark, sf_dir, "k2")
-    streams.run_to_folder(streams.stream_dedupe(stream, "ts", ["user_id", "event_type"], "60 days"), out, ckpt,
-                          state_partitions=_state_parts(spark))
-    return streams.read_folder(spark, out).select("user_id", "event_type")
-
-
-@register("K3_stream_states", f"""
-WITH RECURSIVE {_FOLD_SQL}
-SELECT case_id, arg_max(state, seq) AS state, CAST(sum(CASE WHEN accepted THEN 1 ELSE 0 END) AS BIGINT) AS accepted,
-       CAST(sum(CASE WHEN accepted THEN 0 ELSE 1 END) AS BIGINT) AS rejected
-FROM folded GROUP BY case_id
-""")
-def q_k3(spark, sf_dir):
-    """The workflow state machine per user over the replayed stream; the
-    final states equal the batch fold (G4)."""
-    stream, out, ckpt = _replayed_events(spark, sf_dir, "k3")
-    tr = stream.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"),
-                       F.col("event_id").alias("seq"), fixtures._event_state().alias("to_state"), "ts")
-    streams.run_to_folder(streams.stream_states(tr), out, ckpt, mode="update",
-                          state_partitions=_state_parts(spark))
-    return streams.latest_states(streams.read_folder(spark, out))
-
-
-@register("K4_stream_publish", f"""
-WITH {_SNAPSHOT}
-SELECT DISTINCT s.case_id, s.case_fingerprint || ':' || s.assessment_fp AS idempotency_key
-FROM snap s JOIN events e ON s.case_id = 'user-' || CAST(e.user_id AS VARCHAR)
-WHERE s.state = 'approved' AND e.event_type IN ('purchase', 'click')
-""")
-def q_k4(spark, sf_dir):
-    """Publish requests (purchase and click events) streamed against the
-    state snapshot; each approved case's key is exported exactly once."""
-    stream, out, ckpt = _replayed_events(spark, sf_dir, "k4")
-    rq = stream.where(F.col("event_type").isin("purchase", "click")).select(
-        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"), F.col("event_id").alias("seq"))
-    streams.stream_publish(rq, fixtures.state_snapshot(spark, sf_dir), out, ckpt,
-                           state_partitions=_state_parts(spark))
-    return streams.read_folder(spark, out, "case_id string, idempotency_key string").select(
-        "case_id", "idempotency_key")
-
-
-@register("K5_stream_validate", f"""
-WITH {_CITES}, {O.CONV_SOURCES}
-SELECT cit.case_id, cit.cpos, cit.source_id,
-       CASE WHEN src.text IS NULL THEN 'unknown_source'
-            WHEN {O.blank('cit.quote')} OR NOT contains(src.text, cit.quote) THEN 'unresolved' ELSE 'ok' END AS status
-FROM cit LEFT JOIN src ON src.case_id = cit.case_id AND src.source_id = cit.source_id
-""")
-def q_k5(spark, sf_dir):
-    """Citations streamed from replayed conversation files, grounded against
-    the static conversation sources (stream-static join)."""
-    inp, out, ckpt = streams.new_run_paths(spark, "k5")
-    c = fixtures.table(spark, sf_dir, "conversations")
-    cites = c.select(
-        F.col("conv_id").cast("string").alias("case_id"), F.col("turn").alias("cpos"),
-        F.when(F.col("turn") % 3 == 0, F.col("turn").cast("string")).when(F.col("turn") % 3 == 1, F.lit("99"))
-        .otherwise((F.col("turn") - 1).cast("string")).alias("source_id"),
-        F.substring("text", 3, 25).alias("quote"))
-    cites.repartition(4).write.parquet(inp)
-    stream = streams.stream_files(spark, inp, cites.schema)
-    _, sources = fixtures.conversation_cases(spark, sf_dir)
-    streams.run_to_folder(streams.stream_validate(stream, sources), out, ckpt,
-                          state_partitions=_state_parts(spark))
-    return streams.read_folder(spark, out).select("case_id", "cpos", "source_id", "status")
-
-
-@register("K7_stream_chain", f"""
-WITH RECURSIVE {O.AUDIT}
-SELECT chain, seq, prev AS previous_hash, h AS event_hash FROM chainh
-""")
-def q_k7(spark, sf_dir):
-    """Audit rows streamed in event-time order and hash-chained per user
-    across micro-batches; equals the batch chain (B3)."""
-    inp, out, ckpt = streams.new_run_paths(spark, "k7")
-    audit = fixtures.audit_events(spark, sf_dir).join(
-        fixtures.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "ts"), "seq")
-    streams.write_replay(audit, "ts", inp, n_files=4)
-    stream = streams.stream_files(spark, inp, audit.schema)
-    streams.run_to_folder(streams.stream_chain(stream), out, ckpt,
-                          state_partitions=_state_parts(spark))
-    return streams.read_folder(spark, out).select("chain", "seq", "previous_hash", "event_hash")
-
-
-@register("A8_write_report", f"""
-WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL}, {_TRIAGE_SQL}, {_EXEC_SQL},
-  tob AS (SELECT engagement_id, repository_id, count(*) AS observations FROM obs GROUP BY ALL),
-  iso AS (SELECT engagement_id, repository_id, bool_and(iso) AS iso FROM ex GROUP BY ALL)
-SELECT tob.repository_id, tob.observations, tri.risk, coalesce(iso.iso, true) AS all_isolated
-FROM tob LEFT JOIN tri ON tri.case_id = tob.repository_id LEFT JOIN iso USING (engagement_id, repository_id)
-""")
-def q_a8(spark, sf_dir):
-    """Per-repository metrics written as one JSON artifact per repository
-    (partitioned text), read back with a schema."""
-    m = _metrics(spark, sf_dir)
-    path = scratch_path(spark, "reports")
-    sio.write_report(m.select("repository_id", F.to_json(F.struct("observations", "risk", "all_isolated")).alias("text")),
-                     path)
-    back = spark.read.schema("observations long, risk string, all_isolated boolean").json(path)
-    return back.select(F.col("repository_id").cast("string").alias("repository_id"), "observations", "risk",
-                       "all_isolated")
-
-
-@register("B6_canonical_json", """
-SELECT event_id, CAST(json(props) AS VARCHAR) AS canonical FROM events
-""")
-def q_b6(spark, sf_dir):
-    """Canonical (sorted, compact) JSON of every event's property text."""
-    ev = fixtures.table(spark, sf_dir, "events")
-    return ev.select("event_id", chainops.canonical_json("props").alias("canonical"))
-
-
-@register("K1_stream_counters_sliding", """
-WITH e AS (SELECT epoch_us(ts) AS t, event_type FROM events),
-  wm AS (SELECT max(t) - 3600000000 AS wm FROM e),
-  s AS (SELECT (t // 43200000000) * 43200000000 AS b, event_type FROM e),
-  w AS (SELECT b - k * 43200000000 AS ws, event_type FROM s, (SELECT unnest([0, 1]) AS k) ks),
-  c AS (SELECT ws, event_type, count(*) AS n FROM w GROUP BY ALL)
-SELECT ws AS window_start, ws + 86400000000 AS window_end, event_type, n FROM c, wm
-WHERE ws + 86400000000 <= wm.wm
-""")
-def q_k1s(spark, sf_dir):
-    """Sliding one-day windows every 12 hours, per event type."""
-    stream, out, ckpt = _replayed_events(spark, sf_dir, "k1s")
-    streams.run_to_folder(streams.stream_counters(stream, "ts", ["event_type"], "1 day", "12 hours", "1 hour"),
-                          out, ckpt,
-                          state_partitions=_state_parts(spark))
-    return streams.read_folder(spark, out, "window_start long, window_end long, event_type string, n long")
-
-
-@register("I3_measurement_rejects", r"""
-WITH res AS (SELECT CASE WHEN l_linenumber = 7 THEN 'img_P' || CAST(l_partkey AS VARCHAR) || 'x.png'
-                      ELSE printf('d%d_a%d_%s_r%d-%d-%d_P%dx.png', l_orderkey % 900 + 100, l_linenumber * 15 % 90,
-                                  CASE WHEN l_returnflag = 'A' THEN 'lamp' ELSE 'sun' END, l_orderkey, l_linenumber,
-                                  l_suppkey, l_partkey) END AS image, l_partkey FROM lineitem)
-SELECT count(*) AS "rows",
-       CAST(sum(CASE WHEN l_partkey NOT IN (SELECT p_partkey FROM part) THEN 1 ELSE 0 END) AS BIGINT) AS no_object,
-       CAST(sum(CASE WHEN l_partkey IN (SELECT p_partkey FROM part)
-                      AND NOT regexp_matches(image, 'd(\d+)_a(\d+)_(\w+?)_r(\d+)') THEN 1 ELSE 0 END) AS BIGINT)
-         AS no_condition
-FROM res
-""")
-def q_i3r(spark, sf_dir):
-    """Measurement rows dropped by I3, by cause."""
-    return measure.measurement_rejects(fixtures.measurement_results(spark, sf_dir),
-                                       fixtures.measurement_truth(spark, sf_dir))
-
-
-@register("H1_golden_eval_grounded", """
-WITH g AS (SELECT CAST(doc_id AS VARCHAR) AS case_id FROM labels),
-  d AS (SELECT CAST(doc_id AS VARCHAR) AS case_id, text, source FROM documents),
-  v AS (SELECT case_id,
-               NOT (source IS NULL OR regexp_matches(source, '^\\s*$') OR length(text) > 100000) AS ok,
-               substring(regexp_split_to_array(text, '\\r\\n|[\\n\\r]')[1], 1, 240) AS quote, text FROM d)
-SELECT count(*) AS cases,
-       coalesce(avg(CASE WHEN coalesce(v.ok, false) THEN 1.0 ELSE 0.0 END), 0.0) AS citation_validity,
-       coalesce(avg(CASE WHEN coalesce(v.ok, false) AND NOT regexp_matches(v.quote, '^\\s*$')
-                         AND contains(v.text, v.quote) THEN 1.0 ELSE 0.0 END), 0.0) AS grounded_validity
-FROM g LEFT JOIN v USING (case_id)
-""")
-def q_h1g(spark, sf_dir):
-    """Golden evaluation with the re-checked (grounded) citation validity."""
-    headers, sources, golden = fixtures.document_cases(spark, sf_dir)
-    assessed = workflow.analyze(headers, sources)
-    ok = assessed.where(F.col("input_reason").isNull())
-    return evaluate.golden_eval(ok, golden, sources).select("cases", "citation_validity", "grounded_validity")
+from .queries import ORACLES, QUERIES, register  # noqa: F401
+from .queries._shared import flagship  # noqa: F401
