@@ -28,8 +28,13 @@ from ..session import scratch_path
 
 # ---------------------------------------------------------------- replay helpers
 def write_replay(df: DataFrame, ts: str, path: str, n_files: int = 4) -> list[str]:
-    """Write ``df`` as ``n_files`` parquet folders in event-time order (one
-    write per time slice, so file modification order follows event time).
+    """Replay utility for tests and the registered stream queries: write
+    ``df`` as ``n_files`` parquet folders in event-time order, one write and
+    one file per time slice, so that file modification order follows event
+    time and each slice is exactly one micro-batch (``maxFilesPerTrigger=1``).
+    Each slice is written by one task, which is fine for replaying the
+    fixture tables; a production stream arrives from its own source and
+    never goes through this helper.
     The slice bounds come from one approximate-quantile pass (1 % rank
     error: the bounds only need to be roughly even, and an exact quantile
     would keep every value in the sketch)."""
@@ -179,7 +184,10 @@ def stream_publish(requests: DataFrame, state: DataFrame, exported_path: str, ch
     """K4: exactly-once publication.  Each micro-batch keeps requests for
     approved cases, drops keys already exported (anti join against the
     export table) and appends the new keys; the batch folder is keyed by the
-    batch id, so a replayed batch rewrites itself and adds nothing twice."""
+    batch id, so a replayed batch rewrites itself and adds nothing twice.
+    The anti join reads only the key column of the export table (column
+    pruning); its cost grows with the number of exported keys, not with the
+    stream's volume."""
     from ..functions.hashing import idempotency_key
     st = state.where(F.col("state") == "approved").select(
         "case_id", idempotency_key("case_fingerprint", "assessment_fp").alias("idempotency_key"))
