@@ -24,7 +24,35 @@ def q_j1(spark, sf_dir):
     return _metrics(spark, sf_dir)
 
 
-@register("J2_management_summary")
+_J2_TEXT = (
+    "concat_ws(chr(10), '# Management summary', '', "
+    "'Repository `' || tob.repository_id || '` in engagement `' || tob.engagement_id || '` was processed locally; "
+    "nothing was published without human approval.', '', "
+    "'- Combined risk classification: **' || coalesce(tri.risk, 'n/a') || '**.', "
+    "'- Observations: **' || CAST(tob.observations AS VARCHAR) || '** in total (' || coalesce(stc.status_counts, 'none') "
+    "|| ').', "
+    "'- Distribution: ' || coalesce(svc.severity_counts, 'no observations') || '.', "
+    "'- External scanners network isolated: **' || lower(CAST(coalesce(iso.iso, true) AS VARCHAR)) || '**.', "
+    "'- Exactly traceable citations: **' || CAST(coalesce(tri.n_citations, 0) AS VARCHAR) || '**.', "
+    "'- Model/triage duration: **not measured**.', '', "
+    "'This is a reproducible triage of defined signals, not proof that every vulnerability was found and not a "
+    "compliance certification.')")
+
+
+@register("J2_management_summary", f"""
+WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL}, {_TRIAGE_SQL}, {_EXEC_SQL},
+  tob AS (SELECT engagement_id, repository_id, count(*) AS observations FROM obs GROUP BY ALL),
+  stc AS (SELECT engagement_id, repository_id, string_agg(status || '=' || CAST(n AS VARCHAR), ',' ORDER BY status)
+                   AS status_counts
+          FROM (SELECT engagement_id, repository_id, status, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL),
+  svc AS (SELECT engagement_id, repository_id, string_agg(severity || '=' || CAST(n AS VARCHAR), ',' ORDER BY severity)
+                   AS severity_counts
+          FROM (SELECT engagement_id, repository_id, severity, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL),
+  iso AS (SELECT engagement_id, repository_id, bool_and(iso) AS iso FROM ex GROUP BY ALL)
+SELECT tob.engagement_id, tob.repository_id, {_J2_TEXT} AS summary_md
+FROM tob JOIN stc USING (engagement_id, repository_id) JOIN svc USING (engagement_id, repository_id)
+     LEFT JOIN tri ON tri.case_id = tob.repository_id LEFT JOIN iso USING (engagement_id, repository_id)
+""")
 def q_j2(spark, sf_dir):
     return report.management_summary(_metrics(spark, sf_dir))
 
