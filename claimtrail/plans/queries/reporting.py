@@ -57,7 +57,58 @@ def q_j2(spark, sf_dir):
     return report.management_summary(_metrics(spark, sf_dir))
 
 
-@register("J3_evidence_pack")
+_J3_SQL = f"""
+WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL},
+  leaf AS (SELECT engagement_id, repository_id, pos,
+                  sha256({O.canon('observation_id')} || {O.canon('"check"')} || {O.canon('status')}
+                         || {O.canon('severity')} || {O.canon('path')} || {O.canon('message')}) AS leaf
+           FROM obs),
+  {O.merkle('leaf', 'engagement_id, repository_id', 'pos', 'leaf')},
+  hdr AS (SELECT r.engagement_id, r.repository_id,
+                 r.engagement_id || ':' || r.repository_id || ':' ||
+                 substring(coalesce(sha256({O.canon('r.engagement_id')} || {O.canon('r.repository_id')} || mtop.tree),
+                                    sha256({O.canon('r.engagement_id')} || {O.canon('r.repository_id')})), 1, 16) AS case_id,
+                 'Assurance observations for ' || r.repository_id AS title
+          FROM reports r LEFT JOIN mtop USING (engagement_id, repository_id)),
+  src0 AS (SELECT engagement_id, repository_id, rn - 1 AS pos, observation_id AS source_id, text FROM sel
+           UNION ALL SELECT engagement_id, repository_id, sel_pos, source_id, text FROM summ WHERE source_id IS NOT NULL),
+  src AS (SELECT hdr.case_id, src0.pos, src0.source_id, src0.text FROM hdr JOIN src0 USING (engagement_id, repository_id)),
+  p AS (SELECT *, json_valid(text) AND starts_with(ltrim(text), '{{') AS obj FROM src),
+  q AS (SELECT *, CASE WHEN obj THEN coalesce(json_extract_string(text, '$.status'), 'None') ELSE 'review' END = 'review'
+                    AS review,
+               CASE CASE WHEN obj THEN coalesce(json_extract_string(text, '$.severity'), 'None') ELSE 'low' END
+                 WHEN 'info' THEN 0 WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'critical' THEN 3
+                 ELSE 1 END AS ord FROM p),
+  agg AS (SELECT case_id, sum(CASE WHEN review THEN 1 ELSE 0 END) AS n_review,
+                 max(CASE WHEN review THEN ord END) AS ord_r, max(ord) AS ord_a FROM q GROUP BY case_id),
+  cand AS (SELECT q.*, row_number() OVER (PARTITION BY q.case_id ORDER BY pos) AS rn FROM q JOIN agg USING (case_id)
+           WHERE (agg.n_review > 0 AND q.review) OR agg.n_review = 0),
+  cit AS (SELECT case_id, string_agg('- `' || source_id || '`: ' || text, chr(10) ORDER BY pos) AS cites
+          FROM cand WHERE rn <= 10 GROUP BY case_id),
+  ev AS (SELECT case_id, CAST(to_json(list({{'source_id': source_id, 'text': text}} ORDER BY pos)) AS VARCHAR) AS evidence
+         FROM src GROUP BY case_id),
+  tri AS (SELECT case_id,
+                 (['low', 'medium', 'high', 'critical'])[coalesce(CASE WHEN n_review > 0 THEN ord_r ELSE ord_a END, 0) + 1]
+                   AS risk,
+                 'Deterministic triage found ' || CAST(n_review AS VARCHAR) || ' observation(s) requiring human review.'
+                   AS summary
+          FROM agg)
+SELECT hdr.case_id,
+       '# Evidence pack' || chr(10) || chr(10) || '## ' || hdr.title || chr(10) || chr(10)
+       || 'Case: `' || hdr.case_id || '`  ' || chr(10) || 'Audit chain verified: `false`  ' || chr(10)
+       || 'Workflow state: `pending_approval`' || chr(10) || chr(10) || '## Triage' || chr(10) || chr(10)
+       || 'Risk: **' || coalesce(tri.risk, 'n/a') || '**  ' || chr(10) || 'Confidence: **1.00**' || chr(10) || chr(10)
+       || coalesce(tri.summary, '') || chr(10) || chr(10) || '## Grounded citations' || chr(10) || chr(10)
+       || coalesce(cit.cites, '') || chr(10) || chr(10) || '## Evidence' || chr(10) || chr(10) || '```json' || chr(10)
+       || replace(coalesce(ev.evidence, '[]'), '```', '` ` `') || chr(10) || '```' || chr(10) || chr(10)
+       || '## Required decision' || chr(10) || chr(10)
+       || 'A named reviewer must confirm scope, severity, reachability and recipient before any external publication.'
+       || chr(10) AS pack_md
+FROM hdr LEFT JOIN ev USING (case_id) LEFT JOIN tri USING (case_id) LEFT JOIN cit USING (case_id)
+"""
+
+
+@register("J3_evidence_pack", _J3_SQL)
 def q_j3(spark, sf_dir):
     reports = fixtures.reports(spark, sf_dir)
     headers, sources = evidence.build_cases(reports, fixtures.observations(spark, sf_dir, materialize=True))
