@@ -115,3 +115,20 @@ def test_export_approved_idempotent(spark):
     got = {r.case_id: (r.status, r.receipt) for r in sstate.export_approved(ap, ex).collect()}
     assert got["c1"] == ("existing", f"file:handoff/approved-{slug('c1')}.json")
     assert got["c2"] == ("conflict", None) and got["c3"][0] == "export"
+
+
+def test_text_log_and_report_sink(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "train.txt").write_text("start\n{'loss': 0.5, 'step': 1}\nnoise\n{'loss': 0.25, 'step': 2}\n")
+    rows = [(r.line_no, r.loss) for r in sio.read_text_log(spark, str(tmp_path / "log")).orderBy("line_no").collect()]
+    assert rows == [(2, 0.5), (4, 0.25)]
+    rep = spark.createDataFrame([("r1", "a"), ("r2", "b")], "repository_id string, text string")
+    sio.write_report(rep, str(tmp_path / "reports"))
+    assert sorted(p.name for p in (tmp_path / "reports").iterdir() if p.name.startswith("repository_id=")) == [
+        "repository_id=r1", "repository_id=r2"]
+
+
+def test_duration_wording(spark):
+    d = spark.createDataFrame([(None,), (50.0,), (2500.0,)], "ms double")
+    got = [r.t for r in d.select(report.duration_text(F.col("ms")).alias("t")).collect()]
+    assert got == ["not measured", "less than 0.1 seconds", "2.5 seconds"]
