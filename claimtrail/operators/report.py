@@ -37,19 +37,29 @@ def sorted_counts(df: DataFrame, key: Sequence[str], col: str, out: str) -> Data
 # ---------------------------------------------------------------- J1
 def pilot_metrics(observations: DataFrame, assessments: DataFrame, executions: DataFrame,
                   key: Sequence[str] = ("engagement_id", "repository_id")) -> DataFrame:
-    """Per repository the observation total, counts by status and by
-    severity, the assessment's risk and citation count, and whether every
-    scanner execution was network isolated (true when there were none)."""
+    """Per repository the report fingerprint, the observation total,
+    counts by status and by severity, the assessment's risk, confidence,
+    citation count and labels, and whether every scanner execution was
+    network isolated (true when there were none)."""
+    from .evidence import OBS_FIELDS, report_fingerprints
     key = list(key)
     tot = observations.groupBy(*key).agg(F.count(F.lit(1)).cast("bigint").alias("observations"))
     st = sorted_counts(observations, key, "status", "status_counts")
     sv = sorted_counts(observations, key, "severity", "severity_counts")
+    if set(OBS_FIELDS) | {"pos"} <= set(observations.columns):
+        fp = report_fingerprints(observations, key).withColumnRenamed("report_fp", "report_fingerprint")
+    else:       # a bare status/severity table: no fingerprint to report
+        fp = observations.select(*key).distinct().withColumn("report_fingerprint", F.lit(None).cast("string"))
     iso = executions.groupBy(*key).agg(F.bool_and("network_isolated").alias("_iso"),
                                        F.count(F.lit(1)).cast("bigint").alias("executions"))
-    a = assessments.select(*key, "risk", "confidence", F.size("citations").cast("bigint").alias("citation_count"))
-    out = tot.join(st, key, "left").join(sv, key, "left").join(a, key, "left").join(iso, key, "left")
-    return out.select(*key, "observations", "status_counts", "severity_counts", "risk", "confidence",
-                      "citation_count", F.coalesce("executions", F.lit(0)).cast("bigint").alias("executions"),
+    a = assessments.select(*key, "risk", "confidence", F.size("citations").cast("bigint").alias("citation_count"),
+                           (F.array_join("labels", ",") if "labels" in assessments.columns
+                            else F.lit(None).cast("string")).alias("labels"))
+    out = (tot.join(st, key, "left").join(sv, key, "left").join(fp, key, "left").join(a, key, "left")
+           .join(iso, key, "left"))
+    return out.select(*key, "report_fingerprint", "observations", "status_counts", "severity_counts", "risk",
+                      "confidence", "citation_count", "labels",
+                      F.coalesce("executions", F.lit(0)).cast("bigint").alias("executions"),
                       F.coalesce("_iso", F.lit(True)).alias("all_isolated"))
 
 

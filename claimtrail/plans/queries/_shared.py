@@ -369,7 +369,7 @@ def _executions(spark, sf_dir):
 def _metrics(spark, sf_dir):
     obs, _, tri = _triage_by_repo(spark, sf_dir)
     a = tri.select(F.lit("eng-1").alias("engagement_id"), F.col("case_id").alias("repository_id"),
-                   "risk", "confidence", "citations")
+                   "risk", "confidence", "citations", "labels")
     return report.pilot_metrics(obs, a, _executions(spark, sf_dir))
 
 

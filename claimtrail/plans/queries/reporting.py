@@ -13,11 +13,21 @@ WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL}, {_TRIAGE_SQL}, {_EXEC
   svc AS (SELECT engagement_id, repository_id, string_agg(severity || '=' || CAST(n AS VARCHAR), ',' ORDER BY severity)
                    AS severity_counts
           FROM (SELECT engagement_id, repository_id, severity, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL),
-  iso AS (SELECT engagement_id, repository_id, bool_and(iso) AS iso, count(*) AS executions FROM ex GROUP BY ALL)
-SELECT tob.engagement_id, tob.repository_id, tob.observations, stc.status_counts, svc.severity_counts, tri.risk,
-       1.0::DOUBLE AS confidence, tri.n_citations AS citation_count, coalesce(iso.executions, 0) AS executions,
-       coalesce(iso.iso, true) AS all_isolated
+  iso AS (SELECT engagement_id, repository_id, bool_and(iso) AS iso, count(*) AS executions FROM ex GROUP BY ALL),
+  leaf AS (SELECT engagement_id, repository_id, pos,
+                  sha256({O.canon('observation_id')} || {O.canon('"check"')} || {O.canon('status')}
+                         || {O.canon('severity')} || {O.canon('path')} || {O.canon('message')}) AS leaf
+           FROM obs),
+  {O.merkle('leaf', 'engagement_id, repository_id', 'pos', 'leaf')}
+SELECT tob.engagement_id, tob.repository_id,
+       sha256({O.canon('tob.engagement_id')} || {O.canon('tob.repository_id')} || mtop.tree) AS report_fingerprint,
+       tob.observations, stc.status_counts, svc.severity_counts, tri.risk,
+       1.0::DOUBLE AS confidence, tri.n_citations AS citation_count,
+       'deterministic-baseline,' || CASE WHEN tri.n_review > 0 THEN 'human-review-required'
+                                         ELSE 'no-review-observations' END AS labels,
+       coalesce(iso.executions, 0) AS executions, coalesce(iso.iso, true) AS all_isolated
 FROM tob JOIN stc USING (engagement_id, repository_id) JOIN svc USING (engagement_id, repository_id)
+     JOIN mtop USING (engagement_id, repository_id)
      LEFT JOIN tri ON tri.case_id = tob.repository_id LEFT JOIN iso USING (engagement_id, repository_id)
 """)
 def q_j1(spark, sf_dir):
