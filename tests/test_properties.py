@@ -83,3 +83,65 @@ def test_chain_hashes_match_python_model(spark, events):
         h = hashlib.sha256((record + canon(p)).encode()).hexdigest()
         assert got[seq] == h
         prev[c] = h
+
+
+SEVS = ["critical", "high", "medium", "low", "info", "weird"]
+RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3, "info": 4}
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(SEVS), st.integers(0, 60)), min_size=0, max_size=40),
+       st.integers(1, 12), st.integers(50, 1500))
+def test_selection_matches_python_model(spark, items, max_items, max_chars):
+    import json
+    from claimtrail.operators import evidence
+    rows = [("e", "r", i, f"o{i:03d}", "c", "review", sev, "p", "m" * n) for i, (sev, n) in enumerate(items)]
+    obs = spark.createDataFrame(rows, "engagement_id string, repository_id string, pos long, observation_id string, "
+                                      "check string, status string, severity string, path string, message string")
+    got = [r.observation_id for r in evidence.select_evidence(obs, max_items, max_chars).orderBy("sel_pos").collect()]
+    ordered = sorted(rows, key=lambda r: (RANK.get(r[6], 2), r[3]))
+    want, total = [], 0
+    for r in ordered:
+        text = json.dumps({"observation_id": r[3], "check": r[4], "status": r[5], "severity": r[6], "path": r[7],
+                           "message": r[8]}, sort_keys=True)
+        if len(want) >= max_items or total + len(text) > max_chars:
+            break
+        want.append(r[3])
+        total += len(text)
+    assert got == want
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(
+    st.tuples(st.sampled_from(SEVS + [None]), st.sampled_from(["review", "pass", None])),
+    st.just("not json")), min_size=1, max_size=25))
+def test_triage_matches_python_model(spark, items):
+    import json
+    texts = []
+    for it in items:
+        if it == "not json":
+            texts.append("not json")
+        else:
+            d = {}
+            if it[0] is not None:
+                d["severity"] = it[0]
+            if it[1] is not None:
+                d["status"] = it[1]
+            texts.append(json.dumps(d))
+    s = spark.createDataFrame([("c", i, f"s{i}", t) for i, t in enumerate(texts)],
+                              "case_id string, pos long, source_id string, text string")
+    got = triage.triage(s.select("case_id").distinct(), s).first()
+    order = {"info": 0, "low": 0, "medium": 1, "high": 2, "critical": 3}
+    parsed = []
+    for i, t in enumerate(texts):
+        try:
+            obj = json.loads(t)
+        except json.JSONDecodeError:
+            obj = {"severity": "low", "status": "review"}
+        parsed.append((f"s{i}", obj))
+    review = [p for p in parsed if str(p[1].get("status")) == "review"]
+    cand = review or parsed
+    risk = max(order.get(str(o.get("severity")), 1) for _, o in cand)
+    assert got.risk == ["low", "medium", "high", "critical"][risk]
+    assert [c.source_id for c in got.citations] == [sid for sid, _ in cand[:10]]
+    assert got.n_review == len(review)
