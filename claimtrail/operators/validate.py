@@ -239,7 +239,7 @@ def prohibited_claims(assessments: DataFrame, **kw) -> DataFrame:
 
 
 # ---------------------------------------------------------------- E7
-def passage_overlap(passages: DataFrame, texts: DataFrame, q: int = 16, s: int = 16,
+def passage_overlap(passages: DataFrame, texts: DataFrame, q: int | None = None, s: int = 16,
                     broadcast_limit: int = 20_000) -> DataFrame:
     """All (passage_id, text_id) where the passage occurs verbatim in the
     text.  ``passages(passage_id, passage)``, ``texts(text_id, text)``.
@@ -262,11 +262,16 @@ def passage_overlap(passages: DataFrame, texts: DataFrame, q: int = 16, s: int =
             "passage_id", "text_id")
     p = passages.select("passage_id", "passage", F.length("passage").alias("_plen"))
     t = texts.select("text_id", "text")
-    # the sampling step grows with the shortest long passage (one small
-    # aggregate): every passage of length >= q + s - 1 still meets a sampled
-    # text q-gram, and the text side emits only len/s rows
+    # gram length and sampling step grow with the shortest long passage (one
+    # small aggregate): longer grams meet fewer unrelated texts, and every
+    # passage of length >= q + s - 1 still meets a sampled text q-gram while
+    # the text side emits only len/s rows
+    adaptive_q = q is None
+    q = q or 16
     shortest = p.where(F.col("_plen") >= q + s - 1).agg(F.min("_plen")).first()[0]
     if shortest is not None:
+        if adaptive_q:
+            q = max(16, min(64, int(shortest) // 4))
         s = max(s, min(int(shortest) - q + 1, 4096))
     min_long = q + s - 1
     long_p = p.where(F.col("_plen") >= min_long)
