@@ -173,26 +173,51 @@ def explode_citations(assessments: DataFrame) -> DataFrame:
              F.col("c.quote").alias("quote"))
 
 
-def ground_citations(citations: DataFrame, sources: DataFrame) -> DataFrame:
+CITATION_BROADCAST_ROWS = 2_000_000
+CITATION_BROADCAST_CHARS = 128_000_000
+
+
+def ground_citations(citations: DataFrame, sources: DataFrame,
+                     broadcast_rows: int = CITATION_BROADCAST_ROWS,
+                     broadcast_chars: int = CITATION_BROADCAST_CHARS) -> DataFrame:
     """E5: per citation ``(case_id, cpos, source_id, status, reason)``;
     status ``ok`` / ``unknown_source`` / ``unresolved``.
 
-    An equi-join on (case_id, source_id) followed by a row-local ``contains``.
-    ``sources`` must have unique (case_id, source_id) (rule E1).
+    The source texts are the big side.  When the citations are within the
+    broadcast limits (checked: row count and total quote length), they are
+    broadcast and the texts are joined where they lie, without a shuffle;
+    citations that found no source are then an anti-join on the small side.
+    Beyond the limits: a shuffle join on (case_id, source_id).  ``sources``
+    must have unique (case_id, source_id) (rule E1).
     """
-    s = sources.select("case_id", "source_id", F.col("text").alias("_text"),
-                       F.lit(True).alias("_known"))
-    j = citations.join(s, ["case_id", "source_id"], "left")
-    status = (
-        F.when(F.col("_known").isNull(), F.lit("unknown_source"))
-        .when(is_blank("quote") | ~F.col("_text").contains(F.col("quote")), F.lit("unresolved"))
-        .otherwise(F.lit("ok"))
-    )
+    c = citations.select("case_id", "cpos", "source_id", "quote")
+    unresolved = is_blank("quote") | ~F.col("_text").contains(F.col("quote"))
+    small = False
+    if not c.isStreaming:       # a stream is joined to the static sources as it arrives
+        stats = c.agg(F.count(F.lit(1)).alias("n"),
+                      F.coalesce(F.sum(F.length("quote")), F.lit(0)).alias("chars")).first()
+        small = stats["n"] <= broadcast_rows and stats["chars"] <= broadcast_chars
+    if small:
+        found = (sources.select("case_id", "source_id", F.col("text").alias("_text"))
+                 .join(F.broadcast(c), ["case_id", "source_id"], "inner")
+                 .select("case_id", "cpos", "source_id",
+                         F.when(unresolved, F.lit("unresolved")).otherwise(F.lit("ok")).alias("status")))
+        missing = c.join(F.broadcast(found.select("case_id", "cpos")), ["case_id", "cpos"], "left_anti") \
+            .select("case_id", "cpos", "source_id", F.lit("unknown_source").alias("status"))
+        j = found.unionByName(missing)
+    else:
+        s = sources.select("case_id", "source_id", F.col("text").alias("_text"), F.lit(True).alias("_known"))
+        j = c.join(s, ["case_id", "source_id"], "left").select(
+            "case_id", "cpos", "source_id",
+            F.when(F.col("_known").isNull(), F.lit("unknown_source"))
+            .when(unresolved, F.lit("unresolved")).otherwise(F.lit("ok")).alias("status"))
     reason = (
-        F.when(status == "unknown_source", F.concat(F.lit(MSG_UNKNOWN_SOURCE), F.coalesce("source_id", F.lit("None"))))
-        .when(status == "unresolved", F.concat(F.lit(MSG_UNRESOLVED), F.coalesce("source_id", F.lit("None"))))
+        F.when(F.col("status") == "unknown_source",
+               F.concat(F.lit(MSG_UNKNOWN_SOURCE), F.coalesce("source_id", F.lit("None"))))
+        .when(F.col("status") == "unresolved",
+              F.concat(F.lit(MSG_UNRESOLVED), F.coalesce("source_id", F.lit("None"))))
     )
-    return j.select("case_id", "cpos", "source_id", status.alias("status"), reason.alias("reason"))
+    return j.select("case_id", "cpos", "source_id", "status", reason.alias("reason"))
 
 
 def first_bad_citation(grounded: DataFrame) -> DataFrame:

@@ -90,8 +90,7 @@ def q_k5(spark, sf_dir):
     cites.repartition(4).write.parquet(inp)
     stream = streams.stream_files(spark, inp, cites.schema)
     _, sources = fixtures.conversation_cases(spark, sf_dir)
-    streams.run_to_folder(streams.stream_validate(stream, sources), out, ckpt,
-                          state_partitions=_state_parts(spark))
+    streams.validate_in_batches(stream, sources, out, ckpt, state_partitions=_state_parts(spark))
     return streams.read_folder(spark, out).select("case_id", "cpos", "source_id", "status")
 
 

@@ -211,11 +211,22 @@ def stream_publish(requests: DataFrame, state: DataFrame, exported_path: str, ch
 # ---------------------------------------------------------------- K5
 def stream_validate(citations: DataFrame, sources: DataFrame) -> DataFrame:
     """K5: stateless grounding of streamed citations against a static
-    source table (stream-static join)."""
+    source table, as a stream-static join (composable streaming DataFrame)."""
     from ..operators.validate import ground_citations
     return ground_citations(citations, sources)
 
 
+def validate_in_batches(citations: DataFrame, sources: DataFrame, out: str, checkpoint: str,
+                        state_partitions: int | None = None) -> None:
+    """K5 as a sink: each micro-batch of citations is grounded as a static
+    frame, so the size-checked broadcast of the batch applies and the source
+    texts are read where they lie instead of being shuffled per batch."""
+    from ..operators.validate import ground_citations
+    run_to_folder(citations, out, checkpoint,
+                  transform=lambda batch, _id: ground_citations(batch, sources),
+                  state_partitions=state_partitions)
+
+
 # ---------------------------------------------------------------- K6
 def case_sessions(stream: DataFrame, ts: str, key: str, gap: str, delay: str) -> DataFrame:
     """K6: activity sessions per case (events closer than ``gap``); a session
