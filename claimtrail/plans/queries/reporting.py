@@ -168,8 +168,20 @@ def q_j6(spark, sf_dir):
     return report.workflow_sli(ev)
 
 
-@register("J7_markdown_table")
+@register("J7_markdown_table", f"""
+WITH {_f3_sql(0)}, {_PER_CLASS_SQL},
+  lines AS (SELECT label, '| ' || label || ' | ' || printf('%.3f', round(precision, 3)) || ' | '
+                          || printf('%.3f', round(recall, 3)) || ' | ' || printf('%.3f', round(f1, 3)) || ' | '
+                          || CAST(CAST(tp + fn AS BIGINT) AS VARCHAR) || ' |' AS line FROM f)
+SELECT '| label | precision | recall | f1 | support |' || chr(10) || '|---|---|---|---|---|' || chr(10)
+       || string_agg(line, chr(10) ORDER BY label) AS table_md
+FROM lines
+""")
 def q_j7(spark, sf_dir):
+    """Per-class metrics as a Markdown table; cells rounded to 3 places
+    before fixed-point formatting, so no engine-specific tie rounding is
+    left."""
     pc = evaluate.per_class(fixtures.predictions(spark, sf_dir), fixtures.CLASS_NAMES)
+    pc = pc.select("label", *[F.round(c, 3).alias(c) for c in ("precision", "recall", "f1")], "support")
     return report.markdown_table(pc, ["label", "precision", "recall", "f1", "support"], ["label"],
-                                 {"precision": "%.3f", "recall": "%.3f", "f1": "%.3f"})
+                                 {"precision": "%.3f", "recall": "%.3f", "f1": "%.3f"})
\ No newline at end of file
