@@ -339,8 +339,12 @@ _TRIAGE_SQL = f"""
           FROM agg JOIN c USING (case_id))"""
 
 
-def _triage_by_repo(spark, sf_dir):
-    obs = fixtures.observations(spark, sf_dir, materialize=True)
+def _triage_by_repo(spark, sf_dir, materialize=False):
+    """Observations, the per-repository case sources and their triage.
+    ``materialize`` checkpoints the observation table for callers that also
+    fingerprint it (triage alone reads it twice, cheaply, with the position
+    window pruned away)."""
+    obs = fixtures.observations(spark, sf_dir, materialize=materialize)
     sel = evidence.select_evidence(obs)
     summ = evidence.selection_summary(fixtures.reports(spark, sf_dir), obs, sel)
     src = sel.select(F.col("repository_id").alias("case_id"), F.col("sel_pos").alias("pos"),
@@ -367,7 +371,7 @@ def _executions(spark, sf_dir):
 
 
 def _metrics(spark, sf_dir):
-    obs, _, tri = _triage_by_repo(spark, sf_dir)
+    obs, _, tri = _triage_by_repo(spark, sf_dir, materialize=True)
     a = tri.select(F.lit("eng-1").alias("engagement_id"), F.col("case_id").alias("repository_id"),
                    "risk", "confidence", "citations", "labels")
     return report.pilot_metrics(obs, a, _executions(spark, sf_dir))
