@@ -50,13 +50,8 @@ WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL}, {_TRIAGE_SQL}
 SELECT case_id, risk, n_review, n_citations, first_citation FROM tri
 """)
 def q_f2(spark, sf_dir):
-    obs = fixtures.observations(spark, sf_dir)
-    sel = evidence.select_evidence(obs)
-    summ = evidence.selection_summary(fixtures.reports(spark, sf_dir), obs, sel)
-    src = sel.select(F.col("repository_id").alias("case_id"), F.col("sel_pos").alias("pos"),
-                     F.col("observation_id").alias("source_id"), "text").unionByName(
-        summ.select(F.col("repository_id").alias("case_id"), F.col("sel_pos").alias("pos"), "source_id", "text"))
-    heads = src.select("case_id").distinct()
-    t = triage.triage(heads, src)
+    """Triage of the per-repository cases (selected observations plus the
+    selection summary)."""
+    _, _, t = _triage_by_repo(spark, sf_dir)
     return t.select("case_id", "risk", "n_review", F.size("citations").cast("bigint").alias("n_citations"),
                     F.col("citations")[0]["source_id"].alias("first_citation"))
