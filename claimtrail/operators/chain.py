@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import canon, canon_record
+from ..functions.hashing import canon
 from ..functions.rank import global_rank
 
 GENESIS = "0" * 64

@@ -2,7 +2,6 @@
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from claimtrail.operators import report

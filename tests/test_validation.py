@@ -4,7 +4,6 @@ tests restated on our own fixtures)."""
 import itertools
 import random
 
-from pyspark.sql import functions as F
 
 from claimtrail.operators import triage, validate
 

@@ -2,7 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
 
 from claimtrail.functions.scan import fsm_fold
 from claimtrail.operators import evaluate, workflow
