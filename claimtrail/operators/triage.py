@@ -159,3 +159,43 @@ def constrained_classify(df: DataFrame, logits: str, token_groups: Sequence[Sequ
         top_id.cast("bigint").alias("free_top_token"),
         F.array_contains(F.array(*[F.lit(i).cast("bigint") for i in all_ids]), top_id.cast("bigint")).alias("free_top_is_class"),
     ).drop("_cls")
+
+
+def case_payloads(headers: DataFrame, sources: DataFrame, max_chars: int = 100_000) -> DataFrame:
+    """Per case the JSON payload a model receives: ``{"title": ...,
+    "sources": [{"source_id": ..., "text": ...}, ...]}`` in source order.
+
+    Only cases within the input size cap are rendered (larger ones fail rule
+    E1 and never reach a model), so the per-case list is bounded by
+    ``max_chars`` characters of text."""
+    size = sources.groupBy("case_id").agg(F.sum(F.length("text")).alias("_chars"))
+    ok = size.where(F.col("_chars") <= F.lit(max_chars)).select("case_id")
+    src = sources.join(ok, "case_id", "left_semi")
+    lists = src.groupBy("case_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "source_id", "text"))),
+        lambda e: F.struct(e["source_id"].alias("source_id"), e["text"].alias("text"))).alias("_s"))
+    return headers.join(lists, "case_id").select(
+        "case_id", F.to_json(F.struct(F.col("title"), F.col("_s").alias("sources"))).alias("payload"))
+
+
+def model_classify(headers: DataFrame, sources: DataFrame, predict, max_chars: int = 100_000,
+                   attempt: int = 1) -> DataFrame:
+    """Plug-in surface for a user's model: ``predict(payloads: pd.Series) ->
+    pd.Series`` of answer texts is called on Arrow batches of case payloads
+    inside the tasks (``mapInPandas``), and the answers are parsed strictly
+    (E2).  Returns (case_id, attempt, content, assessment columns,
+    parse_ok); chain with ``validate.first_valid_attempt`` for repairs."""
+    import pandas as pd
+
+    from .validate import parse_assessments
+
+    payloads = case_payloads(headers, sources, max_chars)
+
+    def run(it):
+        for pdf in it:
+            answers = predict(pdf["payload"])
+            yield pd.DataFrame({"case_id": pdf["case_id"], "attempt": attempt,
+                                "content": pd.Series(answers, index=pdf.index).astype(object)})
+
+    responses = payloads.mapInPandas(run, "case_id string, attempt int, content string")
+    return parse_assessments(responses)

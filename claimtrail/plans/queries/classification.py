@@ -55,3 +55,46 @@ def q_f2(spark, sf_dir):
     _, _, t = _triage_by_repo(spark, sf_dir)
     return t.select("case_id", "risk", "n_review", F.size("citations").cast("bigint").alias("n_citations"),
                     F.col("citations")[0]["source_id"].alias("first_citation"))
+
+
+def _tier_model(payloads):
+    """A deterministic stand-in for a user's model (pandas in, pandas out):
+    the conversation keyword tiers over the case payload, citing the first
+    line of the first source."""
+    import json
+
+    import pandas as pd
+    order = {"low": 0, "medium": 1, "high": 2, "critical": 3}
+    out = []
+    for p in payloads:
+        case = json.loads(p)
+        texts = [s["text"].lower() for s in case["sources"]]
+        risk = "low"
+        for name, words in fixtures.CONVERSATION_TIERS:
+            if any(w in t for w in words for t in texts) and order[name] > order[risk]:
+                risk = name
+        first = case["sources"][0]
+        lines = first["text"].splitlines()
+        out.append(json.dumps({"risk": risk, "summary": f"Model classified the case as {risk}.",
+                               "labels": ["plug-in"],
+                               "citations": [{"source_id": first["source_id"], "quote": (lines[0] if lines else "")[:240]}],
+                               "confidence": 0.75}))
+    return pd.Series(out)
+
+
+@register("F1_model_classify", f"""
+WITH {O.CONV_SOURCES},
+  cls AS (SELECT case_id, max({O.tier_case(fixtures.CONVERSATION_TIERS)}) AS tier,
+                 arg_min(source_id, pos) AS sid, arg_min({O.first_line('text')}, pos) AS quote
+          FROM src GROUP BY case_id)
+SELECT case_id, {O.RISK_NAME.format(x='tier')} AS risk, true AS parse_ok, sid AS citation_source, quote,
+       0.75::DOUBLE AS confidence
+FROM cls
+""")
+def q_f1m(spark, sf_dir):
+    """The model plug-in surface (mapInPandas over case payloads) with a
+    deterministic stand-in model, parsed strictly (E2)."""
+    headers, sources = fixtures.conversation_cases(spark, sf_dir)
+    a = triage.model_classify(headers, sources, _tier_model)
+    return a.select("case_id", "risk", "parse_ok", F.col("citations")[0]["source_id"].alias("citation_source"),
+                    F.col("citations")[0]["quote"].alias("quote"), "confidence")

@@ -143,3 +143,31 @@ def test_reject_decision_extension(spark):
     assert on[1].outcome == "rejected" and on[2].message == "cannot approve a case in state rejected"
     new = workflow.apply_approvals(st, workflow.approve(st, dec, allow_reject=True)).first()
     assert new.state == "rejected" and new.reviewer == "ann"
+
+
+def test_model_plugin(spark):
+    import json
+
+    import pandas as pd
+
+    from claimtrail.operators import triage, validate
+
+    def predict(payloads: pd.Series) -> pd.Series:      # a stand-in model: cites the first source's first word
+        out = []
+        for p in payloads:
+            case = json.loads(p)
+            first = case["sources"][0]
+            risk = "high" if "failed" in first["text"].lower() else "low"
+            out.append(json.dumps({"risk": risk, "summary": "seen", "labels": ["model"],
+                                   "citations": [{"source_id": first["source_id"], "quote": first["text"].split()[0]}],
+                                   "confidence": "0.9"}))
+        return pd.Series(out)
+
+    h = spark.createDataFrame([("a", "t"), ("b", "t"), ("big", "t")], "case_id string, title string")
+    s = spark.createDataFrame([("a", 0, "x", "Job failed twice"), ("b", 0, "y", "All good"), ("big", 0, "z", "w" * 50)],
+                              "case_id string, pos long, source_id string, text string")
+    got = {r.case_id: r for r in triage.model_classify(h, s, predict, max_chars=40).collect()}
+    assert set(got) == {"a", "b"}                           # over the cap: never sent to the model
+    assert got["a"].risk == "high" and got["a"].parse_ok and got["a"].confidence == 0.9
+    assert validate.validate_assessments(triage.model_classify(h, s, predict, max_chars=40), s) \
+        .where("reason IS NOT NULL").count() == 0
