@@ -179,12 +179,14 @@ def case_payloads(headers: DataFrame, sources: DataFrame, max_chars: int = 100_0
 
 
 def model_classify(headers: DataFrame, sources: DataFrame, predict, max_chars: int = 100_000,
-                   attempt: int = 1) -> DataFrame:
+                   attempt: int = 1, chunk: int = 64) -> DataFrame:
     """Plug-in surface for a user's model: ``predict(payloads: pd.Series) ->
-    pd.Series`` of answer texts is called on Arrow batches of case payloads
-    inside the tasks (``mapInPandas``), and the answers are parsed strictly
-    (E2).  Returns (case_id, attempt, content, assessment columns,
-    parse_ok); chain with ``validate.first_valid_attempt`` for repairs."""
+    pd.Series`` of answer texts is called inside the tasks (``mapInPandas``)
+    on chunks of at most ``chunk`` case payloads (each payload is at most
+    ``max_chars`` of text, so a call's input is bounded), and the answers are
+    parsed strictly (E2).  Returns (case_id, attempt, content, assessment
+    columns, parse_ok); chain with ``validate.first_valid_attempt`` for
+    repairs."""
     import pandas as pd
 
     from .validate import parse_assessments
@@ -193,9 +195,11 @@ def model_classify(headers: DataFrame, sources: DataFrame, predict, max_chars: i
 
     def run(it):
         for pdf in it:
-            answers = predict(pdf["payload"])
-            yield pd.DataFrame({"case_id": pdf["case_id"], "attempt": attempt,
-                                "content": pd.Series(answers, index=pdf.index).astype(object)})
+            for start in range(0, len(pdf), chunk):
+                part = pdf.iloc[start:start + chunk]
+                answers = predict(part["payload"].reset_index(drop=True))
+                yield pd.DataFrame({"case_id": part["case_id"].to_numpy(), "attempt": attempt,
+                                    "content": pd.Series(list(answers), dtype=object)})
 
     responses = payloads.mapInPandas(run, "case_id string, attempt int, content string")
     return parse_assessments(responses)
