@@ -187,3 +187,53 @@ def q_g9(spark, sf_dir):
     wanted = fixtures.table(spark, sf_dir, "customer").select(
         F.concat(F.lit("user-"), F.col("c_custkey").cast("string")).alias("case_id"))
     return workflow.lookup(fixtures.state_snapshot(spark, sf_dir), wanted).select("case_id", "state", "risk", "error")
+
+
+def _stored_state(spark, sf_dir):
+    """A state snapshot over the conversation cases: every third case is
+    stored with its own fingerprint (failed when its id is a multiple of 6),
+    the next third with another fingerprint; the rest is unknown."""
+    headers, sources = fixtures.conversation_cases(spark, sf_dir)
+    fps = hashing.case_fingerprints(headers, sources)
+    cid = F.col("case_id").cast("bigint")
+    return fps.where(cid % 3 != 2).select(
+        "case_id",
+        F.when(cid % 3 == 0, F.col("fingerprint")).otherwise(F.sha2(F.lit("other"), 256)).alias("case_fingerprint"),
+        F.when(cid % 6 == 0, F.lit("failed")).otherwise(F.lit("pending_approval")).alias("state"))
+
+
+@register("G7_analyze_admission", f"""
+WITH {O.CONV_SOURCES}, {O.e1_reason()},
+  leaf AS (SELECT case_id, pos, sha256({O.canon('source_id')} || {O.canon('text')}) AS leaf FROM src),
+  {O.merkle('leaf', 'case_id', 'pos', 'leaf')},
+  nsrc AS (SELECT case_id, count(*) AS n FROM src GROUP BY case_id),
+  fp AS (SELECT hdr.case_id,
+                sha256({O.canon('hdr.case_id')} || {O.canon('hdr.title')} || {O.canon('nsrc.n')} || mtop.tree) AS fp
+         FROM hdr JOIN nsrc USING (case_id) JOIN mtop USING (case_id)),
+  stored AS (SELECT case_id, CASE WHEN CAST(case_id AS BIGINT) % 3 = 0 THEN fp ELSE sha256('other') END AS st_fp,
+                CASE WHEN CAST(case_id AS BIGINT) % 6 = 0 THEN 'failed' ELSE 'pending_approval' END AS st_state
+         FROM fp WHERE CAST(case_id AS BIGINT) % 3 <> 2),
+  adm AS (SELECT fp.case_id, stored.st_state,
+                 CASE WHEN stored.st_fp IS NULL THEN 'new' WHEN stored.st_fp <> fp.fp THEN 'conflict'
+                      WHEN stored.st_state <> 'failed' THEN 'deduplicated' ELSE 'retried' END AS admission
+          FROM fp LEFT JOIN stored USING (case_id)),
+  cls AS (SELECT case_id, max({O.tier_case(fixtures.CONVERSATION_TIERS)}) AS tier,
+                 arg_min({O.first_line('text')}, pos) AS quote FROM src GROUP BY case_id)
+SELECT adm.case_id, adm.admission,
+       CASE WHEN adm.admission IN ('new', 'retried') AND e1.reason IS NULL THEN {O.RISK_NAME.format(x='cls.tier')} END
+         AS risk,
+       CASE WHEN adm.admission IN ('deduplicated', 'conflict') THEN adm.st_state
+            WHEN e1.reason IS NOT NULL THEN NULL
+            WHEN {O.blank('cls.quote')} THEN 'failed' ELSE 'pending_approval' END AS state
+FROM adm JOIN e1 USING (case_id) JOIN cls USING (case_id)
+""")
+def q_g7a(spark, sf_dir):
+    """Analysis against a stored state: new, deduplicated, conflicting and
+    retried cases (fingerprints compared, only new and retried cases run)."""
+    headers, sources = fixtures.conversation_cases(spark, sf_dir)
+    out = workflow.analyze(
+        headers, sources,
+        classifier=lambda h, s: triage.keyword_classify(h, s, fixtures.CONVERSATION_TIERS),
+        validators=[lambda a: validate.prohibited_claims_reason()],
+        state=_stored_state(spark, sf_dir))
+    return out.select("case_id", "admission", "risk", "state")
