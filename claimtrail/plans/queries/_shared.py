@@ -3,22 +3,22 @@ the SQL fragments several oracle statements use."""
 
 from __future__ import annotations
 
-
 from collections.abc import Callable
 
-
 from pyspark.sql import DataFrame, SparkSession
-
-
 from pyspark.sql import functions as F
 
-
+from ...functions import hashing
+from ...operators import chain as chainops
+from ...operators import evaluate, measure
+from ...operators import evidence, scope
+from ...operators import report
 from ...operators import triage, validate, workflow
-
-
+from ...session import scratch_path
+from ...sources import io as sio
+from ...sources import state as sstate
+from ...streaming import streams
 from .. import fixtures
-
-
 from .. import oracle_sql as O
 
 
@@ -50,9 +50,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.coalesce("input_reason", "reason").alias("reason"), "state")
 
 
-from ...operators import evidence, scope  # noqa: E402
-
-
 _OBS_OUT = ["engagement_id", "repository_id", "observation_id", "check", "status", "severity", "path", "message"]
 
 
@@ -128,12 +125,6 @@ _REQ_CHECK = ("CASE o_orderstatus WHEN 'F' THEN 'semgrep' WHEN 'O' THEN 'osv' "
               "ELSE 'scan-' || lower(substring(o_orderpriority, 3)) END")
 
 
-from ...functions import hashing  # noqa: E402
-
-
-from ...operators import chain as chainops  # noqa: E402
-
-
 _TAMPER = "seq % 997 = 0"
 
 
@@ -195,9 +186,6 @@ _SNAPSHOT = """
 _DECISIONS = ("CASE WHEN value < 100 THEN ' ' ELSE 'rev-' || CAST(event_id % 5 AS STRING) END")
 
 
-from ...operators import evaluate, measure  # noqa: E402
-
-
 def _f3_sql(off: int) -> str:
     return f"""
   e AS (SELECT vec_id AS key, 'c' || CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS lg FROM embeddings),
@@ -354,9 +342,6 @@ def _triage_by_repo(spark, sf_dir, materialize=False):
     return obs, src, triage.triage(src.select("case_id").distinct(), src)
 
 
-from ...operators import report  # noqa: E402
-
-
 _EXEC_SQL = """
   ex AS (SELECT 'eng-1' AS engagement_id, 'repo-' || CAST(user_id % 100 + 1 AS VARCHAR) AS repository_id,
                 value > 2 AS iso FROM events)"""
@@ -382,18 +367,6 @@ _AUDIT_EVENT = ("CASE event_type WHEN 'signup' THEN 'case_received' WHEN 'view'
                 "WHEN 'error' THEN 'analysis_failed' END")
 
 
-from ...session import scratch_path  # noqa: E402
-
-
-from ...sources import io as sio  # noqa: E402
-
-
-from ...sources import state as sstate  # noqa: E402
-
-
-from ...streaming import streams  # noqa: E402
-
-
 def _state_parts(spark):
     """State-store partitions of the replay streams: the session's cores
     (the replayed tables are small; a production stream sizes this for its
