@@ -97,12 +97,13 @@ WITH {_f3_sql(0)}, b AS (SELECT * FROM preds),
    .replace('FROM pr)', 'FROM pr2)').replace('preds AS (', 'preds2 AS (')},
   j AS (SELECT b.pred AS pa, b.confidence AS ca, p2.pred AS pb, p2.confidence AS cb
         FROM b JOIN preds2 p2 USING (key))
-SELECT bool_and(pa = pb) AS identical_predictions, max(abs(ca - cb)) AS max_abs_conf_delta,
+SELECT bool_and(pa = pb) AS identical_predictions, round(max(abs(ca - cb)), 6) AS max_abs_conf_delta,
        bool_and(pa = pb AND ca = cb) AS identical_content, CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b
 FROM j
 """)
 def q_h10(spark, sf_dir):
-    return evaluate.compare_runs(fixtures.predictions(spark, sf_dir, "a"), fixtures.predictions(spark, sf_dir, "b"))
+    out = evaluate.compare_runs(fixtures.predictions(spark, sf_dir, "a"), fixtures.predictions(spark, sf_dir, "b"))
+    return out.withColumn("max_abs_conf_delta", F.round("max_abs_conf_delta", 6))
 
 
 @register("H11_acceptance", f"""
