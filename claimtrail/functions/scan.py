@@ -31,12 +31,23 @@ from pyspark.sql import types as T
 from ..session import checkpoint_root
 
 
+def next_state_matrix(allowed) -> np.ndarray:
+    """``nxt[from][to]``: the state after a transition, -1 when it is
+    rejected.  A boolean matrix means "allowed → the target state"."""
+    m = np.array(allowed)
+    if m.dtype == bool:
+        n = m.shape[0]
+        return np.where(m, np.broadcast_to(np.arange(n), (n, n)), -1).astype(np.int64)
+    return m.astype(np.int64)
+
+
 def fsm_fold(events: DataFrame, key: str, order: str, target: str,
-             allowed: Sequence[Sequence[bool]], num_partitions: int | None = None) -> DataFrame:
-    """Replay ``events`` (key, order, target state id ≥ 1) through the
-    transition matrix ``allowed[from][to]`` (state 0 = no state yet).  A
-    transition that is not allowed leaves the state as it was and is
-    reported as not accepted.
+             allowed, num_partitions: int | None = None) -> DataFrame:
+    """Replay ``events`` (key, order, target state id ≥ 1) through a
+    transition table (state 0 = no state yet): a boolean ``allowed[from][to]``
+    or a next-state matrix (-1 = rejected; a no-op is a transition whose next
+    state is its source).  A rejected transition leaves the state as it was
+    and is reported as not accepted.
 
     Returns the events with ``state_before``, ``state_after`` and
     ``accepted``.
@@ -44,7 +55,7 @@ def fsm_fold(events: DataFrame, key: str, order: str, target: str,
     spark = events.sparkSession
     checkpoint_root(spark)
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    allowed_np = np.array(allowed, dtype=bool)
+    nxt = next_state_matrix(allowed)
     base = events.select(F.col(key).alias("_k"), F.col(order).cast("bigint").alias("_o"),
                          F.col(target).cast("int").alias("_t"))
     laid = (base.repartitionByRange(n_parts, "_k", "_o")
@@ -62,7 +73,7 @@ def fsm_fold(events: DataFrame, key: str, order: str, target: str,
     def summarize(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        n_states = allowed_np.shape[0]
+        n_states = nxt.shape[0]
         first_key = last_key = None
         first_comp = None
         seg_key, seg = None, np.arange(n_states)
@@ -76,7 +87,8 @@ def fsm_fold(events: DataFrame, key: str, order: str, target: str,
                     if first_comp is None:
                         first_comp = seg.copy()
                     seg_key, seg = k, np.arange(n_states)
-                seg = np.where(allowed_np[seg, t], t, seg)
+                step = nxt[seg, t]
+                seg = np.where(step >= 0, step, seg)
         if not seen:
             return
         last_key = seg_key
@@ -121,11 +133,12 @@ def fsm_fold(events: DataFrame, key: str, order: str, target: str,
                 elif k != cur_key:
                     cur_key, cur = k, 0
                 before[i] = cur
-                if allowed_np[cur, t]:
-                    cur = t
+                step = nxt[cur, t]
+                if step >= 0:
+                    cur = int(step)
                 after[i] = cur
             yield pd.DataFrame({key: ks, order: pdf["_o"].to_numpy(), target: ts,
                                 "state_before": before, "state_after": after,
-                                "accepted": (before != after) | allowed_np[before, ts]})
+                                "accepted": nxt[before, ts] >= 0})
 
     return laid.mapInPandas(replay, out_schema)

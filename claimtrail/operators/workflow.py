@@ -23,27 +23,33 @@ STATE_IDS = {s: i + 1 for i, s in enumerate(STATES)}  # 0 = no state yet
 
 # Allowed transitions (from → to) of the replayed state machine:
 # a new or retried analysis is received; analysis ends pending or failed;
-# approval needs a pending case; publication needs an approved case; a
-# published case absorbs further approvals and publications.
+# approval needs a pending case; publication needs an approved case.
 TRANSITIONS = (
     (None, "received"), ("failed", "received"),
     ("received", "pending_approval"), ("received", "failed"),
     ("pending_approval", "approved"),
     ("approved", "published"),
-    ("published", "published"), ("published", "approved"),
 )
+# Accepted transitions that leave the state as it is — a
+# published case absorbs further approvals (silent no-op) and publications
+# (deduplicated).
+NOOP_TRANSITIONS = (("published", "approved"), ("published", "published"))
 REJECT_TRANSITION = ("pending_approval", "rejected")
 
 MAX_ATTEMPTS = 3
 BASE_DELAY_SECONDS = 0.01
 
 
-def transition_matrix(allow_reject: bool = False) -> list[list[bool]]:
+def transition_matrix(allow_reject: bool = False) -> list[list[int]]:
+    """Next-state matrix ``m[from][to]`` over state ids (0 = none yet);
+    -1 marks a rejected transition."""
     n = len(STATES) + 1
-    m = [[False] * n for _ in range(n)]
+    m = [[-1] * n for _ in range(n)]
     pairs = list(TRANSITIONS) + ([REJECT_TRANSITION] if allow_reject else [])
     for a, b in pairs:
-        m[0 if a is None else STATE_IDS[a]][STATE_IDS[b]] = True
+        m[0 if a is None else STATE_IDS[a]][STATE_IDS[b]] = STATE_IDS[b]
+    for a, b in NOOP_TRANSITIONS:
+        m[STATE_IDS[a]][STATE_IDS[b]] = STATE_IDS[a]
     return m
 
 

@@ -131,7 +131,13 @@ _TAMPER = "seq % 997 = 0"
 def _allowed_sql(a: str, b: str) -> str:
     m = workflow.transition_matrix()
     return "(" + " OR ".join(f"({a} = {i} AND {b} = {j})" for i, row in enumerate(m)
-                             for j, ok in enumerate(row) if ok) + ")"
+                             for j, nxt in enumerate(row) if nxt >= 0) + ")"
+
+
+def _next_sql(a: str, b: str) -> str:
+    m = workflow.transition_matrix()
+    return "CASE " + " ".join(f"WHEN {a} = {i} AND {b} = {j} THEN {nxt}" for i, row in enumerate(m)
+                              for j, nxt in enumerate(row) if nxt >= 0) + f" ELSE {a} END"
 
 
 _STATE_NAMES = "(['received', 'pending_approval', 'approved', 'published', 'rejected', 'failed'])"
@@ -147,7 +153,7 @@ _FOLD_SQL = f"""
   f(case_id, rn, seq, t, st_before, st) AS (
     SELECT case_id, 0, NULL::BIGINT, NULL::INTEGER, 0, 0 FROM (SELECT DISTINCT case_id FROM ev)
     UNION ALL
-    SELECT e.case_id, e.rn, e.seq, e.t, f.st, CASE WHEN {_allowed_sql('f.st', 'e.t')} THEN e.t ELSE f.st END
+    SELECT e.case_id, e.rn, e.seq, e.t, f.st, {_next_sql('f.st', 'e.t')}
     FROM f JOIN ev e ON e.case_id = f.case_id AND e.rn = f.rn + 1),
   folded AS (SELECT case_id, seq, {_STATE_NAMES}[t] AS to_state,
                     CASE WHEN st_before > 0 THEN {_STATE_NAMES}[st_before] END AS from_state,
@@ -434,6 +440,7 @@ __all__ = [
     "chainops",
     "_TAMPER",
     "_allowed_sql",
+    "_next_sql",
     "_STATE_NAMES",
     "_EV_STATE_ID",
     "_FOLD_SQL",

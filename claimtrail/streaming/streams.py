@@ -154,8 +154,9 @@ def stream_states(stream: DataFrame, ts: str = "ts", delay: str = "1 day",
         rows = pd.concat(list(pdfs)).sort_values("seq")
         for seq, to in zip(rows["seq"].tolist(), rows["to_state"].tolist()):
             t = STATE_IDS.get(to, 0)
-            if t and allowed[cur][t]:
-                cur, acc = t, acc + 1
+            nxt = allowed[cur][t] if t else -1
+            if nxt >= 0:
+                cur, acc = nxt, acc + 1
             else:
                 rej += 1
             last = max(last, int(seq))
