@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import bpe, exact, mixing, oph, secrets, simhash
+from . import bpe, exact, mixing, oph, secrets, simhash, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -38,6 +38,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    rows = toxicity.sample(docs, table(spark, sf_dir, "labels"), train=~held_out)
+    scored = toxicity.score(docs, toxicity.learn(rows))
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+                         F.size("hits").cast("long").alias("n_hits"))
+
+
 def encoded(docs: DataFrame) -> DataFrame:
     """Digests of the ids and of the bytes they decode to."""
     ids = bpe.encode(docs, VOCABULARY, PATTERN)
