@@ -1,9 +1,58 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: quality, exact copies, near copies, source mix, token ids.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)``, works on all rows its predecessor kept
+and returns a DataFrame; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from claimtrail.llm import exact, mixing, quality, queries, simhash
+from claimtrail.llm._common import stored
+from claimtrail.plans.tables import table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fits the two views on labelled rows of what is there; rejected documents go."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.accepted(docs, model).select(COLUMNS)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return exact.deduplicated(docs, keep="largest").select(COLUMNS)
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of fingerprints linked at two or fewer bits one document stays, the smallest id."""
+    return simhash.deduplicated(docs).select(COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it (0 to 2 times)."""
+    return mixing.mixed(docs).select(COLUMNS)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of what they decode to."""
+    return queries.encoded(docs)
+
+
+STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("SimHash near-dedup", simhash_stage),
+          ("mixing sources", mixing_stage), ("byte-level BPE", bpe_stage)]
+
+#: Classifier, fingerprints and token ids have no SQL form; see tests/llm for the brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    from claimtrail.plans.tables import table
-    return table(spark, sf_dir, "documents")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; between stages the rows are written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, name.replace(" ", "-"))
+    return docs
