@@ -185,8 +185,8 @@ def deduplicated(df: DataFrame, keep: str = "largest", id_col: str = "doc_id", t
     """The rows that stay, with all their columns.  Joined on (text's hash, id),
     so that a large group of copies is spread over the tasks."""
     best = "high" if keep == "largest" else "low"
-    own = groups(df, id_col, text_col).select(F.col("sha").alias("__sha"), F.col(best).alias("__keep"))
+    own = groups(df, id_col, text_col).select("sha", F.col(best).alias("keep"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = df.withColumns({"__sha": F.unhex(F.sha2(text, 256)), "__keep": key_id(F.col(id_col).cast("long"))})
-    return (keyed.join(own, ["__sha", "__keep"], "left_semi")
-            .dropDuplicates(["__sha", "__keep"]).drop("__sha", "__keep"))
+    keyed = df.select(F.struct("*").alias("row"), F.unhex(F.sha2(text, 256)).alias("sha"),
+                      key_id(F.col(id_col).cast("long")).alias("keep"))
+    return keyed.join(own, ["sha", "keep"], "left_semi").dropDuplicates(["sha", "keep"]).select("row.*")

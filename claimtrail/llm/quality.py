@@ -268,22 +268,28 @@ def train(df: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
                    block(free, "a", na), block(free, "b", nb))
 
 
-def scored(df: DataFrame, model: Model, name: str = "quality_score", text_col: str = "text", source_col: str = "source",
-           lang_col: str = "lang", size_col: str = "n_chars") -> DataFrame:
-    """Every row with all its columns and its score (0 to 1, higher: better); a
-    column of that name is replaced.  Null text counts as empty, null metadata as
-    a value of its own; long texts are read whole; an empty table stays empty."""
+def score(df: DataFrame, model: Model, text_col: str = "text", source_col: str = "source",
+          lang_col: str = "lang", size_col: str = "n_chars") -> Column:
+    """The score of ``df``'s rows as a column: 0 to 1, higher is better.  Null text
+    counts as empty, null metadata as a value of its own; long texts are read whole."""
     shared = df.sparkSession.sparkContext.broadcast(model)      # two weight vectors
 
     @F.pandas_udf("double")
-    def score(text: pd.Series, source: pd.Series, lang: pd.Series, size: pd.Series) -> pd.Series:
+    def run(text: pd.Series, source: pd.Series, lang: pd.Series, size: pd.Series) -> pd.Series:
         pdf = pd.DataFrame({"text": text, "source": source, "lang": lang, "n_chars": size})
         out = [shared.value.score(*_views(part)) for part in slices(iter([pdf]))]
         return pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
-    return df.withColumn(name, score(*_inputs(text_col, source_col, lang_col, size_col)))
+    return run(*_inputs(text_col, source_col, lang_col, size_col))
+
+
+def scored(df: DataFrame, model: Model, name: str = "quality_score", **columns: str) -> DataFrame:
+    """Every row with all its columns and its score; a column of that name is
+    replaced; an empty table stays empty."""
+    return df.withColumn(name, score(df, model, **columns))
 
 
 def accepted(df: DataFrame, model: Model, threshold: float = THRESHOLD, **columns: str) -> DataFrame:
     """The rows that score at least ``threshold``, with their own columns only."""
-    return scored(df, model, "__quality", **columns).where(F.col("__quality") >= threshold).drop("__quality")
+    judged = df.select(F.struct("*").alias("row"), score(df, model, **columns).alias("score"))
+    return judged.where(F.col("score") >= threshold).select("row.*")

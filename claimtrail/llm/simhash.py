@@ -230,8 +230,7 @@ def deduplicated(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all its columns."""
     kept = (assign(df, shingle, radius, id_col, text_col).where("keep")
-            .select(key_id("doc_id").alias("__id"), F.col("body").alias("__body")))
+            .select(key_id("doc_id").alias("id"), "body"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = df.withColumns({"__id": key_id(F.col(id_col).cast("long")), "__body": F.xxhash64(text)})
-    return (keyed.join(kept, ["__id", "__body"], "left_semi")
-            .dropDuplicates(["__id", "__body"]).drop("__id", "__body"))
+    keyed = df.select(F.struct("*").alias("row"), key_id(F.col(id_col).cast("long")).alias("id"), F.xxhash64(text).alias("body"))
+    return keyed.join(kept, ["id", "body"], "left_semi").dropDuplicates(["id", "body"]).select("row.*")
