@@ -33,8 +33,9 @@ def _sort_cols(order_by: Sequence) -> list[Column]:
 
 
 def global_rank(df: DataFrame, order_by: Sequence, rank_col: str = "rank",
-                num_partitions: int | None = None) -> Ranked:
-    """``order_by`` must be a total order (end it with a unique key)."""
+                num_partitions: int | None = None, keep_partition: str | None = None) -> Ranked:
+    """``order_by`` must be a total order (end it with a unique key).
+    ``keep_partition`` names a column for the number of a row's range."""
     spark = df.sparkSession
     checkpoint_root(spark)
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -56,13 +57,14 @@ def global_rank(df: DataFrame, order_by: Sequence, rank_col: str = "rank",
     for pid in range(top + 1):
         offsets.append(acc)
         acc += counts.get(pid, 0)
-    if offsets:
-        offset = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]),
-                              (F.shiftright(F.col("_mid"), _LOW_BITS)).cast("int") + 1)
-    else:
-        offset = F.lit(0).cast("bigint")
+    place = F.shiftright(F.col("_mid"), _LOW_BITS).cast("int")
+    # the offsets as a small table: one row for each range
+    table = spark.createDataFrame(list(enumerate(offsets)), "_pid int, _offset bigint")
+    laid_out = laid_out.withColumn("_pid", place).join(F.broadcast(table), "_pid")
+    offset = F.col("_offset")
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
-    ranked = laid_out.withColumn(rank_col, (offset + local + 1).cast("bigint")).drop("_mid")
+    ranked = laid_out.withColumn(rank_col, (offset + local + 1).cast("bigint")).drop("_mid", "_offset")
+    ranked = ranked.withColumnRenamed("_pid", keep_partition) if keep_partition else ranked.drop("_pid")
     return Ranked(ranked, acc)
 
 
@@ -75,24 +77,26 @@ def global_running_sum(df: DataFrame, order_by: Sequence, value: str, rank_col:
     import pandas as pd
     from pyspark.sql import types as T
 
-    ranked = global_rank(df, order_by, rank_col, num_partitions)
+    ranked = global_rank(df, order_by, rank_col, num_partitions, keep_partition="_range")
     laid = ranked.df
-    sums = {r["pid"]: (r["s"] or 0) for r in laid.groupBy(F.spark_partition_id().alias("pid"))
-            .agg(F.sum(value).alias("s")).collect()}
+    sums = {r["_range"]: (r["s"] or 0) for r in laid.groupBy("_range").agg(F.sum(value).alias("s")).collect()}
     offsets, acc = {}, 0
     for pid in sorted(sums):
         offsets[pid] = acc
         acc += sums[pid]
-    schema = T.StructType(laid.schema.fields + [T.StructField(out, T.DoubleType())])
+    schema = T.StructType([f for f in laid.schema.fields if f.name != "_range"] + [T.StructField(out, T.DoubleType())])
 
     def run(it):
-        from pyspark import TaskContext
-        carry = float(offsets.get(TaskContext.get().partitionId(), 0))
+        cur, carry = None, 0.0
         for pdf in it:
-            cs = pdf[value].fillna(0).astype("float64").cumsum() + carry
-            if len(cs):
-                carry = float(cs.iloc[-1])
-            yield pdf.assign(**{out: cs.astype("float64")})
+            # a task may hold several ranges, one after the other, if the plan above coalesces
+            for pid, part in pdf.groupby((pdf["_range"] != pdf["_range"].shift()).cumsum(), sort=False):
+                now = int(part["_range"].iloc[0])
+                if now != cur:
+                    cur, carry = now, float(offsets.get(now, 0))
+                sums_here = part[value].fillna(0).astype("float64").cumsum() + carry
+                carry = float(sums_here.iloc[-1])
+                yield part.drop(columns="_range").assign(**{out: sums_here})
 
     return Ranked(laid.mapInPandas(run, schema), ranked.n)
 

@@ -60,6 +60,7 @@ def fsm_fold(events: DataFrame, key: str, order: str, target: str,
                          F.col(target).cast("int").alias("_t"))
     laid = (base.repartitionByRange(n_parts, "_k", "_o")
             .sortWithinPartitions("_k", "_o")
+            .withColumn("_pid", F.spark_partition_id())     # stored, so later plans may coalesce or union
             .checkpoint(eager=True))
     key_type = laid.schema["_k"].dataType
 
@@ -71,8 +72,7 @@ def fsm_fold(events: DataFrame, key: str, order: str, target: str,
     ])
 
     def summarize(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
+        pid = None
         n_states = nxt.shape[0]
         first_key = last_key = None
         first_comp = None
@@ -80,6 +80,7 @@ def fsm_fold(events: DataFrame, key: str, order: str, target: str,
         seen = False
         for pdf in it:
             ks, ts = pdf["_k"].to_numpy(), pdf["_t"].to_numpy()
+            pid = int(pdf["_pid"].iloc[0]) if len(pdf) else pid     # one task reads one checkpointed partition here
             for k, t in zip(ks, ts):
                 if not seen:
                     seen, first_key, seg_key = True, k, k
@@ -120,16 +121,15 @@ def fsm_fold(events: DataFrame, key: str, order: str, target: str,
     enter_map = dict(entering)
 
     def replay(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        cur_key, cur, first = None, 0, True
+        cur_pid = cur_key = None
+        cur = 0
         for pdf in it:
-            ks, ts = pdf["_k"].to_numpy(), pdf["_t"].to_numpy()
+            ks, ts, pids = pdf["_k"].to_numpy(), pdf["_t"].to_numpy(), pdf["_pid"].tolist()
             before = np.empty(len(ks), dtype=np.int32)
             after = np.empty(len(ks), dtype=np.int32)
-            for i, (k, t) in enumerate(zip(ks, ts)):
-                if first:
-                    cur_key, cur, first = k, enter_map.get(pid, 0), False
+            for i, (k, t, pid) in enumerate(zip(ks, ts, pids)):
+                if pid != cur_pid:
+                    cur_pid, cur_key, cur = pid, k, enter_map.get(pid, 0)
                 elif k != cur_key:
                     cur_key, cur = k, 0
                 before[i] = cur

@@ -1,103 +1,51 @@
-"""Exact multi-pattern substring search over a partitioned text column.
-
-When the pattern side is small enough — checked by a count and a total
-length before anything is broadcast — its patterns go to every task as a
-broadcast variable and each task scans its texts once with an Aho-Corasick
-automaton (built once per task, streaming Arrow batches).  Every text is
-scanned whole; the cost is linear in text length plus matches, whatever the
-number of patterns.  Callers keep an exact Spark join plan for pattern sets
-over the limit.
+"""Exact substring joins as equi-joins.
+
+A pattern of length L belongs to the class of the largest power of two p <= L
+(at most 128).  With q = max(1, p / 2) and a step s = p - q + 1, every occurrence
+of the pattern covers s consecutive starts of q-grams, so exactly one start that
+is a multiple of s: the text side emits the q-grams at those starts, the pattern
+side its first s q-grams, and a pair that meets is verified on the whole text.
+Long patterns so cost a text about one row in s characters, whatever the number
+of patterns, and a pattern set of any size stays distributed.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-try:  # gated: the plain Spark plans are used without it
-    import ahocorasick  # noqa: F401
-    HAVE_AHOCORASICK = True
-except ImportError:  # pragma: no cover
-    HAVE_AHOCORASICK = False
-
-# an automaton takes several times its pattern text in memory in every
-# Python worker, so the broadcast path is kept well below worker memory
-MAX_PATTERNS = 1_000_000
-MAX_PATTERN_CHARS = 32_000_000
-
-_AUTOMATA: dict[str, object] = {}
-
-
-def pattern_stats(patterns: DataFrame, col: str) -> tuple[int, int]:
-    r = patterns.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(col)), F.lit(0)).alias("c")).first()
-    return int(r["n"]), int(r["c"])
-
-
-def fits_broadcast(patterns: DataFrame, col: str, max_patterns: int = MAX_PATTERNS,
-                   max_chars: int = MAX_PATTERN_CHARS) -> bool:
-    if not HAVE_AHOCORASICK:
-        return False
-    n, c = pattern_stats(patterns, col)
-    return n <= max_patterns and c <= max_chars
-
-
-def find_patterns(texts: DataFrame, text_col: str, keep: list[str], patterns: DataFrame, pattern_col: str,
-                  payload_cols: list[str], mode: str = "all", keep_unmatched: bool = False) -> DataFrame:
-    """Pattern occurrences per text, with the pattern's payload columns.
-
-    ``mode="all"``: one row per distinct (text, payload) pair found.
-    ``mode="min"``: one row per text with the smallest payload (tuple order),
-    the reduction done inside the scan so no group-by follows.
-    ``keep_unmatched`` also emits texts without any match (null payload).
-    ``patterns`` must have passed ``fits_broadcast``; the empty pattern
-    occurs in every text."""
-    spark = texts.sparkSession
-    rows = patterns.select(pattern_col, *payload_cols).collect()   # size checked by the caller
-    by_pattern: dict[str, list] = {}
-    for r in rows:
-        if r[0] is not None:
-            by_pattern.setdefault(r[0], []).append(tuple(r[1:]))
-    token = uuid.uuid4().hex
-    bc = spark.sparkContext.broadcast(by_pattern)
-    out_schema = T.StructType([texts.schema[c] for c in keep] + [patterns.schema[c] for c in payload_cols])
-    cols = list(keep) + ([text_col] if text_col not in keep else [])
-    width = len(payload_cols)
-
-    def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-        auto = _AUTOMATA.get(token)
-        if auto is None:
-            auto = ahocorasick.Automaton()
-            for p, payloads in bc.value.items():
-                if p:
-                    auto.add_word(p, payloads)
-            if len(auto):
-                auto.make_automaton()
-            _AUTOMATA.clear()
-            _AUTOMATA[token] = auto
-        everywhere = bc.value.get("", [])
-        for pdf in it:
-            idx, found = [], []
-            for i, t in enumerate(pdf[text_col].tolist()):
-                hits = set(everywhere)
-                if t is not None and len(auto):
-                    for _, payloads in auto.iter(t):
-                        hits.update(payloads)
-                if mode == "min" and hits:
-                    hits = {min(hits)}
-                if not hits and keep_unmatched:
-                    hits = {(None,) * width}
-                for v in hits:
-                    idx.append(i)
-                    found.append(v)
-            res = pdf.iloc[idx][list(keep)].reset_index(drop=True)
-            for j, c in enumerate(payload_cols):
-                res[c] = [v[j] for v in found]
-            yield res
 
-    return texts.select(*cols).mapInPandas(scan, out_schema)
+TOP_CLASS = 7       # 2^7: longer patterns share the class of 128 characters
+
+
+def _class(length: Column) -> Column:
+    return F.least(F.floor(F.log2(length)).cast("int"), F.lit(TOP_CLASS))
+
+
+def _sizes(cls: Column) -> tuple[Column, Column]:
+    p = F.element_at(F.array(*[F.lit(1 << k) for k in range(TOP_CLASS + 1)]), cls + 1)
+    q = F.greatest(F.lit(1), (p / 2).cast("int"))
+    return q, p - q + 1
+
+
+def containing(texts: DataFrame, text_id: str, text: str, patterns: DataFrame, pattern_id: str, pattern: str) -> DataFrame:
+    """Distinct ``(pattern_id, text_id)`` where the pattern occurs in the text.
+    Null and empty patterns and null texts match nothing.
+
+    The classes that occur (eight at most) come from one small aggregate; they
+    only spare the text side grams that no pattern has."""
+    p = patterns.select(F.col(pattern_id).alias("_pid"), F.col(pattern).alias("_p")).where(F.length("_p") > 0)
+    p = p.withColumn("_c", _class(F.length("_p")))
+    classes = sorted(r["_c"] for r in p.select("_c").distinct().collect())
+    t = texts.select(F.col(text_id).alias("_tid"), F.col(text).alias("_t")).where(F.length("_t") > 0)
+    q, s = _sizes(F.col("_c"))
+    starts = F.sequence(F.lit(1), s)
+    p_grams = p.select("_pid", "_c", "_p", F.explode(starts).alias("_at")).select(
+        "_pid", "_c", F.substring("_p", F.col("_at"), q).alias("_g")).distinct()
+    t = t.withColumn("_l", F.length("_t"))
+    wanted = F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<int>")
+    t_grams = t.select("_tid", "_t", "_l", F.explode(wanted).alias("_c")).where(F.col("_l") >= q)
+    t_grams = t_grams.select("_tid", "_t", "_c", F.explode(F.sequence(F.lit(1), F.col("_l") - q + 1, s)).alias("_at"))
+    t_grams = t_grams.select("_tid", "_c", F.substring("_t", F.col("_at"), q).alias("_g"))
+    met = p_grams.join(t_grams, ["_c", "_g"]).select("_pid", "_tid").distinct()
+    return (met.join(p.select("_pid", "_p"), "_pid").join(t.select("_tid", "_t"), "_tid")
+            .where(F.contains("_t", "_p")).select(F.col("_pid").alias(pattern_id), F.col("_tid").alias(text_id)).distinct())

@@ -75,18 +75,22 @@ def confusion(preds: DataFrame, labels: Sequence[str]) -> DataFrame:
             .select("label", F.explode(lab).alias("pred")))
     dense = grid.join(counts, ["label", "pred"], "left").select(
         "label", "pred", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
-    other = counts.where(~F.col("label").isin(*labels) | ~F.col("pred").isin(*labels)).select(
+    listed = lambda c: F.coalesce(F.col(c).isin(*labels), F.lit(False))  # noqa: E731  null: not listed
+    other = counts.where(~listed("label") | ~listed("pred")).select(
         "label", F.lit("(other)").alias("pred"), F.col("n").cast("bigint"))
     return dense.unionByName(other.groupBy("label", "pred").agg(F.sum("n").cast("bigint").alias("n")))
 
 
 def per_class(preds: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """H4: precision, recall, F1, support per class; 0 on empty denominators."""
+    """H4: precision, recall, F1, support per class; 0 on empty denominators.
+    A null prediction (unparsed) is a wrong one."""
+    def of(col: str, c: str):
+        return F.col(col).eqNullSafe(F.lit(c))
     agg = preds.agg(*[
         F.struct(
-            F.sum(((F.col("pred") == c) & (F.col("label") == c)).cast("long")).alias("tp"),
-            F.sum(((F.col("pred") == c) & (F.col("label") != c)).cast("long")).alias("fp"),
-            F.sum(((F.col("pred") != c) & (F.col("label") == c)).cast("long")).alias("fn"),
+            F.sum((of("pred", c) & of("label", c)).cast("long")).alias("tp"),
+            F.sum((of("pred", c) & ~of("label", c)).cast("long")).alias("fp"),
+            F.sum((~of("pred", c) & of("label", c)).cast("long")).alias("fn"),
         ).alias(f"c{i}") for i, c in enumerate(labels)])
     rows = agg.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("cls"), F.col(f"c{i}.tp").alias("tp"), F.col(f"c{i}.fp").alias("fp"),
@@ -228,10 +232,11 @@ def stratified_split(rows: DataFrame, label: str, key: str, seed: int = 42,
 
 def split_counts(manifest: DataFrame, label: str = "label", split: str = "split") -> DataFrame:
     """Label × split counts with per-label and grand totals (rollup);
-    totals carry ``*``."""
-    return manifest.rollup(label, split).agg(F.count(F.lit(1)).alias("n")).select(
-        F.coalesce(F.col(label).cast("string"), F.lit("*")).alias("label"),
-        F.coalesce(F.col(split), F.lit("*")).alias("split"), F.col("n").cast("bigint").alias("n"))
+    totals carry ``*``, a null label or split stays null."""
+    return manifest.rollup(label, split).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping(label).alias("_l"), F.grouping(split).alias("_s")).select(
+        F.when(F.col("_l") == 1, F.lit("*")).otherwise(F.col(label).cast("string")).alias("label"),
+        F.when(F.col("_s") == 1, F.lit("*")).otherwise(F.col(split)).alias("split"), F.col("n").cast("bigint").alias("n"))
 
 
 # ---------------------------------------------------------------- H15 / H16

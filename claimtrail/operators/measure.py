@@ -51,33 +51,19 @@ def parse_condition(results: DataFrame, image: str = "image") -> DataFrame:
 
 def match_objects(results: DataFrame, truth: DataFrame, image: str = "image") -> DataFrame:
     """The first truth object (in truth order) whose key occurs in the image
-    name.
-
-    A truth table within the broadcast limits (checked: key count and total
-    length) is matched by one Aho-Corasick scan per name inside the tasks
-    (``functions.substring``), the smallest truth position chosen in the
-    scan.  Beyond the limits: an exact equi-join — every substring of the
-    name whose length is a truth-key length is a candidate key (names are
-    short file names, so candidates per row are bounded by name length × key
-    lengths), the smallest truth position wins.  No nested-loop join."""
-    from ..functions.substring import find_patterns, fits_broadcast
-    if fits_broadcast(truth, "object"):
-        found = find_patterns(results, image, results.columns, truth, "object",
-                              ["truth_pos", "object", "true_mm"], mode="min", keep_unmatched=True)
-        return found.drop("truth_pos")
-    lens = [r[0] for r in truth.select(F.length("object").alias("l")).distinct().collect()]
-    if not lens:
-        return results.withColumn("object", F.lit(None).cast("string")).withColumn("true_mm", F.lit(None).cast("double"))
-    cands = results.select(
-        image, F.explode(F.array(*[F.lit(int(x)) for x in sorted(lens)])).alias("_len"))
-    cands = cands.select(image, "_len", F.explode(F.sequence(F.lit(1), F.greatest(
-        F.length(image) - F.col("_len") + 1, F.lit(1)))).alias("_at"))
-    # duplicates of one substring cannot change the min_by below, so no distinct
-    cands = cands.select(image, F.substring(F.col(image), F.col("_at"), F.col("_len")).alias("object"))
-    hits = cands.join(truth.select("object", "true_mm", "truth_pos"), "object")
-    best = hits.groupBy(image).agg(F.min_by(F.struct("object", "true_mm"), "truth_pos").alias("_b"))
-    return results.join(best, image, "left").select("*", F.col("_b.object").alias("object"),
-                                                     F.col("_b.true_mm").alias("true_mm")).drop("_b")
+    name, by the exact substring equi-join of ``functions.substring``; names
+    without one keep null columns."""
+    from ..functions.substring import containing
+    names = results.select(F.col(image).alias("_name")).distinct()
+    hits = containing(
+        names.select("_name", F.col("_name").alias("_text")), "_name", "_text",
+        truth.select("object", F.col("object").alias("_key")), "object", "_key")
+    first = truth.groupBy("object").agg(F.min_by(F.struct("true_mm", "truth_pos"), "truth_pos").alias("_v"))
+    best = (hits.join(first, "object").groupBy("_name")
+            .agg(F.min_by(F.struct("object", F.col("_v.true_mm").alias("true_mm")), F.col("_v.truth_pos")).alias("_b")))
+    return (results.join(best, results[image] == best["_name"], "left")
+            .select(*[results[c] for c in results.columns], F.col("_b.object").alias("object"),
+                    F.col("_b.true_mm").alias("true_mm")))
 
 
 def measurement_errors(results: DataFrame, truth: DataFrame, image: str = "image") -> DataFrame:

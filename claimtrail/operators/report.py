@@ -35,109 +35,134 @@ def sorted_counts(df: DataFrame, key: Sequence[str], col: str, out: str) -> Data
 
 
 # ---------------------------------------------------------------- J1
-def pilot_metrics(observations: DataFrame, assessments: DataFrame, executions: DataFrame,
+def _tally(pairs: str, field: str) -> Column:
+    """``name=count`` by name from an array of (status, severity, n) tallies."""
+    names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p[field])))
+    return F.array_join(F.transform(names, lambda name: F.concat(
+        name, F.lit("="), F.aggregate(F.filter(pairs, lambda p: p[field] == name), F.lit(0).cast("bigint"),
+                                      lambda n, p: n + p["n"]).cast("string"))), ",")
+
+
+def pilot_metrics(reports: DataFrame, observations: DataFrame, assessments: DataFrame, executions: DataFrame,
+                  audit: DataFrame | None = None, durations: DataFrame | None = None,
                   key: Sequence[str] = ("engagement_id", "repository_id")) -> DataFrame:
-    """Per repository the report fingerprint, the observation total,
-    counts by status and by severity, the assessment's risk, confidence,
-    citation count and labels, and whether every scanner execution was
-    network isolated (true when there were none)."""
+    """One row for every report, also an empty one: fingerprint, observation
+    tallies, the assessment's figures, scanner executions, whether all were
+    network isolated (true without any), the audit chain's check (null: not
+    checked), the provider's duration, and what the figures do not claim.
+
+    ``audit(key, valid)`` and ``durations(key, duration_ms)`` are optional.  The
+    observations are aggregated once, by (key, status, severity); only these few
+    tallies of a report meet in one row.
+    """
     from .evidence import OBS_FIELDS, report_fingerprints
+    from ..functions.hashing import canon_record
     key = list(key)
-    tot = observations.groupBy(*key).agg(F.count(F.lit(1)).cast("bigint").alias("observations"))
-    st = sorted_counts(observations, key, "status", "status_counts")
-    sv = sorted_counts(observations, key, "severity", "severity_counts")
+    pairs = (observations.groupBy(*key, "status", "severity").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy(*key).agg(F.collect_list(F.struct("status", "severity", "n")).alias("_p")))
+    out = reports.select(*key).join(pairs, key, "left")
     if set(OBS_FIELDS) | {"pos"} <= set(observations.columns):
-        fp = report_fingerprints(observations, key).withColumnRenamed("report_fp", "report_fingerprint")
+        out = out.join(report_fingerprints(observations, key), key, "left").withColumn(
+            "report_fp", F.coalesce("report_fp", F.sha2(canon_record(*key), 256)))
     else:       # a bare status/severity table: no fingerprint to report
-        fp = observations.select(*key).distinct().withColumn("report_fingerprint", F.lit(None).cast("string"))
-    iso = executions.groupBy(*key).agg(F.bool_and("network_isolated").alias("_iso"),
-                                       F.count(F.lit(1)).cast("bigint").alias("executions"))
-    a = assessments.select(*key, "risk", "confidence", F.size("citations").cast("bigint").alias("citation_count"),
-                           (F.array_join("labels", ",") if "labels" in assessments.columns
-                            else F.lit(None).cast("string")).alias("labels"))
-    out = (tot.join(st, key, "left").join(sv, key, "left").join(fp, key, "left").join(a, key, "left")
-           .join(iso, key, "left"))
-    return out.select(*key, "report_fingerprint", "observations", "status_counts", "severity_counts", "risk",
-                      "confidence", "citation_count", "labels",
-                      F.coalesce("executions", F.lit(0)).cast("bigint").alias("executions"),
-                      F.coalesce("_iso", F.lit(True)).alias("all_isolated"))
+        out = out.withColumn("report_fp", F.lit(None).cast("string"))
+    named = "scanner" in executions.columns
+    runs = executions.groupBy(*key).agg(
+        F.bool_and("network_isolated").alias("_iso"), F.count(F.lit(1)).alias("_runs"),
+        (F.array_join(F.array_sort(F.collect_set("scanner")), ",") if named else F.lit("")).alias("scanners"))
+    labels = F.array_join("labels", ",") if "labels" in assessments.columns else F.lit(None).cast("string")
+    judged = assessments.select(*key, "risk", "confidence", F.size("citations").cast("bigint").alias("citation_count"),
+                                labels.alias("labels"))
+    out = out.join(judged, key, "left").join(runs, key, "left")
+    for extra, name, kind in ((audit, "valid", "boolean"), (durations, "duration_ms", "double")):
+        out = (out.withColumn(name, F.lit(None).cast(kind)) if extra is None
+               else out.join(extra.select(*key, F.col(name).cast(kind).alias(name)), key, "left"))
+    tallies = F.coalesce("_p", F.array().cast("array<struct<status:string,severity:string,n:bigint>>"))
+    out = out.withColumn("_p", tallies)
+
+    def total(keep=lambda p: F.lit(True)) -> Column:
+        return F.aggregate(F.filter("_p", keep), F.lit(0).cast("bigint"), lambda n, p: n + p["n"])
+    return out.select(
+        *key, F.col("report_fp").alias("report_fingerprint"), total().alias("observations"),
+        total(lambda p: p["status"] == "review").alias("to_review"), total(lambda p: p["status"] == "pass").alias("passed"),
+        _tally("_p", "status").alias("status_counts"), _tally("_p", "severity").alias("severity_counts"),
+        "risk", "confidence", "citation_count", "labels",
+        F.coalesce("_runs", F.lit(0)).cast("bigint").alias("executions"), F.coalesce("scanners", F.lit("")).alias("scanners"),
+        F.coalesce("_iso", F.lit(True)).alias("all_isolated"), F.col("valid").alias("audit_verified"),
+        F.col("duration_ms").alias("provider_duration_ms"),
+        *(F.lit(False).alias(c) for c in NOT_CLAIMED))
+
+
+# what the metrics never claim
+NOT_CLAIMED = ("claims_full_coverage", "claims_certification", "claims_production_testing")
 
 
 # ---------------------------------------------------------------- J2
-def duration_text(ms: Column) -> Column:
-    return (F.when(ms.isNull(), F.lit("not measured"))
-            .when(ms < 100, F.lit("less than 0.1 seconds"))
-            .otherwise(F.format_string("%.1f seconds", ms / 1000.0)))
-
-
-def management_summary(metrics: DataFrame, duration_ms: str | None = None) -> DataFrame:
-    """A short Markdown summary per repository (our own wording) from the
-    J1 metrics."""
-    dur = F.col(duration_ms) if duration_ms else F.lit(None).cast("double")
-    text = F.concat_ws(
-        "\n",
-        F.lit("# Management summary"),
-        F.lit(""),
-        F.format_string("Repository `%s` in engagement `%s` was processed locally; nothing was "
-                        "published without human approval.", F.col("repository_id"), F.col("engagement_id")),
-        F.lit(""),
-        F.format_string("- Combined risk classification: **%s**.", F.coalesce(F.col("risk"), F.lit("n/a"))),
-        F.format_string("- Observations: **%d** in total (%s).", F.col("observations"),
-                        F.coalesce(F.col("status_counts"), F.lit("none"))),
-        F.format_string("- Distribution: %s.", F.coalesce(F.col("severity_counts"), F.lit("no observations"))),
-        F.format_string("- External scanners network isolated: **%s**.", F.lower(F.col("all_isolated").cast("string"))),
-        F.format_string("- Exactly traceable citations: **%d**.", F.coalesce(F.col("citation_count"), F.lit(0))),
-        F.concat(F.lit("- Model/triage duration: **"), duration_text(dur), F.lit("**.")),
-        F.lit(""),
-        F.lit("This is a reproducible triage of defined signals, not proof that every vulnerability was "
-              "found and not a compliance certification."),
-    )
-    return metrics.select("engagement_id", "repository_id", text.alias("summary_md"))
+def management_summary(metrics: DataFrame) -> DataFrame:
+    """The J1 figures of a report as a Markdown table with a line on their limits."""
+    def yes(c: str, unknown: str) -> Column:
+        return F.when(F.col(c).isNull(), F.lit(unknown)).when(F.col(c), F.lit("yes")).otherwise(F.lit("no"))
+
+    def text(c: str, none: str) -> Column:
+        return F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(none))
+    seconds = F.when(F.col("provider_duration_ms").isNull(), F.lit("-")).otherwise(
+        F.format_string("%.1f", F.round(F.col("provider_duration_ms") / 1000.0, 1)))
+    rows = (("risk", text("risk", "-")), ("findings", F.col("observations").cast("string")),
+            ("open for review", F.col("to_review").cast("string")), ("controls seen", F.col("passed").cast("string")),
+            ("by severity", text("severity_counts", "-")), ("scanners", text("scanners", "-")),
+            ("scanners offline", yes("all_isolated", "?")), ("quotes traced", text("citation_count", "0")),
+            ("triage, s", seconds), ("audit chain intact", yes("audit_verified", "?")))
+    lines = [F.concat(F.lit("## "), F.col("repository_id"), F.lit(" ("), F.col("engagement_id"), F.lit(")")),
+             F.lit(""), F.lit("| figure | value |"), F.lit("|---|---|")]
+    lines += [F.concat(F.lit(f"| {name} | "), value, F.lit(" |")) for name, value in rows]
+    lines += [F.lit(""), F.lit("Figures come from automatic rules: other flaws may exist, and no norm is attested.")]
+    return metrics.select("engagement_id", "repository_id", F.concat_ws("\n", *lines).alias("summary_md"))
 
 
 # ---------------------------------------------------------------- J3
+PAGE = 100      # observations on an evidence page
+
+
 def neutralize_fences(c: Column) -> Column:
     return F.replace(c, F.lit(FENCE), F.lit(FENCE_NEUTRAL))
 
 
-def evidence_pack(cases: DataFrame, sources: DataFrame, assessments: DataFrame,
-                  state: DataFrame | None = None, audit_verified: DataFrame | None = None) -> DataFrame:
-    """A Markdown evidence pack per case: header, actual workflow state,
-    risk and confidence, grounded citations, and the case's (bounded,
-    selected) evidence as a JSON block with code fences neutralized.
-
-    The evidence block lists the case's sources, which D7 caps at 100 items
-    and 90,000 characters; the raw report stays in its own table instead of
-    being inlined, so a pack never grows with the report."""
-    ev = sources.groupBy("case_id").agg(
-        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source_id", "text"))),
-                              lambda e: F.struct(e["source_id"].alias("source_id"), e["text"].alias("text"))))
-        .alias("_evidence"))
-    cit = assessments.select(
-        "case_id", "risk", "confidence", "summary",
-        F.array_join(F.transform(F.coalesce("citations", F.array().cast("array<struct<source_id:string,quote:string>>")),
-                                 lambda c: F.concat(F.lit("- `"), c["source_id"], F.lit("`: "), c["quote"])), "\n")
-        .alias("_cites"))
-    j = cases.join(ev, "case_id", "left").join(cit, "case_id", "left")
-    st = F.lit("pending_approval")
+def evidence_pack(cases: DataFrame, observations: DataFrame, assessments: DataFrame, state: DataFrame | None = None,
+                  audit_verified: DataFrame | None = None, page: int = PAGE,
+                  key: Sequence[str] = ("engagement_id", "repository_id")) -> DataFrame:
+    """The evidence pack of every case as rows ``(case_id, page, first_pos,
+    n_items, page_md)``.  Page 0 is the cover (state, audit check, risk, quotes);
+    the pages after it hold *all* observations of the report, ``page`` positions
+    each, as JSON with code fences neutralized.  A task gathers one page at most,
+    so a report of any size is spread out."""
+    key = list(key)
+    quotes = F.coalesce("citations", F.array().cast("array<struct<source_id:string,quote:string>>"))
+    judged = assessments.select("case_id", "risk", "confidence", "summary", F.array_join(F.transform(
+        quotes, lambda c: F.concat(F.lit("* ["), c["source_id"], F.lit("] "), c["quote"])), "\n").alias("_quotes"))
+    j = cases.join(judged, "case_id", "left")
+    stage, checked = F.lit("pending_approval"), F.lit("unchecked")
     if state is not None:
         j = j.join(state.select("case_id", F.col("state").alias("_state")), "case_id", "left")
-        st = F.coalesce(F.col("_state"), F.lit("received"))
-    ver = F.lit("false")
+        stage = F.coalesce(F.col("_state"), F.lit("received"))
     if audit_verified is not None:
-        j = j.join(audit_verified.select("case_id", F.col("valid").alias("_v")), "case_id", "left")
-        ver = F.lower(F.coalesce(F.col("_v"), F.lit(True)).cast("string"))
-    md = F.concat(
-        F.lit("# Evidence pack\n\n## "), F.col("title"), F.lit("\n\n"),
-        F.lit("Case: `"), F.col("case_id"), F.lit("`  \nAudit chain verified: `"), ver,
-        F.lit("`  \nWorkflow state: `"), st, F.lit("`\n\n## Triage\n\nRisk: **"), F.coalesce("risk", F.lit("n/a")),
-        F.lit("**  \nConfidence: **"), F.format_string("%.2f", F.coalesce("confidence", F.lit(0.0))),
-        F.lit("**\n\n"), F.coalesce("summary", F.lit("")), F.lit("\n\n## Grounded citations\n\n"),
-        F.coalesce("_cites", F.lit("")), F.lit("\n\n## Evidence\n\n```json\n"),
-        neutralize_fences(F.coalesce("_evidence", F.lit("[]"))),
-        F.lit("\n```\n\n## Required decision\n\nA named reviewer must confirm scope, severity, reachability "
-              "and recipient before any external publication.\n"))
-    return j.select("case_id", md.alias("pack_md"))
+        j = j.join(audit_verified.select("case_id", F.col("valid").alias("_valid")), "case_id", "left")
+        checked = F.when(F.col("_valid").isNull(), checked).when(F.col("_valid"), F.lit("intact")).otherwise(F.lit("broken"))
+    facts = (("case", F.col("case_id")), ("state", stage), ("audit", checked), ("risk", F.coalesce("risk", F.lit("-"))),
+             ("confidence", F.coalesce(F.format_string("%.2f", F.round("confidence", 2)), F.lit("-"))))
+    cover = F.concat_ws("\n", F.concat(F.lit("# "), F.col("title")), F.lit(""),
+                        *(F.concat(F.lit(f"{name}: "), value) for name, value in facts), F.lit(""),
+                        F.coalesce("summary", F.lit("Not assessed.")), F.lit(""), F.lit("Quotes"), F.coalesce("_quotes", F.lit("")))
+    covers = j.select("case_id", F.lit(0).cast("bigint").alias("page"), F.lit(None).cast("bigint").alias("first_pos"),
+                      F.lit(0).cast("bigint").alias("n_items"), neutralize_fences(cover).alias("page_md"))
+    fields = [c for c in ("observation_id", "check", "status", "severity", "path", "message") if c in observations.columns]
+    dealt = observations.withColumn("_page", F.floor(F.col("pos") / F.lit(page)).cast("bigint"))
+    pages = (dealt.groupBy(*key, "_page").agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("_items"))
+             .join(cases.select(*key, "case_id"), key))
+    body = F.to_json(F.transform("_items", lambda o: F.struct(*(o[f].alias(f) for f in fields))))
+    return covers.unionByName(pages.select(
+        "case_id", (F.col("_page") + 1).alias("page"), F.col("_items")[0]["pos"].alias("first_pos"),
+        F.size("_items").cast("bigint").alias("n_items"),
+        F.concat(F.lit(FENCE + "json\n"), neutralize_fences(body), F.lit("\n" + FENCE)).alias("page_md")))
 
 
 # ---------------------------------------------------------------- J4 / J5

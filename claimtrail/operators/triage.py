@@ -165,17 +165,20 @@ def case_payloads(headers: DataFrame, sources: DataFrame, max_chars: int = 100_0
     """Per case the JSON payload a model receives: ``{"title": ...,
     "sources": [{"source_id": ..., "text": ...}, ...]}`` in source order.
 
-    Only cases within the input size cap are rendered (larger ones fail rule
-    E1 and never reach a model), so the per-case list is bounded by
-    ``max_chars`` characters of text."""
-    size = sources.groupBy("case_id").agg(F.sum(F.length("text")).alias("_chars"))
-    ok = size.where(F.col("_chars") <= F.lit(max_chars)).select("case_id")
-    src = sources.join(ok, "case_id", "left_semi")
+    Every case has a row ``(case_id, payload, reason)``: a case over the input
+    size cap, or without sources, has no payload but the reason rule E1 would
+    give.  Only cases within the cap are rendered, so the per-case list is
+    bounded by ``max_chars`` characters of text."""
+    from .validate import MSG_NO_SOURCES, MSG_TOO_LARGE
+    size = sources.groupBy("case_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("_chars"))
+    src = sources.join(size.where(F.col("_chars") <= F.lit(max_chars)).select("case_id"), "case_id", "left_semi")
     lists = src.groupBy("case_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "source_id", "text"))),
         lambda e: F.struct(e["source_id"].alias("source_id"), e["text"].alias("text"))).alias("_s"))
-    return headers.join(lists, "case_id").select(
-        "case_id", F.to_json(F.struct(F.col("title"), F.col("_s").alias("sources"))).alias("payload"))
+    j = headers.join(size, "case_id", "left").join(lists, "case_id", "left")
+    reason = F.when(F.col("_chars").isNull(), F.lit(MSG_NO_SOURCES)).when(F.col("_chars") > F.lit(max_chars), F.lit(MSG_TOO_LARGE))
+    return j.select("case_id", F.when(reason.isNull(), F.to_json(F.struct(F.col("title"), F.col("_s").alias("sources"))))
+                    .alias("payload"), reason.alias("reason"))
 
 
 def model_classify(headers: DataFrame, sources: DataFrame, predict, max_chars: int = 100_000,
@@ -184,9 +187,10 @@ def model_classify(headers: DataFrame, sources: DataFrame, predict, max_chars: i
     pd.Series`` of answer texts is called inside the tasks (``mapInPandas``)
     on chunks of at most ``chunk`` case payloads (each payload is at most
     ``max_chars`` of text, so a call's input is bounded), and the answers are
-    parsed strictly (E2).  Returns (case_id, attempt, content, assessment
-    columns, parse_ok); chain with ``validate.first_valid_attempt`` for
-    repairs."""
+    parsed strictly (E2).  Returns (case_id, attempt, content, input_reason,
+    assessment columns, parse_ok), a row for every case: one that has no payload
+    is not asked and carries ``input_reason``.  Chain with
+    ``validate.first_valid_attempt`` for repairs."""
     import pandas as pd
 
     from .validate import parse_assessments
@@ -196,10 +200,13 @@ def model_classify(headers: DataFrame, sources: DataFrame, predict, max_chars: i
     def run(it):
         for pdf in it:
             for start in range(0, len(pdf), chunk):
-                part = pdf.iloc[start:start + chunk]
-                answers = predict(part["payload"].reset_index(drop=True))
-                yield pd.DataFrame({"case_id": part["case_id"].to_numpy(), "attempt": attempt,
-                                    "content": pd.Series(list(answers), dtype=object)})
-
-    responses = payloads.mapInPandas(run, "case_id string, attempt int, content string")
+                part = pdf.iloc[start:start + chunk].reset_index(drop=True)
+                asked = part["payload"].notna()
+                content = pd.Series([None] * len(part), dtype=object)
+                if asked.any():
+                    content[asked.to_numpy()] = list(predict(part.loc[asked, "payload"].reset_index(drop=True)))
+                yield pd.DataFrame({"case_id": part["case_id"], "attempt": attempt, "content": content,
+                                    "input_reason": part["reason"]})
+
+    responses = payloads.mapInPandas(run, "case_id string, attempt int, content string, input_reason string")
     return parse_assessments(responses)

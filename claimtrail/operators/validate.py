@@ -101,24 +101,41 @@ _PARSE_SCHEMA = T.StructType([
 
 
 def parse_assessments(responses: DataFrame, content: str = "content") -> DataFrame:
-    """Strict parse of model output text.
-
-    Adds the assessment columns plus ``parse_ok``.  ``confidence`` is read as
-    text and cast with ``try_cast`` (a quoted number is accepted, as the
-    reference's ``float()`` does); a JSON null counts as absent.
+    """Strict parse of model output text: one JSON object and nothing else.
+
+    Adds the assessment columns plus ``parse_ok``.  The text must parse both as
+    the only element of an array and as the only member of an object, which
+    trailing text, a second object or a stray bracket cannot do; single quotes
+    are refused.  ``confidence`` is read as text and cast with ``try_cast`` (a
+    quoted number is accepted, as the reference's ``float()`` does); a JSON null
+    counts as absent.  A string for ``labels`` counts as its characters, as a
+    sequence; any other scalar fails.
     """
-    p = F.from_json(F.col(content), _PARSE_SCHEMA, {"mode": "PERMISSIVE"})
-    is_object = F.regexp_like(F.col(content), F.lit(r"^[ \t\n\r]*\{"))
-    out = responses.withColumn("_p", p).select(
+    options = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad"}
+    text = F.col(content)
+    one = T.StructType([*_PARSE_SCHEMA.fields, T.StructField("_bad", T.StringType())])
+    as_text = T.StructType([T.StructField("labels", T.StringType())])
+    shape = T.StructType([T.StructField("x", T.MapType(T.StringType(), T.StringType())), T.StructField("_bad", T.StringType())])
+    alone = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(T.MapType(T.StringType(), T.StringType())), options)
+    member = F.from_json(F.concat(F.lit('{"x":'), text, F.lit("}")), shape, options)
+    strict = (F.regexp_like(text, F.lit(r"^[ \t\n\r]*\{")) & (F.size(alone) == 1) & alone[0].isNotNull()
+              & member["x"].isNotNull() & member["_bad"].isNull())
+    loose = F.from_json(text, as_text, options)["labels"]
+    out = responses.withColumns({"_p": F.from_json(text, one, options), "_l": loose, "_s": F.coalesce(strict, F.lit(False))})
+    spelled = F.col("_p.labels").isNull() & F.col("_l").isNotNull()
+    string_value = spelled & F.regexp_like(text, F.lit(r'"labels"[ \t\n\r]*:[ \t\n\r]*"'))
+    out = out.select(
         "*",
         F.col("_p.risk").alias("risk"),
         F.col("_p.summary").alias("summary"),
-        F.coalesce(F.col("_p.labels"), F.array().cast("array<string>")).alias("labels"),
+        F.when(string_value, F.filter(F.split("_l", ""), lambda x: x != ""))
+        .otherwise(F.coalesce(F.col("_p.labels"), F.array().cast("array<string>"))).alias("labels"),
         F.col("_p.citations").alias("citations"),
         F.col("_p.confidence").try_cast("double").alias("confidence"),
-    ).drop("_p")
+        (F.col("_s") & (~spelled | string_value)).alias("_ok"),
+    ).drop("_p", "_l", "_s")
     ok = (
-        is_object
+        F.col("_ok")
         & F.col("risk").isin(*RISKS)
         & F.col("summary").isNotNull()
         & F.col("citations").isNotNull()
@@ -126,7 +143,7 @@ def parse_assessments(responses: DataFrame, content: str = "content") -> DataFra
         & ~F.exists("labels", lambda x: x.isNull())
         & F.col("confidence").isNotNull()
     )
-    return out.withColumn("parse_ok", F.coalesce(ok, F.lit(False)))
+    return out.withColumn("parse_ok", F.coalesce(ok, F.lit(False))).drop("_ok")
 
 
 # ---------------------------------------------------------------- E3
@@ -173,44 +190,24 @@ def explode_citations(assessments: DataFrame) -> DataFrame:
              F.col("c.quote").alias("quote"))
 
 
-CITATION_BROADCAST_ROWS = 2_000_000
-CITATION_BROADCAST_CHARS = 128_000_000
-
-
-def ground_citations(citations: DataFrame, sources: DataFrame,
-                     broadcast_rows: int = CITATION_BROADCAST_ROWS,
-                     broadcast_chars: int = CITATION_BROADCAST_CHARS) -> DataFrame:
+def ground_citations(citations: DataFrame, sources: DataFrame) -> DataFrame:
     """E5: per citation ``(case_id, cpos, source_id, status, reason)``;
     status ``ok`` / ``unknown_source`` / ``unresolved``.
 
-    The source texts are the big side.  When the citations are within the
-    broadcast limits (checked: row count and total quote length), they are
-    broadcast and the texts are joined where they lie, without a shuffle;
-    citations that found no source are then an anti-join on the small side.
-    Beyond the limits: a shuffle join on (case_id, source_id).  ``sources``
-    must have unique (case_id, source_id) (rule E1).
+    One plan for every size: a left equi-join on (case_id, source_id), which
+    AQE broadcasts when a side is measured small and splits when a case is hot.
+    A source id that a case repeats (rule E1 refuses it) grounds a citation if
+    any of its texts holds the quote, so no citation multiplies.
     """
     c = citations.select("case_id", "cpos", "source_id", "quote")
-    unresolved = is_blank("quote") | ~F.col("_text").contains(F.col("quote"))
-    small = False
-    if not c.isStreaming:       # a stream is joined to the static sources as it arrives
-        stats = c.agg(F.count(F.lit(1)).alias("n"),
-                      F.coalesce(F.sum(F.length("quote")), F.lit(0)).alias("chars")).first()
-        small = stats["n"] <= broadcast_rows and stats["chars"] <= broadcast_chars
-    if small:
-        found = (sources.select("case_id", "source_id", F.col("text").alias("_text"))
-                 .join(F.broadcast(c), ["case_id", "source_id"], "inner")
-                 .select("case_id", "cpos", "source_id",
-                         F.when(unresolved, F.lit("unresolved")).otherwise(F.lit("ok")).alias("status")))
-        missing = c.join(F.broadcast(found.select("case_id", "cpos")), ["case_id", "cpos"], "left_anti") \
-            .select("case_id", "cpos", "source_id", F.lit("unknown_source").alias("status"))
-        j = found.unionByName(missing)
-    else:
-        s = sources.select("case_id", "source_id", F.col("text").alias("_text"), F.lit(True).alias("_known"))
-        j = c.join(s, ["case_id", "source_id"], "left").select(
-            "case_id", "cpos", "source_id",
-            F.when(F.col("_known").isNull(), F.lit("unknown_source"))
-            .when(unresolved, F.lit("unresolved")).otherwise(F.lit("ok")).alias("status"))
+    s = sources.select("case_id", "source_id", F.col("text").alias("_text"), F.lit(True).alias("_known"))
+    unresolved = is_blank("quote") | ~F.coalesce(F.col("_text").contains(F.col("quote")), F.lit(False))
+    rank = F.when(F.col("_known").isNull(), 0).when(unresolved, 1).otherwise(2)
+    j = c.join(s, ["case_id", "source_id"], "left").select("case_id", "cpos", "source_id", rank.alias("_rank"))
+    if not c.isStreaming:       # a stream meets sources that rule E1 has passed
+        j = j.groupBy("case_id", "cpos", "source_id").agg(F.max("_rank").alias("_rank"))
+    names = F.array(F.lit("unknown_source"), F.lit("unresolved"), F.lit("ok"))
+    j = j.select("case_id", "cpos", "source_id", F.element_at(names, F.col("_rank") + 1).alias("status"))
     reason = (
         F.when(F.col("status") == "unknown_source",
                F.concat(F.lit(MSG_UNKNOWN_SOURCE), F.coalesce("source_id", F.lit("None"))))
@@ -264,69 +261,9 @@ def prohibited_claims(assessments: DataFrame, **kw) -> DataFrame:
 
 
 # ---------------------------------------------------------------- E7
-def passage_overlap(passages: DataFrame, texts: DataFrame, q: int | None = None, s: int = 16,
-                    broadcast_limit: int = 20_000) -> DataFrame:
+def passage_overlap(passages: DataFrame, texts: DataFrame) -> DataFrame:
     """All (passage_id, text_id) where the passage occurs verbatim in the
-    text.  ``passages(passage_id, passage)``, ``texts(text_id, text)``.
-
-    A passage table within the broadcast limits (checked: count and total
-    length) is found by one Aho-Corasick scan of every whole text inside the
-    tasks.  Beyond them, long passages (length >= q + s - 1) use an exact
-    sampled q-gram equi-join:
-    the text side emits the q-gram at every position divisible by ``s``, the
-    passage side emits its q-grams at offsets 0..s-1; any occurrence meets one
-    of them, and ``instr`` verifies the candidate pair.  Short passages are
-    matched by a broadcast nested loop when their number is under
-    ``broadcast_limit`` (checked), otherwise by an exact join on the
-    ``qmin``-gram at every text position.
-    """
-    from ..functions.substring import find_patterns, fits_broadcast
-    nonempty = passages.where(F.length("passage") > 0)
-    if fits_broadcast(nonempty, "passage", max_patterns=broadcast_limit):
-        return find_patterns(texts, "text", ["text_id"], nonempty, "passage", ["passage_id"]).select(
-            "passage_id", "text_id")
-    p = passages.select("passage_id", "passage", F.length("passage").alias("_plen"))
-    t = texts.select("text_id", "text")
-    # gram length and sampling step grow with the shortest long passage (one
-    # small aggregate): longer grams meet fewer unrelated texts, and every
-    # passage of length >= q + s - 1 still meets a sampled text q-gram while
-    # the text side emits only len/s rows
-    adaptive_q = q is None
-    q = q or 16
-    shortest = p.where(F.col("_plen") >= q + s - 1).agg(F.min("_plen")).first()[0]
-    if shortest is not None:
-        if adaptive_q:
-            q = max(16, min(64, int(shortest) // 4))
-        s = max(s, min(int(shortest) - q + 1, 4096))
-    min_long = q + s - 1
-    long_p = p.where(F.col("_plen") >= min_long)
-    short_p = p.where((F.col("_plen") < min_long) & (F.col("_plen") > 0))
-
-    p_grams = long_p.select(
-        "passage_id", F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("_off"), "passage",
-    ).select("passage_id", F.substring("passage", F.col("_off") + 1, q).alias("_g"))
-    starts = F.when(F.length("text") >= q, F.sequence(F.lit(0), F.length("text") - q, F.lit(s))) \
-        .otherwise(F.array().cast("array<int>"))
-    t_grams = t.select("text_id", F.explode(starts).alias("_pos"), "text").select(
-        "text_id", F.substring("text", F.col("_pos") + 1, q).alias("_g"))
-    # candidate pairs, deduplicated on ids only, then verified on the whole text
-    cand = p_grams.join(t_grams, "_g").select("passage_id", "text_id").distinct()
-    long_hits = (cand.join(long_p.select("passage_id", "passage"), "passage_id").join(t, "text_id")
-                 .where(F.instr("text", F.col("passage")) > 0).select("passage_id", "text_id"))
-
-    n_short = short_p.count()
-    if n_short == 0:
-        return long_hits
-    if n_short <= broadcast_limit:
-        short_hits = t.join(F.broadcast(short_p), F.instr(t["text"], short_p["passage"]) > 0)
-    else:
-        qmin = short_p.agg(F.min("_plen")).first()[0]
-        sg = short_p.select("passage_id", "passage", F.substring("passage", 1, qmin).alias("_g"))
-        every = F.when(F.length("text") >= qmin, F.sequence(F.lit(1), F.length("text") - qmin + 1)) \
-            .otherwise(F.array().cast("array<int>"))
-        tg = t.select("text_id", F.explode(every).alias("_pos"), "text") \
-            .select("text_id", F.substring("text", F.col("_pos"), qmin).alias("_g"))
-        c2 = sg.join(tg, "_g").select("passage_id", "text_id").distinct()
-        short_hits = (c2.join(short_p.select("passage_id", "passage"), "passage_id").join(t, "text_id")
-                      .where(F.instr("text", F.col("passage")) > 0))
-    return long_hits.unionByName(short_hits.select("passage_id", "text_id"))
+    text.  ``passages(passage_id, passage)``, ``texts(text_id, text)``.  One exact
+    equi-join on sampled q-grams for every number and length of passages."""
+    from ..functions.substring import containing
+    return containing(texts, "text_id", "text", passages, "passage_id", "passage")

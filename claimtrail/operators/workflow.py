@@ -270,6 +270,9 @@ def publish(state: DataFrame, requests: DataFrame, exported: DataFrame | None =
 
 
 # ---------------------------------------------------------------- G7
+MSG_NO_ANSWER = "the classifier gave no answer"
+
+
 def analyze(headers: DataFrame, sources: DataFrame, *,
             classifier: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
             validators: Sequence[Callable[[DataFrame], Column]] = (),
@@ -277,6 +280,8 @@ def analyze(headers: DataFrame, sources: DataFrame, *,
             max_chars: int = validate.MAX_SOURCE_CHARS) -> DataFrame:
     """Admission → input rules (E1) → classifier → assessment rules
     (E4/E5) → extra validators (E6 …) → pending_approval or failed, one plan.
+    A case without an answer, or with one that did not parse or has no known
+    risk, fails.
 
     Output per case: case_id, admission, input_reason, risk, summary, labels,
     citations, confidence, reason, state.  An input rejection stores nothing
@@ -307,15 +312,20 @@ def analyze(headers: DataFrame, sources: DataFrame, *,
     checks = validate.validate_assessments(assessed, sources).withColumnRenamed("reason", "_r1")
     a = assessed.join(checks, "case_id", "left")
     extra = [v(a) for v in validators]
-    reason = F.coalesce(F.col("_r1"), *extra) if extra else F.col("_r1")
-    a = a.withColumn("_reason", reason).drop("_r1")
+    # an answer that did not parse, or names no known risk, is a failure whatever else it says
+    unread = ~F.coalesce(F.col("risk").isin(*validate.RISKS), F.lit(False))
+    if "parse_ok" in a.columns:
+        unread = unread | ~F.coalesce(F.col("parse_ok"), F.lit(False))
+    reason = F.coalesce(F.when(unread, F.lit(validate.MSG_INVALID_OUTPUT)), F.col("_r1"), *extra)
+    a = a.withColumn("_reason", reason).withColumn("_answered", F.lit(True)).drop("_r1")
     out = (cases.select("case_id", "admission", "_st_state")
            .join(input_check.withColumnRenamed("reason", "input_reason"), "case_id", "left")
            .join(a, "case_id", "left"))
     ran = F.col("admission").isin("new", "retried") & F.col("input_reason").isNull()
-    masked = [F.when(ran, F.col(c)).alias(c) for c in a.columns if c not in ("case_id", "_reason")]
+    masked = [F.when(ran, F.col(c)).alias(c) for c in a.columns if c not in ("case_id", "_reason", "_answered")]
+    silent = F.when(F.col("_answered").isNull(), F.lit(MSG_NO_ANSWER))      # the classifier returned no row
     out = out.select("case_id", "admission", "_st_state", "input_reason", *masked,
-                     F.when(ran, F.col("_reason")).alias("reason"))
+                     F.when(ran, F.coalesce(silent, F.col("_reason"))).alias("reason"))
     state_col = (
         F.when(F.col("admission").isin("deduplicated", "conflict"), F.col("_st_state"))
         .when(F.col("input_reason").isNotNull(), F.lit(None).cast("string"))

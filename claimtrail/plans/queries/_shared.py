@@ -350,7 +350,7 @@ def _triage_by_repo(spark, sf_dir, materialize=False):
 
 _EXEC_SQL = """
   ex AS (SELECT 'eng-1' AS engagement_id, 'repo-' || CAST(user_id % 100 + 1 AS VARCHAR) AS repository_id,
-                value > 2 AS iso FROM events)"""
+                event_type AS scanner, value > 2 AS iso, value AS ms FROM events)"""
 
 
 def _executions(spark, sf_dir):
@@ -363,9 +363,13 @@ def _executions(spark, sf_dir):
 
 def _metrics(spark, sf_dir):
     obs, _, tri = _triage_by_repo(spark, sf_dir, materialize=True)
+    key = ["engagement_id", "repository_id"]
     a = tri.select(F.lit("eng-1").alias("engagement_id"), F.col("case_id").alias("repository_id"),
                    "risk", "confidence", "citations", "labels")
-    return report.pilot_metrics(obs, a, _executions(spark, sf_dir))
+    runs = _executions(spark, sf_dir)
+    checks = runs.groupBy(*key).agg((F.max("duration_ms") < 99).alias("valid"))
+    longest = runs.groupBy(*key).agg(F.max("duration_ms").alias("duration_ms"))
+    return report.pilot_metrics(fixtures.reports(spark, sf_dir), obs, a, runs, checks, longest)
 
 
 _AUDIT_EVENT = ("CASE event_type WHEN 'signup' THEN 'case_received' WHEN 'view' THEN 'analysis_completed' "

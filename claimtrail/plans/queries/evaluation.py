@@ -119,17 +119,26 @@ def q_h11(spark, sf_dir):
         *[F.round(c, 6).alias(c) for c in ("base", "tuned", "delta_points")], "verdict")
 
 
-@register("H12_running_accuracy", f"""
+_H12_SQL = """
 WITH sc AS (SELECT event_id AS key, value > 50 AS correct FROM events),
   r AS (SELECT row_number() OVER (ORDER BY key) AS row,
                sum(CAST(correct AS DOUBLE)) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
                count(*) OVER () AS n FROM sc)
 SELECT row, cum / row AS running_accuracy FROM r WHERE row % 25 = 0 OR row = n
-""")
+"""
+
+
+@register("H12_running_accuracy", _H12_SQL)
 def q_h12(spark, sf_dir):
     return evaluate.running_accuracy(fixtures.scored(spark, sf_dir), [F.col("key")])
 
 
+@register("H12_running_accuracy_relaid", _H12_SQL)
+def q_h12r(spark, sf_dir):
+    """The same with all ranges read by one task."""
+    return evaluate.running_accuracy(fixtures.scored(spark, sf_dir), [F.col("key")]).coalesce(1)
+
+
 @register("H13_stratified_split", f"""
 WITH {_SPLIT_SQL}
 SELECT vec_id, label, split FROM sp

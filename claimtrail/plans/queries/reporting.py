@@ -4,126 +4,98 @@ from ._shared import *  # noqa: F401,F403
 from ._shared import register  # noqa: F401
 
 
-@register("J1_pilot_metrics", f"""
-WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL}, {_TRIAGE_SQL}, {_EXEC_SQL},
-  tob AS (SELECT engagement_id, repository_id, count(*) AS observations FROM obs GROUP BY ALL),
-  stc AS (SELECT engagement_id, repository_id, string_agg(status || '=' || CAST(n AS VARCHAR), ',' ORDER BY status)
-                   AS status_counts
+_METRICS_SQL = f"""
+  {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL}, {_TRIAGE_SQL}, {_EXEC_SQL},
+  tob AS (SELECT engagement_id, repository_id, count(*) AS n, count(*) FILTER (status = 'review') AS nr,
+                 count(*) FILTER (status = 'pass') AS np FROM obs GROUP BY ALL),
+  stc AS (SELECT engagement_id, repository_id, string_agg(status || '=' || CAST(n AS VARCHAR), ',' ORDER BY status) AS st
           FROM (SELECT engagement_id, repository_id, status, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL),
-  svc AS (SELECT engagement_id, repository_id, string_agg(severity || '=' || CAST(n AS VARCHAR), ',' ORDER BY severity)
-                   AS severity_counts
+  svc AS (SELECT engagement_id, repository_id, string_agg(severity || '=' || CAST(n AS VARCHAR), ',' ORDER BY severity) AS sv
           FROM (SELECT engagement_id, repository_id, severity, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL),
-  iso AS (SELECT engagement_id, repository_id, bool_and(iso) AS iso, count(*) AS executions FROM ex GROUP BY ALL),
+  run AS (SELECT engagement_id, repository_id, bool_and(iso) AS iso, count(*) AS n_runs, max(ms) AS ms,
+                 array_to_string(list_sort(list(DISTINCT scanner)), ',') AS scanners FROM ex GROUP BY ALL),
   leaf AS (SELECT engagement_id, repository_id, pos,
                   sha256({O.canon('observation_id')} || {O.canon('"check"')} || {O.canon('status')}
                          || {O.canon('severity')} || {O.canon('path')} || {O.canon('message')}) AS leaf
            FROM obs),
-  {O.merkle('leaf', 'engagement_id, repository_id', 'pos', 'leaf')}
-SELECT tob.engagement_id, tob.repository_id,
-       sha256({O.canon('tob.engagement_id')} || {O.canon('tob.repository_id')} || mtop.tree) AS report_fingerprint,
-       tob.observations, stc.status_counts, svc.severity_counts, tri.risk,
-       1.0::DOUBLE AS confidence, tri.n_citations AS citation_count,
-       'deterministic-baseline,' || CASE WHEN tri.n_review > 0 THEN 'human-review-required'
-                                         ELSE 'no-review-observations' END AS labels,
-       coalesce(iso.executions, 0) AS executions, coalesce(iso.iso, true) AS all_isolated
-FROM tob JOIN stc USING (engagement_id, repository_id) JOIN svc USING (engagement_id, repository_id)
-     JOIN mtop USING (engagement_id, repository_id)
-     LEFT JOIN tri ON tri.case_id = tob.repository_id LEFT JOIN iso USING (engagement_id, repository_id)
-""")
+  {O.merkle('leaf', 'engagement_id, repository_id', 'pos', 'leaf')},
+  met AS (SELECT r.engagement_id, r.repository_id,
+       coalesce(sha256({O.canon('r.engagement_id')} || {O.canon('r.repository_id')} || mtop.tree),
+                sha256({O.canon('r.engagement_id')} || {O.canon('r.repository_id')})) AS report_fingerprint,
+       coalesce(n, 0) AS observations, coalesce(nr, 0) AS to_review, coalesce(np, 0) AS passed,
+       coalesce(st, '') AS status_counts, coalesce(sv, '') AS severity_counts, tri.risk,
+       CASE WHEN tri.risk IS NOT NULL THEN 1.0::DOUBLE END AS confidence, tri.n_citations AS citation_count,
+       CASE WHEN tri.risk IS NOT NULL THEN 'deterministic-baseline,' || CASE WHEN tri.n_review > 0
+            THEN 'human-review-required' ELSE 'no-review-observations' END END AS labels,
+       coalesce(n_runs, 0) AS executions, coalesce(scanners, '') AS scanners, coalesce(iso, true) AS all_isolated,
+       ms < 99 AS audit_verified, ms AS provider_duration_ms, false AS claims_full_coverage,
+       false AS claims_certification, false AS claims_production_testing
+  FROM reports r LEFT JOIN tob USING (engagement_id, repository_id) LEFT JOIN stc USING (engagement_id, repository_id)
+     LEFT JOIN svc USING (engagement_id, repository_id) LEFT JOIN mtop USING (engagement_id, repository_id)
+     LEFT JOIN tri ON tri.case_id = r.repository_id LEFT JOIN run USING (engagement_id, repository_id))"""
+
+
+@register("J1_pilot_metrics", f"WITH {_METRICS_SQL} SELECT * FROM met")
 def q_j1(spark, sf_dir):
     return _metrics(spark, sf_dir)
 
 
-_J2_TEXT = (
-    "concat_ws(chr(10), '# Management summary', '', "
-    "'Repository `' || tob.repository_id || '` in engagement `' || tob.engagement_id || '` was processed locally; "
-    "nothing was published without human approval.', '', "
-    "'- Combined risk classification: **' || coalesce(tri.risk, 'n/a') || '**.', "
-    "'- Observations: **' || CAST(tob.observations AS VARCHAR) || '** in total (' || coalesce(stc.status_counts, 'none') "
-    "|| ').', "
-    "'- Distribution: ' || coalesce(svc.severity_counts, 'no observations') || '.', "
-    "'- External scanners network isolated: **' || lower(CAST(coalesce(iso.iso, true) AS VARCHAR)) || '**.', "
-    "'- Exactly traceable citations: **' || CAST(coalesce(tri.n_citations, 0) AS VARCHAR) || '**.', "
-    "'- Model/triage duration: **not measured**.', '', "
-    "'This is a reproducible triage of defined signals, not proof that every vulnerability was found and not a "
-    "compliance certification.')")
+def _row(name: str, value: str) -> str:
+    return f"'| {name} | ' || {value} || ' |'"
+
+
+def _yes(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '?' WHEN {c} THEN 'yes' ELSE 'no' END"
+
+
+_J2_TEXT = "concat_ws(chr(10), " + ", ".join([
+    "'## ' || repository_id || ' (' || engagement_id || ')'", "''", "'| figure | value |'", "'|---|---|'",
+    _row("risk", "coalesce(risk, '-')"), _row("findings", "CAST(observations AS VARCHAR)"),
+    _row("open for review", "CAST(to_review AS VARCHAR)"), _row("controls seen", "CAST(passed AS VARCHAR)"),
+    _row("by severity", "coalesce(nullif(severity_counts, ''), '-')"), _row("scanners", "coalesce(nullif(scanners, ''), '-')"),
+    _row("scanners offline", _yes("all_isolated")), _row("quotes traced", "CAST(coalesce(citation_count, 0) AS VARCHAR)"),
+    _row("triage, s", "coalesce(printf('%.1f', round(provider_duration_ms / 1000.0, 1)), '-')"),
+    _row("audit chain intact", _yes("audit_verified")), "''",
+    "'Figures come from automatic rules: other flaws may exist, and no norm is attested.'"]) + ")"
 
 
 @register("J2_management_summary", f"""
-WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL}, {_TRIAGE_SQL}, {_EXEC_SQL},
-  tob AS (SELECT engagement_id, repository_id, count(*) AS observations FROM obs GROUP BY ALL),
-  stc AS (SELECT engagement_id, repository_id, string_agg(status || '=' || CAST(n AS VARCHAR), ',' ORDER BY status)
-                   AS status_counts
-          FROM (SELECT engagement_id, repository_id, status, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL),
-  svc AS (SELECT engagement_id, repository_id, string_agg(severity || '=' || CAST(n AS VARCHAR), ',' ORDER BY severity)
-                   AS severity_counts
-          FROM (SELECT engagement_id, repository_id, severity, count(*) AS n FROM obs GROUP BY ALL) GROUP BY ALL),
-  iso AS (SELECT engagement_id, repository_id, bool_and(iso) AS iso FROM ex GROUP BY ALL)
-SELECT tob.engagement_id, tob.repository_id, {_J2_TEXT} AS summary_md
-FROM tob JOIN stc USING (engagement_id, repository_id) JOIN svc USING (engagement_id, repository_id)
-     LEFT JOIN tri ON tri.case_id = tob.repository_id LEFT JOIN iso USING (engagement_id, repository_id)
+WITH {_METRICS_SQL} SELECT engagement_id, repository_id, {_J2_TEXT} AS summary_md FROM met
 """)
 def q_j2(spark, sf_dir):
     return report.management_summary(_metrics(spark, sf_dir))
 
 
 _J3_SQL = f"""
-WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL},
-  leaf AS (SELECT engagement_id, repository_id, pos,
-                  sha256({O.canon('observation_id')} || {O.canon('"check"')} || {O.canon('status')}
-                         || {O.canon('severity')} || {O.canon('path')} || {O.canon('message')}) AS leaf
-           FROM obs),
-  {O.merkle('leaf', 'engagement_id, repository_id', 'pos', 'leaf')},
-  hdr AS (SELECT r.engagement_id, r.repository_id,
-                 r.engagement_id || ':' || r.repository_id || ':' ||
-                 substring(coalesce(sha256({O.canon('r.engagement_id')} || {O.canon('r.repository_id')} || mtop.tree),
-                                    sha256({O.canon('r.engagement_id')} || {O.canon('r.repository_id')})), 1, 16) AS case_id,
-                 'Assurance observations for ' || r.repository_id AS title
-          FROM reports r LEFT JOIN mtop USING (engagement_id, repository_id)),
-  src0 AS (SELECT engagement_id, repository_id, rn - 1 AS pos, observation_id AS source_id, text FROM sel
-           UNION ALL SELECT engagement_id, repository_id, sel_pos, source_id, text FROM summ WHERE source_id IS NOT NULL),
-  src AS (SELECT hdr.case_id, src0.pos, src0.source_id, src0.text FROM hdr JOIN src0 USING (engagement_id, repository_id)),
-  p AS (SELECT *, json_valid(text) AND starts_with(ltrim(text), '{{') AS obj FROM src),
-  q AS (SELECT *, CASE WHEN obj THEN coalesce(json_extract_string(text, '$.status'), 'None') ELSE 'review' END = 'review'
-                    AS review,
-               CASE CASE WHEN obj THEN coalesce(json_extract_string(text, '$.severity'), 'None') ELSE 'low' END
-                 WHEN 'info' THEN 0 WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'critical' THEN 3
-                 ELSE 1 END AS ord FROM p),
-  agg AS (SELECT case_id, sum(CASE WHEN review THEN 1 ELSE 0 END) AS n_review,
-                 max(CASE WHEN review THEN ord END) AS ord_r, max(ord) AS ord_a FROM q GROUP BY case_id),
-  cand AS (SELECT q.*, row_number() OVER (PARTITION BY q.case_id ORDER BY pos) AS rn FROM q JOIN agg USING (case_id)
-           WHERE (agg.n_review > 0 AND q.review) OR agg.n_review = 0),
-  cit AS (SELECT case_id, string_agg('- `' || source_id || '`: ' || text, chr(10) ORDER BY pos) AS cites
+WITH {_METRICS_SQL},
+  hdr AS (SELECT engagement_id, repository_id, engagement_id || ':' || repository_id || ':' ||
+                 substring(report_fingerprint, 1, 16) AS case_id,
+                 'Assurance observations for ' || repository_id AS title, risk, confidence FROM met),
+  cit AS (SELECT case_id AS repository_id, string_agg('* [' || source_id || '] ' || text, chr(10) ORDER BY pos) AS cites
           FROM cand WHERE rn <= 10 GROUP BY case_id),
-  ev AS (SELECT case_id, CAST(to_json(list({{'source_id': source_id, 'text': text}} ORDER BY pos)) AS VARCHAR) AS evidence
-         FROM src GROUP BY case_id),
-  tri AS (SELECT case_id,
-                 (['low', 'medium', 'high', 'critical'])[coalesce(CASE WHEN n_review > 0 THEN ord_r ELSE ord_a END, 0) + 1]
-                   AS risk,
-                 'Deterministic triage found ' || CAST(n_review AS VARCHAR) || ' observation(s) requiring human review.'
-                   AS summary
-          FROM agg)
-SELECT hdr.case_id,
-       '# Evidence pack' || chr(10) || chr(10) || '## ' || hdr.title || chr(10) || chr(10)
-       || 'Case: `' || hdr.case_id || '`  ' || chr(10) || 'Audit chain verified: `false`  ' || chr(10)
-       || 'Workflow state: `pending_approval`' || chr(10) || chr(10) || '## Triage' || chr(10) || chr(10)
-       || 'Risk: **' || coalesce(tri.risk, 'n/a') || '**  ' || chr(10) || 'Confidence: **1.00**' || chr(10) || chr(10)
-       || coalesce(tri.summary, '') || chr(10) || chr(10) || '## Grounded citations' || chr(10) || chr(10)
-       || coalesce(cit.cites, '') || chr(10) || chr(10) || '## Evidence' || chr(10) || chr(10) || '```json' || chr(10)
-       || replace(coalesce(ev.evidence, '[]'), '```', '` ` `') || chr(10) || '```' || chr(10) || chr(10)
-       || '## Required decision' || chr(10) || chr(10)
-       || 'A named reviewer must confirm scope, severity, reachability and recipient before any external publication.'
-       || chr(10) AS pack_md
-FROM hdr LEFT JOIN ev USING (case_id) LEFT JOIN tri USING (case_id) LEFT JOIN cit USING (case_id)
+  pg AS (SELECT engagement_id, repository_id, pos // 100 + 1 AS page, min(pos) AS first_pos, count(*) AS n_items,
+                CAST(to_json(list({{'observation_id': observation_id, 'check': "check", 'status': status,
+                  'severity': severity, 'path': path, 'message': message}} ORDER BY pos)) AS VARCHAR) AS body
+         FROM obs GROUP BY ALL)
+SELECT hdr.case_id, 0::BIGINT AS page, NULL::BIGINT AS first_pos, 0::BIGINT AS n_items,
+       replace(concat_ws(chr(10), '# ' || title, '', 'case: ' || hdr.case_id, 'state: pending_approval', 'audit: unchecked',
+         'risk: ' || coalesce(hdr.risk, '-'), 'confidence: ' || coalesce(printf('%.2f', round(confidence, 2)), '-'), '',
+         coalesce('Deterministic triage found ' || CAST(agg.n_review AS VARCHAR) || ' observation(s) requiring human review.',
+                  'Not assessed.'), '', 'Quotes', coalesce(cites, '')), '```', '` ` `') AS page_md
+FROM hdr LEFT JOIN agg ON agg.case_id = hdr.repository_id LEFT JOIN cit USING (repository_id)
+UNION ALL
+SELECT hdr.case_id, pg.page, pg.first_pos, pg.n_items,
+       '```json' || chr(10) || replace(pg.body, '```', '` ` `') || chr(10) || '```'
+FROM pg JOIN hdr USING (engagement_id, repository_id)
 """
 
 
 @register("J3_evidence_pack", _J3_SQL)
 def q_j3(spark, sf_dir):
-    reports = fixtures.reports(spark, sf_dir)
-    headers, sources = evidence.build_cases(reports, fixtures.observations(spark, sf_dir, materialize=True))
+    obs = fixtures.observations(spark, sf_dir, materialize=True)
+    headers, sources = evidence.build_cases(fixtures.reports(spark, sf_dir), obs)
     assessed = triage.triage(headers.select("case_id"), sources)
-    return report.evidence_pack(headers.select("case_id", "title"), sources, assessed)
+    return report.evidence_pack(headers, obs, assessed)
 
 
 @register("J4_counters", f"""

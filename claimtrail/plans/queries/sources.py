@@ -24,27 +24,30 @@ def q_a1(spark, sf_dir):
 
 
 @register("A2_read_sarif", """
-SELECT 'repo-' || CAST(l_orderkey % 10 AS VARCHAR) AS repository_id, count(*) AS n_results,
-       count(DISTINCT (l_orderkey, l_linestatus)) AS n_runs
+SELECT 'repo-' || CAST(l_orderkey // 500 AS VARCHAR) AS repository_id, count(*) AS n_results,
+       count(DISTINCT (l_orderkey, l_linestatus)) AS n_runs, CAST(NULL AS VARCHAR) AS reason
 FROM lineitem GROUP BY 1
 """)
 def q_a2(spark, sf_dir):
-    """SARIF documents (one per repository, one file each) written, read with
-    the size cap, normalized, counted."""
-    docs = fixtures.sarif_documents(spark, sf_dir)
-    runs = docs.select("repository_id", "doc_id", F.explode("sarif.runs").alias("run"))
-    per_repo = runs.groupBy("repository_id").agg(
+    """SARIF documents (one file for 500 orders, so a file has a bounded size
+    and their number grows with the table) written, read with a 1 MB cap,
+    normalized, counted; a rejected file is a row with its reason."""
+    docs = fixtures.sarif_documents(spark, sf_dir).withColumn(
+        "_file", F.concat(F.lit("repo-"), F.floor(F.col("doc_id") / 500).cast("string")))
+    runs = docs.select("_file", "doc_id", F.explode("sarif.runs").alias("run"))
+    per_file = runs.groupBy("_file").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "run"))), lambda e: e["run"]).alias("runs"))
     path = scratch_path(spark, "sarif")
-    (per_repo.select("repository_id", F.to_json(F.struct(F.lit("2.1.0").alias("version"), "runs")).alias("value"))
-     .write.partitionBy("repository_id").text(path))
-    ok, _ = sio.read_sarif(spark, path, glob="*.txt")
-    ok = ok.select(F.regexp_extract("doc_id", r"repository_id=([^/]+)", 1).alias("repository_id"),
-                   F.col("doc_id"), F.col("sarif"))
-    obs = evidence.normalize_sarif(ok.withColumn("engagement_id", F.lit("eng-1")))
-    return obs.groupBy("repository_id").agg(
-        F.count(F.lit(1)).alias("n_results"),
-        F.count_distinct("doc_id", "run_index").alias("n_runs"))
+    (per_file.select("_file", F.to_json(F.struct(F.lit("2.1.0").alias("version"), "runs")).alias("value"))
+     .withColumnRenamed("_file", "repository_id").write.partitionBy("repository_id").text(path))
+    ok, rejected = sio.read_sarif(spark, path, max_bytes=1_000_000, glob="*.txt")
+    name = lambda c: F.regexp_extract(c, r"repository_id=([^/]+)", 1).alias("repository_id")
+    obs = evidence.normalize_sarif(ok.select(name("doc_id"), "doc_id", "sarif", F.lit("eng-1").alias("engagement_id")))
+    counted = obs.groupBy("repository_id").agg(
+        F.count(F.lit(1)).alias("n_results"), F.count_distinct("doc_id", "run_index").alias("n_runs"),
+        F.lit(None).cast("string").alias("reason"))
+    return counted.unionByName(rejected.select(
+        name("path"), F.lit(None).cast("bigint").alias("n_results"), F.lit(None).cast("bigint").alias("n_runs"), "reason"))
 
 
 @register("A3_read_scope", f"""

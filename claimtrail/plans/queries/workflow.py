@@ -28,6 +28,18 @@ def q_g4(spark, sf_dir):
     return workflow.fold_states(fixtures.transitions(spark, sf_dir))
 
 
+@register("G4_fold_states_relaid", f"""
+WITH RECURSIVE {_FOLD_SQL}
+SELECT case_id, seq, to_state, from_state, state, accepted FROM folded
+""")
+def q_g4r(spark, sf_dir):
+    """The fold under a union of two folds and fewer partitions: the result
+    depends on the data's own partition numbers, not on the tasks'."""
+    ev = fixtures.transitions(spark, sf_dir)
+    odd = F.pmod(F.xxhash64("case_id"), F.lit(2)) == 1
+    return workflow.fold_states(ev.where(~odd)).unionByName(workflow.fold_states(ev.where(odd))).coalesce(1)
+
+
 @register("G4_final_states", f"""
 WITH RECURSIVE {_FOLD_SQL}
 SELECT case_id, arg_max(state, seq) AS state, CAST(sum(CASE WHEN accepted THEN 1 ELSE 0 END) AS BIGINT) AS accepted,

@@ -63,6 +63,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="claimtrail-ckpt-")
     else:
         warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"{warehouse.rstrip('/')}/_claimtrail_checkpoints"
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
@@ -72,3 +74,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder name under the checkpoint root for written
     intermediate tables (never reused, never cleared)."""
     return f"{checkpoint_root(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+def numbered_entries(spark: SparkSession, folder: str, prefix: str = "") -> list[int]:
+    """The numbers of the entries ``<prefix><number>`` of a folder, ascending;
+    none if the folder does not exist.  Any other error of the store rises."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix) and n.removeprefix(prefix).isdigit())

@@ -1,10 +1,10 @@
 """The workflow state table and the approved-export table.
 
 No table format with MERGE is available here, so the state is versioned:
-every upsert writes a complete new version ``<root>/v=<N>`` and then the
-pointer file ``<root>/_CURRENT`` names N.  Readers pin a version; a plan never
-overwrites the folder it reads.  A crashed writer leaves an unreferenced
-version folder and the previous version stays current.
+every upsert writes a complete new version ``<root>/v=<N>`` and then adds the
+marker ``<root>/_CURRENT/<N>``.  Readers pin a version; a plan never overwrites
+the folder it reads.  A crashed writer leaves a version folder without a
+marker, and the previous version stays current.
 """
 
 from __future__ import annotations
@@ -12,42 +12,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import numbered_entries
+
 STATE_COLUMNS = ("case_id", "case_fingerprint", "state", "risk", "assessment_fp", "reviewer", "receipt",
                  "updated_seq")
 
 
+# Fixed value: the message of a refused update.
+MSG_CONFLICT = "case_id already exists with a different evidence fingerprint"
+
+
 # ---------------------------------------------------------------- A9
 def upsert_state(state: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Full outer join on case_id.  An update whose case already exists
-    with another fingerprint is refused (and reported); otherwise the update
-    wins.  Several updates of one case in a batch: the highest
-    ``updated_seq`` wins.  Returns (new state, refused updates)."""
-    latest = updates.groupBy("case_id").agg(F.max_by(F.struct(*[c for c in updates.columns if c != "case_id"]),
-                                                     "updated_seq").alias("_u")).select("case_id", "_u.*")
+    """An update whose case is stored with another fingerprint is refused;
+    of a new case's updates the first (lowest ``updated_seq``) sets the
+    fingerprint and those with another one are refused.  Of the valid updates
+    of a case the latest wins.  Returns (new state, refused updates)."""
+    stored = state.select("case_id", F.col("case_fingerprint").alias("_stored"))
+    first = updates.groupBy("case_id").agg(F.min_by("case_fingerprint", F.struct("updated_seq", "case_fingerprint")).alias("_first"))
+    owner = first.join(stored, "case_id", "left").select("case_id", F.coalesce("_stored", "_first").alias("_owner"))
+    judged = updates.join(owner, "case_id").withColumn("_ok", F.col("case_fingerprint").eqNullSafe(F.col("_owner")))
+    latest = judged.where("_ok").groupBy("case_id").agg(
+        F.max_by(F.struct(*[c for c in updates.columns if c != "case_id"]), "updated_seq").alias("_u")).select("case_id", "_u.*")
     old = state.select(*[F.col(c).alias(f"_o_{c}") if c != "case_id" else F.col(c) for c in state.columns])
     j = old.join(latest, "case_id", "full_outer")
-    conflict = F.col("_o_case_fingerprint").isNotNull() & F.col("case_fingerprint").isNotNull() & (
-        F.col("_o_case_fingerprint") != F.col("case_fingerprint"))
-    take_new = F.col("case_fingerprint").isNotNull() & ~conflict
     cols = [c for c in state.columns if c != "case_id"]
-    new_state = j.select("case_id", *[F.when(take_new, F.col(c)).otherwise(F.col(f"_o_{c}")).alias(c) for c in cols])
-    refused = j.where(conflict).select(
-        "case_id", F.col("case_fingerprint").alias("attempted_fingerprint"),
-        F.col("_o_case_fingerprint").alias("stored_fingerprint"),
-        F.lit("case_id already exists with a different evidence fingerprint").alias("reason"))
+    new_state = j.select("case_id", *[F.when(F.col("updated_seq").isNotNull(), F.col(c)).otherwise(F.col(f"_o_{c}")).alias(c)
+                                      for c in cols])
+    refused = judged.where(~F.col("_ok")).select(
+        "case_id", F.col("case_fingerprint").alias("attempted_fingerprint"), F.col("_owner").alias("stored_fingerprint"),
+        F.lit(MSG_CONFLICT).alias("reason"))
     return new_state, refused
 
 
-def _pointer(root: str) -> str:
+def _pointers(root: str) -> str:
     return f"{root.rstrip('/')}/_CURRENT"
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
-    try:
-        rows = spark.read.text(_pointer(root)).collect()
-    except Exception:  # no pointer yet
-        return None
-    return int(rows[0][0]) if rows else None
+    """The largest committed version; a marker is only ever added, so there is
+    no moment without one."""
+    return max(numbered_entries(spark, _pointers(root)), default=None)
 
 
 def read_state(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
@@ -58,10 +63,11 @@ def read_state(spark: SparkSession, root: str, version: int | None = None) -> Da
 
 
 def write_state(spark: SparkSession, df: DataFrame, root: str) -> int:
-    """Write ``df`` as the next version and move the pointer to it."""
-    v = (current_version(spark, root) or 0) + 1
+    """Write ``df`` as the next version, then add its marker.  A version folder
+    that a crashed writer left has no marker; its number is not used again."""
+    v = max([0, *numbered_entries(spark, root, "v="), *numbered_entries(spark, _pointers(root))]) + 1
     df.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/v={v}")
-    spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("overwrite").text(_pointer(root))
+    spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{_pointers(root)}/{v}")
     return v
 
 

@@ -23,7 +23,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.chain import GENESIS, record_canon
 from ..operators.workflow import STATE_IDS, transition_matrix
-from ..session import scratch_path
+from ..session import numbered_entries, scratch_path
 
 
 # ---------------------------------------------------------------- replay helpers
@@ -90,10 +90,9 @@ def run_to_folder(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
 
 
 def read_folder(spark: SparkSession, out: str, schema: T.StructType | str | None = None) -> DataFrame:
-    try:
-        return spark.read.parquet(out).drop("batch")
-    except Exception:  # no batch produced any row
+    if not numbered_entries(spark, out, "batch="):      # no batch ran
         return spark.createDataFrame([], schema) if schema is not None else None
+    return spark.read.parquet(out).drop("batch")
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -197,11 +196,12 @@ def stream_publish(requests: DataFrame, state: DataFrame, exported_path: str, ch
         spark = batch.sparkSession
         keys = batch.join(st, "case_id").groupBy("case_id", "idempotency_key").agg(
             F.min("seq").alias("first_seq"))
-        try:
-            done = spark.read.parquet(exported_path).where(F.col("batch_id") != batch_id)
-            keys = keys.join(done.select("idempotency_key"), "idempotency_key", "left_anti")
-        except Exception:  # nothing exported yet
-            pass
+        # only a missing table counts as "nothing exported"; one that cannot be read stops the stream
+        before = [b for b in numbered_entries(spark, exported_path, "batch=") if b != batch_id]
+        if before:
+            folders = [f"{exported_path}/batch={b:08d}" for b in before]
+            done = spark.read.schema("idempotency_key string").parquet(*folders)
+            keys = keys.join(done, "idempotency_key", "left_anti")
         keys.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
             f"{exported_path}/batch={batch_id:08d}")
 

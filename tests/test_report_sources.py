@@ -9,31 +9,47 @@ from claimtrail.sources import io as sio
 from claimtrail.sources import state as sstate
 
 
-def test_pilot_metrics_isolation(spark):
+def test_pilot_metrics(spark):
+    key = "engagement_id string, repository_id string"
     obs = spark.createDataFrame([("e", "r", "review", "high"), ("e", "r", "pass", "info"), ("e", "r", "review", "low")],
-                                "engagement_id string, repository_id string, status string, severity string")
+                                f"{key}, status string, severity string")
+    reports = spark.createDataFrame([("e", "r"), ("e", "empty")], key)
     a = spark.createDataFrame([("e", "r", "high", 1.0, [("x", "q")])],
-                              "engagement_id string, repository_id string, risk string, confidence double, "
-                              "citations array<struct<source_id:string,quote:string>>")
-    none = spark.createDataFrame([], "engagement_id string, repository_id string, network_isolated boolean")
-    m = report.pilot_metrics(obs, a, none).first()
-    assert m.all_isolated and m.executions == 0 and m.observations == 3
+                              f"{key}, risk string, confidence double, citations array<struct<source_id:string,quote:string>>")
+    none = spark.createDataFrame([], f"{key}, network_isolated boolean")
+    got = {r.repository_id: r for r in report.pilot_metrics(reports, obs, a, none).collect()}
+    m, empty = got["r"], got["empty"]
+    assert m.all_isolated and m.executions == 0 and m.observations == 3 and (m.to_review, m.passed) == (2, 1)
     assert m.status_counts == "pass=1,review=2" and m.severity_counts == "high=1,info=1,low=1"
-    ex = spark.createDataFrame([("e", "r", True), ("e", "r", False)], none.schema)
-    assert not report.pilot_metrics(obs, a, ex).first().all_isolated
-    text = report.management_summary(report.pilot_metrics(obs, a, none)).first().summary_md
-    assert "not a compliance certification" in text and "**high**" in text
-
-
-def test_evidence_pack_neutralizes_fences(spark):
-    cases = spark.createDataFrame([("c", "title")], "case_id string, title string")
-    src = spark.createDataFrame([("c", 0, "s", "x ``` y")], "case_id string, pos long, source_id string, text string")
+    assert empty.observations == 0 and empty.status_counts == "" and empty.risk is None
+    assert not any(m[c] for c in report.NOT_CLAIMED) and m.audit_verified is None
+    ex = spark.createDataFrame([("e", "r", True, "b"), ("e", "r", False, "a")], f"{key}, network_isolated boolean, scanner string")
+    ok = spark.createDataFrame([("e", "r", True)], f"{key}, valid boolean")
+    ms = spark.createDataFrame([("e", "r", 1250.0)], f"{key}, duration_ms double")
+    full = report.pilot_metrics(reports, obs, a, ex, ok, ms)
+    m = full.where("repository_id = 'r'").first()
+    assert not m.all_isolated and m.scanners == "a,b" and m.audit_verified and m.provider_duration_ms == 1250.0
+    text = {r.repository_id: r.summary_md for r in report.management_summary(full).collect()}
+    assert "| risk | high |" in text["r"] and "no norm is attested" in text["r"] and "| findings | 0 |" in text["empty"]
+
+
+def test_evidence_pack_holds_every_observation(spark):
+    key = "engagement_id string, repository_id string"
+    cases = spark.createDataFrame([("c", "title", "e", "r"), ("d", "none", "e", "s")], f"case_id string, title string, {key}")
+    obs = spark.createDataFrame([("e", "r", i, f"o{i}", "x ``` y") for i in range(250)],
+                                f"{key}, pos long, observation_id string, message string")
     a = spark.createDataFrame([("c", "low", 1.0, "sum", [("s", "x")])],
                               "case_id string, risk string, confidence double, summary string, "
                               "citations array<struct<source_id:string,quote:string>>")
     st = spark.createDataFrame([("c", "approved")], "case_id string, state string")
-    md = report.evidence_pack(cases, src, a, st).first().pack_md
-    assert "x ` ` ` y" in md and "Workflow state: `approved`" in md and md.count("```") == 2
+    rows = report.evidence_pack(cases, obs, a, st).collect()
+    cover = {r.case_id: r.page_md for r in rows if r.page == 0}
+    assert "state: approved" in cover["c"] and "Not assessed." in cover["d"]
+    pages = sorted((r.page, r.first_pos, r.n_items, r.page_md) for r in rows if r.page)
+    assert [p[:3] for p in pages] == [(1, 0, 100), (2, 100, 100), (3, 200, 50)]
+    assert all(p[3].count("```") == 2 for p in pages)
+    ids = [o["observation_id"] for p in pages for o in json.loads(p[3].removeprefix("```json").removesuffix("```"))]
+    assert ids == [f"o{i}" for i in range(250)]
 
 
 def test_latency_percentiles(spark):
@@ -128,6 +144,10 @@ def test_text_log_and_report_sink(spark, tmp_path):
 
 
 def test_duration_wording(spark):
-    d = spark.createDataFrame([(None,), (50.0,), (2500.0,)], "ms double")
-    got = [r.t for r in d.select(report.duration_text(F.col("ms")).alias("t")).collect()]
-    assert got == ["not measured", "less than 0.1 seconds", "2.5 seconds"]
+    df = spark.createDataFrame([("e", "a", 50.0), ("e", "b", 1500.0), ("e", "c", None)],
+                               "engagement_id string, repository_id string, provider_duration_ms double")
+    df = df.selectExpr("*", "'low' risk", "0L observations", "0L to_review", "0L passed", "'' severity_counts", "'' scanners",
+                       "true all_isolated", "0L citation_count", "false audit_verified")
+    got = {r.repository_id: r.summary_md for r in report.management_summary(df).collect()}
+    assert "| triage, s | 0.1 |" in got["a"] and "| triage, s | 1.5 |" in got["b"] and "| triage, s | - |" in got["c"]
+    assert "| audit chain intact | no |" in got["a"]

@@ -163,11 +163,14 @@ def test_model_plugin(spark):
                                    "confidence": "0.9"}))
         return pd.Series(out)
 
-    h = spark.createDataFrame([("a", "t"), ("b", "t"), ("big", "t")], "case_id string, title string")
+    h = spark.createDataFrame([("a", "t"), ("b", "t"), ("big", "t"), ("none", "t")], "case_id string, title string")
     s = spark.createDataFrame([("a", 0, "x", "Job failed twice"), ("b", 0, "y", "All good"), ("big", 0, "z", "w" * 50)],
                               "case_id string, pos long, source_id string, text string")
     got = {r.case_id: r for r in triage.model_classify(h, s, predict, max_chars=40).collect()}
-    assert set(got) == {"a", "b"}                           # over the cap: never sent to the model
+    # over the cap or without sources: never sent to the model, but not lost
+    assert set(got) == {"a", "b", "big", "none"}
+    assert got["big"].input_reason == validate.MSG_TOO_LARGE and not got["big"].parse_ok and got["big"].content is None
+    assert got["none"].input_reason == validate.MSG_NO_SOURCES
     assert got["a"].risk == "high" and got["a"].parse_ok and got["a"].confidence == 0.9
-    assert validate.validate_assessments(triage.model_classify(h, s, predict, max_chars=40), s) \
+    assert validate.validate_assessments(triage.model_classify(h, s, predict, max_chars=40).where("parse_ok"), s) \
         .where("reason IS NOT NULL").count() == 0
