@@ -344,6 +344,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter(map(tuple, run)) == Counter(map(tuple, last))
 
 
+def test_exact_query_equals_its_sql(spark):
+    from tests.oracle_compare import compare
+    name = "op10_exact_dedup"
+    r = compare(spark, name, queries.QUERIES[name], queries.ORACLES[name], "/root/testdata/sf0.001")
+    assert r["status"] == "ok", r
+
+
 def test_queries_are_registered():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert set(queries.ORACLES) <= set(queries.QUERIES)
