@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-import __spark_entry__ as E
+from claimtrail.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,7 +32,7 @@ def _nodes(plan):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 def test_no_unscalable_operators(spark):
     bad = []
-    for name, fn in E.queries().items():
+    for name, fn in catalog.QUERIES.items():
         df = fn(spark, SF)
         plan = df._jdf.queryExecution().executedPlan()
         for node in _nodes(plan):
