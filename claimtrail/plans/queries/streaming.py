@@ -42,12 +42,16 @@ SELECT case_id, arg_max(state, seq) AS state, CAST(sum(CASE WHEN accepted THEN 1
 FROM folded GROUP BY case_id
 """)
 def q_k3(spark, sf_dir):
-    """The workflow state machine per user over the replayed stream; the
-    final states equal the batch fold (G4)."""
-    stream, out, ckpt = _replayed_events(spark, sf_dir, "k3")
+    """The workflow state machine per user over a replay whose files are cut by
+    ``event_id % 4``, so rows come out of order; the final states equal the
+    batch fold (G4)."""
+    inp, out, ckpt = streams.new_run_paths(spark, "k3")
+    events = fixtures.table(spark, sf_dir, "events")
+    streams.write_unordered(events, "event_id", inp)
+    stream = streams.stream_files(spark, inp, events.schema)
     tr = stream.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"),
                        F.col("event_id").alias("seq"), fixtures._event_state().alias("to_state"), "ts")
-    streams.run_to_folder(streams.stream_states(tr), out, ckpt, mode="update",
+    streams.run_to_folder(streams.stream_states(tr, delay="60 days"), out, ckpt, mode="update",
                           state_partitions=_state_parts(spark))
     return streams.latest_states(streams.read_folder(spark, out))
 
@@ -99,16 +103,16 @@ WITH RECURSIVE {O.AUDIT}
 SELECT chain, seq, prev AS previous_hash, h AS event_hash FROM chainh
 """)
 def q_k7(spark, sf_dir):
-    """Audit rows streamed in event-time order and hash-chained per user
-    across micro-batches; equals the batch chain (B3)."""
+    """Audit rows streamed out of order (files cut by ``event_id % 4``) and
+    hash-chained per user across micro-batches; equals the batch chain (B3)."""
     inp, out, ckpt = streams.new_run_paths(spark, "k7")
     audit = fixtures.audit_events(spark, sf_dir).join(
         fixtures.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "ts"), "seq")
-    streams.write_replay(audit, "ts", inp, n_files=4)
+    streams.write_unordered(audit, "seq", inp)
     stream = streams.stream_files(spark, inp, audit.schema)
-    streams.run_to_folder(streams.stream_chain(stream), out, ckpt,
+    streams.run_to_folder(streams.stream_chain(stream, delay="60 days"), out, ckpt, mode="update",
                           state_partitions=_state_parts(spark))
-    return streams.read_folder(spark, out).select("chain", "seq", "previous_hash", "event_hash")
+    return streams.latest_chain(streams.read_folder(spark, out))
 
 
 @register("K1_stream_counters_sliding", """

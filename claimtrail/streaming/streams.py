@@ -13,6 +13,7 @@ folder — the sink is idempotent and the stream exactly-once end to end.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -118,52 +119,80 @@ def stream_dedupe(stream: DataFrame, ts: str, keys: Sequence[str], delay: str) -
 
 
 # ---------------------------------------------------------------- K3
+# Rows of a key may come in any order within the watermark's delay.  The state
+# therefore keeps the rows that the watermark has not passed yet, as JSON, next to
+# what the passed ones came to; every emission replays the kept rows in seq order
+# on top, so the latest emission is right for what has arrived, and memory for a
+# key is bounded by its rows of one delay.
 _K3_OUT = T.StructType([
     T.StructField("case_id", T.StringType()), T.StructField("state", T.StringType()),
     T.StructField("accepted", T.LongType()), T.StructField("rejected", T.LongType()),
     T.StructField("last_seq", T.LongType()), T.StructField("stale", T.BooleanType()),
+    T.StructField("late", T.LongType()), T.StructField("version", T.LongType()),
 ])
 _K3_STATE = T.StructType([
     T.StructField("state", T.IntegerType()), T.StructField("accepted", T.LongType()),
     T.StructField("rejected", T.LongType()), T.StructField("last_seq", T.LongType()),
+    T.StructField("late", T.LongType()), T.StructField("version", T.LongType()), T.StructField("kept", T.StringType()),
 ])
 _STATE_NAMES = {v: k for k, v in STATE_IDS.items()}
 
 
+def _passed(kept: list, watermark_ms: int) -> int:
+    """How many of the rows (by seq; their event time last) the watermark has
+    passed, as a prefix: a row waits for all smaller seq that still wait."""
+    n = 0
+    while n < len(kept) and kept[n][-1] <= watermark_ms:
+        n += 1
+    return n
+
+
 def stream_states(stream: DataFrame, ts: str = "ts", delay: str = "1 day",
                   stale_after_ms: int | None = None, allow_reject: bool = False) -> DataFrame:
     """K3: the workflow state machine per case over a stream of
-    (case_id, seq, to_state, ts).  The state holds (state, counts, last seq);
-    each micro-batch's rows are replayed in seq order.  With
+    (case_id, seq, to_state, ts), in seq order across micro-batches for rows
+    that come within ``delay``.  A row that comes after the watermark has passed
+    a larger seq cannot be ordered any more and counts as ``late``.  With
     ``stale_after_ms`` a case without events for that long (event time) is
-    emitted once more with ``stale = true``.  Emits the case after every
-    batch that touched it (update mode)."""
+    emitted once more with ``stale = true``; it keeps its state and can go on.
+    Emits the case after every batch that touched it (update mode)."""
     allowed = transition_matrix(allow_reject)
     timeout = GroupStateTimeout.EventTimeTimeout if stale_after_ms else GroupStateTimeout.NoTimeout
 
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        case_id = key[0]
-        if state.hasTimedOut:
-            cur, acc, rej, last = state.get
-            state.remove()
-            yield pd.DataFrame({"case_id": [case_id], "state": [_STATE_NAMES.get(cur)], "accepted": [acc],
-                                "rejected": [rej], "last_seq": [last], "stale": [True]})
-            return
-        cur, acc, rej, last = state.get if state.exists else (0, 0, 0, -1)
-        rows = pd.concat(list(pdfs)).sort_values("seq")
-        for seq, to in zip(rows["seq"].tolist(), rows["to_state"].tolist()):
+    def fold(rows, cur, acc, rej, last):
+        for seq, to, _ in rows:
             t = STATE_IDS.get(to, 0)
             nxt = allowed[cur][t] if t else -1
             if nxt >= 0:
-                cur, acc = nxt, acc + 1
+                cur, acc = int(nxt), acc + 1
             else:
                 rej += 1
-            last = max(last, int(seq))
-        state.update((int(cur), int(acc), int(rej), int(last)))
-        if stale_after_ms:
-            state.setTimeoutTimestamp(int(rows["_ts_ms"].max()) + int(stale_after_ms))
-        yield pd.DataFrame({"case_id": [case_id], "state": [_STATE_NAMES.get(cur)], "accepted": [acc],
-                            "rejected": [rej], "last_seq": [last], "stale": [False]})
+            last = max(last, seq)
+        return cur, acc, rej, last
+
+    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        cur, acc, rej, last, late, version, kept = state.get if state.exists else (0, 0, 0, -1, 0, 0, "[]")
+        kept = json.loads(kept)
+        timed_out = state.hasTimedOut
+        latest = None
+        if not timed_out:
+            for pdf in pdfs:
+                for seq, to, ms in zip(pdf["seq"].tolist(), pdf["to_state"].tolist(), pdf["_ts_ms"].tolist()):
+                    latest = ms if latest is None else max(latest, ms)
+                    if seq <= last:
+                        late += 1
+                    else:
+                        kept.append([int(seq), to if isinstance(to, str) else None, int(ms)])
+            kept.sort(key=lambda r: r[0])
+        n = _passed(kept, state.getCurrentWatermarkMs())
+        cur, acc, rej, last = fold(kept[:n], cur, acc, rej, last)
+        kept = kept[n:]
+        state.update((int(cur), int(acc), int(rej), int(last), int(late), int(version + 1), json.dumps(kept)))
+        if stale_after_ms and latest is not None:
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + int(stale_after_ms))
+        now, n_acc, n_rej, n_last = fold(kept, cur, acc, rej, last)
+        yield pd.DataFrame({"case_id": [key[0]], "state": [_STATE_NAMES.get(now)], "accepted": [n_acc], "rejected": [n_rej],
+                            "last_seq": [n_last], "stale": [timed_out], "late": [late], "version": [version + 1]})
 
     s = event_time(stream, ts).withColumn("_ts_ms", (F.unix_micros(F.col(ts)) / 1000).cast("long"))
     return (s.withWatermark(ts, delay).groupBy("case_id")
@@ -171,10 +200,9 @@ def stream_states(stream: DataFrame, ts: str = "ts", delay: str = "1 day",
 
 
 def latest_states(emitted: DataFrame) -> DataFrame:
-    """Final state per case from the rows K3 emitted (the one with the
-    highest last seq; a stale marker repeats its values)."""
+    """Final state per case from the rows K3 emitted: those of its last version."""
     return emitted.groupBy("case_id").agg(
-        F.max_by(F.struct("state", "accepted", "rejected"), F.struct("last_seq", "stale")).alias("s")
+        F.max_by(F.struct("state", "accepted", "rejected"), "version").alias("s")
     ).select("case_id", "s.state", "s.accepted", "s.rejected")
 
 
@@ -240,38 +268,59 @@ def case_sessions(stream: DataFrame, ts: str, key: str, gap: str, delay: str) ->
 
 
 # ---------------------------------------------------------------- K7
-_K7_STATE = T.StructType([T.StructField("tail_hash", T.StringType()), T.StructField("last_seq", T.LongType())])
+_K7_STATE = T.StructType([T.StructField("tail_hash", T.StringType()), T.StructField("last_seq", T.LongType()),
+                          T.StructField("version", T.LongType()), T.StructField("kept", T.StringType())])
+_K7_OUT = T.StructType([
+    T.StructField("chain", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("previous_hash", T.StringType()),
+    T.StructField("event_hash", T.StringType()), T.StructField("settled", T.BooleanType()), T.StructField("version", T.LongType())])
 
 
 def stream_chain(stream: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
     """K7: hash chain per chain key over a stream of audit rows (chain, seq,
-    ts_us, event, case_id, details); the state is the chain's tail hash, so a
-    chain continues across micro-batches.  Rows of a batch are hashed in seq
-    order; a row not newer than the tail is out of order and reported with a
-    null hash rather than silently chained."""
-    s = event_time(stream, ts).withColumn("_canon", record_canon())
-    out = T.StructType([T.StructField("chain", T.LongType()), T.StructField("seq", T.LongType()),
-                        T.StructField("previous_hash", T.StringType()), T.StructField("event_hash", T.StringType())])
+    ts_us, event, case_id, details), in seq order across micro-batches for rows
+    that come within ``delay`` (see K3).  The state is the settled tail and the
+    rows after it; every batch emits the newly settled rows and, provisionally,
+    the hashes of the kept ones (update mode; ``latest_chain`` picks the last).
+    A row whose place in the chain is settled already is emitted with a null hash."""
+    s = event_time(stream, ts).withColumn("_canon", record_canon()) \
+        .withColumn("_ts_ms", (F.unix_micros(F.col(ts)) / 1000).cast("long"))
 
     def step(key, pdfs, state: GroupState):
-        tail, last = state.get if state.exists else (GENESIS, -1)
-        rows = pd.concat(list(pdfs)).sort_values("seq")
-        prevs, hashes = [], []
-        for seq, cn in zip(rows["seq"].tolist(), rows["_canon"].tolist()):
-            if seq <= last:
-                prevs.append(None)
-                hashes.append(None)
-                continue
-            h = hashlib.sha256((cn + f"{len(tail)}:{tail}").encode("utf-8")).hexdigest()
-            prevs.append(tail)
-            hashes.append(h)
-            tail, last = h, seq
-        state.update((tail, int(last)))
-        yield pd.DataFrame({"chain": [key[0]] * len(rows), "seq": rows["seq"].tolist(),
-                            "previous_hash": prevs, "event_hash": hashes})
+        tail, last, version, kept = state.get if state.exists else (GENESIS, -1, 0, "[]")
+        kept, out = json.loads(kept), []
+        for pdf in pdfs:
+            for seq, cn, ms in zip(pdf["seq"].tolist(), pdf["_canon"].tolist(), pdf["_ts_ms"].tolist()):
+                if seq <= last:
+                    out.append((seq, None, None, True))
+                else:
+                    kept.append([int(seq), cn, int(ms)])
+        kept.sort(key=lambda r: r[0])
+        n, prev = _passed(kept, state.getCurrentWatermarkMs()), tail
+        for i, (seq, cn, _) in enumerate(kept):
+            h = hashlib.sha256((cn + f"{len(prev)}:{prev}").encode("utf-8")).hexdigest()
+            out.append((seq, prev, h, i < n))
+            prev = h
+            if i < n:
+                tail, last = h, seq
+        state.update((tail, int(last), int(version + 1), json.dumps(kept[n:])))
+        yield pd.DataFrame([(key[0], *row, version + 1) for row in out], columns=[f.name for f in _K7_OUT.fields])
 
     return (s.withWatermark(ts, delay).groupBy("chain")
-            .applyInPandasWithState(step, out, _K7_STATE, "append", GroupStateTimeout.NoTimeout))
+            .applyInPandasWithState(step, _K7_OUT, _K7_STATE, "update", GroupStateTimeout.NoTimeout))
+
+
+def latest_chain(emitted: DataFrame) -> DataFrame:
+    """Each chained row's hashes from the last version that K7 emitted for it."""
+    return emitted.groupBy("chain", "seq").agg(
+        F.max_by(F.struct("previous_hash", "event_hash"), F.struct(F.col("event_hash").isNotNull(), "version")).alias("h")
+    ).select("chain", "seq", "h.previous_hash", "h.event_hash")
+
+
+def write_unordered(df: DataFrame, key: str, path: str, n_files: int = 4) -> None:
+    """Replay utility: one parallel write of ``n_files`` files, dealt by
+    ``key`` modulo their number, so every micro-batch holds rows of all times."""
+    place = F.pmod(F.col(key), F.lit(n_files))
+    df.repartitionByRange(n_files, place).write.parquet(path)
 
 
 def new_run_paths(spark: SparkSession, name: str) -> tuple[str, str, str]:

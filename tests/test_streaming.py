@@ -87,3 +87,44 @@ def test_stale_cases_time_out(spark, tmp_path):
     assert "user-1" in stale                         # no event for 10 days: timed out
     final = {r.case_id: r.state for r in streams.latest_states(streams.read_folder(spark, out)).collect()}
     assert final["user-2"] == "approved" and final["user-1"] == "received"
+
+
+def test_out_of_order_batches(spark, tmp_path):
+    """Batch 1 brings seq 0 and 2, batch 2 brings seq 1: states and chain equal the ordered ones."""
+    from claimtrail.operators import chain
+    inp, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    steps = ["received", "pending_approval", "approved"]
+    schema = "case_id string, seq long, to_state string, ts timestamp_ntz"
+    rows = [("c", i, steps[i], T0 + i * dt.timedelta(hours=1)) for i in range(3)]
+    spark.createDataFrame([rows[0], rows[2]], schema).coalesce(1).write.parquet(f"{inp}/b1")
+    spark.createDataFrame([rows[1]], schema).coalesce(1).write.parquet(f"{inp}/b2")
+    stream = streams.stream_files(spark, inp, spark.createDataFrame([], schema).schema)
+    streams.run_to_folder(streams.stream_states(stream), out, ck, mode="update")
+    r = streams.latest_states(streams.read_folder(spark, out)).first()
+    assert (r.state, r.accepted, r.rejected) == ("approved", 3, 0)
+
+    inp, out, ck = (str(tmp_path / f"chain-{x}") for x in ("in", "out", "ck"))
+    events = spark.createDataFrame([(1, i, i * 1000, "e", "c", {"k": str(i)}) for i in range(5)],
+                                   "chain long, seq long, ts_us long, event string, case_id string, details map<string,string>")
+    timed = events.withColumn("ts", F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, cast(seq as int))"))
+    for b, keep in (("b1", [0, 3]), ("b2", [1, 4]), ("b3", [2])):
+        timed.where(F.col("seq").isin(keep)).coalesce(1).write.parquet(f"{inp}/{b}")
+    streams.run_to_folder(streams.stream_chain(streams.stream_files(spark, inp, timed.schema)), out, ck, mode="update")
+    got = {(r.seq, r.previous_hash, r.event_hash) for r in streams.latest_chain(streams.read_folder(spark, out)).collect()}
+    assert got == {(r.seq, r.previous_hash, r.event_hash) for r in chain.chain_append(events).collect()}
+
+
+def test_a_stale_case_can_still_be_approved(spark, tmp_path):
+    inp, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    schema = "case_id string, seq long, to_state string, ts timestamp_ntz"
+    batches = [[("c", 1, "received", T0), ("c", 2, "pending_approval", T0), ("d", 1, "received", T0)],
+               [("d", 2, "pending_approval", T0 + 10 * DAY)], [("d", 3, "approved", T0 + 20 * DAY)],
+               [("c", 3, "approved", T0 + 21 * DAY)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{inp}/b{i}")
+    stream = streams.stream_files(spark, inp, spark.createDataFrame([], schema).schema)
+    streams.run_to_folder(streams.stream_states(stream, delay="1 hour", stale_after_ms=2 * 86_400_000), out, ck, mode="update")
+    emitted = streams.read_folder(spark, out)
+    assert "c" in {r.case_id for r in emitted.where("stale").collect()}
+    assert {r.case_id: (r.state, r.rejected) for r in streams.latest_states(emitted).collect()} == {
+        "c": ("approved", 0), "d": ("approved", 0)}
