@@ -1,9 +1,9 @@
 """One-permutation MinHash fingerprints.
 
 Every word shingle is hashed once; the high bits of the hash choose one of the
-bins and a bin keeps its smallest hash.  An empty bin borrows from a bin that
-a seeded hash of (bin, attempt) chooses, again until that bin is full (optimal
-densification).  A bin stores only the low bits of its value re-hashed with the
+bins and a bin keeps its smallest hash.  An empty bin borrows from the first
+full bin in a random order of its own, the same for all texts (optimal
+densification: its choice is uniform and independent of other bins').  A bin stores only the low bits of its value re-hashed with the
 bin's number, packed; the likeness of two fingerprints is the share of equal bins
 with the chance of equal low bits, 2^-bits, taken out.
 """
@@ -39,6 +39,8 @@ class Oph:
         self.bins, self.bits, self.shingle = bins, bits, shingle
         self.shift = np.uint64(64 - bins.bit_length() + 1)
         self.salt = _mix(np.arange(1, bins + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.order = _mix(self.salt[:, None] ^ _mix(np.arange(bins, dtype=np.uint64) + np.uint64(1 << 32))[None, :])
+        self.order = self.order.argsort(axis=1).argsort(axis=1).astype(np.uint16)      # [bin, other]: its place
         self.coef = _mix(np.arange(101, 101 + shingle, dtype=np.uint64)) | np.uint64(1)
         self.known: dict[bytes, int] = {}
 
@@ -73,17 +75,12 @@ class Oph:
         return low
 
     def densified(self, low: np.ndarray) -> np.ndarray:
-        empty = np.nonzero(low == _EMPTY)[0]
-        if not len(empty) or len(empty) == self.bins:
+        """Every empty bin borrows from the full bin that comes first in its own order."""
+        empty, full = np.nonzero(low == _EMPTY)[0], np.nonzero(low != _EMPTY)[0]
+        if not len(empty) or not len(full):
             return low
-        out, attempt = low.copy(), 1
-        while len(empty):
-            step = np.uint64(attempt * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
-            at = (_mix(self.salt[empty] + step) >> self.shift).astype(np.int64)
-            got = low[at]
-            out[empty] = got
-            empty = empty[got == _EMPTY]
-            attempt += 1
+        out = low.copy()
+        out[empty] = low[full[self.order[empty[:, None], full].argmin(axis=1)]]
         return out
 
     def pack(self, low: np.ndarray) -> bytes:
