@@ -102,7 +102,9 @@ def chain_verify(audit: DataFrame, chain: str = "chain", seq: str = "seq",
         "_self_ok",
         F.coalesce(F.sha2(F.concat(record_canon(), canon("previous_hash")), 256) == F.col("event_hash"),
                    F.lit(False)))
-    ranked = global_rank(a, [F.col(chain), F.col(seq)], "_rk", num_partitions).df
+    # only what the link check needs goes through the checkpoint
+    narrow = a.select(chain, seq, "previous_hash", "event_hash", "_self_ok")
+    ranked = global_rank(narrow, [F.col(chain), F.col(seq)], "_rk", num_partitions).df
     pred = ranked.select(F.col(chain).alias("_pc"), (F.col("_rk") + 1).alias("_rk"),
                          F.col("event_hash").alias("_pred_hash"))
     j = ranked.join(pred, (ranked["_rk"] == pred["_rk"]) & (ranked[chain] == pred["_pc"]), "left") \

@@ -117,7 +117,7 @@ def selective_accuracy(preds: DataFrame, coverage: float = 0.9, tie_break: str =
     """H6: keep the k = round-half-even(coverage·n) most confident rows (ties
     by ``tie_break``); accuracy on kept and on abstained rows (0.0 when none
     abstained)."""
-    ranked = global_rank(preds, _conf_order(tie_break))
+    ranked = global_rank(preds.select(*{"confidence", "correct", tie_break}), _conf_order(tie_break))
     n = ranked.n
     k = _round_half_even(coverage * n)
     kept = F.col("rank") <= F.lit(k)
@@ -133,7 +133,7 @@ def risk_coverage(preds: DataFrame, coverages: Sequence[float] = COVERAGES, tie_
     """H7: per coverage c: kept = max(1, round(c·n)), the confidence threshold
     at the last kept row, accuracy on kept rows and on the rest (null when
     nothing is abstained).  One pass: conditional aggregates per coverage."""
-    ranked = global_rank(preds, _conf_order(tie_break))
+    ranked = global_rank(preds.select(*{"confidence", "correct", tie_break}), _conf_order(tie_break))
     n = ranked.n
     ks = [max(1, _round_half_even(c * n)) for c in coverages]
     aggs = []

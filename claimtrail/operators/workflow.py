@@ -348,6 +348,20 @@ def analysis_events(result: DataFrame) -> DataFrame:
                          F.coalesce("input_reason", "reason").alias("reason"), "risk")
 
 
+def approval_events(outcomes: DataFrame) -> DataFrame:
+    """Audit rows of G5: (case_id, seq, event, reviewer) of the decisions that took effect."""
+    return outcomes.where(F.col("outcome") == "approved").select(
+        "case_id", "seq", F.lit("case_approved").alias("event"), "reviewer")
+
+
+def publication_events(outcomes: DataFrame) -> DataFrame:
+    """Audit rows of G6: (case_id, seq, event, receipt); an unknown case leaves none."""
+    event = (F.when(F.col("outcome") == "published", F.lit("case_published"))
+             .when(F.col("outcome") == "deduplicated", F.lit("publish_deduplicated"))
+             .when(F.col("outcome") == "blocked", F.lit("publish_blocked")))
+    return outcomes.select("case_id", "seq", event.alias("event"), "receipt").where(F.col("event").isNotNull())
+
+
 # ---------------------------------------------------------------- G8 / G9
 def case_summaries(state: DataFrame) -> DataFrame:
     """Listing, newest first (updated_seq desc, case_id)."""

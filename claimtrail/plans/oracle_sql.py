@@ -124,13 +124,11 @@ def selected(max_items: int = 100, max_chars: int = 90000) -> str:
 
 
 def merkle(src: str, keys: str, pos: str, digest: str, block: int = 4096) -> str:
-    """Two block levels then the top, as functions.hashing.ordered_digest."""
+    """One block level then the top, as functions.hashing.ordered_digest."""
     return f"""
   m1 AS (SELECT {keys}, {pos} // {block} AS p, sha256(string_agg({digest}, '' ORDER BY {pos})) AS d
          FROM {src} GROUP BY {keys}, {pos} // {block}),
-  m2 AS (SELECT {keys}, p // {block} AS p, sha256(string_agg(d, '' ORDER BY p)) AS d
-         FROM m1 GROUP BY {keys}, p // {block}),
-  mtop AS (SELECT {keys}, sha256(string_agg(d, '' ORDER BY p)) AS tree FROM m2 GROUP BY {keys})"""
+  mtop AS (SELECT {keys}, sha256(string_agg(d, '' ORDER BY p)) AS tree FROM m1 GROUP BY {keys})"""
 
 
 def record_canon_sql() -> str:

@@ -119,24 +119,35 @@ def q_j5(spark, sf_dir):
     return report.latency(ev).withColumnRenamed("p50", "p50").select("name", "count", "last", "p50", "p95")
 
 
+# every kind of audit event the rates need, from the events table
+_SLI_EVENT = f"""CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'provider_retry'
+       WHEN event_type = 'signup' AND event_id % 5 = 0 THEN 'input_rejected'
+       WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'publish_deduplicated'
+       ELSE {_AUDIT_EVENT} END"""
+
+
+def _count(event: str) -> str:
+    return f"count(*) FILTER (event = '{event}')"
+
+
 @register("J6_workflow_sli", f"""
-WITH a AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id, {_AUDIT_EVENT} AS event, ts FROM events),
+WITH a AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id, {_SLI_EVENT} AS event, ts FROM events),
   pc AS (SELECT case_id, min(CASE WHEN event = 'analysis_completed' THEN ts END) AS c,
                 min(CASE WHEN event = 'case_approved' THEN ts END) AS ap FROM a GROUP BY case_id),
   w AS (SELECT avg(epoch_us(ap) - epoch_us(c)) AS w FROM pc WHERE ap >= c),
-  n AS (SELECT sum(CASE WHEN event = 'case_received' THEN 1 ELSE 0 END) AS received,
-               sum(CASE WHEN event = 'analysis_completed' THEN 1 ELSE 0 END) AS completed,
-               sum(CASE WHEN event = 'analysis_failed' THEN 1 ELSE 0 END) AS failed,
-               sum(CASE WHEN event = 'case_published' THEN 1 ELSE 0 END) AS published FROM a)
-SELECT CAST(received AS BIGINT) AS received, completed / received AS completion_rate, failed / received AS failure_rate,
-       0.0::DOUBLE AS retry_rate, 0.0::DOUBLE AS rejection_rate, 0.0::DOUBLE AS publish_dedupe_rate,
-       w.w / 1e6 AS mean_approval_wait_s
+  n AS (SELECT {_count('case_received')} AS received, {_count('analysis_completed')} AS completed,
+               {_count('analysis_failed')} AS failed, {_count('provider_retry')} AS retried,
+               {_count('input_rejected')} AS rejected, {_count('case_published')} AS published,
+               {_count('publish_deduplicated')} AS repeated FROM a)
+SELECT received, completed / received AS completion_rate, failed / received AS failure_rate,
+       retried / received AS retry_rate, rejected / (received + rejected) AS rejection_rate,
+       repeated / (published + repeated) AS publish_dedupe_rate, w.w / 1e6 AS mean_approval_wait_s
 FROM n, w
 """)
 def q_j6(spark, sf_dir):
     ev = fixtures.table(spark, sf_dir, "events").select(
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("case_id"),
-        F.expr(_AUDIT_EVENT).alias("event"), "ts")
+        F.expr(_SLI_EVENT).alias("event"), "ts")
     return report.workflow_sli(ev)
 
 

@@ -188,7 +188,11 @@ def q_a9(spark, sf_dir):
     up = snap.where(uid % 2 == 0).withColumn(
         "case_fingerprint", F.when(uid % 5 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("case_fingerprint"))
     ).withColumn("state", F.lit("approved"))
-    new_state, refused = sstate.upsert_state(st, up)
+    root = scratch_path(spark, "state")         # through the table on disk: two versions
+    sstate.write_state(spark, st, root)
+    new_state, refused = sstate.upsert_state(sstate.read_state(spark, root), up)
+    sstate.write_state(spark, new_state, root)
+    new_state = sstate.read_state(spark, root)
     flag = refused.select("case_id", F.lit(True).alias("refused"))
     return new_state.join(flag, "case_id", "left").select(
         "case_id", "case_fingerprint", "state", F.coalesce("refused", F.lit(False)).alias("refused"))
@@ -196,31 +200,46 @@ def q_a9(spark, sf_dir):
 
 @register("A10_export_approved", f"""
 WITH {_SNAPSHOT},
-  ap AS (SELECT case_id, case_fingerprint || ':' || assessment_fp AS k, substring(sha256(case_id), 1, 20) AS slug,
-                CAST(substring(case_id, 6) AS BIGINT) AS uid FROM snap WHERE state IN ('approved', 'published')),
-  ex AS (SELECT slug, CASE WHEN uid % 6 = 0 THEN 'other-key' ELSE k END AS ek FROM ap WHERE uid % 4 = 0 OR uid % 6 = 0)
-SELECT ap.case_id, ap.slug, ap.k AS idempotency_key,
-       CASE WHEN ex.ek IS NULL THEN 'export' WHEN ex.ek = ap.k THEN 'existing' ELSE 'conflict' END AS status,
-       CASE WHEN ex.ek IS NULL OR ex.ek = ap.k THEN 'file:handoff/approved-' || ap.slug || '.json' END AS receipt
-FROM ap LEFT JOIN ex USING (slug)
+  ap AS (SELECT case_id, risk, reviewer, case_fingerprint || ':' || assessment_fp AS k,
+                substring(sha256(case_id), 1, 20) AS slug, CAST(substring(case_id, 6) AS BIGINT) AS uid
+         FROM snap WHERE state IN ('approved', 'published')),
+  ex AS (SELECT slug, CASE WHEN uid % 6 = 0 THEN 'other-key' ELSE k END AS ek FROM ap WHERE uid % 4 = 0 OR uid % 6 = 0),
+  st AS (SELECT ap.*, CASE WHEN uid % 7 = 0 THEN 'refused' WHEN ex.ek IS NULL THEN 'export' WHEN ex.ek = ap.k THEN 'existing'
+                           ELSE 'conflict' END AS status FROM ap LEFT JOIN ex USING (slug))
+SELECT case_id, slug, k AS idempotency_key, status,
+       CASE WHEN status IN ('export', 'existing') THEN 'file:handoff/approved-' || slug || '.json' END AS receipt,
+       CASE WHEN status = 'export' THEN reviewer END AS exported_by, CASE WHEN status = 'export' THEN risk END AS exported_risk
+FROM st
 """)
 def q_a10(spark, sf_dir):
+    """Approved cases exported with their payload; the export table is written
+    and read back (an earlier export of some keys, one of them conflicting)."""
     snap = fixtures.state_snapshot(spark, sf_dir).where(F.col("state").isin("approved", "published"))
     uid = F.substring("case_id", 6, 100).cast("bigint")
-    ap = snap.select("case_id", hashing.idempotency_key("case_fingerprint", "assessment_fp").alias("idempotency_key"),
-                     uid.alias("uid"))
-    ex = ap.where((F.col("uid") % 4 == 0) | (F.col("uid") % 6 == 0)).select(
+    ap = snap.select("case_id", F.when(uid % 7 != 0, F.col("reviewer")).alias("reviewer"), "risk",
+                     hashing.idempotency_key("case_fingerprint", "assessment_fp").alias("idempotency_key"), uid.alias("uid"))
+    root = scratch_path(spark, "exports")
+    earlier = ap.where((F.col("uid") % 4 == 0) | (F.col("uid") % 6 == 0)).select(
         F.substring(F.sha2("case_id", 256), 1, 20).alias("slug"),
-        F.when(F.col("uid") % 6 == 0, F.lit("other-key")).otherwise(F.col("idempotency_key")).alias("idempotency_key"))
-    return sstate.export_approved(ap.select("case_id", "idempotency_key"), ex)
+        F.when(F.col("uid") % 6 == 0, F.lit("other-key")).otherwise(F.col("idempotency_key")).alias("idempotency_key"),
+        F.lit("{}").alias("payload"))
+    sstate.write_exports(spark, earlier, root)
+    decided = sstate.export_approved(ap, sstate.read_exports(spark, root))
+    sstate.write_exports(spark, sstate.export_payloads(decided, ap.select("case_id", "reviewer", "risk")), root)
+    back = sstate.read_exports(spark, root).where("payload <> '{}'").select(
+        "slug", F.get_json_object("payload", "$.reviewer").alias("exported_by"),
+        F.get_json_object("payload", "$.risk").alias("exported_risk"))
+    return decided.join(back, "slug", "left").select(
+        "case_id", "slug", "idempotency_key", "status", "receipt", "exported_by", "exported_risk")
 
 
 @register("A8_write_report", f"""
 WITH {O.OBS}, {O.REPORTS}, {O.selected()}, {_SUMMARY_SQL}, {_TRIAGE_SQL}, {_EXEC_SQL},
   tob AS (SELECT engagement_id, repository_id, count(*) AS observations FROM obs GROUP BY ALL),
   iso AS (SELECT engagement_id, repository_id, bool_and(iso) AS iso FROM ex GROUP BY ALL)
-SELECT tob.repository_id, tob.observations, tri.risk, coalesce(iso.iso, true) AS all_isolated
-FROM tob LEFT JOIN tri ON tri.case_id = tob.repository_id LEFT JOIN iso USING (engagement_id, repository_id)
+SELECT r.repository_id, coalesce(tob.observations, 0) AS observations, tri.risk, coalesce(iso.iso, true) AS all_isolated
+FROM reports r LEFT JOIN tob USING (engagement_id, repository_id) LEFT JOIN tri ON tri.case_id = r.repository_id
+     LEFT JOIN iso USING (engagement_id, repository_id)
 """)
 def q_a8(spark, sf_dir):
     """Per-repository metrics written as one JSON artifact per repository

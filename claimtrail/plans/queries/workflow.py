@@ -1,7 +1,7 @@
 """Registered queries, group G (workflow): G7_analyze, G4_fold_states, G4_final_states, G1_admit, G1_admit_with_state, G2_retry_outcome, G3_backoff_schedule, G5_approve, G6_publish, G8_case_summaries, G9_lookup."""
 
 from ._shared import *  # noqa: F401,F403
-from ._shared import register  # noqa: F401
+from ._shared import ORACLES, register  # noqa: F401
 
 
 register("G7_analyze", f"""
@@ -249,3 +249,21 @@ def q_g7a(spark, sf_dir):
         validators=[lambda a: validate.prohibited_claims_reason()],
         state=_stored_state(spark, sf_dir))
     return out.select("case_id", "admission", "risk", "state")
+
+
+@register("G5_approval_events", f"""
+SELECT case_id, seq, 'case_approved' AS event, reviewer FROM ({ORACLES['G5_approve']}) WHERE outcome = 'approved'
+""")
+def q_g5e(spark, sf_dir):
+    """Audit rows of the approvals."""
+    return workflow.approval_events(q_g5(spark, sf_dir))
+
+
+@register("G6_publication_events", f"""
+SELECT case_id, seq, CASE outcome WHEN 'published' THEN 'case_published' WHEN 'deduplicated' THEN 'publish_deduplicated'
+       ELSE 'publish_blocked' END AS event, receipt
+FROM ({ORACLES['G6_publish']}) WHERE outcome <> 'error'
+""")
+def q_g6e(spark, sf_dir):
+    """Audit rows of the publications."""
+    return workflow.publication_events(q_g6(spark, sf_dir))

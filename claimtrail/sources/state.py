@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank
 from ..session import numbered_entries
 
 STATE_COLUMNS = ("case_id", "case_fingerprint", "state", "risk", "assessment_fp", "reviewer", "receipt",
@@ -73,17 +74,44 @@ def write_state(spark: SparkSession, df: DataFrame, root: str) -> int:
 
 # ---------------------------------------------------------------- A10
 def export_approved(approved: DataFrame, exported: DataFrame, destination: str = "handoff") -> DataFrame:
-    """A10: approved(case_id, idempotency_key) against already exported
-    (slug, idempotency_key).  slug = first 20 hex of SHA-256(case_id); the
-    same key → ``existing`` with the same receipt; another key under the
-    slug → ``conflict``; none → ``export``."""
+    """A10: approved(case_id, idempotency_key[, reviewer]) against already
+    exported (slug, idempotency_key).  slug = first 20 hex of SHA-256(case_id).
+    A blank reviewer → ``refused``; the same key → ``existing`` with the same
+    receipt; another key under the slug → ``conflict``; none → ``export``."""
     slug = F.substring(F.sha2(F.col("case_id"), 256), 1, 20)
-    a = approved.select("case_id", "idempotency_key", slug.alias("slug"))
+    named = ~is_blank("reviewer") if "reviewer" in approved.columns else F.lit(True)
+    a = approved.select("case_id", "idempotency_key", slug.alias("slug"), named.alias("_named"))
     e = exported.select("slug", F.col("idempotency_key").alias("_ek"))
     j = a.join(e, "slug", "left")
-    status = (F.when(F.col("_ek").isNull(), F.lit("export"))
+    status = (F.when(~F.col("_named"), F.lit("refused"))
+              .when(F.col("_ek").isNull(), F.lit("export"))
               .when(F.col("_ek") == F.col("idempotency_key"), F.lit("existing"))
               .otherwise(F.lit("conflict")))
-    receipt = F.when(status != "conflict", F.concat(F.lit(f"file:{destination}/approved-"), F.col("slug"),
-                                                    F.lit(".json")))
+    receipt = F.when(status.isin("export", "existing"), F.concat(F.lit(f"file:{destination}/approved-"), F.col("slug"),
+                                                                 F.lit(".json")))
     return j.select("case_id", "slug", "idempotency_key", status.alias("status"), receipt.alias("receipt"))
+
+
+def export_payloads(decided: DataFrame, details: DataFrame) -> DataFrame:
+    """(slug, idempotency_key, payload) of the cases to export: the JSON of the
+    case's details (one row for a case) with its key."""
+    j = decided.where(F.col("status") == "export").join(details, "case_id")
+    fields = [F.col("case_id"), F.col("idempotency_key"), *(F.col(c) for c in details.columns if c != "case_id")]
+    return j.select("slug", "idempotency_key", F.to_json(F.struct(*fields)).alias("payload"))
+
+
+EXPORT = "slug string, idempotency_key string, payload string"
+
+
+def write_exports(spark: SparkSession, payloads: DataFrame, root: str) -> int:
+    """Appends one batch of exports as a new numbered folder."""
+    n = max(numbered_entries(spark, root, "batch="), default=0) + 1
+    payloads.select("slug", "idempotency_key", "payload").write.mode("errorifexists").parquet(f"{root.rstrip('/')}/batch={n}")
+    return n
+
+
+def read_exports(spark: SparkSession, root: str) -> DataFrame:
+    batches = numbered_entries(spark, root, "batch=")
+    if not batches:
+        return spark.createDataFrame([], EXPORT)
+    return spark.read.schema(EXPORT).parquet(*(f"{root.rstrip('/')}/batch={n}" for n in batches))
