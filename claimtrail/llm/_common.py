@@ -14,13 +14,22 @@ from ..session import checkpoint_root, scratch_path
 #: Stands in for a null document id inside joins; nulls therefore sort first.
 NULL_ID = -(1 << 63)
 
-#: Rows of one Arrow batch that the Python side of an operator looks at together.
-ROWS = 1024
+#: Rows of one Arrow batch, at most: texts of a few kB each then take little of a
+#: Python worker's memory, and of the queue that feeds it.
+ROWS = 2048
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to ``ROWS`` if it is larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS:
+        spark.conf.set(name, str(ROWS))
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just ``_id`` (see ``key_id``) and ``text`` (null: empty), so that extra
     columns, whatever their names, never meet an operator's own."""
+    bounded_batches(df.sparkSession)
     return df.select(key_id(F.col(id_col).cast("long")).alias("_id"),
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
