@@ -84,9 +84,10 @@ def test_read_sarif_size_cap(spark, tmp_path):
     d.mkdir()
     (d / "small.sarif").write_text(json.dumps({"runs": [{"results": [{"ruleId": "a"}]}]}))
     (d / "big.sarif").write_text(json.dumps({"runs": [{"results": [{"ruleId": "a" * 500}]}]}))
-    (d / "noruns.sarif").write_text(json.dumps({"version": "2.1.0"}))
+    (d / "noruns.sarif").write_text(json.dumps({"version": "2.1.0"}))       # an empty report
+    (d / "wrong.sarif").write_text(json.dumps({"runs": "none"}))
     ok, rejected = sio.read_sarif(spark, str(d), max_bytes=200)
-    assert [r.doc_id.rsplit("/", 1)[-1] for r in ok.collect()] == ["small.sarif"]
+    assert sorted(r.doc_id.rsplit("/", 1)[-1] for r in ok.collect()) == ["noruns.sarif", "small.sarif"]
     assert sorted(r.reason for r in rejected.collect()) == [
         "SARIF report exceeds the configured size limit", "SARIF report must contain a runs array"]
 
