@@ -1,6 +1,7 @@
 """De-duplication, mixing, quality and the pipeline against brute force."""
 
 import hashlib
+import inspect
 import math
 import random
 from collections import Counter, defaultdict
@@ -314,6 +315,24 @@ def test_quality_on_held_out_rows(spark):
     assert [r.q for r in quality.scored(df.limit(1), none, "q").collect()] == [1.0]
 
 
+def _fitted_on(monkeypatch, df, labels):
+    """(labelled rows, pool rows) that reach the models."""
+    seen = []
+    monkeypatch.setattr(quality, "cotrain", lambda xa, xb, y, pa, pb: seen.append((len(xa), len(pa))) or quality.Model(None))
+    quality.train(df, labels)
+    return seen[0]
+
+
+def test_quality_fits_on_the_whole_sample(spark, monkeypatch):
+    df = spark.range(24_000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit("en").alias("lang"),
+                                    F.lit("s0").alias("source"), F.lit(9).alias("n_chars"))
+    labels = spark.range(12_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    known, free = _fitted_on(monkeypatch, df, labels)
+    # the pool is 4,000 of all rows, less the labelled ones that the sample holds (a quarter)
+    assert 5_700 < known < 6_300 and 2_800 < free < 3_200
+    assert inspect.signature(quality.fit).parameters["steps"].default == 300
+
+
 def test_pipeline_stages(spark, tmp_path):
     rows, labels = _judged(8, 300)
     rows += [(1000 + i, *rows[1][1:]) for i in range(5)] + [(2000, rows[2][1].upper(), *rows[2][2:])]
