@@ -231,8 +231,9 @@ def train(df: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
           label_col: str = "quality") -> Model:
     """Fits on at most about ``labelled`` labelled rows and a pool of ``pool`` others.
 
-    Only those rows' features reach the driver (2.6 kB each).  Null labels and ids are
-    left out; repeated labels of an id count once (the smallest).  With no rows
+    Only those rows' features reach the driver (2.6 kB each), one row for an id.
+    Null labels and ids are left out; repeated labels of an id count once (the
+    smallest), repeated rows of an id too.  With no rows
     of one of the two labels every document scores 1.
     """
     bounded_batches(df.sparkSession)
@@ -248,6 +249,9 @@ def train(df: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     rest = draw(F.col("doc_id") + 1) < int(min(1.0, pool / max(1, n_all)) * 1_000_000)
     # the broadcast side is the bounded sample of labels: two numbers a row
     found = docs.join(F.broadcast(chosen), "doc_id", "left").where(F.col("y").isNotNull() | rest)
+    # a repeated id may hold a third of all rows: the smallest row stands for it
+    fields = ("text", "source", "lang", "n_chars", "y")
+    found = found.groupBy("doc_id").agg(F.min(F.struct(*fields)).alias("row")).select("doc_id", "row.*")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches):

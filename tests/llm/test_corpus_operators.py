@@ -333,6 +333,13 @@ def test_quality_fits_on_the_whole_sample(spark, monkeypatch):
     assert inspect.signature(quality.fit).parameters["steps"].default == 300
 
 
+def test_quality_takes_one_row_of_a_repeated_id(spark, monkeypatch):
+    ids = list(range(20)) + [3] * 300 + [15] * 300 + [None] * 300
+    df = spark.createDataFrame([(i, f"text {n}", "en", "s0", 9) for n, i in enumerate(ids)], data.SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    assert _fitted_on(monkeypatch, df, labels) == (10, 11)      # the rows without an id count as one
+
+
 def test_pipeline_stages(spark, tmp_path):
     rows, labels = _judged(8, 300)
     rows += [(1000 + i, *rows[1][1:]) for i in range(5)] + [(2000, rows[2][1].upper(), *rows[2][2:])]
