@@ -4,11 +4,14 @@ A random string spells badly in a vocabulary that was fitted to language: it
 takes many tokens for few characters.  Long runs of token-like characters are
 therefore encoded, and a run with fewer than ``max_ratio`` characters for each
 token is reported, unless it is a known digest (hex of a digest's length, the
-base pattern's matter) or an identifier (UUID, number, address, path of words).
+base pattern's matter), an identifier (UUID, number, path of words) or itself part of
+an address.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,8 +35,12 @@ DIGEST = re.compile(r"(?:md5|sha1|sha224|sha256|sha384|sha512)?[-_=]?(?:[0-9a-fA
                     r"|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"     # UUID
                         r"|[0-9+/_=.-]+"                                            # numbers, dates, rules
-                        r"|[A-Za-z]+(?:[_/=.-]+(?:[A-Za-z]+|[0-9]+))*[/=_.-]*")     # words in a path or name
-ADDRESS = re.compile(r"(?:://|www\.|@)\S*$")
+                        # words of one case, or capitalized, in a path or name; the token ratio judges other letters
+                        r"|(?:[A-Z]?[a-z]+|[A-Z]+)(?:[_/=.-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[/=_.-]*")
+# The host and path of a URL, or the host after an @.  What stands before the @ of a URL, its
+# query and fragment, and what follows a quote, bracket, comma or the like are no part of it.
+ADDRESS = re.compile(r"(?:://(?P<user>[^\s/?#\"'<>{}\[\]()]*@)?|www\.|@(?=[\w-]+\.\w))"
+                     r"(?P<host>[\w.~%-]*(?::[0-9]+)?(?:/[\w.~%+/-]*)?)")
 
 MAX_RATIO = 2.0
 
@@ -53,10 +60,24 @@ def mixed(s: str) -> bool:
     return (any(c.islower() for c in s) + any(c.isupper() for c in s[1:]) + any(c.isdigit() for c in s)) >= 2
 
 
+def addressed(text: str) -> list[tuple[int, int]]:
+    """The spans of addresses, in order."""
+    if "://" not in text and "www." not in text and "@" not in text:
+        return []
+    return [(m.start("host") if m["user"] else m.start(), m.end()) for m in ADDRESS.finditer(text)]
+
+
+def within(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of the ordered spans holds the whole of start..end."""
+    k = bisect.bisect_right(spans, (start, math.inf)) - 1
+    return k >= 0 and end <= spans[k][1]
+
+
 def scan_text(text: str, n_tokens, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int, int]]:
     """(start, index of kind, end, tokens or 0), in order."""
     found = base(text)
     runs = list(RUN.finditer(text))
+    addresses = addressed(text) if runs else []
     for run in runs:
         found += [(run.start() + m.start(), 2, run.start() + m.end()) for m in HEX.finditer(run[0])]
     spans = [(*x, 0) for x in found]
@@ -66,7 +87,7 @@ def scan_text(text: str, n_tokens, max_ratio: float = MAX_RATIO) -> list[tuple[i
             end = start + len(s)
             if any(a <= start and end <= b for a, _, b in found) or DIGEST.fullmatch(s) or IDENTIFIER.fullmatch(s):
                 continue
-            if not mixed(s) or ADDRESS.search(text[max(0, start - 256):start + 1]):
+            if not mixed(s) or within(addresses, start, end):
                 continue
             if len(s) < max_ratio * (n := n_tokens(s)):
                 spans.append((start, 3, end, n))

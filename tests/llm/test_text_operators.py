@@ -85,6 +85,20 @@ def test_token_efficiency_finds_random_strings_only(spark):
     assert all(x == [] for x in got.values()), got
 
 
+def test_token_efficiency_behind_addresses_and_on_letters():
+    b = bpe.Bpe(RANKS, queries.PATTERN)
+    found = lambda t: [t[x[0]:x[2]] for x in secrets.scan_text(t, lambda s: len(b.encode(s))) if x[1] == 3]
+    secret, letters = "x9Kq2LmZ7pTv4Wc8RbYd3Fh", "xKqJLmZwpTvQWcRbYdFhGzNs"
+    for t in ("postgres://app:{}@db/main", '{{"url":"https://a.b/c","note":"{}"}}', "a@b.c,{}", "https://a.b/c?{}", "www.a.b;{}",
+              "https://a.b:80/c#{}", "a@{}", "https://" + "a" * 300 + "/," + "{}"):
+        assert found(t.format(secret)) == [secret] and found(t.format(letters)) == [letters], t
+    assert found(letters) == [letters] and found("sk-" + letters) == ["sk-" + letters]
+    for t in ("https://a.b/" + "c" * 300 + "/" + secret, f"a@{secret}.org", f"https://{secret}.org:80/a", "https://app:pw@" + secret,
+              "getElementsByTagNameFromDocument", "SomeVeryLongClassName_with_words", "www.example.org/some/long/path/of/words2"):
+        assert found(t) == [], t
+    assert found("www.," * 100_000 + "://,@" * 100_000 + " " + secret) == [secret]      # linear time
+
+
 def test_secret_scan_of_a_table(spark):
     got = secrets.scan(data.frame(spark), queries.VOCABULARY, queries.PATTERN).collect()
     want = Counter((i, tuple(_base(t or ""))) for i, t, *_ in data.rows())
