@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import bpe, exact, fmindex, mixing, oph, quality, secrets, simhash, suffix, toxicity
+from . import bpe, exact, fmindex, mixing, oph, quality, repair, resample, secrets, simhash, suffix, toxicity, wordbpe
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +117,20 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.round_trip(documents(spark, sf_dir), TOKENIZER, PATTERN).select(
+        "doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(talks), originals=talks)
