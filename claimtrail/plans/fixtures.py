@@ -405,7 +405,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     k = F.col("conv_id") + F.col("turn")
     risk = F.get(F.array(*[F.lit(x) for x in ("low", "medium", "high", "critical", "severe")]), (k % 5).cast("int"))
-    summary = F.when(k % 6 == 0, F.lit("The system is compliant with policy.")).otherwise(F.substring("text", 1, 60))
+    summary = F.when(k % 6 == 0, F.lit("The system is compliant with policy.")).otherwise(F.col("text"))
     labels = F.when(k % 7 == 0, F.lit('["review","Certified "]')).otherwise(
         F.concat(F.lit("["), json_string(F.col("role")), F.lit("]")))
     cites = F.concat(F.lit('[{"source_id":'), json_string(F.col("turn").cast("string")), F.lit(',"quote":'),

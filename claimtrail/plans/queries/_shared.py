@@ -279,7 +279,7 @@ _RESP_SQL = f"""
   rs AS (SELECT CAST(conv_id AS VARCHAR) AS case_id, turn + 1 AS attempt, turn, text, role,
                 (['low', 'medium', 'high', 'critical', 'severe'])[(conv_id + turn) % 5 + 1] AS risk0,
                 CASE WHEN (conv_id + turn) % 6 = 0 THEN 'The system is compliant with policy.'
-                     ELSE substring(text, 1, 60) END AS summary0,
+                     ELSE text END AS summary0,
                 CASE WHEN (conv_id + turn) % 7 = 0 THEN ['review', 'Certified '] ELSE [role] END AS labels0,
                 CASE WHEN turn % 3 = 0 THEN CAST((conv_id + turn) % 2 AS VARCHAR) || '.5'
                      WHEN turn % 3 = 1 THEN '0.' || CAST((conv_id + turn) % 10 AS VARCHAR) ELSE 'high' END AS conf0,

@@ -89,7 +89,7 @@ WITH {O.CONV_SOURCES},
   c AS (SELECT CAST(conv_id AS VARCHAR) AS case_id, turn AS cpos,
                CASE WHEN turn = 1 AND conv_id % 4 = 0 THEN '42' ELSE CAST(turn AS VARCHAR) END AS source_id,
                CASE WHEN turn = 1 AND conv_id % 3 = 0 THEN 'nope' ELSE substring(text, 10, 20) END AS quote
-        FROM conversations WHERE turn < 2),
+        FROM conversations),
   g AS (SELECT c.case_id, c.cpos,
                CASE WHEN src.text IS NULL THEN 'unknown citation source: ' || c.source_id
                     WHEN {O.blank('c.quote')} OR NOT contains(src.text, c.quote)
@@ -104,7 +104,7 @@ FROM a LEFT JOIN fb USING (case_id)
 """)
 def q_e4(spark, sf_dir):
     c = fixtures.table(spark, sf_dir, "conversations")
-    cit = c.where(F.col("turn") < 2).select(
+    cit = c.select(
         F.col("conv_id").cast("string").alias("case_id"), F.col("turn"),
         F.struct(
             F.when((F.col("turn") == 1) & (F.col("conv_id") % 4 == 0), F.lit("42"))
