@@ -1,51 +1,204 @@
-"""Exact substring joins as equi-joins.
-
-A pattern of length L belongs to the class of the largest power of two p <= L
-(at most 128).  With q = max(1, p / 2) and a step s = p - q + 1, every occurrence
-of the pattern covers s consecutive starts of q-grams, so exactly one start that
-is a multiple of s: the text side emits the q-grams at those starts, the pattern
-side its first s q-grams, and a pair that meets is verified on the whole text.
-Long patterns so cost a text about one row in s characters, whatever the number
-of patterns, and a pattern set of any size stays distributed.
+"""Exact substring joins by rare grams.
+
+Patterns are put into classes by length: the class p, a power of three, covers the
+lengths from p to below 3 p, and the last one all beyond.  Short classes (p <= 8) have grams of p characters and look at every
+position of a text; longer ones have grams of p / 2 characters and look at every
+s-th position only, s = p / 2 + 1, of which every occurrence covers one in any s
+consecutive gram starts.
+
+1. Every gram of a pattern is counted in all texts.  Each pattern is anchored where
+   its grams are rarest, at one gram or at s consecutive ones; what a gram costs is
+   shared by the patterns of one length that have it in the same place.  A pattern
+   with a gram that does not occur where it must is in no text.
+2. Texts meet the anchors.  A gram that many patterns share, or that stands in
+   many texts, proposes no pairs: it is lengthened to the whole pattern (to 128
+   characters of a longer one), since the gram's place in the pattern tells where
+   the pattern would begin in the text.  A place of a text so gives one key for
+   each (place in the pattern, key length) of its gram, whatever the number of patterns.
+3. The lengthened keys, which are text and not hashes, are joined; beyond 128
+   characters ``contains`` settles the pair.
+
+Grams are 64-bit hashes, taken in Arrow batches over whole texts in one pass.  A text's gram
+leaves its task only if a bitmap of fixed size (``MARKS`` bits) holds it, and then takes the few
+characters around it along; counts are kept by the bitmap's bits.  Both only steer
+the work: a collision costs a row, and no pair is gained or lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOP_CLASS = 7       # 2^7: longer patterns share the class of 128 characters
+from ..session import scratch_path
+
+TOP = 128               # longest key
+CLASSES = (1, 3, 9, 27, 81)
+EVERY = 8               # classes up to this look at every position
+MARKS = 18              # log2 of the bitmap's bits
+CHARS = 1 << 20         # characters that a task hashes at a time (one text at least)
+
+_MULTIPLIER = 0x9E3779B97F4A7C15
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Through a table on disk: the optimizer then knows its size, and broadcasts it only below its own limit."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _gram_sizes(p: int) -> tuple[int, int]:
+    """Gram length and stride of a class."""
+    return (p, 1) if p <= EVERY else (p // 2, p - p // 2 + 1)
+
+
+# -- in a task -------------------------------------------------------------
+def _runs(texts: pd.Series) -> Iterator[slice]:
+    """Rows of about CHARS characters together."""
+    ends, lo = texts.str.len().cumsum().to_numpy(), 0
+    while lo < len(ends):
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(ends.searchsorted(done + CHARS, side="right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def _hashes(texts: list[str], p: int, q: int, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, place, hash)`` of the grams of q characters at every s-th place of each text."""
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = np.maximum(0, (size - q) // s + 1)
+    row = np.repeat(np.arange(len(texts)), n)
+    place = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * s
+    at = begin[row] + place
+    h = np.full(len(at), p, np.uint64)
+    for k in range(q):
+        h = h * np.uint64(_MULTIPLIER) + points[at + k]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return row, place, h ^ (h >> np.uint64(32))
+
+
+def _bit(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - MARKS)).astype(np.int64)
+
+
+# -- tables ------------------------------------------------------------------
+def _pattern_grams(patterns: DataFrame) -> DataFrame:
+    """``(_pid, _l, _c, _a, _w, _g, _m)``: length, class, place of the gram, number of its window of s consecutive
+    places (whole ones only), hash, bit."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p in CLASSES:
+                part = pdf[pdf["_c"] == p]
+                q, s = _gram_sizes(p)
+                for rows in _runs(part["_p"]):
+                    some = part.iloc[rows]
+                    row, place, h = _hashes(some["_p"].tolist(), p, q, 1)
+                    length = some["_p"].str.len().to_numpy()[row]
+                    whole = place < (length - q + 1) // s * s
+                    yield pd.DataFrame({"_pid": some["_pid"].to_numpy()[row], "_l": length, "_c": p, "_a": place, "_w": place // s,
+                                        "_g": h.view(np.int64), "_m": _bit(h)})[whole]
+
+    return patterns.mapInPandas(run, "_pid long, _l int, _c int, _a int, _w int, _g long, _m int")
+
+
+def _marks(grams: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The classes and the bits of a table of grams: at most five times 2 ** MARKS rows reach the driver."""
+    found = grams.select("_c", "_m").distinct().collect()
+    out = np.zeros(1 << MARKS, bool)
+    out[[r["_m"] for r in found]] = True
+    return sorted({r["_c"] for r in found}), out
+
+
+def _counted(texts: DataFrame, classes: list[int], marks: np.ndarray) -> DataFrame:
+    """``(_m, _df)``: how often the texts have grams of a marked bit."""
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(1 << MARKS, np.int64)
+        for pdf in batches:
+            for rows in _runs(pdf["_t"]):
+                some = pdf["_t"].iloc[rows].tolist()
+                for p in classes:
+                    n += np.bincount(_bit(_hashes(some, p, *_gram_sizes(p))[2]), minlength=1 << MARKS)
+        found = np.flatnonzero(shared.value & (n > 0))
+        yield pd.DataFrame({"_m": found, "_df": n[found]})
+
+    return texts.select("_t").mapInPandas(run, "_m int, _df long").groupBy("_m").agg(F.sum("_df").alias("_df"))
+
+
+def _met(texts: DataFrame, classes: list[int], marks: np.ndarray) -> DataFrame:
+    """``(_tid, _g, _x, _lead)``: the texts' grams of a marked bit, the characters around them, and how many of these stand before."""
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for rows in _runs(pdf["_t"]):
+                some = pdf.iloc[rows]
+                t = some["_t"].tolist()
+                for p in classes:
+                    row, place, h = _hashes(t, p, *_gram_sizes(p))
+                    hit = np.flatnonzero(shared.value[_bit(h)])
+                    row, place, reach = row[hit], place[hit], min(3 * p, TOP)
+                    lead = np.minimum(place, reach)
+                    yield pd.DataFrame({"_tid": some["_tid"].iloc[row].array, "_g": h[hit].view(np.int64), "_lead": lead,
+                                        "_x": [t[r][a - b:a + reach] for r, a, b in zip(row.tolist(), place.tolist(), lead.tolist())]})
+
+    kind = texts.schema["_tid"].dataType.simpleString()
+    return texts.mapInPandas(run, f"_tid {kind}, _g long, _lead int, _x string")
 
 
-def _class(length: Column) -> Column:
-    return F.least(F.floor(F.log2(length)).cast("int"), F.lit(TOP_CLASS))
+def anchors(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``(_pid, _key, _c, _g, _m, _off, _n)``: for each pattern ``(_pid, _p, _c)`` that may occur its key and, of the
+    anchor's grams, class, hash, bit, place in the key and the key's length."""
+    own = written(_pattern_grams(patterns), "pattern-grams")
+    counted = _counted(texts, *_marks(own))
+    place = ["_c", "_g", "_a", "_l", "_m"]
+    shared = own.groupBy(*place).agg(F.count(F.lit(1)).alias("_k"))
+    costs = shared.join(counted, "_m", "left").select(*place, (F.coalesce("_df", F.lit(0)) / F.col("_k")).alias("_cost"))
+    windows = own.join(costs, place).groupBy("_pid", "_w").agg(F.sum("_cost").alias("_cost"))
+    rarest = windows.groupBy("_pid").agg(F.min(F.struct("_cost", "_w")).alias("_r")).where(F.col("_r._cost") > 0).select("_pid", "_r._w")
+    # the key: the whole pattern, or of a longer one TOP characters that hold the anchor's grams
+    stride = F.element_at(F.create_map(*[F.lit(x) for p in CLASSES for x in (p, _gram_sizes(p)[1])]), F.col("_c"))
+    begin = F.when(F.length("_p") <= TOP, 0).otherwise(F.least(F.col("_w") * stride, F.length("_p") - TOP))
+    keys = patterns.join(rarest, "_pid").select("_pid", "_w", begin.alias("_from"), F.substring("_p", begin + 1, F.lit(TOP)).alias("_key"))
+    return written(own.join(keys, ["_pid", "_w"]).select(
+        "_pid", "_key", "_c", "_g", "_m", (F.col("_a") - F.col("_from")).alias("_off"), F.length("_key").alias("_n")), "anchors")
 
 
-def _sizes(cls: Column) -> tuple[Column, Column]:
-    p = F.element_at(F.array(*[F.lit(1 << k) for k in range(TOP_CLASS + 1)]), cls + 1)
-    q = F.greatest(F.lit(1), (p / 2).cast("int"))
-    return q, p - q + 1
+def proposed(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """``(_tid, _key)``: the lengthened keys at the places where texts meet one of the ``anchors``, one for each
+    place in the pattern and key length.  Their number does not depend on how many patterns share a gram."""
+    places = found.select("_g", "_off", "_n").distinct()
+    begin = F.col("_lead") - F.col("_off")
+    keys = _met(texts, *_marks(found)).join(places, "_g").where(begin >= 0).select(
+        "_tid", F.substring("_x", begin + 1, F.col("_n")).alias("_key"), "_n")
+    return keys.where(F.length("_key") == F.col("_n")).select("_tid", "_key")
 
 
 def containing(texts: DataFrame, text_id: str, text: str, patterns: DataFrame, pattern_id: str, pattern: str) -> DataFrame:
     """Distinct ``(pattern_id, text_id)`` where the pattern occurs in the text.
-    Null and empty patterns and null texts match nothing.
-
-    The classes that occur (eight at most) come from one small aggregate; they
-    only spare the text side grams that no pattern has."""
-    p = patterns.select(F.col(pattern_id).alias("_pid"), F.col(pattern).alias("_p")).where(F.length("_p") > 0)
-    p = p.withColumn("_c", _class(F.length("_p")))
-    classes = sorted(r["_c"] for r in p.select("_c").distinct().collect())
-    t = texts.select(F.col(text_id).alias("_tid"), F.col(text).alias("_t")).where(F.length("_t") > 0)
-    q, s = _sizes(F.col("_c"))
-    starts = F.sequence(F.lit(1), s)
-    p_grams = p.select("_pid", "_c", "_p", F.explode(starts).alias("_at")).select(
-        "_pid", "_c", F.substring("_p", F.col("_at"), q).alias("_g")).distinct()
-    t = t.withColumn("_l", F.length("_t"))
-    wanted = F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<int>")
-    t_grams = t.select("_tid", "_t", "_l", F.explode(wanted).alias("_c")).where(F.col("_l") >= q)
-    t_grams = t_grams.select("_tid", "_t", "_c", F.explode(F.sequence(F.lit(1), F.col("_l") - q + 1, s)).alias("_at"))
-    t_grams = t_grams.select("_tid", "_c", F.substring("_t", F.col("_at"), q).alias("_g"))
-    met = p_grams.join(t_grams, ["_c", "_g"]).select("_pid", "_tid").distinct()
-    return (met.join(p.select("_pid", "_p"), "_pid").join(t.select("_tid", "_t"), "_tid")
-            .where(F.contains("_t", "_p")).select(F.col("_pid").alias(pattern_id), F.col("_tid").alias(text_id)).distinct())
+    Null and empty patterns, null and empty texts and null text ids match nothing.  Equal
+    patterns under several ids match under each; a repeated id stands for all of its rows."""
+    ids = patterns.select(F.col(pattern_id).alias("_id"), F.col(pattern).alias("_p")).where(F.length("_p") > 0)
+    # a number for each different pattern; written, so it stays
+    of = F.array_max(F.filter(F.array(*map(F.lit, CLASSES)), lambda c: c <= F.length("_p")))
+    p = written(ids.select("_p").distinct().select("_p", of.alias("_c"), F.monotonically_increasing_id().alias("_pid")), "patterns")
+    t = texts.select(F.col(text_id).alias("_tid"), F.col(text).alias("_t")).where((F.length("_t") > 0) & F.col("_tid").isNotNull())
+    found = anchors(t, p)
+    keys = found.select("_pid", "_key", (F.col("_c") == CLASSES[-1]).alias("_long")).distinct()
+    pairs = proposed(t, found).join(keys, "_key")
+    if found.where(F.col("_c") == CLASSES[-1]).isEmpty():       # every key is a whole pattern
+        pairs = pairs.select("_pid", "_tid")
+    else:
+        pairs = written(pairs.select("_pid", "_tid", "_long").distinct(), "pairs")
+        long = pairs.where("_long").join(p, "_pid").join(t, "_tid").where(F.contains("_t", "_p")).select("_pid", "_tid")
+        pairs = pairs.where(~F.col("_long")).select("_pid", "_tid").unionByName(long)
+    names = ids.join(p, "_p").select("_pid", F.col("_id").alias(pattern_id))
+    return pairs.withColumnRenamed("_tid", text_id).join(names, "_pid").select(pattern_id, text_id).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rank import global_rank
+from ..functions.substring import containing, written
 
 # The condition pattern of image names and the acceptance
 # limits (median and p95 relative error in percent; reprojection).
@@ -53,8 +54,7 @@ def match_objects(results: DataFrame, truth: DataFrame, image: str = "image") ->
     """The first truth object (in truth order) whose key occurs in the image
     name, by the exact substring equi-join of ``functions.substring``; names
     without one keep null columns."""
-    from ..functions.substring import containing
-    names = results.select(F.col(image).alias("_name")).distinct()
+    names = written(results.select(F.col(image).alias("_name")).distinct(), "names")
     hits = containing(
         names.select("_name", F.col("_name").alias("_text")), "_name", "_text",
         truth.select("object", F.col("object").alias("_key")), "object", "_key")
