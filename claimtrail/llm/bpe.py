@@ -21,10 +21,12 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ from ._common import key_id, real_id, slices, texts
 
 LEAF_BYTES = 64         # a piece up to this size is merged directly
 LEAF_CHARS = 4096       # a text up to this size is one leaf of the text's tree
-CACHE = 400_000         # pieces remembered by a worker
+CACHE_BYTES = 16 << 20  # of pieces and their ids that a task remembers, about
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,6 +80,7 @@ class Bpe:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.cached = 0
 
     # -- one piece -------------------------------------------------------
     def merge(self, piece: bytes) -> list[bytes]:
@@ -155,13 +158,18 @@ class Bpe:
             got = cache.get(p)
             if got is None:
                 got = self.piece(p)
-                if len(cache) >= CACHE:
-                    cache.clear()
                 if len(p) <= 256:
+                    self.cached += 200 + 4 * len(p) + 8 * len(got)
+                    if self.cached > CACHE_BYTES:
+                        self.forget()
                     cache[p] = got
             ids.extend(got)
         return ids
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.cached = 0
+
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) > self.leaf_chars:
             mid = len(ids) // 2
@@ -183,6 +191,17 @@ def built(shared, pattern: str) -> Bpe:
     return _BUILT[key]
 
 
+@contextmanager
+def task_encoder(shared, pattern: str) -> Iterator[Bpe]:
+    """An encoder for one task: what it remembers goes with the task, as workers are used again."""
+    bpe = built(shared, pattern)
+    try:
+        yield bpe
+    finally:
+        bpe.forget()
+        pa.default_memory_pool().release_unused()
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids array<int>)`` for every row.
 
@@ -195,17 +214,36 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = built(shared, pattern)
-        for pdf in slices(batches):
-            yield pd.DataFrame({"_id": pdf["_id"],
-                                "ids": [np.array(bpe.encode(t), dtype=np.int32) for t in pdf["text"]]})
+        with task_encoder(shared, pattern) as bpe:
+            for pdf in slices(batches):
+                yield pd.DataFrame({"_id": pdf["_id"],
+                                    "ids": [np.array(bpe.encode(t), dtype=np.int32) for t in pdf["text"]]})
 
     return (texts(df, id_col, text_col).mapInPandas(run, "_id long, ids array<int>")
             .select(real_id().alias("doc_id"), "ids"))
 
 
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, ids, bytes)``: ``encode`` and ``decode`` of its ids in one pass, so that a task
+    needs one Python worker.  The cases are those of the two."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with task_encoder(shared, pattern) as bpe:
+            for pdf in slices(batches):
+                ids = [bpe.encode(t) for t in pdf["text"]]
+                yield pd.DataFrame({"_id": pdf["_id"], "ids": [np.array(x, dtype=np.int32) for x in ids],
+                                    "bytes": [bpe.decode(x) for x in ids]})
+
+    return (texts(df, id_col, text_col).mapInPandas(run, "_id long, ids array<int>, bytes binary")
+            .select(real_id().alias("doc_id"), "ids", "bytes"))
+
+
 def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``(doc_id, ids, bytes binary)``: the byte string that the ids spell; null ids: no bytes."""
+    """``(doc_id, ids, bytes binary)``: the byte string that the ids spell; null ids: no bytes.
+    Repeated and equal rows each give their own row, an empty table none; extra columns,
+    whatever their names, are not carried."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
@@ -222,8 +260,3 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     return (kept.mapInPandas(run, "_id long, ids array<int>, bytes binary")
             .select(real_id().alias("doc_id"), "ids", "bytes"))
 
-
-def counter(shared, pattern: str) -> Callable[[str], int]:
-    """Number of tokens of a string, for use inside a task."""
-    bpe = built(shared, pattern)
-    return lambda s: len(bpe.encode(s))

@@ -52,9 +52,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded(docs: DataFrame) -> DataFrame:
     """Digests of the ids and of the bytes they decode to."""
-    ids = bpe.encode(docs, VOCABULARY, PATTERN)
-    back = bpe.decode(ids, VOCABULARY, PATTERN)
-    return back.select(
+    return bpe.round_trip(docs, VOCABULARY, PATTERN).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"))

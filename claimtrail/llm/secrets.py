@@ -106,12 +106,13 @@ def scan(df: DataFrame, ranks_path: str, pattern: str, max_ratio: float = MAX_RA
     shared = df.sparkSession.sparkContext.broadcast(bpe.read_ranks(ranks_path))     # fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n_tokens = bpe.counter(shared, pattern)
-        for pdf in slices(batches):
-            yield pd.DataFrame({
-                "_id": pdf["_id"],
-                "spans": [[{"kind": KINDS[k], "start": a, "end": b, "tokens": n}
-                           for a, k, b, n in scan_text(t, n_tokens, max_ratio)] for t in pdf["text"]]})
+        with bpe.task_encoder(shared, pattern) as encoder:
+            n_tokens = lambda s: len(encoder.encode(s))
+            for pdf in slices(batches):
+                yield pd.DataFrame({
+                    "_id": pdf["_id"],
+                    "spans": [[{"kind": KINDS[k], "start": a, "end": b, "tokens": n}
+                               for a, k, b, n in scan_text(t, n_tokens, max_ratio)] for t in pdf["text"]]})
 
     found = texts(df, id_col, text_col).mapInPandas(
         run, "_id long, spans array<struct<kind:string,start:int,end:int,tokens:int>>")
