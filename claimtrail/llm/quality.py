@@ -4,34 +4,43 @@ The content view sees the shapes of the text: counts of character-class pairs
 and how much neighbouring words repeat.  The page view sees metadata only: the
 row's source, language and length, and the layout (lines, word lengths, shares of
 distinct words, letters, capitals, digits and signs).  Both are logistic models.
-In every round each model labels a pool of unlabelled documents, and its most
-confident labels of either kind join the *other* model's training rows.  Each
+In every round each model labels all documents without a label, and of those it is
+most sure of, some of either kind join the *other* model's training rows.  Each
 view is then calibrated (Platt) on labelled rows that neither trained on, and
 the score is the mean of the calibrated log-odds, weighted by each view's skill.
 
-Fitting uses bounded samples (``LABELLED``, ``POOL`` rows, chosen by a hash of the
-id); the scores cover every document.
+Both views' features of every document are written once; a round reads them twice,
+to count the documents by margin and to draw from those beyond the two margins
+found.  A view is fitted in one task, on a bounded sample of labelled rows
+(``LABELLED``) and of rows labelled by the other view (``ADDED`` a round), chosen by
+a hash.  The driver sees weights and counts only; the scores cover every document.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import bounded_batches, slices, stored
 
-LABELLED, POOL = 6_000, 4_000   # rows that the models are fitted on, at most (about)
-ROUNDS, SHARE = 4, 0.08         # co-training rounds; part of the pool that a view labels in a round
+LABELLED = 6_000                # labelled rows that the models are fitted on, at most (about)
+ROUNDS, SHARE = 4, 0.08         # co-training rounds; part of all other rows that a view may label in a round
+ADDED = 400                     # rows that join a view's training rows in a round, at most (about)
 CALIBRATION = 0.25              # part of the labelled rows kept for calibration
 THRESHOLD = 0.5
 
+_BINS, _EDGE = 1_200, 30.0       # margins are counted in bins from -30 to 30
+_SURE = math.log(9)             # a margin beyond this is a probability below 0.1 or above 0.9
+
 _CLASSES = 24
 _HASHED = 64                    # slots of the one-hot metadata
 
@@ -122,25 +131,25 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 300) -> View:
-    """Ridge logistic regression by accelerated gradient steps on scaled features."""
+    """Ridge logistic regression by accelerated gradient steps on scaled features, in single precision."""
     mean = x.mean(axis=0, dtype=np.float64)
     scale = np.maximum(x.std(axis=0, dtype=np.float64), 1e-3)
     z = (x - mean.astype(np.float32)) / scale.astype(np.float32)
     y = np.asarray(y, dtype=np.float32)
     n = max(1, len(y))
-    top = np.ones(z.shape[1])           # power iteration for the largest curvature
+    top = np.ones(z.shape[1], np.float32)           # power iteration for the largest curvature
     for _ in range(30):
         top = z.T @ (z @ top)
-        top /= max(float(np.linalg.norm(top)), 1e-12)
-    rate = 3.6 / (float(np.linalg.norm(z @ top)) ** 2 / n + ridge / n + 1.0)
-    w = v = np.zeros(z.shape[1])
-    b = u = 0.0
+        top /= np.float32(max(float(np.linalg.norm(top)), 1e-12))
+    rate = np.float32(3.6 / (float(np.linalg.norm(z @ top)) ** 2 / n + ridge / n + 1.0))
+    w = v = np.zeros(z.shape[1], np.float32)
+    b = u = np.float32(0.0)
     for k in range(steps):
-        p = _sigmoid(z @ v + u) - y
-        w2, b2 = v - rate * (z.T @ p + ridge * v) / n, u - rate * p.mean()
-        m = k / (k + 3)
+        p = _sigmoid(z @ v + u).astype(np.float32) - y
+        w2, b2 = v - rate * (z.T @ p + np.float32(ridge) * v) / np.float32(n), u - rate * p.mean()
+        m = np.float32(k / (k + 3))
         v, u, w, b = w2 + m * (w2 - w), b2 + m * (b2 - b), w2, b2
-    return View(mean, scale, w, float(b))
+    return View(mean, scale, w.astype(np.float64), float(b))
 
 
 def calibrate(view: View, x: np.ndarray, y: np.ndarray) -> float:
@@ -181,37 +190,19 @@ class Model:
         return _sigmoid(self.share * self.views[0].logit(a) + (1 - self.share) * self.views[1].logit(b))
 
 
-def cotrain(xa: np.ndarray, xb: np.ndarray, y: np.ndarray, pa: np.ndarray, pb: np.ndarray,
-            rounds: int = ROUNDS, share: float = SHARE, held: float = CALIBRATION) -> Model:
-    """``x``: labelled rows in either view, in an order free of the labels; ``p``: the pool."""
+def fitted(known: tuple[np.ndarray, np.ndarray], added: tuple[np.ndarray, np.ndarray], held: float = CALIBRATION,
+           calibrated: bool = False) -> tuple[View, float, float] | None:
+    """A view, the share of good rows and the view's skill (1 unless ``calibrated``), from (features, labels) of labelled
+    rows in an order free of the labels, and of added ones; none if a label does not occur."""
+    x, y = known
     if len(set(y.tolist())) < 2:
-        return Model(None)
+        return None
     cut = max(1, int(len(y) * (1 - held)))
     if len(set(y[:cut].tolist())) < 2:
         cut = len(y)
-    labels, pool = y[:cut], (pa, pb)
-    rows = [xa[:cut], xb[:cut]]
-    extra: list[dict[int, int]] = [{}, {}]              # pool row -> pseudo-label, for each view's training
-    views = []
-    for r in range(rounds + 1):
-        views = []
-        for v in (0, 1):
-            at = sorted(extra[v])
-            x = np.concatenate([rows[v], pool[v][at]]) if at else rows[v]
-            views.append(fit(x, np.concatenate([labels, [extra[v][i] for i in at]])))
-        if r == rounds or not len(pa):
-            break
-        for v in (0, 1):
-            p = _sigmoid(views[v].raw(pool[v]))
-            order = np.argsort(p, kind="stable")
-            n_low = max(1, int(share * len(p) * (1 - labels.mean())))
-            n_high = max(1, int(share * len(p) * labels.mean()))
-            low = [i for i in order.tolist() if i not in extra[1 - v] and p[i] < 0.1][:n_low]
-            high = [i for i in order[::-1].tolist() if i not in extra[1 - v] and p[i] > 0.9][:n_high]
-            extra[1 - v].update({i: 0 for i in low} | {i: 1 for i in high})
+    view = fit(np.concatenate([x[:cut], added[0]]), np.concatenate([y[:cut], added[1]]))
     own = slice(cut, None) if cut < len(y) else slice(None)
-    skill = [calibrate(views[0], xa[own], y[own]), calibrate(views[1], xb[own], y[own])]
-    return Model((views[0], views[1]), skill[0] / sum(skill))
+    return view, float(y[:cut].mean()), calibrate(view, x[own], y[own]) if calibrated else 1.0
 
 
 # -- DataFrames -------------------------------------------------------------
@@ -226,53 +217,142 @@ def _views(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
             np.stack([page(t, s if isinstance(s, str) else None, g if isinstance(g, str) else None, n) for t, s, g, n in rows]))
 
 
-def train(df: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, id_col: str = "doc_id",
-          text_col: str = "text", source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars",
-          label_col: str = "quality") -> Model:
-    """Fits on at most about ``labelled`` labelled rows and a pool of ``pool`` others.
+_ROWS = "key long, y int, a binary, b binary"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return zlib.compress(x.astype(np.float32).tobytes(), 1)         # most shares are zero
+
+
+def _block(packed: pd.Series, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(map(zlib.decompress, packed)), dtype=np.float32).reshape(len(packed), width)
+
+
+_WIDTHS = (_CLASSES * _CLASSES + 4, _HASHED + 14)
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """``(key, y, a, b)``: both views' features of rows ``(key, y, text, source, lang, n_chars)``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in slices(batches):
+            a, b = _views(pdf)
+            yield pd.DataFrame({"key": pdf["key"], "y": pdf["y"], "a": [_packed(x) for x in a], "b": [_packed(x) for x in b]})
+        pa.default_memory_pool().release_unused()
+
+    return rows.mapInPandas(run, _ROWS)
+
+
+def _fit(known: DataFrame, added: list[DataFrame], calibrated: bool) -> list[tuple[View, float, float]] | None:
+    """Both views, each fitted in a task of its own."""
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("view"), F.col("a").alias("x")), F.struct(F.lit(1).alias("view"), F.col("b").alias("x"))))
+    rows = known.select("key", "y", sides.alias("side")).select("side.view", F.lit(False).alias("extra"), "key", "y", "side.x")
+    for more in added:
+        rows = rows.unionByName(more)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = int(pdf["view"].iloc[0])
+        pdf = pdf.sort_values(["key", "y", "x"])
+        parts = [(_block(p["x"], _WIDTHS[v]), p["y"].to_numpy(np.int64)) for p in (pdf[~pdf["extra"]], pdf[pdf["extra"]])]
+        got = fitted(*parts, calibrated=calibrated)
+        return pd.DataFrame([(v, pickle.dumps(got))], columns=["view", "model"])
 
-    Only those rows' features reach the driver (2.6 kB each), one row for an id.
-    Null labels and ids are left out; repeated labels of an id count once (the
-    smallest), repeated rows of an id too.  With no rows
-    of one of the two labels every document scores 1.
+    got = {r["view"]: pickle.loads(r["model"]) for r in rows.groupBy("view").applyInPandas(run, "view int, model binary").collect()}
+    return [got[0], got[1]] if got.get(0) and got.get(1) else None
+
+
+def _margin_bin(z: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((z + _EDGE) / (2 * _EDGE) * _BINS), 0, _BINS - 1).astype(np.int64)
+
+
+def _label_counts(pool: DataFrame, views: list[View]) -> np.ndarray:
+    """Of each view, the number of pool rows in each bin of its margin."""
+    shared = pool.sparkSession.sparkContext.broadcast(views)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros((2, _BINS), np.int64)
+        for pdf in batches:
+            for v, c in enumerate("ab"):
+                n[v] += np.bincount(_margin_bin(shared.value[v].raw(_block(pdf[c], _WIDTHS[v]))), minlength=_BINS)
+        at = np.argwhere(n)
+        yield pd.DataFrame({"view": at[:, 0].astype(np.int32), "bin": at[:, 1], "n": n[at[:, 0], at[:, 1]]})
+
+    out = np.zeros((2, _BINS), np.int64)
+    for r in pool.mapInPandas(run, "view int, bin long, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():
+        out[r["view"], r["bin"]] = r["n"]
+    return out
+
+
+def _limits(counts: np.ndarray, share: float, added: int, good: float) -> tuple[int, float, int, float]:
+    """The last bin of rows to call bad and the first to call good, each with the part of its rows to draw."""
+    total, low_sure, high_sure = counts.sum(), _margin_bin(np.array([-_SURE]))[0], _margin_bin(np.array([_SURE]))[0] + 1
+    up, down = np.cumsum(counts), np.cumsum(counts[::-1])[::-1]
+    low = min(int(np.searchsorted(up, share * total * (1 - good))), low_sure - 1)
+    high = max(_BINS - 1 - int(np.searchsorted(down[::-1], share * total * good)), high_sure)
+    part = lambda n, quota: min(1.0, quota / max(1, int(n)))
+    return (low, part(up[low], added * (1 - good)), high, part(down[high] if high < _BINS else 0, added * good))
+
+
+def _labelled_by_the_other(pool: DataFrame, views: list[View], limits: list[tuple], round_: int) -> DataFrame:
+    """``(view, extra, key, y, x)``: rows that one view labels, with the other view's features."""
+    shared = pool.sparkSession.sparkContext.broadcast((views, limits))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        views, limits = shared.value
+        for pdf in batches:
+            key = pdf["key"].to_numpy().astype(np.uint64)
+            for v, (own, other) in enumerate(("ab", "ba")):
+                low, some_low, high, some_high = limits[v]
+                at = _margin_bin(views[v].raw(_block(pdf[own], _WIDTHS[v])))
+                draw = ((key + np.uint64(2 * round_ + v)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(np.float64) / 2.0 ** 53
+                for y, chosen in ((0, (at <= low) & (draw < some_low)), (1, (at >= high) & (draw < some_high))):
+                    part = pdf[chosen]
+                    yield pd.DataFrame({"view": np.full(len(part), 1 - v, np.int32), "extra": np.full(len(part), True), "key": part["key"],
+                                        "y": np.full(len(part), y, np.int32), "x": part[other]})
+
+    return pool.mapInPandas(run, "view int, extra boolean, key long, y int, x binary")
+
+
+def cotrain(known: DataFrame, pool: DataFrame, rounds: int = ROUNDS, share: float = SHARE, added: int = ADDED) -> Model:
+    """``known``: a bounded sample of labelled rows; ``pool``: all other rows, of any number; both ``features``."""
+    extra: list[DataFrame] = []
+    for r in range(rounds + 1):
+        got = _fit(known, extra, calibrated=r == rounds)
+        if got is None:
+            return Model(None)
+        if r < rounds:
+            views = [view for view, _, _ in got]
+            limits = [_limits(n, share, added, good) for n, (_, good, _) in zip(_label_counts(pool, views), got)]
+            extra.append(stored(_labelled_by_the_other(pool, views, limits, r), "labelled"))
+    return Model((got[0][0], got[1][0]), got[0][2] / (got[0][2] + got[1][2]))
+
+
+def train(df: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text",
+          source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars", label_col: str = "quality") -> Model:
+    """Fits on at most about ``labelled`` labelled rows, one for an id, and labels all others in rounds.
+
+    Null labels and ids of labels are left out; repeated labels of an id count once (the
+    smallest), repeated rows of a labelled id too (the smallest); repeated rows of other ids are rows
+    like others.  Null metadata is a value of its own, null text empty.  With no rows
+    of one of the two labels, as with an empty table, every document scores 1.
     """
     bounded_batches(df.sparkSession)
     marked = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
               .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)))
-    n_marked, n_all = marked.count(), df.count()
-    part = min(1.0, labelled / max(1, n_marked))
-    draw = lambda c: F.pmod(F.xxhash64(c, F.lit("quality")), F.lit(1_000_000))
-    chosen = marked.where(draw("doc_id") < int(part * 1_000_000)).groupBy("doc_id").agg(F.min("y").alias("y"))
+    part = min(1.0, labelled / max(1, marked.count()))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000))
+    # a sample of bounded size, two numbers a row: both joins may broadcast it
+    chosen = F.broadcast(marked.where(draw < int(part * 1_000_000)).groupBy("doc_id").agg(F.min("y").alias("y")))
     text, source, lang, size = _inputs(text_col, source_col, lang_col, size_col)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), source.alias("source"),
                      lang.alias("lang"), size.alias("n_chars"))
-    rest = draw(F.col("doc_id") + 1) < int(min(1.0, pool / max(1, n_all)) * 1_000_000)
-    # the broadcast side is the bounded sample of labels: two numbers a row
-    found = docs.join(F.broadcast(chosen), "doc_id", "left").where(F.col("y").isNotNull() | rest)
     # a repeated id may hold a third of all rows: the smallest row stands for it
-    fields = ("text", "source", "lang", "n_chars", "y")
-    found = found.groupBy("doc_id").agg(F.min(F.struct(*fields)).alias("row")).select("doc_id", "row.*")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in slices(batches):
-            a, b = _views(pdf)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "a": [x.tobytes() for x in a],
-                                "b": [x.tobytes() for x in b]})
-
-    features = stored(found.select("text", "source", "lang", "n_chars", F.coalesce("doc_id", F.lit(0)).alias("doc_id"),
-                                   F.coalesce("y", F.lit(-1)).alias("y"))
-                      .mapInPandas(run, "doc_id long, y int, a binary, b binary"), "features")
-    # as bytes: a list of Python floats would take ten times the memory on the driver
-    got = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["y"], bytes(r["a"]), bytes(r["b"]))
-                 for r in features.collect())
-    known, free = [r for r in got if r[2] >= 0], [r for r in got if r[2] < 0]
-    if not known:
-        return Model(None)
-
-    def block(rows: list[tuple], column: int) -> np.ndarray:
-        width = len(known[0][column]) // 4
-        return np.frombuffer(b"".join(r[column] for r in rows), dtype=np.float32).reshape(len(rows), width)
-    return cotrain(block(known, 3), block(known, 4), np.array([r[2] for r in known]), block(free, 3), block(free, 4))
+    fields = ("text", "source", "lang", "n_chars")
+    one = docs.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*fields)).alias("row"))
+    key = F.xxhash64("doc_id", *fields)
+    known = stored(features(one.select("doc_id", "y", "row.*").select(key.alias("key"), "y", *fields)), "labelled")
+    rest = docs.join(chosen, "doc_id", "left_anti")
+    pool = stored(features(rest.select(key.alias("key"), F.lit(-1).alias("y"), *fields)), "features")
+    return cotrain(known, pool)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", source_col: str = "source",

@@ -318,26 +318,64 @@ def test_quality_on_held_out_rows(spark):
 def _fitted_on(monkeypatch, df, labels):
     """(labelled rows, pool rows) that reach the models."""
     seen = []
-    monkeypatch.setattr(quality, "cotrain", lambda xa, xb, y, pa, pb: seen.append((len(xa), len(pa))) or quality.Model(None))
+    monkeypatch.setattr(quality, "cotrain", lambda known, pool: seen.append((known.count(), pool.count())) or quality.Model(None))
     quality.train(df, labels)
     return seen[0]
 
 
-def test_quality_fits_on_the_whole_sample(spark, monkeypatch):
+def test_quality_fits_on_the_whole_sample_and_labels_every_other_row(spark, monkeypatch):
     df = spark.range(24_000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit("en").alias("lang"),
                                     F.lit("s0").alias("source"), F.lit(9).alias("n_chars"))
     labels = spark.range(12_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
     known, free = _fitted_on(monkeypatch, df, labels)
-    # the pool is 4,000 of all rows, less the labelled ones that the sample holds (a quarter)
-    assert 5_700 < known < 6_300 and 2_800 < free < 3_200
+    assert 5_700 < known < 6_300 and free == 24_000 - known
     assert inspect.signature(quality.fit).parameters["steps"].default == 300
 
 
-def test_quality_takes_one_row_of_a_repeated_id(spark, monkeypatch):
+def test_quality_takes_one_row_of_a_repeated_labelled_id(spark, monkeypatch):
     ids = list(range(20)) + [3] * 300 + [15] * 300 + [None] * 300
     df = spark.createDataFrame([(i, f"text {n}", "en", "s0", 9) for n, i in enumerate(ids)], data.SCHEMA)
     labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
-    assert _fitted_on(monkeypatch, df, labels) == (10, 11)      # the rows without an id count as one
+    assert _fitted_on(monkeypatch, df, labels) == (10, 10 + 300 + 300)
+
+
+def test_quality_rounds_exchange_labels(spark, monkeypatch):
+    """Each round adds rows that the other view is sure of, with right labels."""
+    rows, labels = _judged(9, 1200)
+    added, drawn = [], quality._labelled_by_the_other
+
+    def watched(*args):
+        added.append(drawn(*args).collect())
+        return drawn(*args)
+
+    monkeypatch.setattr(quality, "_labelled_by_the_other", watched)
+    truth = {x[0]: y for x, (_, y) in zip(rows, labels)}
+    key = {r.key: truth[r.doc_id] for r in spark.createDataFrame(rows, data.SCHEMA).select(
+        "doc_id", F.xxhash64("doc_id", "text", "source", "lang", F.col("n_chars").cast("double")).alias("key")).collect()}
+    quality.train(spark.createDataFrame(rows, data.SCHEMA), spark.createDataFrame(labels[:200], "doc_id long, quality int"))
+    assert len(added) == quality.ROUNDS
+    for found in added:
+        assert {r.view for r in found} == {0, 1} and {r.y for r in found} == {0, 1}
+        assert sum(key[r.key] == r.y for r in found) >= 0.95 * len(found)
+
+
+def test_margin_limits():
+    n = np.zeros(quality._BINS, np.int64)
+    n[[0, 10, 1190, 1199]] = [50, 50, 300, 600]
+    low, some_low, high, some_high = quality._limits(n, 0.1, 40, 0.75)
+    assert (low, high) == (0, 1199) and math.isclose(some_low, 10 / 50) and math.isclose(some_high, 30 / 600)
+    n[:] = 0
+    n[quality._BINS // 2] = 1000                # nobody is sure
+    low, _, high, _ = quality._limits(n, 0.1, 40, 0.5)
+    assert n[:low + 1].sum() == 0 and n[high:].sum() == 0
+
+
+def test_quality_scores_a_very_long_text(spark):
+    rows, labels = _judged()
+    model = quality.train(spark.createDataFrame(rows, data.SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int"))
+    long = [(1, "The model answers questions about weather. " * 60_000, "en", "s0", 1), (2, "###the###model" * 150_000, "en", "s0", 1)]
+    got = {r.doc_id: r.q for r in quality.scored(spark.createDataFrame(long, data.SCHEMA), model, "q").collect()}
+    assert got[1] > got[2] and all(0 <= x <= 1 for x in got.values())
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -378,5 +416,5 @@ def test_exact_query_equals_its_sql(spark):
 
 
 def test_queries_are_registered():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.ORACLES) <= set(queries.QUERIES)
