@@ -94,8 +94,10 @@ def chain_verify(audit: DataFrame, chain: str = "chain", seq: str = "seq",
 
     A row is good when its recomputed hash equals ``event_hash`` and its
     ``previous_hash`` equals the predecessor's hash (genesis for the first
-    row); a row with a missing field is bad.  The predecessor comes from an
-    equi-join on the global rank over (chain, seq).  A chain without rows has
+    row); a row with a missing field is bad, and so is every later row of a null chain
+    that is not a first one.  Rows are laid out in ranges over (chain, seq); each range
+    gets the last row of the one before it, so links are checked in place, and only one
+    row for each chain and batch is shuffled afterwards.  A chain without rows has
     no output row and counts as valid.
     """
     a = audit.withColumn(
@@ -103,19 +105,36 @@ def chain_verify(audit: DataFrame, chain: str = "chain", seq: str = "seq",
         F.coalesce(F.sha2(F.concat(record_canon(), canon("previous_hash")), 256) == F.col("event_hash"),
                    F.lit(False)))
     # only what the link check needs goes through the checkpoint
-    narrow = a.select(chain, seq, "previous_hash", "event_hash", "_self_ok")
-    ranked = global_rank(narrow, [F.col(chain), F.col(seq)], "_rk", num_partitions).df
-    pred = ranked.select(F.col(chain).alias("_pc"), (F.col("_rk") + 1).alias("_rk"),
-                         F.col("event_hash").alias("_pred_hash"))
-    j = ranked.join(pred, (ranked["_rk"] == pred["_rk"]) & (ranked[chain] == pred["_pc"]), "left") \
-        .drop(pred["_rk"])
-    link_ok = F.coalesce(F.col("previous_hash") == F.coalesce(F.col("_pred_hash"), F.lit(GENESIS)), F.lit(False))
-    ok = F.col("_self_ok") & link_ok
-    return j.groupBy(chain).agg(
-        F.bool_and(ok).alias("valid"),
-        F.min(F.when(~ok, F.col(seq))).alias("first_bad_seq"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    narrow = a.select(F.col(chain).alias("_chain"), F.col(seq).cast("bigint").alias("_seq"), "previous_hash", "event_hash", "_self_ok")
+    laid = global_rank(narrow, ["_chain", "_seq"], "_rk", num_partitions, keep_partition="_range").df
+    ends = laid.groupBy("_range").agg(F.max_by(F.struct("_chain", "event_hash"), "_rk").alias("_end")).collect()    # one row for each range
+    halo: dict[int, tuple] = {}
+    before = (None, None)
+    for r in sorted(ends, key=lambda r: r["_range"]):
+        halo[r["_range"]] = before
+        before = tuple(r["_end"])
+
+    def check(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current = last = None
+        for pdf in it:
+            # a task may hold several ranges, one after the other, if the plan above coalesces
+            for number, part in pdf.groupby("_range", sort=False):
+                last = last if number == current else halo[number]
+                current = number
+                key, hashes = part["_chain"], part["event_hash"]
+                same = (key == key.shift(1)).to_numpy()
+                same[0] = key.iloc[0] is not None and key.iloc[0] == last[0]
+                expected = hashes.shift(1)
+                expected.iloc[0] = last[1]
+                expected = expected.where(same, GENESIS)
+                bad = ~(part["_self_ok"].to_numpy() & (part["previous_hash"] == expected).to_numpy())
+                last = (key.iloc[-1], hashes.iloc[-1])
+                rows = pd.DataFrame({chain: key, "_bad": part["_seq"].where(bad).astype("Int64"), "_n": 1})
+                yield rows.groupby(chain, as_index=False, dropna=False).agg({"_bad": "min", "_n": "sum"})
+
+    out = T.StructType([T.StructField(chain, narrow.schema["_chain"].dataType), T.StructField("_bad", T.LongType()), T.StructField("_n", T.LongType())])
+    found = laid.select("_chain", "_seq", "previous_hash", "event_hash", "_self_ok", "_range").mapInPandas(check, out)
+    return found.groupBy(chain).agg(F.max("_bad").isNull().alias("valid"), F.min("_bad").alias("first_bad_seq"), F.sum("_n").alias("n"))
 
 
 def chain_tail(audit: DataFrame, chain: str = "chain", seq: str = "seq") -> DataFrame:

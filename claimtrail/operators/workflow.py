@@ -65,35 +65,40 @@ def state_id(c: Column) -> Column:
 
 # ---------------------------------------------------------------- G1
 def admit(submissions: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """G1: per submission (case_id, seq, fingerprint) → admission
-    new / deduplicated / retried / conflict.
-
-    The stored fingerprint is the state's, else the batch's first submission
-    (by seq).  A differing fingerprint is a conflict; the first matching
-    submission of a failed case is a retry, of an unknown case is new; every
-    other matching one is deduplicated (admitted analyses are assumed to
-    succeed within the batch).
+    """G1: per submission (case_id, seq, fingerprint[, outcome]) → admission
+    new / deduplicated / retried / conflict, as if analyzed one by one in seq order.
+
+    ``outcome`` is what the analysis of that submission gives if it is admitted: ``success``,
+    ``failed`` (the case is stored as failed) or ``rejected`` (by the input rules: nothing is
+    stored, or a failed case stays failed).  Without the column every analysis succeeds.
+
+    A case stores the fingerprint of its first submission that is not rejected, unless the
+    state has one.  A differing fingerprint is a conflict.  Matching submissions are retries as
+    long as the case is failed, that is up to the first that succeeds, and deduplicated after it.
+    Two aggregates by case hold all of that, so a case with any number of submissions is split over tasks.
     """
-    first = submissions.groupBy("case_id").agg(
-        F.min_by("fingerprint", "seq").alias("_first_fp"))
+    s = submissions if "outcome" in submissions.columns else submissions.withColumn("outcome", F.lit("success"))
+    kept = F.when(F.col("outcome") != "rejected", F.col("seq"))
+    first = s.groupBy("case_id").agg(F.min(kept).alias("_stored_at"), F.min_by("fingerprint", kept).alias("_first_fp"))
     if state is not None:
-        st = state.select("case_id", F.col("case_fingerprint").alias("_st_fp"),
-                          F.col("state").alias("_st_state"))
+        st = state.select("case_id", F.col("case_fingerprint").alias("_st_fp"), F.col("state").alias("_st_state"))
         first = first.join(st, "case_id", "left")
     else:
-        first = first.withColumn("_st_fp", F.lit(None).cast("string")).withColumn(
-            "_st_state", F.lit(None).cast("string"))
+        first = first.withColumn("_st_fp", F.lit(None).cast("string")).withColumn("_st_state", F.lit(None).cast("string"))
+    known = F.col("_st_state").isNotNull()
     first = first.withColumn("_stored", F.coalesce("_st_fp", "_first_fp"))
-    s = submissions.join(first, "case_id")
-    match = s.where(F.col("fingerprint") == F.col("_stored")).groupBy("case_id").agg(
-        F.min("seq").alias("_first_match"))
-    s = s.join(match, "case_id", "left")
-    is_first = F.col("seq") == F.col("_first_match")
+    s = s.join(first, "case_id")
+    # before the first stored submission of an unknown case nothing matches or conflicts
+    new = ~known & (F.col("_stored_at").isNull() | (F.col("seq") <= F.col("_stored_at")))
+    match = ~new & (F.col("fingerprint") == F.col("_stored")) | (~known & (F.col("seq") == F.col("_stored_at")))
+    settled = s.where(match & (F.col("outcome") == "success")).groupBy("case_id").agg(F.min("seq").alias("_settled"))
+    s = s.join(settled, "case_id", "left")
     admission = (
-        F.when(F.col("fingerprint") != F.col("_stored"), F.lit("conflict"))
-        .when(is_first & F.col("_st_state").isNull(), F.lit("new"))
-        .when(is_first & (F.col("_st_state") == "failed"), F.lit("retried"))
-        .otherwise(F.lit("deduplicated"))
+        F.when(new, F.lit("new"))
+        .when(F.col("fingerprint") != F.col("_stored"), F.lit("conflict"))
+        .when(known & (F.col("_st_state") != "failed"), F.lit("deduplicated"))
+        .when(F.col("seq") > F.col("_settled"), F.lit("deduplicated"))
+        .otherwise(F.lit("retried"))
     )
     return s.select("case_id", "seq", "fingerprint", admission.alias("admission"))
 
@@ -129,6 +134,21 @@ def retry_outcome(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> Data
     )
 
 
+def provider_retries(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """Attempts(case_id, attempt, outcome[, reason]) → per case ``provider_state`` (as G2's final state), the
+    audited ``retries array<struct<attempt, reason>>`` (``max_attempts`` at most) and ``provider_reason``, that of a permanent failure."""
+    if "reason" not in attempts.columns:
+        attempts = attempts.withColumn("reason", F.lit(None).cast("string"))
+    a = attempts.where(F.col("attempt") <= F.lit(max_attempts))
+    rows = a.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("attempt").cast("bigint").alias("attempt"), "reason", "outcome"))).alias("_a"))       # max_attempts entries
+    decisive = F.get(F.filter("_a", lambda x: x["outcome"] != "transient"), 0)
+    before = F.filter("_a", lambda x: (x["outcome"] == "transient") & (decisive.isNull() | (x["attempt"] < decisive["attempt"])))
+    rows = rows.select("case_id", F.transform(before, lambda x: F.struct(x["attempt"].alias("attempt"), x["reason"].alias("reason"))).alias("retries"),
+                       F.when(decisive["outcome"] == "permanent", decisive["reason"]).alias("provider_reason"))
+    return retry_outcome(attempts, max_attempts).select("case_id", F.col("final_state").alias("provider_state")).join(rows, "case_id")
+
+
 def backoff_schedule(attempts: DataFrame, base_delay: float = BASE_DELAY_SECONDS,
                      max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """Delay after each transient attempt = base·2^(attempt-1); none
@@ -271,12 +291,14 @@ def publish(state: DataFrame, requests: DataFrame, exported: DataFrame | None =
 
 # ---------------------------------------------------------------- G7
 MSG_NO_ANSWER = "the classifier gave no answer"
+MSG_PROVIDER = "the provider failed"
 
 
 def analyze(headers: DataFrame, sources: DataFrame, *,
             classifier: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
             validators: Sequence[Callable[[DataFrame], Column]] = (),
-            state: DataFrame | None = None,
+            state: DataFrame | None = None, attempts: DataFrame | None = None,
+            max_attempts: int = MAX_ATTEMPTS,
             max_chars: int = validate.MAX_SOURCE_CHARS) -> DataFrame:
     """Admission → input rules (E1) → classifier → assessment rules
     (E4/E5) → extra validators (E6 …) → pending_approval or failed, one plan.
@@ -286,6 +308,11 @@ def analyze(headers: DataFrame, sources: DataFrame, *,
     Output per case: case_id, admission, input_reason, risk, summary, labels,
     citations, confidence, reason, state.  An input rejection stores nothing
     (state null); a deduplicated case keeps its stored state.
+
+    ``attempts(case_id, attempt, outcome[, reason])`` is the provider's log (see G2): an admitted, valid case whose
+    attempts end in a permanent failure, or in ``max_attempts`` transient ones, fails without an answer; one
+    with fewer transient attempts stays ``received``; a case without attempts counts as answered at once.
+    The output then has ``retries array<struct<attempt, reason>>`` as well.
     """
     classifier = classifier or triage.keyword_classify
     cases = headers
@@ -322,30 +349,53 @@ def analyze(headers: DataFrame, sources: DataFrame, *,
            .join(input_check.withColumnRenamed("reason", "input_reason"), "case_id", "left")
            .join(a, "case_id", "left"))
     ran = F.col("admission").isin("new", "retried") & F.col("input_reason").isNull()
-    masked = [F.when(ran, F.col(c)).alias(c) for c in a.columns if c not in ("case_id", "_reason", "_answered")]
+    provider, waits = F.lit(None).cast("string"), F.lit(False)
+    extra_cols = []
+    if attempts is not None:
+        out = out.join(provider_retries(attempts, max_attempts), "case_id", "left")
+        waits = F.coalesce(F.col("provider_state") == "retrying", F.lit(False))
+        provider = F.when(F.col("provider_state") == "failed", F.coalesce("provider_reason", F.lit(MSG_PROVIDER)))
+        extra_cols = [F.when(ran, F.col("retries")).alias("retries")]
+    heard = ran & ~waits & provider.isNull()
+    masked = [F.when(heard, F.col(c)).alias(c) for c in a.columns if c not in ("case_id", "_reason", "_answered")]
     silent = F.when(F.col("_answered").isNull(), F.lit(MSG_NO_ANSWER))      # the classifier returned no row
-    out = out.select("case_id", "admission", "_st_state", "input_reason", *masked,
-                     F.when(ran, F.coalesce(silent, F.col("_reason"))).alias("reason"))
+    out = out.select("case_id", "admission", "_st_state", "input_reason", *masked, (ran & waits).alias("_waits"),
+                     F.when(ran & ~waits, F.coalesce(provider, silent, F.col("_reason"))).alias("reason"), *extra_cols)
     state_col = (
         F.when(F.col("admission").isin("deduplicated", "conflict"), F.col("_st_state"))
         .when(F.col("input_reason").isNotNull(), F.lit(None).cast("string"))
+        .when(F.col("_waits"), F.lit("received"))
         .when(F.col("reason").isNotNull(), F.lit("failed"))
         .otherwise(F.lit("pending_approval"))
     )
-    return out.withColumn("state", state_col).drop("_st_state")
+    return out.withColumn("state", state_col).drop("_st_state", "_waits")
 
 
 def analysis_events(result: DataFrame) -> DataFrame:
-    """Audit rows of G7 (event, case_id, detail) in emission order (``step``)."""
-    ev = F.when(F.col("admission") == "deduplicated", F.array(F.lit("analysis_deduplicated"))) \
-        .when(F.col("admission") == "conflict", F.array().cast("array<string>")) \
-        .otherwise(F.concat(
-            F.when(F.col("admission") == "retried", F.array(F.lit("analysis_retried"))).otherwise(F.array().cast("array<string>")),
-            F.when(F.col("input_reason").isNotNull(), F.array(F.lit("input_rejected")))
-            .when(F.col("reason").isNotNull(), F.array(F.lit("case_received"), F.lit("analysis_failed")))
-            .otherwise(F.array(F.lit("case_received"), F.lit("analysis_completed")))))
-    return result.select("case_id", F.posexplode(ev).alias("step", "event"),
-                         F.coalesce("input_reason", "reason").alias("reason"), "risk")
+    """Audit rows of G7 in emission order: (case_id, step, event, attempt, reason, risk).  ``attempt`` and its reason belong
+    to ``provider_retry``, a reason to ``input_rejected`` and ``analysis_failed``, the risk to ``analysis_completed``."""
+    kind = "array<struct<event:string,attempt:bigint,reason:string,risk:string>>"
+    null = F.lit(None)
+
+    def row(event, attempt=null, reason=null, risk=null):
+        return F.struct(F.lit(event).alias("event"), attempt.cast("bigint").alias("attempt"),
+                        reason.cast("string").alias("reason"), risk.cast("string").alias("risk"))
+
+    def some(*rows):
+        return F.array(*rows).cast(kind)
+
+    retries = (F.transform("retries", lambda x: row("provider_retry", x["attempt"], x["reason"])).cast(kind)
+               if "retries" in result.columns else F.array().cast(kind))
+    end = (F.when(F.col("reason").isNotNull(), some(row("analysis_failed", reason=F.col("reason"))))
+           .when(F.col("state") == "received", F.array().cast(kind))
+           .otherwise(some(row("analysis_completed", risk=F.col("risk")))))
+    ran = F.concat(some(row("case_received")), F.coalesce(retries, F.array().cast(kind)), end)
+    rows = (F.when(F.col("admission") == "deduplicated", some(row("analysis_deduplicated")))
+            .when(F.col("admission") == "conflict", F.array().cast(kind))
+            .otherwise(F.concat(
+                F.when(F.col("admission") == "retried", some(row("analysis_retried"))).otherwise(F.array().cast(kind)),
+                F.when(F.col("input_reason").isNotNull(), some(row("input_rejected", reason=F.col("input_reason")))).otherwise(ran))))
+    return result.select("case_id", F.posexplode(rows).alias("step", "e")).select("case_id", "step", "e.*")
 
 
 def approval_events(outcomes: DataFrame) -> DataFrame:

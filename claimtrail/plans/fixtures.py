@@ -297,6 +297,26 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     fingerprint("o_orderpriority", "o_orderstatus").alias("fingerprint"))
 
 
+def submission_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions whose content is the order's status, with what their analysis
+    gives: failed for every third order key, rejected for every seventh of the others."""
+    from ..functions.hashing import fingerprint
+    o = table(spark, sf_dir, "orders")
+    outcome = F.when(F.col("o_orderkey") % 3 == 0, F.lit("failed")).when(F.col("o_orderkey") % 7 == 0, F.lit("rejected")).otherwise(F.lit("success"))
+    return o.select(F.concat(F.lit("cust-"), F.col("o_custkey").cast("string")).alias("case_id"),
+                    F.col("o_orderkey").alias("seq"), fingerprint("o_orderstatus").alias("fingerprint"), outcome.alias("outcome"))
+
+
+def provider_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider attempts of the conversation cases: one for each turn; a fifth of
+    the cases have none."""
+    c = table(spark, sf_dir, "conversations").where(F.col("conv_id") % 5 != 4)
+    k = (F.col("conv_id") * 3 + F.col("turn")) % 4
+    return c.select(F.col("conv_id").cast("string").alias("case_id"), (F.col("turn") + 1).alias("attempt"),
+                    F.when(k < 2, F.lit("transient")).when(k == 2, F.lit("success")).otherwise(F.lit("permanent")).alias("outcome"),
+                    F.concat(F.lit("no answer for "), "role").alias("reason"))
+
+
 def submission_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored records for every fifth customer (every tenth failed)."""
     from ..functions.hashing import fingerprint

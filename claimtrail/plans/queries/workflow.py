@@ -85,6 +85,35 @@ def q_g1s(spark, sf_dir):
     return workflow.admit(fixtures.submissions(spark, sf_dir), fixtures.submission_state(spark, sf_dir))
 
 
+@register("G1_admit_outcomes", f"""
+WITH RECURSIVE sub AS (
+    SELECT 'cust-' || CAST(o_custkey AS VARCHAR) AS case_id, o_orderkey AS seq, sha256({O.canon('o_orderstatus')}) AS fp,
+           CASE WHEN o_orderkey % 3 = 0 THEN 'failed' WHEN o_orderkey % 7 = 0 THEN 'rejected' ELSE 'success' END AS outcome,
+           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
+  st AS (SELECT 'cust-' || CAST(c_custkey AS VARCHAR) AS case_id, sha256({O.canon("'F'")}) AS fp,
+                CASE WHEN c_custkey % 10 = 0 THEN 'failed' ELSE 'pending_approval' END AS state
+         FROM customer WHERE c_custkey % 5 = 0),
+  one AS (   -- one submission after the other: what is stored before it, and its admission
+    SELECT DISTINCT sub.case_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS fp,
+           CAST(NULL AS VARCHAR) AS admission, st.fp AS stored, st.state FROM sub LEFT JOIN st USING (case_id)
+    UNION ALL
+    SELECT s.case_id, s.rn, s.seq, s.fp,
+           CASE WHEN o.stored IS NULL THEN 'new' WHEN o.stored <> s.fp THEN 'conflict'
+                WHEN o.state <> 'failed' THEN 'deduplicated' ELSE 'retried' END,
+           CASE WHEN o.stored IS NULL AND s.outcome <> 'rejected' THEN s.fp ELSE o.stored END,
+           CASE WHEN o.stored IS NULL THEN CASE s.outcome WHEN 'failed' THEN 'failed' WHEN 'success' THEN 'pending_approval' END
+                WHEN o.stored = s.fp AND o.state = 'failed' AND s.outcome = 'success' THEN 'pending_approval' ELSE o.state END
+    FROM one o JOIN sub s ON s.case_id = o.case_id AND s.rn = o.rn + 1)
+SELECT case_id, seq, fp AS fingerprint, admission FROM one WHERE rn > 0
+""")
+def q_g1o(spark, sf_dir):
+    """Submissions whose analyses fail or are rejected within the batch: later
+    ones retry them (the SQL goes through them one by one)."""
+    from ...functions.hashing import fingerprint
+    state = fixtures.submission_state(spark, sf_dir).withColumn("case_fingerprint", fingerprint(F.lit("F")))
+    return workflow.admit(fixtures.submission_outcomes(spark, sf_dir), state)
+
+
 @register("G2_retry_outcome", f"""
 WITH {_ATTEMPTS},
   a AS (SELECT case_id, min(CASE WHEN outcome <> 'transient' THEN attempt END) AS dec,
@@ -251,6 +280,102 @@ def q_g7a(spark, sf_dir):
     return out.select("case_id", "admission", "risk", "state")
 
 
+_G7_LOG = f"""
+WITH {O.CONV_SOURCES}, {O.e1_reason()},
+  leaf AS (SELECT case_id, pos, sha256({O.canon('source_id')} || {O.canon('text')}) AS leaf FROM src),
+  {O.merkle('leaf', 'case_id', 'pos', 'leaf')},
+  nsrc AS (SELECT case_id, count(*) AS n FROM src GROUP BY case_id),
+  fp AS (SELECT hdr.case_id, sha256({O.canon('hdr.case_id')} || {O.canon('hdr.title')} || {O.canon('nsrc.n')} || mtop.tree) AS fp
+         FROM hdr JOIN nsrc USING (case_id) JOIN mtop USING (case_id)),
+  adm AS (SELECT case_id, CASE CAST(case_id AS BIGINT) % 3 WHEN 2 THEN 'new' WHEN 1 THEN 'conflict'
+                               ELSE CASE WHEN CAST(case_id AS BIGINT) % 6 = 0 THEN 'retried' ELSE 'deduplicated' END END AS admission
+          FROM fp),
+  att AS (SELECT CAST(conv_id AS VARCHAR) AS case_id, turn + 1 AS attempt, 'no answer for ' || role AS reason,
+                 CASE WHEN (conv_id * 3 + turn) % 4 < 2 THEN 'transient' WHEN (conv_id * 3 + turn) % 4 = 2 THEN 'success'
+                      ELSE 'permanent' END AS outcome FROM conversations WHERE conv_id % 5 <> 4 AND turn < 3),
+  dec AS (SELECT case_id, min(attempt) FILTER (WHERE outcome <> 'transient') AS dec, count(*) AS n FROM att GROUP BY case_id),
+  log AS (SELECT dec.case_id, dec.dec, dec.n, att.outcome, att.reason FROM dec
+          LEFT JOIN att ON att.case_id = dec.case_id AND att.attempt = dec.dec),
+  cls AS (SELECT case_id, max({O.tier_case(fixtures.CONVERSATION_TIERS)}) AS tier, arg_min(source_id, pos) AS sid,
+                 arg_min({O.first_line('text')}, pos) AS quote FROM src GROUP BY case_id),
+  res AS (SELECT adm.case_id, adm.admission, e1.reason AS input_reason,
+                 adm.admission IN ('new', 'retried') AND e1.reason IS NULL AS ran,
+                 log.case_id IS NOT NULL AND log.dec IS NULL AND log.n < 3 AS waits,
+                 CASE WHEN log.outcome = 'permanent' THEN log.reason WHEN log.case_id IS NOT NULL AND log.dec IS NULL AND log.n >= 3
+                      THEN 'the provider failed' END AS provider,
+                 CASE WHEN {O.blank('cls.quote')} THEN 'citation quote does not resolve in source: ' || cls.sid END AS grounding,
+                 {O.RISK_NAME.format(x='cls.tier')} AS risk, coalesce(log.dec, log.n + 1, 1) AS stop
+          FROM adm JOIN e1 USING (case_id) JOIN cls USING (case_id) LEFT JOIN log USING (case_id))"""
+
+
+def _logged(spark, sf_dir):
+    headers, sources = fixtures.conversation_cases(spark, sf_dir)
+    return workflow.analyze(
+        headers, sources,
+        classifier=lambda h, s: triage.keyword_classify(h, s, fixtures.CONVERSATION_TIERS),
+        validators=[lambda a: validate.prohibited_claims_reason()],
+        state=_stored_state(spark, sf_dir), attempts=fixtures.provider_log(spark, sf_dir))
+
+
+@register("G7_analyze_attempts", _G7_LOG + """
+SELECT case_id, admission, CASE WHEN ran AND NOT waits AND provider IS NULL THEN risk END AS risk,
+       CASE WHEN ran AND NOT waits THEN coalesce(provider, grounding) END AS reason,
+       CASE WHEN ran THEN CAST(stop - 1 AS BIGINT) END AS provider_retries,
+       CASE WHEN admission = 'deduplicated' OR admission = 'conflict' THEN 'pending_approval' WHEN input_reason IS NOT NULL THEN NULL
+            WHEN waits THEN 'received' WHEN provider IS NOT NULL OR grounding IS NOT NULL THEN 'failed' ELSE 'pending_approval' END AS state
+FROM res
+""")
+def q_g7t(spark, sf_dir):
+    """Analysis with the provider's log: transient and permanent failures, cases
+    that still wait for an answer, and cases answered at once."""
+    out = _logged(spark, sf_dir)
+    return out.select("case_id", "admission", "risk", "reason",
+                      F.when(F.col("retries").isNotNull() | (F.col("admission").isin("new", "retried") & F.col("input_reason").isNull()),
+                             F.coalesce(F.size("retries"), F.lit(0)).cast("bigint")).alias("provider_retries"), "state")
+
+
+_G7_EVENTS = _G7_LOG + """,
+  ev AS (
+    SELECT case_id, 0 AS o, 0 AS i, CASE admission WHEN 'deduplicated' THEN 'analysis_deduplicated' ELSE 'analysis_retried' END AS event,
+           NULL::BIGINT AS attempt, NULL::VARCHAR AS reason, NULL::VARCHAR AS risk FROM res WHERE admission IN ('deduplicated', 'retried')
+    UNION ALL SELECT case_id, 1, 0, 'input_rejected', NULL, input_reason, NULL FROM res WHERE admission IN ('new', 'retried') AND input_reason IS NOT NULL
+    UNION ALL SELECT case_id, 1, 0, 'case_received', NULL, NULL, NULL FROM res WHERE ran
+    UNION ALL SELECT res.case_id, 2, att.attempt, 'provider_retry', att.attempt, att.reason, NULL
+              FROM res JOIN att ON att.case_id = res.case_id AND att.attempt < res.stop WHERE ran
+    UNION ALL SELECT case_id, 3, 0, 'analysis_failed', NULL, coalesce(provider, grounding), NULL FROM res
+              WHERE ran AND NOT waits AND coalesce(provider, grounding) IS NOT NULL
+    UNION ALL SELECT case_id, 3, 0, 'analysis_completed', NULL, NULL, risk FROM res
+              WHERE ran AND NOT waits AND coalesce(provider, grounding) IS NULL)"""
+
+
+@register("G7_analysis_events", _G7_EVENTS + """
+SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY o, i) - 1 AS INTEGER) AS step, event, attempt, reason, risk FROM ev
+""")
+def q_g7v(spark, sf_dir):
+    """The audit rows of that analysis, retries among them."""
+    return workflow.analysis_events(_logged(spark, sf_dir))
+
+
+@register("J6_analysis_sli", _G7_EVENTS + """
+SELECT CAST(count(*) FILTER (WHERE event = 'case_received') AS BIGINT) AS received,
+       CAST(count(*) FILTER (WHERE event = 'provider_retry') AS BIGINT) AS retried,
+       CAST(count(*) FILTER (WHERE event = 'analysis_failed') AS BIGINT) AS failed,
+       CAST(count(*) FILTER (WHERE event = 'analysis_completed') AS BIGINT) AS completed FROM ev
+""")
+def q_j6a(spark, sf_dir):
+    """Retries, failures and completions counted from the audit chain of that analysis:
+    its events go through B3 and are verified by B4 on the way."""
+    rows = workflow.analysis_events(_logged(spark, sf_dir)).select(
+        F.col("case_id").alias("chain"), F.col("step").cast("bigint").alias("seq"), F.col("step").cast("bigint").alias("ts_us"), "event", "case_id",
+        F.create_map(F.lit("attempt"), F.coalesce(F.col("attempt").cast("string"), F.lit("")), F.lit("reason"), F.coalesce("reason", F.lit("")),
+                     F.lit("risk"), F.coalesce("risk", F.lit(""))).alias("details"))
+    audit = chainops.chain_append(rows)
+    n = lambda e: F.count(F.when(F.col("event") == e, True)).cast("bigint")
+    return audit.join(chainops.chain_verify(audit).where("valid").select("chain"), "chain", "left_semi").agg(
+        n("case_received").alias("received"), n("provider_retry").alias("retried"), n("analysis_failed").alias("failed"),
+        n("analysis_completed").alias("completed"))
+
+
 @register("G5_approval_events", f"""
 SELECT case_id, seq, 'case_approved' AS event, reviewer FROM ({ORACLES['G5_approve']}) WHERE outcome = 'approved'
 """)
