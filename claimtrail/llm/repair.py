@@ -159,16 +159,16 @@ def _leaf(conv: int, rank: int, initials: str, faults: str, turns: list) -> tupl
             known[0] if known else None, known[-1] if known else None, initials[0], initials[-1], costs, audits)
 
 
-def _node(cells: list[dict]) -> tuple:
+def _node(conv: int, cells: list) -> tuple:
     """One cell from those of neighbouring blocks, in order."""
     out = {c: sum(int(x[c]) for x in cells) for c in _COUNTS}
     for a, b in zip(cells, cells[1:]):
         out["illegal"] += a["last"] + b["first"] not in LEGAL
-    known = [x for x in cells if not pd.isna(x["first_turn"])]
+    known = [x for x in cells if x["first_turn"] is not None and not pd.isna(x["first_turn"])]
     for a, b in zip(known, known[1:]):
         out["turns"] -= a["last_turn"] == b["first_turn"]       # one turn on both sides of the border
     costs, audits = flat(merged([unflat(x["costs"], x["audits"]) for x in cells]))
-    return (cells[0]["_conv"], cells[0]["_rank"], *out.values(), int(known[0]["first_turn"]) if known else None,
+    return (conv, int(cells[0]["_rank"]), *out.values(), int(known[0]["first_turn"]) if known else None,
             int(known[-1]["last_turn"]) if known else None, cells[0]["first"], cells[-1]["last"], costs, audits)
 
 
@@ -195,14 +195,19 @@ def cells(signs: DataFrame) -> DataFrame:
             yield _frame([_leaf(c, r, i, f, [None if pd.isna(t) else t for t in ts])
                           for c, r, i, f, ts in zip(pdf["_conv"].tolist(), pdf["_rank"].tolist(), pdf["initials"], pdf["faults"], pdf["turns"])])
 
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame([_node(pdf.sort_values("_rank").to_dict("records"))])
+    def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield _frame([_node(c, list(x)) for c, x in zip(pdf["_conv"].tolist(), pdf["cells"])])
+
+    def joined(df: DataFrame, *block: Column) -> DataFrame:
+        several = F.array_sort(F.collect_list(F.struct(*_COLUMNS[1:])))         # of neighbouring blocks: BLOCK cells and one, at most
+        return df.groupBy("_conv", *block).agg(several.alias("cells")).select("_conv", "cells").mapInPandas(nodes, _CELL)
 
     out, width = blocks.mapInPandas(leaves, _CELL), BLOCK
     while most > width:         # doubling goes on over longer blocks, up to one that spans every conversation
         width *= BLOCK
-        out = out.groupBy("_conv", F.floor(F.col("_rank") / width).alias("_block")).applyInPandas(joined, _CELL)
-    return out.groupBy("_conv").applyInPandas(joined, _CELL)       # one cell, or two on both sides of a border
+        out = joined(out, F.floor(F.col("_rank") / width).alias("_block"))
+    return joined(out)          # one cell, or two on both sides of a border
 
 
 def parse(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
