@@ -384,15 +384,12 @@ def _state_parts(spark):
     return max(2, spark.sparkContext.defaultParallelism)
 
 
-_EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
-                  "props string")
-
-
-def _replayed_events(spark, sf_dir, name):
+def _replayed_events(spark, sf_dir, name, run, **how):
+    """Events arrive slice by slice; ``run(stream, out, checkpoint)`` goes on after each.  Returns the output folder."""
     inp, out, ckpt = streams.new_run_paths(spark, name)
-    streams.write_replay(fixtures.table(spark, sf_dir, "events"), "ts", inp, n_files=4)
-    from pyspark.sql.types import _parse_datatype_string
-    return streams.stream_files(spark, inp, _parse_datatype_string(_EVENTS_SCHEMA)), out, ckpt
+    events = fixtures.table(spark, sf_dir, "events")
+    streams.replay(events, "ts", inp, lambda: run(streams.stream_files(spark, inp, events.schema, None), out, ckpt), **how)
+    return out
 
 
 _K1_SQL = """
@@ -478,7 +475,6 @@ __all__ = [
     "sstate",
     "streams",
     "_state_parts",
-    "_EVENTS_SCHEMA",
     "_replayed_events",
     "_K1_SQL",
     "_K6_SQL",

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.chain import GENESIS, record_canon
 from ..operators.workflow import STATE_IDS, transition_matrix
@@ -28,66 +29,78 @@ from ..session import numbered_entries, scratch_path
 
 
 # ---------------------------------------------------------------- replay helpers
-def write_replay(df: DataFrame, ts: str, path: str, n_files: int = 4) -> list[str]:
-    """Replay utility for tests and the registered stream queries: write
-    ``df`` as ``n_files`` parquet folders in event-time order, one write and
-    one file per time slice, so that file modification order follows event
-    time and each slice is exactly one micro-batch (``maxFilesPerTrigger=1``).
-    Each slice is written by one task, which is fine for replaying the
-    fixture tables; a production stream arrives from its own source and
-    never goes through this helper.
-    The slice bounds come from one approximate-quantile pass (1 % rank
-    error: the bounds only need to be roughly even, and an exact quantile
-    would keep every value in the sketch)."""
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    qs = df.select(t.alias("_t")).approxQuantile("_t", [i / n_files for i in range(1, n_files)], 0.01)
-    bounds = [None] + [int(q) for q in qs] + [None]
-    folders = []
-    for i in range(n_files):
+def replay(df: DataFrame, ts: str, path: str, run: Callable[[], None], n_slices: int = 4, jitter_ms: int = 0,
+           key: str | None = None, hold_ms: int | None = None) -> None:
+    """Replay utility for tests and the registered stream queries: ``df`` arrives in ``n_slices`` folders, each written
+    in parallel, and ``run`` continues the stream from its checkpoint after each of them, so a slice is one micro-batch.
+
+    Rows arrive in the order of ``ts``; with ``jitter_ms`` each up to so much later, by a hash of ``key``.  With
+    ``hold_ms`` a last folder holds a heartbeat: the first row without its ``key``, ``hold_ms`` after the end.
+    The slices' bounds come from one approximate-quantile pass (they need only be roughly even)."""
+    spark = df.sparkSession
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    arrival = micros + F.pmod(F.xxhash64(key), F.lit(jitter_ms)) * 1000 if jitter_ms else micros
+    qs = df.select(arrival.alias("_t")).approxQuantile("_t", [i / n_slices for i in range(1, n_slices)], 0.01)
+    bounds = [None, *map(int, qs), None]
+    for i in range(n_slices):
         cond = F.lit(True)
         if bounds[i] is not None:
-            cond = cond & (t > F.lit(bounds[i]))
+            cond = cond & (arrival > F.lit(bounds[i]))
         if bounds[i + 1] is not None:
-            cond = cond & (t <= F.lit(bounds[i + 1]))
-        folder = f"{path}/slice={i:04d}"
-        df.where(cond).coalesce(1).write.parquet(folder)
-        folders.append(folder)
-    return folders
+            cond = cond & (arrival <= F.lit(bounds[i + 1]))
+        df.where(cond).repartitionByRange(spark.sparkContext.defaultParallelism, arrival).write.parquet(f"{path}/slice={i:04d}")
+        run()
+    if hold_ms is not None:
+        end = df.agg(F.max(ts).alias("_end"))
+        late = F.col("_end") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(hold_ms / 1000))
+        beat = df.limit(1).crossJoin(end).select(*[
+            late.cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) if f.name == key
+            else F.col(f.name) for f in df.schema.fields])
+        beat.write.parquet(f"{path}/slice={n_slices:04d}")
+        run()
 
 
-def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-            .option("recursiveFileLookup", "true").parquet(path))
+def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = 1) -> DataFrame:
+    """Files as a stream, ``files_per_batch`` at a time (None: all that are there)."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
-def _start(writer, spark: SparkSession, state_partitions: int | None):
+# Lists, timers and state outside the heap; commits upload what changed.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+           "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+
+
+def _start(writer, spark: SparkSession, state_partitions: int | None, rocksdb: bool = False):
     """Start a query; ``state_partitions`` fixes the number of state-store
     partitions of a new checkpoint (Spark copies the session when a stream
-    starts, so the caller's setting is restored right after)."""
-    if not state_partitions:
-        return writer.start()
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions))
+    starts, so the caller's settings are restored right after)."""
+    settings = dict(ROCKSDB) if rocksdb else {}
+    if state_partitions:
+        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         return writer.start()
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def run_to_folder(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",
                   transform: Callable[[DataFrame, int], DataFrame] | None = None,
-                  state_partitions: int | None = None) -> None:
+                  state_partitions: int | None = None, rocksdb: bool = False) -> None:
     """Run a stream over everything available (``availableNow``), writing
     each micro-batch to ``out/batch=<id>`` (overwrite: a replayed batch
-    replaces itself)."""
+    replaces itself).  ``rocksdb``: for ``settled_states`` and ``settled_chain``."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         b = transform(batch, batch_id) if transform else batch
         b.write.mode("overwrite").parquet(f"{out}/batch={batch_id:08d}")
 
     w = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
          .foreachBatch(sink).trigger(availableNow=True))
-    _start(w, stream.sparkSession, state_partitions).awaitTermination()
+    _start(w, stream.sparkSession, state_partitions, rocksdb).awaitTermination()
 
 
 def read_folder(spark: SparkSession, out: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -199,6 +212,120 @@ def stream_states(stream: DataFrame, ts: str = "ts", delay: str = "1 day",
             .applyInPandasWithState(step, _K3_OUT, _K3_STATE, "update", timeout))
 
 
+class _Settling(StatefulProcessor):
+    """Keeps a key's rows until the watermark has passed them, then settles them in seq order.
+
+    The rows that wait are a list state with one element each, ``settled`` is a value state and one timer stands at the
+    earliest event time that waits.  A row waits for all smaller seq that still wait.  Rows without
+    a seq (heartbeats) only move the watermark."""
+
+    row: str            # schema of a row that waits; seq first, event time in ms last
+    settled: str        # schema of what the settled rows came to; the last seq is its last field
+    start: tuple
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+        self.value = handle.getValueState("settled", self.settled)
+        self.alarm = handle.getValueState("alarm", "at long")
+
+    def settle(self, key: tuple, value: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        """The value after ``rows``, and the rows to emit."""
+        raise NotImplementedError
+
+    def late(self, key: tuple, row: tuple) -> tuple:
+        raise NotImplementedError
+
+    def _set(self, at: int) -> None:
+        if self.alarm.exists():
+            if self.alarm.get()[0] <= at:
+                return
+            self.handle.deleteTimer(self.alarm.get()[0])
+        self.handle.registerTimer(at)
+        self.alarm.update((at,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = (self.value.get() if self.value.exists() else self.start)[-1]
+        new, late = [], []
+        for pdf in rows:
+            for row in pdf[list(self.columns)].itertuples(index=False, name=None):
+                row = tuple(x.item() if hasattr(x, "item") else x for x in row)
+                if row[0] >= 0:
+                    (late if row[0] <= last else new).append(row)
+        if new:
+            self.waiting.appendList(new)
+            self._set(min(row[-1] for row in new))
+        if late:
+            yield self.frame([self.late(key, row) for row in late])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        self.alarm.clear()
+        rows = sorted(self.waiting.get(), key=lambda row: row[0])
+        n = _passed(rows, now)
+        value, out = self.settle(key, self.value.get() if self.value.exists() else self.start, rows[:n])
+        if n:
+            self.value.update(value)
+            if rows[n:]:
+                self.waiting.put(rows[n:])
+            else:
+                self.waiting.clear()
+        if rows[n:]:
+            self._set(min(row[-1] for row in rows[n:] if row[-1] > now))
+        if out:
+            yield self.frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+class _States(_Settling):
+    row, columns = "seq long, to_state string, ms long", ["seq", "to_state", "settle_ms"]
+    settled, start = "state int, accepted long, rejected long, last_seq long", (0, 0, 0, -1)
+    out = "case_id string, seq long, to_state string, from_state string, state string, accepted boolean, late boolean, n_accepted long, n_rejected long"
+
+    def __init__(self, allowed: list[list[int]]):
+        self.allowed = allowed
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in self.out.split(", ")])
+
+    def settle(self, key, value, rows):
+        state, accepted, rejected, last = value
+        out = []
+        for seq, to, _ in rows:
+            before, target = state, STATE_IDS.get(to, 0)
+            after = self.allowed[state][target] if target else -1
+            if after >= 0:
+                state, accepted = int(after), accepted + 1
+            else:
+                rejected += 1
+            last = seq
+            out.append((key[0], seq, to, _STATE_NAMES.get(before), _STATE_NAMES.get(state), after >= 0, False, accepted, rejected))
+        return (state, accepted, rejected, last), out
+
+    def late(self, key, row):
+        return (key[0], row[0], row[1], None, None, False, True, None, None)
+
+
+def settled_states(stream: DataFrame, ts: str = "ts", delay: str = "1 day", allow_reject: bool = False) -> DataFrame:
+    """K3 with one row for each event (append mode): (case_id, seq, to_state, from_state, state, accepted, late,
+    n_accepted, n_rejected), as G4 gives them, once the watermark has passed the event and all of its case before it.  An event
+    that comes after a larger seq of its case has settled is emitted with ``late`` and changes nothing.
+    An event without a seq only moves the watermark.  The state of a case is its settled state and
+    the events of one delay."""
+    s = event_time(stream, ts).withWatermark(ts, delay).withColumn("settle_ms", (F.unix_micros(F.col(ts)) / 1000).cast("long"))
+    s = s.withColumn("seq", F.coalesce(F.col("seq").cast("long"), F.lit(-1)))
+    return s.groupBy("case_id").transformWithStateInPandas(_States(transition_matrix(allow_reject)), _States.out, "append", "eventTime")
+
+
+def settled_finals(settled: DataFrame) -> DataFrame:
+    """Final state per case of the rows that ``settled_states`` emitted."""
+    return settled.where(~F.col("late")).groupBy("case_id").agg(
+        F.max_by(F.struct("state", "n_accepted", "n_rejected"), "seq").alias("s")
+    ).select("case_id", "s.state", F.col("s.n_accepted").alias("accepted"), F.col("s.n_rejected").alias("rejected"))
+
+
 def latest_states(emitted: DataFrame) -> DataFrame:
     """Final state per case from the rows K3 emitted: those of its last version."""
     return emitted.groupBy("case_id").agg(
@@ -239,23 +366,38 @@ def stream_publish(requests: DataFrame, state: DataFrame, exported_path: str, ch
 
 # ---------------------------------------------------------------- K5
 def stream_validate(citations: DataFrame, sources: DataFrame) -> DataFrame:
-    """K5: stateless grounding of streamed citations against a static
-    source table, as a stream-static join (composable streaming DataFrame)."""
+    """K5: grounding of streamed citations against a source table, as a stateless stream-static left join: (case_id,
+    cpos, source_id, status, reason) for each citation.  Of repeated source ids of a case the last by position counts, as in E5."""
     from ..operators.validate import ground_citations
     return ground_citations(citations, sources)
 
 
 def validate_in_batches(citations: DataFrame, sources: DataFrame, out: str, checkpoint: str,
                         state_partitions: int | None = None) -> None:
-    """K5 as a sink: each micro-batch of citations is grounded as a static
-    frame, so the size-checked broadcast of the batch applies and the source
-    texts are read where they lie instead of being shuffled per batch."""
+    """K5 as a sink: each micro-batch of citations is grounded as a static frame, so the optimizer
+    plans every batch by its own size."""
     from ..operators.validate import ground_citations
     run_to_folder(citations, out, checkpoint,
                   transform=lambda batch, _id: ground_citations(batch, sources),
                   state_partitions=state_partitions)
 
 
+def stream_validate_late_sources(citations: DataFrame, sources: DataFrame, within: str, delay: str = "1 hour") -> DataFrame:
+    """K5 when the sources arrive as a stream too: a left outer stream-stream join.  A citation (case_id, cpos, source_id,
+    quote, ts) meets the source (case_id, source_id, text, ts) of its id that comes at most ``within`` before or after it
+    in event time; it is emitted with the source, or as ``unknown_source`` once the watermarks say that none can come.  A source
+    is sent once; both sides' state is bounded by ``within`` and ``delay``."""
+    from ..functions.text import is_blank
+    c = event_time(citations).withWatermark("ts", delay).alias("c")
+    s = event_time(sources).withWatermark("ts", delay).select(
+        F.col("case_id").alias("_case"), F.col("source_id").alias("_source"), "text", F.col("ts").alias("_ts"))
+    near = F.expr(f"_ts >= ts - interval {within} and _ts <= ts + interval {within}")
+    j = c.join(s, (F.col("case_id") == F.col("_case")) & (F.col("source_id") == F.col("_source")) & near, "leftOuter")
+    status = (F.when(F.col("_case").isNull(), F.lit("unknown_source"))
+              .when(is_blank("quote") | ~F.contains("text", F.col("quote")), F.lit("unresolved")).otherwise(F.lit("ok")))
+    return j.select("case_id", "cpos", "source_id", status.alias("status"))
+
+
 # ---------------------------------------------------------------- K6
 def case_sessions(stream: DataFrame, ts: str, key: str, gap: str, delay: str) -> DataFrame:
     """K6: activity sessions per case (events closer than ``gap``); a session
@@ -309,6 +451,36 @@ def stream_chain(stream: DataFrame, ts: str = "ts", delay: str = "1 day") -> Dat
             .applyInPandasWithState(step, _K7_OUT, _K7_STATE, "update", GroupStateTimeout.NoTimeout))
 
 
+class _Chains(_Settling):
+    row, columns = "seq long, canon string, ms long", ["seq", "canon_text", "settle_ms"]
+    settled, start = "tail_hash string, last_seq long", (GENESIS, -1)
+    out = "chain long, seq long, previous_hash string, event_hash string"
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in self.out.split(", ")])
+
+    def settle(self, key, value, rows):
+        tail, last = value
+        out = []
+        for seq, canon, _ in rows:
+            before, tail, last = tail, hashlib.sha256((canon + f"{len(tail)}:{tail}").encode("utf-8")).hexdigest(), seq
+            out.append((key[0], seq, before, tail))
+        return (tail, last), out
+
+    def late(self, key, row):
+        return (key[0], row[0], None, None)
+
+
+def settled_chain(stream: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
+    """K7 with one row for each audit row (append mode): (chain, seq, previous_hash, event_hash), once the watermark has
+    passed it and all of its chain before it.  One that comes after a larger seq of its chain has settled has null hashes;
+    one without a seq only moves the watermark.  The state of a chain is its tail and the rows of one delay."""
+    s = event_time(stream, ts).withWatermark(ts, delay).withColumn("canon_text", record_canon()) \
+        .withColumn("settle_ms", (F.unix_micros(F.col(ts)) / 1000).cast("long"))
+    s = s.withColumn("seq", F.coalesce(F.col("seq").cast("long"), F.lit(-1))).select("chain", "seq", "canon_text", "settle_ms", ts)
+    return s.groupBy("chain").transformWithStateInPandas(_Chains(), _Chains.out, "append", "eventTime")
+
+
 def latest_chain(emitted: DataFrame) -> DataFrame:
     """Each chained row's hashes from the last version that K7 emitted for it."""
     return emitted.groupBy("chain", "seq").agg(
@@ -316,13 +488,6 @@ def latest_chain(emitted: DataFrame) -> DataFrame:
     ).select("chain", "seq", "h.previous_hash", "h.event_hash")
 
 
-def write_unordered(df: DataFrame, key: str, path: str, n_files: int = 4) -> None:
-    """Replay utility: one parallel write of ``n_files`` files, dealt by
-    ``key`` modulo their number, so every micro-batch holds rows of all times."""
-    place = F.pmod(F.col(key), F.lit(n_files))
-    df.repartitionByRange(n_files, place).write.parquet(path)
-
-
 def new_run_paths(spark: SparkSession, name: str) -> tuple[str, str, str]:
     """(input, output, checkpoint) folders for one streaming run."""
     base = scratch_path(spark, name)

@@ -128,3 +128,82 @@ def test_a_stale_case_can_still_be_approved(spark, tmp_path):
     assert "c" in {r.case_id for r in emitted.where("stale").collect()}
     assert {r.case_id: (r.state, r.rejected) for r in streams.latest_states(emitted).collect()} == {
         "c": ("approved", 0), "d": ("approved", 0)}
+
+
+EVENTS = "case_id string, seq long, to_state string, ts timestamp_ntz"
+
+
+def _settled(spark, tmp_path, batches, delay="1 day"):
+    """Rows that ``settled_states`` emits by batch folder, one run for each batch."""
+    inp, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(f"{inp}/b{i}")
+        stream = streams.stream_files(spark, inp, spark.createDataFrame([], EVENTS).schema, None)
+        streams.run_to_folder(streams.settled_states(stream, delay=delay), out, ck, state_partitions=2, rocksdb=True)
+    return streams.read_folder(spark, out)
+
+
+def test_events_settle_once_in_seq_order(spark, tmp_path):
+    """Out of order within the delay, three cases, a late event, and rows that no watermark passes."""
+    hour = dt.timedelta(hours=1)
+    batches = [
+        [("c", 3, "approved", T0 + 3 * hour), ("c", 1, "received", T0 + hour), ("d", 1, "approved", T0)],
+        [("c", 2, "pending_approval", T0 + 2 * hour), ("d", 2, "received", T0 + 2 * hour)],
+        [("e", 1, "received", T0 + 4 * DAY)],                                       # settles c and d
+        [("c", 4, "published", T0 + 5 * DAY), ("d", 1, "received", T0 + 5 * DAY), ("c", 2, "received", T0 + 5 * DAY)],
+        [("x", None, None, T0 + 9 * DAY)],                                          # a heartbeat
+        [("c", 5, "published", T0 + 10 * DAY)],                                     # waits
+    ]
+    out = _settled(spark, tmp_path, batches)
+    rows = sorted((r.case_id, r.seq, r.from_state, r.state, r.accepted) for r in out.where("not late").collect())
+    assert rows == [
+        ("c", 1, None, "received", True), ("c", 2, "received", "pending_approval", True),
+        ("c", 3, "pending_approval", "approved", True), ("c", 4, "approved", "published", True),
+        ("d", 1, None, None, False), ("d", 2, None, "received", True), ("e", 1, None, "received", True)]
+    assert sorted((r.case_id, r.seq) for r in out.where("late").collect()) == [("c", 2), ("d", 1)]
+    assert {r.case_id: (r.state, r.accepted, r.rejected) for r in streams.settled_finals(out).collect()} == {
+        "c": ("published", 4, 0), "d": ("received", 1, 1), "e": ("received", 1, 0)}
+
+
+def test_an_event_waits_for_smaller_ones_that_wait(spark, tmp_path):
+    """Seq 2 is older than seq 1: it settles only when the watermark has passed both."""
+    batches = [[("c", 1, "received", T0 + 3 * DAY), ("c", 2, "pending_approval", T0)],
+               [("d", 1, "received", T0 + 3 * DAY)], [("d", 2, "approved", T0 + 8 * DAY)]]
+    out = _settled(spark, tmp_path, batches)
+    assert sorted((r.case_id, r.seq, r.state) for r in out.collect()) == [
+        ("c", 1, "received"), ("c", 2, "pending_approval"), ("d", 1, "received")]
+
+
+def test_settled_chain_equals_the_batch_chain(spark, tmp_path):
+    from claimtrail.operators import chain
+    inp, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    events = spark.createDataFrame([(c, i, i * 1000, "e", "c", {"k": str(i)}) for c in (1, 2) for i in range(6)],
+                                   "chain long, seq long, ts_us long, event string, case_id string, details map<string,string>")
+    timed = events.withColumn("ts", F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, cast(seq as int))"))
+    beat = timed.limit(1).withColumn("seq", F.lit(None).cast("long")).withColumn("ts", F.expr("timestamp_ntz '2024-02-01 00:00:00'"))
+    for name, rows in (("b1", timed.where("seq in (0, 3)")), ("b2", timed.where("seq in (1, 2, 4)")), ("b3", timed.where("seq = 5")), ("b4", beat)):
+        rows.coalesce(1).write.parquet(f"{inp}/{name}")
+        streams.run_to_folder(streams.settled_chain(streams.stream_files(spark, inp, timed.schema, None)), out, ck, state_partitions=2, rocksdb=True)
+    got = sorted((r.chain, r.seq, r.previous_hash, r.event_hash) for r in streams.read_folder(spark, out).collect())
+    assert got == sorted((r.chain, r.seq, r.previous_hash, r.event_hash) for r in chain.chain_append(events).collect())
+
+
+def test_sources_that_come_late_ground_earlier_citations(spark, tmp_path):
+    cites, sources, out, ck = (str(tmp_path / x) for x in ("cites", "sources", "out", "ck"))
+    c_schema, s_schema = "case_id string, cpos long, source_id string, quote string, ts timestamp", "case_id string, source_id string, text string, ts timestamp"
+    minute = dt.timedelta(minutes=1)
+    batches = [
+        ([("a", 0, "s", "quote", T0), ("a", 1, "t", "other", T0), ("b", 0, "s", " ", T0), ("b", 1, "u", "x", T0)], []),
+        ([], [("a", "s", "a quote here", T0 + 9 * minute), ("a", "t", "nothing", T0 + 9 * minute), ("b", "s", "text", T0 - 9 * minute),
+              ("b", "u", "x", T0 + 50 * minute)]),         # too far away
+        ([("z", 9, "z", "z", T0 + DAY)], [("z", "z", "z", T0 + DAY)]),
+    ]
+    for i, (c, s) in enumerate(batches):
+        spark.createDataFrame(c, c_schema).coalesce(1).write.parquet(f"{cites}/b{i}")
+        spark.createDataFrame(s, s_schema).coalesce(1).write.parquet(f"{sources}/b{i}")
+        joined = streams.stream_validate_late_sources(
+            streams.stream_files(spark, cites, spark.createDataFrame([], c_schema).schema, None),
+            streams.stream_files(spark, sources, spark.createDataFrame([], s_schema).schema, None), "30 minutes")
+        streams.run_to_folder(joined, out, ck, state_partitions=2)
+    got = {(r.case_id, r.cpos): r.status for r in streams.read_folder(spark, out).where("case_id <> 'z'").collect()}
+    assert got == {("a", 0): "ok", ("a", 1): "unresolved", ("b", 0): "unresolved", ("b", 1): "unknown_source"}
