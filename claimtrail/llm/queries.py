@@ -132,3 +132,88 @@ def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations")
     return repair.repair(repair.damaged(talks), originals=talks)
+
+
+_CRC = """xor(list_reduce({bytes},
+           lambda c, b: list_reduce(range(8), lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, b)),
+           4294967295), 4294967295)"""      # CRC-32 of a list of bytes, bit by bit
+
+ORACLES["op11_resample"] = r"""
+WITH words AS (
+  SELECT 0 AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS rid FROM documents
+  UNION ALL
+  SELECT 1, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), NULL FROM benchmark),
+each AS (SELECT side, rid, unnest(w) AS word FROM words),
+tallied AS (SELECT side, rid, word, count(*) AS n FROM each GROUP BY ALL),
+crc AS (
+  SELECT word, @CRC@ % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM tallied)),
+bucketed AS (SELECT side, rid, bucket, sum(n) AS n FROM tallied JOIN crc USING (word) GROUP BY ALL),
+totals AS (SELECT coalesce(sum(n) FILTER (WHERE side = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0) AS t FROM bucketed),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(sum(n) FILTER (WHERE side = 1), 0) + 1) * (any_value(totals.s) + 10000) AS DOUBLE)
+                                              / ((coalesce(sum(n) FILTER (WHERE side = 0), 0) + 1) * (any_value(totals.t) + 10000)))) AS BIGINT) AS gain
+          FROM bucketed, totals GROUP BY bucket),
+weights AS (SELECT rid, sum(n) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)) AS BIGINT) AS weight
+            FROM bucketed JOIN gains USING (bucket) WHERE side = 0 GROUP BY rid),
+scored AS (SELECT doc_id, rid, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+                                                                  / 4294967296))) AS BIGINT) AS score
+           FROM words LEFT JOIN weights USING (rid) WHERE side = 0),
+ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, weight, n_features) AS place, count(*) OVER () AS n
+           FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM ranked
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_features < 20
+""".replace("@CRC@", _CRC.format(
+    bytes="[CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT) FOR i IN range(octet_length(encode(word)))]"))
+
+ORACLES["op13_repair"] = """
+WITH RECURSIVE plain AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS spelt FROM conversations),
+kinds AS (
+  SELECT spelt, @CRC@ % 20 AS kind
+  FROM (SELECT DISTINCT spelt FROM plain)),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM plain JOIN kinds USING (spelt), range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
+faulty AS (
+  SELECT conv_id, turn, role, text, pos, substr(role, 1, 1) AS initial, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM placed),
+marked AS (
+  SELECT *, CASE WHEN body = '' THEN 'b' WHEN again THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM faulty),
+-- states: 0 nothing yet, 1 after s, 2 after u, 3 after ua; one row of the talk after the other, insertions between them
+moves AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) m(p, x, q)),
+closure AS (SELECT * FROM (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 2, 5, 'I'),
+                                  (1, 3, 10, 'II'), (2, 3, 5, 'I'), (3, 2, 5, 'I')) c(p, q, cost, audit)),
+talk AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS pos, q AS state, CAST(cost AS BIGINT) AS cost, audit, [] :: STRUCT(r VARCHAR, x VARCHAR)[] AS rows
+  FROM marked, closure WHERE p = 0
+  UNION ALL
+  SELECT conv_id, pos, state, best.cost, best.audit, best.rows FROM (
+    SELECT t.conv_id, m.pos, c.q AS state, min({'cost': t.cost + e.cost + c.cost, 'audit': t.audit || e.audit || c.audit, 'rows': t.rows || e.rows ||
+             CASE c.audit WHEN 'I' THEN CASE c.q WHEN 2 THEN [{'r': 'user', 'x': ''}] ELSE [{'r': 'assistant', 'x': ''}] END
+                          WHEN 'II' THEN [{'r': 'user', 'x': ''}, {'r': 'assistant', 'x': ''}] ELSE [] END}) AS best
+    FROM talk t JOIN marked m ON m.conv_id IS NOT DISTINCT FROM t.conv_id AND m.pos = t.pos + 1,
+    LATERAL (SELECT t.state AS q, 2 AS cost, 'D' AS audit, [] :: STRUCT(r VARCHAR, x VARCHAR)[] AS rows
+             UNION ALL SELECT q, CASE m.fault WHEN 't' THEN 5 ELSE 0 END, 'K', [{'r': m.role, 'x': m.text}] FROM moves
+                       WHERE p = t.state AND x = m.initial AND m.fault NOT IN ('b', 'd')
+             UNION ALL SELECT q, CASE m.fault WHEN 't' THEN 6 ELSE 1 END, 'R', [{'r': CASE x WHEN 'u' THEN 'user' ELSE 'assistant' END, 'x': m.text}] FROM moves
+                       WHERE p = t.state AND x IN ('u', 'a') AND m.fault NOT IN ('b', 'd')) e
+    JOIN closure c ON c.p = e.q GROUP BY t.conv_id, m.pos, c.q)),
+counted AS (
+  SELECT conv_id, count(*) AS n, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+         count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+         count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id),
+ended AS (SELECT t.conv_id, min({'cost': t.cost, 'audit': t.audit, 'rows': t.rows}) AS best
+          FROM talk t JOIN counted n ON n.conv_id IS NOT DISTINCT FROM t.conv_id AND n.n = t.pos WHERE state IN (0, 3) GROUP BY t.conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit,
+       sha256(coalesce(array_to_string([r.r || ':' || r.x FOR r IN best.rows], chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+""".replace("@CRC@", _CRC.format(bytes="[CAST(ascii(substr(spelt, i, 1)) AS BIGINT) FOR i IN range(1, length(spelt) + 1)]"))
