@@ -198,6 +198,38 @@ def q_a9(spark, sf_dir):
         "case_id", "case_fingerprint", "state", F.coalesce("refused", F.lit(False)).alias("refused"))
 
 
+@register("A9_commit_updates", f"""
+WITH {_SNAPSHOT},
+  s AS (SELECT *, CAST(substring(case_id, 6) AS BIGINT) AS uid FROM snap),
+  first AS (SELECT * FROM s WHERE uid % 3 <> 0),
+  one AS (SELECT coalesce(f.case_id, u.case_id) AS case_id,
+                 CASE WHEN u.case_id IS NOT NULL AND NOT (f.case_id IS NOT NULL AND u.uid % 5 = 0) THEN 'approved' ELSE f.state END AS state,
+                 CASE WHEN f.case_id IS NULL AND u.uid % 5 = 0 THEN sha256('other') ELSE coalesce(f.case_fingerprint, u.case_fingerprint) END AS fp
+          FROM first f FULL OUTER JOIN (SELECT * FROM s WHERE uid % 2 = 0) u ON u.case_id = f.case_id),
+  two AS (SELECT coalesce(o.case_id, u.case_id) AS case_id, coalesce(o.fp, u.case_fingerprint) AS fp,
+                 CASE WHEN u.case_id IS NOT NULL AND NOT coalesce(o.fp <> u.case_fingerprint, false) THEN 'failed' ELSE o.state END AS state
+          FROM one o FULL OUTER JOIN (SELECT * FROM s WHERE uid % 7 = 0) u ON u.case_id = o.case_id)
+SELECT case_id, fp AS case_fingerprint, state, CAST(3 AS BIGINT) AS version, true AS second_writer_refused FROM two
+""")
+def q_a9c(spark, sf_dir):
+    """Two writers judge their updates against version 1.  The first commits; the
+    second is refused, reads version 2, judges again and commits version 3."""
+    snap = fixtures.state_snapshot(spark, sf_dir)
+    uid = F.substring("case_id", 6, 100).cast("bigint")
+    mine = snap.where(uid % 2 == 0).withColumn("state", F.lit("approved")).withColumn(
+        "case_fingerprint", F.when(uid % 5 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("case_fingerprint")))
+    theirs = snap.where(uid % 7 == 0).withColumn("state", F.lit("failed"))
+    root = scratch_path(spark, "commits")
+    base, _ = sstate.commit_updates(spark, root, snap.where(uid % 3 != 0), 0)
+    sstate.commit_updates(spark, root, mine, base)
+    try:
+        version, refused = sstate.commit_updates(spark, root, theirs, base)[0], False
+    except sstate.StateConflict:
+        version, refused = sstate.commit_updates(spark, root, theirs, sstate.committed_version(spark, root))[0], True
+    return sstate.read_commits(spark, root).select("case_id", "case_fingerprint", "state", F.lit(version).cast("bigint").alias("version"),
+                                                   F.lit(refused).alias("second_writer_refused"))
+
+
 @register("A10_export_approved", f"""
 WITH {_SNAPSHOT},
   ap AS (SELECT case_id, risk, reviewer, case_fingerprint || ':' || assessment_fp AS k,

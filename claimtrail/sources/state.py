@@ -5,10 +5,17 @@ every upsert writes a complete new version ``<root>/v=<N>`` and then adds the
 marker ``<root>/_CURRENT/<N>``.  Readers pin a version; a plan never overwrites
 the folder it reads.  A crashed writer leaves a version folder without a
 marker, and the previous version stays current.
+
+With several writers the state is kept as commits instead: each adds a folder
+with the changed cases only and names the version it was judged against; of two
+writers on one version the second is refused.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,25 +31,30 @@ MSG_CONFLICT = "case_id already exists with a different evidence fingerprint"
 
 
 # ---------------------------------------------------------------- A9
-def upsert_state(state: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """An update whose case is stored with another fingerprint is refused;
+def judged_updates(state: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A9's rule: an update whose case is stored with another fingerprint is refused;
     of a new case's updates the first (lowest ``updated_seq``) sets the
-    fingerprint and those with another one are refused.  Of the valid updates
-    of a case the latest wins.  Returns (new state, refused updates)."""
+    fingerprint and those with another one are refused.  Returns (the latest valid update of each case, refused updates)."""
     stored = state.select("case_id", F.col("case_fingerprint").alias("_stored"))
     first = updates.groupBy("case_id").agg(F.min_by("case_fingerprint", F.struct("updated_seq", "case_fingerprint")).alias("_first"))
     owner = first.join(stored, "case_id", "left").select("case_id", F.coalesce("_stored", "_first").alias("_owner"))
     judged = updates.join(owner, "case_id").withColumn("_ok", F.col("case_fingerprint").eqNullSafe(F.col("_owner")))
     latest = judged.where("_ok").groupBy("case_id").agg(
         F.max_by(F.struct(*[c for c in updates.columns if c != "case_id"]), "updated_seq").alias("_u")).select("case_id", "_u.*")
+    refused = judged.where(~F.col("_ok")).select(
+        "case_id", F.col("case_fingerprint").alias("attempted_fingerprint"), F.col("_owner").alias("stored_fingerprint"),
+        F.lit(MSG_CONFLICT).alias("reason"))
+    return latest, refused
+
+
+def upsert_state(state: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The state after ``judged_updates``, and the refused ones: (new state, refused updates)."""
+    latest, refused = judged_updates(state, updates)
     old = state.select(*[F.col(c).alias(f"_o_{c}") if c != "case_id" else F.col(c) for c in state.columns])
     j = old.join(latest, "case_id", "full_outer")
     cols = [c for c in state.columns if c != "case_id"]
     new_state = j.select("case_id", *[F.when(F.col("updated_seq").isNotNull(), F.col(c)).otherwise(F.col(f"_o_{c}")).alias(c)
                                       for c in cols])
-    refused = judged.where(~F.col("_ok")).select(
-        "case_id", F.col("case_fingerprint").alias("attempted_fingerprint"), F.col("_owner").alias("stored_fingerprint"),
-        F.lit(MSG_CONFLICT).alias("reason"))
     return new_state, refused
 
 
@@ -72,6 +84,79 @@ def write_state(spark: SparkSession, df: DataFrame, root: str) -> int:
     return v
 
 
+# -- commits ---------------------------------------------------------------
+class StateConflict(RuntimeError):
+    """Another writer has committed on the expected version."""
+
+
+def _commits(root: str) -> str:
+    return f"{root.rstrip('/')}/_COMMITS"
+
+
+def committed_version(spark: SparkSession, root: str) -> int:
+    """The last commit's number, 0 before the first."""
+    return max(numbered_entries(spark, _commits(root)), default=0)
+
+
+def _folders(spark: SparkSession, root: str, version: int) -> list[str]:
+    """The data folders that make up a version, oldest first."""
+    if not version:
+        return []
+    return [r["value"] for r in spark.read.text(f"{_commits(root)}/{version}").collect()]
+
+
+def _publish(spark: SparkSession, root: str, version: int, folders: list[str]) -> None:
+    """Creates the commit's file, which fails if it is there: of several writers on one version one wins.
+    (The file system must create without overwriting in one step, as HDFS does.)"""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{_commits(root)}/{version}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(path, False)
+    except Exception as error:
+        if fs.exists(path):
+            raise StateConflict(f"version {version} is committed already") from error
+        raise
+    out.write(bytearray("\n".join(folders).encode()))
+    out.close()
+
+
+def read_commits(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
+    """A committed version (default: the last): of each case the row of the newest folder that has one."""
+    folders = _folders(spark, root, committed_version(spark, root) if version is None else version)
+    if not folders:
+        return None
+    parts = [spark.read.parquet(f"{root.rstrip('/')}/{f}").withColumn("_n", F.lit(i)) for i, f in enumerate(folders)]
+    if len(parts) == 1:
+        return parts[0].drop("_n")
+    whole = reduce(DataFrame.unionByName, parts)
+    cols = [c for c in whole.columns if c not in ("case_id", "_n")]
+    return whole.groupBy("case_id").agg(F.max_by(F.struct(*cols), "_n").alias("_r")).select("case_id", "_r.*")
+
+
+def commit_updates(spark: SparkSession, root: str, updates: DataFrame, expected: int) -> tuple[int, DataFrame]:
+    """A9 with several writers: (new version, refused updates).  Only the cases that change are written, to a folder of
+    their own; no file of an earlier version is touched.  The commit names the folders of ``expected``
+    and the new one; if another writer has committed on ``expected`` meanwhile it raises ``StateConflict``, and
+    the caller reads the newer version and judges again.  ``compact`` puts the folders together from time to time."""
+    if committed_version(spark, root) != expected:
+        raise StateConflict(f"expected version {expected}, found {committed_version(spark, root)}")
+    state = read_commits(spark, root, expected)
+    latest, refused = judged_updates(updates.limit(0) if state is None else state, updates)
+    folder = f"data/{uuid.uuid4().hex}"
+    latest.write.parquet(f"{root.rstrip('/')}/{folder}")
+    _publish(spark, root, expected + 1, [*_folders(spark, root, expected), folder])
+    return expected + 1, refused
+
+
+def compact(spark: SparkSession, root: str, expected: int) -> int:
+    """The rows of ``expected`` in one new folder, as the next version; older versions stay readable."""
+    folder = f"data/{uuid.uuid4().hex}"
+    read_commits(spark, root, expected).write.parquet(f"{root.rstrip('/')}/{folder}")
+    _publish(spark, root, expected + 1, [folder])
+    return expected + 1
+
+
 # ---------------------------------------------------------------- A10
 def export_approved(approved: DataFrame, exported: DataFrame, destination: str = "handoff") -> DataFrame:
     """A10: approved(case_id, idempotency_key[, reviewer]) against already

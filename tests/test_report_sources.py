@@ -152,3 +152,34 @@ def test_duration_wording(spark):
     got = {r.repository_id: r.summary_md for r in report.management_summary(df).collect()}
     assert "| triage, s | 0.1 |" in got["a"] and "| triage, s | 1.5 |" in got["b"] and "| triage, s | - |" in got["c"]
     assert "| audit chain intact | no |" in got["a"]
+
+
+def _files(root):
+    import pathlib
+    return {str(p) for p in pathlib.Path(root).rglob("*.parquet")}
+
+
+def test_commits_refuse_a_second_writer_and_keep_old_files(spark, tmp_path):
+    """Of two writers on one version the second is refused, also one that had checked before the first
+    committed; 1 % of the cases rewrites no file."""
+    import pytest
+    root = str(tmp_path / "commits")
+    cases = spark.range(1000).selectExpr(
+        "concat('c', id) as case_id", "concat('f', id) as case_fingerprint", "'received' as state", "id as updated_seq")
+    assert sstate.read_commits(spark, root) is None and sstate.committed_version(spark, root) == 0
+    version, refused = sstate.commit_updates(spark, root, cases, 0)
+    assert version == 1 and refused.count() == 0
+    before = _files(root)
+    some = cases.where("updated_seq % 100 = 0").withColumn("state", F.lit("approved")).withColumn("updated_seq", F.lit(5000).cast("long"))
+    other = some.withColumn("state", F.lit("failed")).withColumn("case_fingerprint", F.lit("x"))
+    assert sstate.commit_updates(spark, root, some, 1)[0] == 2
+    with pytest.raises(sstate.StateConflict):
+        sstate.commit_updates(spark, root, other, 1)
+    with pytest.raises(sstate.StateConflict):
+        sstate._publish(spark, root, 2, ["data/late"])
+    version, refused = sstate.commit_updates(spark, root, other, 2)
+    assert version == 3 and refused.count() == 10                       # other fingerprints
+    assert before <= _files(root)
+    states = lambda v: {r.state: r["count"] for r in sstate.read_commits(spark, root, v).groupBy("state").count().collect()}
+    assert states(1) == {"received": 1000} and states(2) == states(3) == {"received": 990, "approved": 10}
+    assert sstate.compact(spark, root, 3) == 4 and states(None) == states(3) and len(sstate._folders(spark, root, 4)) == 1
