@@ -88,24 +88,8 @@ def chain_append(events: DataFrame, chain: str = "chain", seq: str = "seq",
     return ordered.mapInPandas(fold, out_schema)
 
 
-def chain_verify(audit: DataFrame, chain: str = "chain", seq: str = "seq",
-                 num_partitions: int | None = None) -> DataFrame:
-    """Per chain (valid, first_bad_seq, n).
-
-    A row is good when its recomputed hash equals ``event_hash`` and its
-    ``previous_hash`` equals the predecessor's hash (genesis for the first
-    row); a row with a missing field is bad, and so is every later row of a null chain
-    that is not a first one.  Rows are laid out in ranges over (chain, seq); each range
-    gets the last row of the one before it, so links are checked in place, and only one
-    row for each chain and batch is shuffled afterwards.  A chain without rows has
-    no output row and counts as valid.
-    """
-    a = audit.withColumn(
-        "_self_ok",
-        F.coalesce(F.sha2(F.concat(record_canon(), canon("previous_hash")), 256) == F.col("event_hash"),
-                   F.lit(False)))
-    # only what the link check needs goes through the checkpoint
-    narrow = a.select(F.col(chain).alias("_chain"), F.col(seq).cast("bigint").alias("_seq"), "previous_hash", "event_hash", "_self_ok")
+def _links(narrow: DataFrame, chain: str, num_partitions: int | None = None) -> DataFrame:
+    """Per chain (valid, bad, n) of ``(_chain, _seq, previous_hash, event_hash, _self_ok)``: ``bad`` is the first bad seq."""
     laid = global_rank(narrow, ["_chain", "_seq"], "_rk", num_partitions, keep_partition="_range").df
     ends = laid.groupBy("_range").agg(F.max_by(F.struct("_chain", "event_hash"), "_rk").alias("_end")).collect()    # one row for each range
     halo: dict[int, tuple] = {}
@@ -134,7 +118,28 @@ def chain_verify(audit: DataFrame, chain: str = "chain", seq: str = "seq",
 
     out = T.StructType([T.StructField(chain, narrow.schema["_chain"].dataType), T.StructField("_bad", T.LongType()), T.StructField("_n", T.LongType())])
     found = laid.select("_chain", "_seq", "previous_hash", "event_hash", "_self_ok", "_range").mapInPandas(check, out)
-    return found.groupBy(chain).agg(F.max("_bad").isNull().alias("valid"), F.min("_bad").alias("first_bad_seq"), F.sum("_n").alias("n"))
+    return found.groupBy(chain).agg(F.max("_bad").isNull().alias("valid"), F.min("_bad").alias("bad"), F.sum("_n").alias("n"))
+
+
+def chain_verify(audit: DataFrame, chain: str = "chain", seq: str = "seq",
+                 num_partitions: int | None = None) -> DataFrame:
+    """Per chain (valid, first_bad_seq, n).
+
+    A row is good when its recomputed hash equals ``event_hash`` and its
+    ``previous_hash`` equals the predecessor's hash (genesis for the first
+    row); a row with a missing field is bad, and so is every later row of a null chain
+    that is not a first one.  Rows are laid out in ranges over (chain, seq); each range
+    gets the last row of the one before it, so links are checked in place, and only one
+    row for each chain and batch is shuffled afterwards.  A chain without rows has
+    no output row and counts as valid.
+    """
+    a = audit.withColumn(
+        "_self_ok",
+        F.coalesce(F.sha2(F.concat(record_canon(), canon("previous_hash")), 256) == F.col("event_hash"),
+                   F.lit(False)))
+    # only what the link check needs goes through the checkpoint
+    narrow = a.select(F.col(chain).alias("_chain"), F.col(seq).cast("bigint").alias("_seq"), "previous_hash", "event_hash", "_self_ok")
+    return _links(narrow, chain, num_partitions).withColumnRenamed("bad", "first_bad_seq")
 
 
 def chain_tail(audit: DataFrame, chain: str = "chain", seq: str = "seq") -> DataFrame:
@@ -191,18 +196,8 @@ def foreign_chain_verify(lines: DataFrame, file_col: str = "file", line_col: str
                          text_col: str = "line") -> DataFrame:
     """B4 for JSONL audit files in the single-chain-per-file JSON format:
     ``lines(file, line_no, line)`` (from A4).  Per file (valid,
-    first_bad_line, n); a malformed line is invalid."""
-    parsed = lines.select(file_col, line_col, _foreign_line(F.col(text_col)).alias("p"))
+    first_bad_line, n); a malformed line is invalid, and so is the one after it.  Links are checked as in ``chain_verify``."""
+    parsed = lines.select(F.col(file_col).alias("_chain"), F.col(line_col).cast("bigint").alias("_seq"), _foreign_line(F.col(text_col)).alias("p"))
     ok_self = F.coalesce(F.col("p.parsed") & (F.col("p.recomputed") == F.col("p.event_hash")), F.lit(False))
-    a = parsed.select(file_col, line_col, ok_self.alias("_self_ok"),
-                      F.col("p.event_hash").alias("event_hash"), F.col("p.previous_hash").alias("previous_hash"))
-    pred = a.select(F.col(file_col).alias("_f"), (F.col(line_col) + 1).alias("_ln"),
-                    F.col("event_hash").alias("_pred_hash"))
-    j = a.join(pred, (a[file_col] == pred["_f"]) & (a[line_col] == pred["_ln"]), "left")
-    first_line = a.groupBy(file_col).agg(F.min(line_col).alias("_first"))
-    j = j.join(first_line, file_col)
-    expected_prev = F.when(F.col(line_col) == F.col("_first"), F.lit(GENESIS)).otherwise(F.col("_pred_hash"))
-    ok = F.col("_self_ok") & F.coalesce(F.col("previous_hash") == expected_prev, F.lit(False))
-    return j.groupBy(file_col).agg(F.bool_and(ok).alias("valid"),
-                                   F.min(F.when(~ok, F.col(line_col))).alias("first_bad_line"),
-                                   F.count(F.lit(1)).alias("n"))
+    narrow = parsed.select("_chain", "_seq", "p.previous_hash", "p.event_hash", ok_self.alias("_self_ok"))
+    return _links(narrow, file_col).withColumnRenamed("bad", "first_bad_line")

@@ -440,3 +440,38 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when((F.col("turn") == 0) & (F.col("conv_id") % 4 == 0), F.col("text")).otherwise(body)
     return c.select(F.col("conv_id").cast("string").alias("case_id"), (F.col("turn") + 1).alias("attempt"),
                     content.alias("content"))
+
+
+# ------------------------------------------------------------ files of other systems
+def foreign_audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, pos, value): one audit file for each conversation as another system writes it, a
+    JSON line for each turn with nested details, chained by SHA-256.  In some files the
+    first line's text was changed afterwards, others end in a line that is no JSON."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+
+    def write(pdf):
+        import hashlib
+        import json
+
+        import pandas as pd
+        rows, previous, conv = [], "0" * 64, int(pdf["conv_id"].iloc[0])
+        for i, r in enumerate(pdf.sort_values("turn").itertuples(index=False)):
+            record = {"timestamp": f"2024-01-01T00:00:{i:02d}+00:00", "event": r.role, "case_id": str(conv), "previous_hash": previous,
+                      "details": {"text": r.text, "turn": int(r.turn), "nested": {"b": [1, 2.5, None], "a": {"é": True, "\"": "\\"}}}}
+            previous = hashlib.sha256(json.dumps(record, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+            if conv % 7 == 3 and i == 0:
+                record["details"]["text"] += "!"
+            rows.append((conv, i, json.dumps(record | {"event_hash": previous}, sort_keys=True)))
+        if conv % 11 == 5:
+            rows.append((conv, len(rows), "not-json"))
+        return pd.DataFrame(rows, columns=["conv_id", "pos", "value"])
+
+    return c.groupBy("conv_id").applyInPandas(write, "conv_id long, pos long, value string")
+
+
+def word_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each long lower-case word of the benchmark texts: the word and the letters after it."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).distinct()
+    return words.where(F.col("w").rlike("^[a-z]{8,}$")).select(
+        F.concat(F.lit("word-"), "w").alias("rule_id"), F.concat("w", F.lit("[a-z]*")).alias("pattern"), F.lit("low").alias("severity"),
+        F.concat(F.lit("contains "), "w").alias("message"), F.col("w").alias("literal"))

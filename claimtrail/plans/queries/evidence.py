@@ -179,6 +179,22 @@ def q_d10(spark, sf_dir):
     return hits.select("text_id", "rule_id", "observation_id", "severity", "match_index", "match_length")
 
 
+@register("D10_rule_table", """
+WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark),
+  r AS (SELECT w FROM w WHERE regexp_matches(w, '^[a-z]{8,}$')),
+  m AS (SELECT doc_id, w, regexp_extract_all(text, w || '[a-z]*') AS m FROM documents JOIN r ON contains(text, w)),
+  u AS (SELECT doc_id, w, unnest(m) AS mt, generate_subscripts(m, 1) AS idx FROM m)
+SELECT doc_id AS text_id, 'word-' || w AS rule_id, 'rule:word-' || w || ':' || CAST(doc_id AS VARCHAR) || ':' || CAST(idx AS VARCHAR) AS observation_id,
+       CAST(idx AS BIGINT) AS match_index, CAST(length(mt) AS BIGINT) AS match_length
+FROM u
+""")
+def q_d10t(spark, sf_dir):
+    """A rule for each long word of the benchmark texts, given as a table."""
+    docs = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    hits = evidence.rule_table_scan(docs, fixtures.word_rules(spark, sf_dir))
+    return hits.select("text_id", "rule_id", "observation_id", "match_index", "match_length")
+
+
 @register("D11_scan_status", f"""
 WITH e AS (SELECT event_id, {_SCANNER} AS scanner, user_id % 3 AS rc, value >= 5 AS present FROM events)
 SELECT event_id, scanner, CAST(rc AS BIGINT) AS return_code,

@@ -119,6 +119,24 @@ def q_j5(spark, sf_dir):
     return report.latency(ev).withColumnRenamed("p50", "p50").select("name", "count", "last", "p50", "p95")
 
 
+@register("J5_latency_levels", """
+SELECT event_type AS name, CAST(ts AS DATE) AS day, count(*) AS count, true AS p50_ok, true AS p95_ok FROM events GROUP BY ALL
+UNION ALL SELECT event_type, NULL, count(*), true, true FROM events GROUP BY 1
+""")
+def q_j5l(spark, sf_dir):
+    """Daily and total percentiles from merged sketches, each held against the exact ranks
+    of its value (``RANK_ERROR``)."""
+    ev = fixtures.table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("value").alias("duration_ms"), "ts")
+    levels = report.latency_levels(report.latency_sketches(ev))
+    rows = ev.select("name", F.explode(F.array(F.to_date("ts"), F.lit(None).cast("date"))).alias("day"), "duration_ms")
+    j = rows.join(levels, (rows["name"] == levels["name"]) & rows["day"].eqNullSafe(levels["day"])).drop(rows["name"], rows["day"])
+
+    def ok(p, q):
+        below, upto = (F.avg(c.cast("double")) for c in (F.col("duration_ms") < F.col(p), F.col("duration_ms") <= F.col(p)))
+        return ((below - report.RANK_ERROR <= q) & (q <= upto + report.RANK_ERROR)).alias(f"{p}_ok")
+    return j.groupBy("name", "day", "count").agg(ok("p50", 0.5), ok("p95", 0.95))
+
+
 # every kind of audit event the rates need, from the events table
 _SLI_EVENT = f"""CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'provider_retry'
        WHEN event_type = 'signup' AND event_id % 5 = 0 THEN 'input_rejected'

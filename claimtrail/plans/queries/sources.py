@@ -167,6 +167,52 @@ def q_a7(spark, sf_dir):
     return evaluate.train_curve(log).withColumn("mean_loss", F.round("mean_loss", 6))
 
 
+@register("A4_foreign_audit", """
+SELECT conv_id, conv_id % 7 <> 3 AND conv_id % 11 <> 5 AS valid,
+       CASE WHEN conv_id % 7 = 3 THEN 1 WHEN conv_id % 11 = 5 THEN count(*) + 1 END AS first_bad_line,
+       count(*) + CASE WHEN conv_id % 11 = 5 THEN 1 ELSE 0 END AS n
+FROM conversations GROUP BY conv_id
+""")
+def q_a4f(spark, sf_dir):
+    """Audit files of another system, one for each conversation: read line by line
+    (A4), canonical JSON with nesting and escapes (B6), links verified (B4)."""
+    path = scratch_path(spark, "foreign")
+    lines = fixtures.foreign_audit_lines(spark, sf_dir).withColumn("conv", F.col("conv_id"))
+    lines.repartition("conv").sortWithinPartitions("conv", "pos").select("conv", "value").write.partitionBy("conv").text(path)
+    found = chainops.foreign_chain_verify(sio.read_lines(spark, path))
+    return found.select(F.regexp_extract("file", r"conv=(-?[0-9]+)/", 1).cast("bigint").alias("conv_id"), "valid", "first_bad_line", "n")
+
+
+@register("A6_content_hash", """
+SELECT 'item=' || CAST(item_id AS VARCHAR) AS label, CAST(strlen(text) + 1 AS BIGINT) AS bytes, sha256(text || chr(10)) AS sha256 FROM benchmark
+""")
+def q_a6h(spark, sf_dir):
+    """One file for each benchmark text: the manifest's sizes and content hashes."""
+    path = scratch_path(spark, "items")
+    b = fixtures.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("value"))
+    b.write.partitionBy("item").text(path)
+    found = sio.file_manifest(spark, path, extensions=(".txt",))
+    return found.where(F.col("path").startswith(F.concat("label", F.lit("/")))).select("label", "bytes", "sha256")
+
+
+@register("A7_text_log", """
+SELECT user_id AS run, count(*) AS n, round(sum(value / 100), 6) AS loss, max(rn) * 2 AS last_line
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) GROUP BY user_id
+""")
+def q_a7t(spark, sf_dir):
+    """Text logs, one for each user: progress lines and dictionaries with the loss."""
+    path = scratch_path(spark, "logs")
+    ev = fixtures.table(spark, sf_dir, "events")
+    lines = ev.select(F.col("user_id").alias("run"), "event_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("i"), F.concat(F.col("event_id").cast("string"), F.lit("%|##| 'loss pending'")).alias("value")),
+        F.struct(F.lit(1).alias("i"), F.concat(F.lit("{'loss': "), (F.col("value") / 100).cast("string"), F.lit(", 'epoch': 1}")).alias("value")))).alias("l"))
+    lines.repartition("run").sortWithinPartitions("run", "event_id", "l.i").select("run", "l.value").write.partitionBy("run").text(path)
+    log = sio.read_text_log(spark, path)
+    run = F.regexp_extract("file", r"run=(-?[0-9]+)/", 1).cast("bigint")
+    return log.groupBy(run.alias("run")).agg(F.count("*").cast("bigint").alias("n"), F.round(F.sum("loss"), 6).alias("loss"),
+                                             F.max("line_no").cast("bigint").alias("last_line"))
+
+
 @register("A9_upsert_state", f"""
 WITH {_SNAPSHOT},
   st AS (SELECT * FROM snap WHERE CAST(substring(case_id, 6) AS BIGINT) % 3 <> 0),

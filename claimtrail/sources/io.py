@@ -160,13 +160,15 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------- A6
 def file_manifest(spark: SparkSession, root: str, extensions: Sequence[str] = IMAGE_EXTENSIONS) -> DataFrame:
     """Path relative to ``root``, label (= parent folder), bytes and
-    SHA-256 of every file whose extension matches (case-insensitive)."""
-    ext = "|".join(e.lstrip(".").replace(".", r"\.") for e in extensions)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = files.where(F.lower(F.col("path")).rlike(rf"\.({ext})$"))
-    rel = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
-    return files.select(rel.alias("path"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("label"),
-                        F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    SHA-256 of every file whose extension matches (case-insensitive); other files are not listed."""
+    any_case = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e.lstrip("."))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.{" + ",".join(map(any_case, extensions)) + "}").load(root))
+    top = root.rstrip("/") + "/"
+    rel = F.expr("substring(path, instr(path, top) + length(top))")
+    return files.withColumn("top", F.lit(top)).select(
+        rel.alias("path"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("label"),
+        F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 # ---------------------------------------------------------------- A7
