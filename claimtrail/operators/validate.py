@@ -200,11 +200,17 @@ def ground_citations(citations: DataFrame, sources: DataFrame) -> DataFrame:
     any of its texts holds the quote, so no citation multiplies.
     """
     c = citations.select("case_id", "cpos", "source_id", "quote")
-    s = sources.select("case_id", "source_id", F.col("text").alias("_text"), F.lit(True).alias("_known"))
-    unresolved = is_blank("quote") | ~F.coalesce(F.col("_text").contains(F.col("quote")), F.lit(False))
-    rank = F.when(F.col("_known").isNull(), 0).when(unresolved, 1).otherwise(2)
-    j = c.join(s, ["case_id", "source_id"], "left").select("case_id", "cpos", "source_id", rank.alias("_rank"))
-    if not c.isStreaming:       # a stream meets sources that rule E1 has passed
+    if c.isStreaming:       # no aggregate over the stream: the static side has one row for an id instead
+        s = sources.groupBy("case_id", "source_id").agg(F.collect_set("text").alias("_texts"))
+        j = c.join(s, ["case_id", "source_id"], "left")
+        held = F.coalesce(F.exists("_texts", lambda t: t.contains(F.col("quote"))), F.lit(False))
+        rank = F.when(F.col("_texts").isNull(), 0).when(is_blank("quote") | ~held, 1).otherwise(2)
+        j = j.select("case_id", "cpos", "source_id", rank.alias("_rank"))
+    else:
+        s = sources.select("case_id", "source_id", F.col("text").alias("_text"), F.lit(True).alias("_known"))
+        unresolved = is_blank("quote") | ~F.coalesce(F.col("_text").contains(F.col("quote")), F.lit(False))
+        rank = F.when(F.col("_known").isNull(), 0).when(unresolved, 1).otherwise(2)
+        j = c.join(s, ["case_id", "source_id"], "left").select("case_id", "cpos", "source_id", rank.alias("_rank"))
         j = j.groupBy("case_id", "cpos", "source_id").agg(F.max("_rank").alias("_rank"))
     names = F.array(F.lit("unknown_source"), F.lit("unresolved"), F.lit("ok"))
     j = j.select("case_id", "cpos", "source_id", F.element_at(names, F.col("_rank") + 1).alias("status"))

@@ -74,16 +74,19 @@ def _flag_severity() -> "F.Column":
 
 def observations(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
     """One observation per line item; report = supplier (repository);
-    ``pos`` is the report order (order, line, part).  ``materialize`` writes
-    the table once as a reliable checkpoint for plans that read it several
+    ``pos`` is the report order (order, line, part), from one global rank, so a
+    supplier of any size is split over tasks.  ``materialize`` writes
+    the whole table once as a reliable checkpoint for plans that read it several
     times (selection, summary, fingerprint, metrics)."""
-    from pyspark.sql import Window
-    li = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    obs = li.select(
+    from ..functions.rank import global_rank, rank_within
+    from ..session import checkpoint_root
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_discount", "l_quantity")
+    ranked = global_rank(li, ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"], "_rank").df
+    obs = rank_within(ranked, ["l_suppkey"], "_rank", "_pos", None).select(
         F.lit("eng-1").alias("engagement_id"),
         F.concat(F.lit("repo-"), F.col("l_suppkey").cast("string")).alias("repository_id"),
-        (F.row_number().over(w) - 1).cast("bigint").alias("pos"),
+        (F.col("_pos") - 1).cast("bigint").alias("pos"),
         F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
                     F.col("l_partkey").cast("string")).alias("observation_id"),
         F.concat(F.lit("flag-"), F.col("l_returnflag")).alias("check"),
@@ -94,7 +97,6 @@ def observations(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
                  F.lit(" \"units\"")).alias("message"),
     )
     if materialize:
-        from ..session import checkpoint_root
         checkpoint_root(spark)
         obs = obs.checkpoint(eager=True)
     return obs

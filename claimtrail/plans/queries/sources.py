@@ -126,9 +126,8 @@ def q_a5m(spark, sf_dir):
     tr = fixtures.measurement_truth(spark, sf_dir)
     p1, p2 = scratch_path(spark, "results"), scratch_path(spark, "truth")
     res.write.option("header", True).csv(p1)
-    tr.select("object", "true_mm").write.option("header", True).csv(p2)
-    truth = sio.read_truth(spark, p2).join(tr.select("object", "truth_pos"), "object")
-    errs = measure.measurement_errors(sio.read_measurements(spark, p1), truth)
+    tr.orderBy("truth_pos").select("object", "true_mm").write.option("header", True).csv(p2)
+    errs = measure.measurement_errors(sio.read_measurements(spark, p1), sio.read_truth(spark, p2))
     return _round_summary(measure.error_summary(errs))
 
 

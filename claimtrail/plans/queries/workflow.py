@@ -37,7 +37,7 @@ def q_g4r(spark, sf_dir):
     depends on the data's own partition numbers, not on the tasks'."""
     ev = fixtures.transitions(spark, sf_dir)
     odd = F.pmod(F.xxhash64("case_id"), F.lit(2)) == 1
-    return workflow.fold_states(ev.where(~odd)).unionByName(workflow.fold_states(ev.where(odd))).coalesce(1)
+    return workflow.fold_states(ev.where(~odd)).unionByName(workflow.fold_states(ev.where(odd))).coalesce(2)
 
 
 @register("G4_final_states", f"""

@@ -150,7 +150,11 @@ def read_measurements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TRUTH).option("header", True).csv(path)
+    """A5: (object, true_mm, truth_pos), ``truth_pos`` counting the rows in file order."""
+    rows = spark.read.schema(TRUTH).option("header", True).csv(path).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_blk"),
+        F.monotonically_increasing_id().alias("_mid"))
+    return global_rank(rows, ["_file", "_blk", "_mid"], "truth_pos").df.drop("_file", "_blk", "_mid")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

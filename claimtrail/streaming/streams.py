@@ -367,7 +367,7 @@ def stream_publish(requests: DataFrame, state: DataFrame, exported_path: str, ch
 # ---------------------------------------------------------------- K5
 def stream_validate(citations: DataFrame, sources: DataFrame) -> DataFrame:
     """K5: grounding of streamed citations against a source table, as a stateless stream-static left join: (case_id,
-    cpos, source_id, status, reason) for each citation.  Of repeated source ids of a case the last by position counts, as in E5."""
+    cpos, source_id, status, reason), one row for each citation; a repeated source id grounds it if any of its texts does, as in E5."""
     from ..operators.validate import ground_citations
     return ground_citations(citations, sources)
 
