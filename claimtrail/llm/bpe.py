@@ -35,7 +35,7 @@ from ._common import key_id, real_id, slices, texts
 
 LEAF_BYTES = 64         # a piece up to this size is merged directly
 LEAF_CHARS = 4096       # a text up to this size is one leaf of the text's tree
-CACHE_BYTES = 16 << 20  # of pieces and their ids that a task remembers, about
+CACHE_BYTES = 96 << 20  # of pieces and their ids that a task remembers, about
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
