@@ -1,13 +1,14 @@
 """Exact de-duplication by Patricia-trie owners.
 
-Every task inserts its texts as full byte strings into a compressed radix trie
-whose first sixteen key bytes are length and content hash; a terminal node
+Every task inserts its texts as full byte strings into a compressed radix trie, in
+which texts share the edges of their common beginnings; a terminal node
 holds the group's smallest and largest identifier and its number of rows.  So a
 group of copies leaves a task as one row, however many copies it has there.
-The rows go to the owner of (length, hash), which inserts the byte strings
-again and so tells apart different texts that share length and hash.  A trie
-that outgrows its budget spills whole subtrees: their terminals are sent on as
-partial groups, which the owner merges.
+The rows go to the owner of their (length, content hash), which inserts the byte strings
+into one trie for all that it owns and so tells apart different texts that share length and hash.
+A trie that outgrows its budget spills its heaviest subtree alone: a task sends that subtree's terminals on as
+partial groups, which the owner merges; an owner, whose rows come in order of (length, hash),
+emits those that no later row can join.
 """
 
 from __future__ import annotations
@@ -87,23 +88,64 @@ class Trie:
                 yield key, node.group
             stack.extend((k, key) for k in node.kids.values())
 
+    def heaviest(self) -> tuple[list[_Node], _Node] | None:
+        """The heaviest subtree of at most half the trie's bytes, or else one leaf, and the nodes above it."""
+        weight: dict[int, int] = {}
+        stack = [(self.root, False)]
+        while stack:
+            node, done = stack.pop()
+            if done:
+                weight[id(node)] = len(node.label) + sum(weight[id(k)] for k in node.kids.values())
+            else:
+                stack.append((node, True))
+                stack.extend((k, False) for k in node.kids.values())
+        above, node = [], self.root
+        while node.kids:
+            above.append(node)
+            node = max(node.kids.values(), key=lambda k: weight[id(k)])
+            if 2 * weight[id(node)] <= weight[id(self.root)]:
+                break
+        return (above, node) if above else None
+
     def spill(self) -> Iterator[tuple[bytes, list[int]]]:
-        """Takes whole subtrees off the root and returns their terminals."""
-        kids, self.root, self.size = self.root.kids, _Node(b""), 0
-        while kids:
-            yield from self.terminals(kids.popitem()[1])
+        """Takes the heaviest subtree off and returns its terminals."""
+        found = self.heaviest()
+        if found is None:
+            return
+        above, node = found
+        prefix = b"".join(n.label for n in above)
+        out = list(self.terminals(node, prefix))
+        del above[-1].kids[node.label[0]]
+        stack = [node]
+        while stack:
+            gone = stack.pop()
+            self.size -= len(gone.label)
+            stack.extend(gone.kids.values())
+        while len(above) > 1 and not above[-1].kids and above[-1].group is None:       # nothing hangs there any more
+            empty = above.pop()
+            self.size -= len(empty.label)
+            del above[-1].kids[empty.label[0]]
+        yield from out
+
+    def take(self) -> Iterator[tuple[bytes, list[int]]]:
+        """All terminals; the trie is empty afterwards."""
+        root, self.root, self.size = self.root, _Node(b""), 0
+        yield from self.terminals(root)
 
 
 _PART = "n_bytes long, hash long, low long, high long, n long, body binary"
 
 
-def _rows(found) -> pd.DataFrame:
-    got = list(found)
+def _place(raw: bytes) -> tuple[int, int]:
+    return len(raw), int.from_bytes(xxhash.xxh64_digest(raw), "big", signed=True)
+
+
+def _rows(found: list) -> pd.DataFrame:
+    places = [_place(k) for k, _ in found]
     return pd.DataFrame({
-        "n_bytes": [int.from_bytes(k[:8], "big") for k, _ in got],
-        "hash": [int.from_bytes(k[8:16], "big", signed=True) for k, _ in got],
-        "low": [g[0] for _, g in got], "high": [g[1] for _, g in got], "n": [g[2] for _, g in got],
-        "body": [k[16:] for k, _ in got]})
+        "n_bytes": [n for n, _ in places], "hash": [h for _, h in places],
+        "low": [g[0] for _, g in found], "high": [g[1] for _, g in found], "n": [g[2] for _, g in found],
+        "body": [k for k, _ in found]})
 
 
 def _chunks(found: Iterator, size: int = 4 << 20) -> Iterator[pd.DataFrame]:
@@ -122,30 +164,34 @@ def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     trie = Trie()
     for pdf in slices(batches):
         for i, t in zip(pdf["_id"].tolist(), pdf["text"]):
-            raw = t.encode()
-            head = len(raw).to_bytes(8, "big") + xxhash.xxh64_digest(raw)
-            trie.insert(head + raw, i, i, 1)
-        if trie.size > TRIE_BYTES:
+            trie.insert(t.encode(), i, i, 1)
+        while trie.size > TRIE_BYTES:
             yield from _chunks(trie.spill())
-    yield from _chunks(trie.spill())
+    yield from _chunks(trie.take())
 
 
 def _owner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by (n_bytes, hash): one trie for each such pair."""
+    """Rows come sorted by (n_bytes, hash), in one trie: what belongs to an earlier pair is complete."""
     def merged():
-        trie, of = Trie(), None
+        trie = Trie()
         for pdf in batches:
             for n_bytes, h, low, high, n, body in pdf.itertuples(index=False, name=None):
-                if (n_bytes, h) != of:
-                    yield from trie.spill()
-                    of = (n_bytes, h)
-                head = int(n_bytes).to_bytes(8, "big") + int(h).to_bytes(8, "big", signed=True)
-                trie.insert(head + body, int(low), int(high), int(n))
-        yield from trie.spill()
+                trie.insert(body, int(low), int(high), int(n))
+                if trie.size > TRIE_BYTES:
+                    now, kept = (n_bytes, h), []
+                    while trie.size > TRIE_BYTES // 2:
+                        for key, g in trie.spill():
+                            if len(key) == n_bytes and _place(key) == now:
+                                kept.append((key, g))
+                            else:
+                                yield key, g
+                    for key, g in kept:             # later rows may still join these
+                        trie.insert(key, *g)
+        yield from trie.take()
 
     held = []
     for key, g in merged():
-        held.append((hashlib.sha256(key[16:]).digest(), g[0], g[1], g[2]))
+        held.append((hashlib.sha256(key).digest(), g[0], g[1], g[2]))
         if len(held) >= 4096:
             yield pd.DataFrame(held, columns=["sha", "low", "high", "n"])
             held = []
