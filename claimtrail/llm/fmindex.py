@@ -153,7 +153,9 @@ def _body(words: list[bytes], lo: int, hi: int) -> bytes:
 
 
 def spec(window: int = WINDOW, gram: int = GRAM, **sizes: int) -> segments.Spec:
-    return segments.Spec(window, gram, False, _symbols, _body, 
+    if window - gram > segments.REACH:
+        raise ValueError(f"windows of {window} words need grams of {window - segments.REACH} words or more")
+    return segments.Spec(window, gram, False, _symbols, _body,
                          lambda ids, starts, count, bodies: matched(ids, bodies, window), **sizes)
 
 

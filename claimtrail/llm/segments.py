@@ -39,6 +39,7 @@ from ._common import partitions, slices, stored, texts
 
 SLICE = 1 << 20         # symbols that a task looks at together
 BUCKET = 200_000        # segments of a bucket that one resolver call may get
+REACH = 255             # symbols that a window may have besides its gram (``_pack``)
 _AT = (1 << 24) - 1
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)

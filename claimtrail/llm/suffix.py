@@ -75,6 +75,8 @@ def _body(raw: bytes, lo: int, hi: int) -> bytes:
 
 
 def spec(length: int = LENGTH, gram: int = GRAM, **sizes: int) -> segments.Spec:
+    if length - gram > segments.REACH:
+        raise ValueError(f"strings of {length} bytes need grams of {length - segments.REACH} bytes or more")
     return segments.Spec(length, gram, True, _symbols, _body, lambda *x: again(*x, length), **sizes)
 
 
