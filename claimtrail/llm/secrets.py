@@ -4,8 +4,8 @@ A random string spells badly in a vocabulary that was fitted to language: it
 takes many tokens for few characters.  Long runs of token-like characters are
 therefore encoded, and a run with fewer than ``max_ratio`` characters for each
 token is reported, unless it is a known digest (hex of a digest's length, the
-base pattern's matter), an identifier (UUID, number, path of words) or itself part of
-an address.
+base pattern's matter), an identifier (UUID, number, path of words) or the host of an
+address.  Of an address's path each segment is judged by itself.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import bisect
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,19 +31,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}+")                # every long run holds the long hex runs and candidates
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}+")
+SEGMENT = re.compile(r"[^/]{20,}+")
 
 DIGEST = re.compile(r"(?:md5|sha1|sha224|sha256|sha384|sha512)?[-_=]?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}"
                     r"|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"     # UUID
                         r"|[0-9+/_=.-]+"                                            # numbers, dates, rules
-                        # words of one case, or capitalized, in a path or name; the token ratio judges other letters
-                        r"|(?:[A-Z]?[a-z]+|[A-Z]+)(?:[_/=.-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[/=_.-]*")
+                        # words of one case, or capitalized, in a path or name; the token ratio judges longer and other letters
+                        r"|(?:[A-Z]?[a-z]{1,19}|[A-Z]{1,19})(?:[_/=.-]+(?:[A-Z]?[a-z]{1,19}|[A-Z]{1,19}|[0-9]+))+[/=_.-]*")
 # The host and path of a URL, or the host after an @.  What stands before the @ of a URL, its
 # query and fragment, and what follows a quote, bracket, comma or the like are no part of it.
 ADDRESS = re.compile(r"(?:://(?P<user>[^\s/?#\"'<>{}\[\]()]*@)?|www\.|@(?=[\w-]+\.\w))"
-                     r"(?P<host>[\w.~%-]*(?::[0-9]+)?(?:/[\w.~%+/-]*)?)")
+                     r"(?P<host>[\w.~%-]*(?::[0-9]+)?)(?P<path>/[\w.~%+/-]*)?")
 
-MAX_RATIO = 2.0
+MAX_RATIO = 2.1         # random letters of one case stay below it, words of a language above
 
 
 def base(text: str) -> list[tuple[int, int, int]]:
@@ -55,42 +57,47 @@ def base(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def mixed(s: str) -> bool:
-    """At least two of lower case, upper case after the first character, digits."""
-    return (any(c.islower() for c in s) + any(c.isupper() for c in s[1:]) + any(c.isdigit() for c in s)) >= 2
+def random_looking(s: str) -> bool:
+    """At least two of lower case, upper case after the first character, digits; or letters of one case, not few ones repeated."""
+    return (any(c.islower() for c in s) + any(c.isupper() for c in s[1:]) + any(c.isdigit() for c in s)) >= 2 or (
+        s.isalpha() and len(set(s)) >= 8)
 
 
-def addressed(text: str) -> list[tuple[int, int]]:
-    """The spans of addresses, in order."""
+def addressed(text: str) -> list[tuple[int, int, int]]:
+    """The spans of addresses and where their paths begin, in order."""
     if "://" not in text and "www." not in text and "@" not in text:
         return []
-    return [(m.start("host") if m["user"] else m.start(), m.end()) for m in ADDRESS.finditer(text)]
-
-
-def within(spans: list[tuple[int, int]], start: int, end: int) -> bool:
-    """Whether one of the ordered spans holds the whole of start..end."""
-    k = bisect.bisect_right(spans, (start, math.inf)) - 1
-    return k >= 0 and end <= spans[k][1]
+    return [(m.start("host") if m["user"] else m.start(), m.end(), m.start("path") if m["path"] else m.end()) for m in ADDRESS.finditer(text)]
 
 
 def scan_text(text: str, n_tokens, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int, int]]:
-    """(start, index of kind, end, tokens or 0), in order."""
+    """(start, index of kind, end, tokens or 0), in order; in time linear in the text, but for sorting what is found."""
     found = base(text)
     runs = list(RUN.finditer(text))
     addresses = addressed(text) if runs else []
     for run in runs:
         found += [(run.start() + m.start(), 2, run.start() + m.end()) for m in HEX.finditer(run[0])]
+    found.sort()
+    starts, reach = [a for a, _, _ in found], list(accumulate((b for _, _, b in found), max))
     spans = [(*x, 0) for x in found]
+
+    def judge(start: int, end: int) -> None:
+        s = text[start:end]
+        k = bisect.bisect_right(starts, start) - 1
+        if (k >= 0 and reach[k] >= end) or DIGEST.fullmatch(s) or IDENTIFIER.fullmatch(s) or not random_looking(s):
+            return
+        if len(s) < max_ratio * (n := n_tokens(s)):
+            spans.append((start, 3, end, n))
+
     for run in runs:
         for m in CANDIDATE.finditer(run[0]):
-            s, start = m[0], run.start() + m.start()
-            end = start + len(s)
-            if any(a <= start and end <= b for a, _, b in found) or DIGEST.fullmatch(s) or IDENTIFIER.fullmatch(s):
-                continue
-            if not mixed(s) or within(addresses, start, end):
-                continue
-            if len(s) < max_ratio * (n := n_tokens(s)):
-                spans.append((start, 3, end, n))
+            start, end = run.start() + m.start(), run.start() + m.end()
+            k = bisect.bisect_right(addresses, (start, math.inf, math.inf)) - 1
+            if k < 0 or end > addresses[k][1]:
+                judge(start, end)
+            else:       # in an address: nothing of its host, its path segment by segment
+                for part in SEGMENT.finditer(text, max(start, addresses[k][2]), end):
+                    judge(part.start(), part.end())
     return sorted(spans)
 
 

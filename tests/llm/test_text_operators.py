@@ -81,6 +81,7 @@ def test_token_efficiency_finds_random_strings_only(spark):
     got = {r.doc_id: [(s["kind"], cases[r.doc_id][s["start"]:s["end"]]) for s in r.spans]
            for r in secrets.scan(df, queries.VOCABULARY, queries.PATTERN).collect()}
     assert got.pop(1) == [("random", secret)]
+    assert got.pop(6) == [("random", secret)]           # a random segment of an address's path
     assert got.pop(2) == [("hex", cases[2])] and got.pop(4) == [("hex", cases[4])]      # base patterns stay
     assert all(x == [] for x in got.values()), got
 
@@ -93,12 +94,46 @@ def test_token_efficiency_behind_addresses_and_on_letters():
               "https://a.b:80/c#{}", "a@{}", "https://" + "a" * 300 + "/," + "{}"):
         assert found(t.format(secret)) == [secret] and found(t.format(letters)) == [letters], t
     assert found(letters) == [letters] and found("sk-" + letters) == ["sk-" + letters]
-    for t in ("https://a.b/" + "c" * 300 + "/" + secret, f"a@{secret}.org", f"https://{secret}.org:80/a", "https://app:pw@" + secret,
-              "getElementsByTagNameFromDocument", "SomeVeryLongClassName_with_words", "www.example.org/some/long/path/of/words2"):
+    for t in (f"https://a.b/words/{secret}/and/more", f"www.a.b/{secret}", "https://a.b/" + "c" * 300 + "/" + secret):
+        assert secret in found(t), t
+    for t in (f"a@{secret}.org", f"https://{secret}.org:80/a", "https://app:pw@" + secret, "https://a.b/some-long-title-of-an-article-in-words/2024/12",
+              "https://a.b/getElementsByTagNameFromDocument/index", "getElementsByTagNameFromDocument", "SomeVeryLongClassName_with_words", "www.example.org/some/long/path/of/words2"):
         assert found(t) == [], t
     assert found("www.," * 100_000 + "://,@" * 100_000 + " " + secret) == [secret]      # linear time
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcXYZ0123456789defghUVW",
+                                      "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"])
+def test_random_strings_of_every_alphabet_are_found(alphabet):
+    """At least 95 % of planted strings of 20 to 64 characters."""
+    b, rng, hit = bpe.Bpe(RANKS, queries.PATTERN), random.Random(8), 0
+    for i in range(400):
+        s = "".join(rng.choice(alphabet) for _ in range(rng.randint(20, 64)))
+        text = rng.choice(["key {} end", "https://a.org/x/{}?y", "({})", "{}"]).format(s)
+        hit += any(text[a:e] in s and e - a >= 0.6 * len(s) for a, _, e, _ in secrets.scan_text(text, lambda x: len(b.encode(x))))
+    assert hit >= 0.95 * 400, hit
+
+
+def test_words_are_no_secrets():
+    """False positives over long words and compounds of the given documents: none."""
+    import pyarrow.parquet as pq
+    b = bpe.Bpe(RANKS, queries.PATTERN)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    found = [t[a:e] for t in texts if t for a, k, e, _ in secrets.scan_text(t, lambda x: len(b.encode(x))) if k == 3]
+    assert [s for s in found if s.isalpha()] == []
+
+
+def test_many_hits_take_linear_time():
+    import time
+    part = "k = x9Kq2LmZ7pTv4Wc8RbYd3Fh password=abcdefgh1234 0123456789abcdef0123456789abcdef "
+    spent = []
+    for n in (1000, 8000):
+        t = time.perf_counter()
+        assert len(secrets.scan_text(part * n, lambda s: 20)) == 3 * n
+        spent.append(time.perf_counter() - t)
+    assert spent[1] < 8 * 4 * spent[0]
+
+
 def test_secret_scan_of_a_table(spark):
     got = secrets.scan(data.frame(spark), queries.VOCABULARY, queries.PATTERN).collect()
     want = Counter((i, tuple(_base(t or ""))) for i, t, *_ in data.rows())
