@@ -135,6 +135,8 @@ def _counted(texts: DataFrame, classes: list[int], marks: np.ndarray) -> DataFra
 
 def _met(texts: DataFrame, classes: list[int], marks: np.ndarray) -> DataFrame:
     """``(_tid, _g, _x, _lead)``: the texts' grams of a marked bit, the characters around them, and how many of these stand before."""
+    kind = texts.schema["_tid"].dataType.simpleString()
+    text_ids = kind == "string"
     shared = texts.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,10 +149,10 @@ def _met(texts: DataFrame, classes: list[int], marks: np.ndarray) -> DataFrame:
                     hit = np.flatnonzero(shared.value[_bit(h)])
                     row, place, reach = row[hit], place[hit], min(3 * p, TOP)
                     lead = np.minimum(place, reach)
-                    yield pd.DataFrame({"_tid": some["_tid"].iloc[row].array, "_g": h[hit].view(np.int64), "_lead": lead,
-                                        "_x": [t[r][a - b:a + reach] for r, a, b in zip(row.tolist(), place.tolist(), lead.tolist())]})
+                    around = [t[r][a - b:a + reach] for r, a, b in zip(row.tolist(), place.tolist(), lead.tolist())]
+                    yield pd.DataFrame({"_tid": pd.Series(some["_tid"].to_numpy()[row], dtype=object if text_ids else None),
+                                        "_g": h[hit].view(np.int64), "_lead": lead, "_x": pd.Series(around, dtype=object)})
 
-    kind = texts.schema["_tid"].dataType.simpleString()
     return texts.mapInPandas(run, f"_tid {kind}, _g long, _lead int, _x string")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.rank import global_rank, rank_within
@@ -171,6 +171,15 @@ def counters(audit: DataFrame, event: str = "event") -> DataFrame:
     return audit.groupBy(F.col(event).alias("name")).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
 
 
+def observed_counters(audit: DataFrame, events: Sequence[str], event: str = "event") -> tuple[DataFrame, Observation]:
+    """J4 in flight: the same rows, and an observation that holds the count of each of ``events`` once an
+    action has run over all of them (``observation.get``); no scan of its own.  A null or unlisted event counts under ``(other)``."""
+    seen = Observation()
+    n = [F.count(F.when(F.col(event) == e, True)).alias(e) for e in events]
+    other = F.count(F.when(~F.coalesce(F.col(event).isin(*events), F.lit(False)), True)).alias("(other)")
+    return audit.observe(seen, *n, other), seen
+
+
 def latency(durations: DataFrame, name: str = "name", value: str = "duration_ms", ts: str = "ts",
             quantiles: Sequence[float] = (0.5, 0.95)) -> DataFrame:
     """Per measurement name: count, last value, and exact nearest-rank

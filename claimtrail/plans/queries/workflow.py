@@ -392,3 +392,18 @@ FROM ({ORACLES['G6_publish']}) WHERE outcome <> 'error'
 def q_g6e(spark, sf_dir):
     """Audit rows of the publications."""
     return workflow.publication_events(q_g6(spark, sf_dir))
+
+
+_ANALYSIS_EVENTS = ("analysis_deduplicated", "analysis_retried", "input_rejected", "case_received", "provider_retry",
+                    "analysis_failed", "analysis_completed")
+
+
+@register("J4_observed_counters", _G7_EVENTS + """
+SELECT event AS name, count(*) AS count FROM ev GROUP BY event
+""")
+def q_j4o(spark, sf_dir):
+    """The audit rows of that analysis written once, their counts taken from the same pass."""
+    rows, seen = report.observed_counters(workflow.analysis_events(_logged(spark, sf_dir)), _ANALYSIS_EVENTS)
+    rows.write.parquet(scratch_path(spark, "audit"))
+    found = [(e, n) for e, n in seen.get.items() if n]
+    return spark.createDataFrame(found, "name string, count long")
