@@ -19,6 +19,16 @@ EGRESS_MODES = ("deny", "local-only", "allow")
 REPOSITORY_ID_PATTERN = r"^[A-Za-z0-9._-]+$"
 # The checks the pilot command knows.
 SUPPORTED_CHECKS = ("repository-policy", "semgrep", "gitleaks", "osv")
+# Reasons, which results must equal.
+MSG_VERSION = "scope version must be 1"
+MSG_EGRESS = "egress must be deny, local-only, or allow"
+MSG_NO_REPOSITORY = "scope must authorize at least one repository"
+MSG_ID_CHARACTERS = "repository_id contains unsupported characters"
+MSG_ID_UNIQUE = "repository_id values must be unique"
+MSG_EXPIRED = "pilot authorization has expired"
+MSG_REPOSITORY_OUTSIDE = "repository is outside pilot scope: "
+MSG_PATH = "repository path does not match the authorized checkout"
+MSG_CHECK_OUTSIDE = "check is outside pilot scope: "
 
 
 def validate_scope(scopes: DataFrame, scope_repos: DataFrame) -> DataFrame:
@@ -32,11 +42,11 @@ def validate_scope(scopes: DataFrame, scope_repos: DataFrame) -> DataFrame:
     j = scopes.join(st, "engagement_id", "left")
     n = F.coalesce("_n", F.lit(0))
     reason = first_failing(
-        (F.coalesce(F.col("version") != 1, F.lit(True)), "scope version must be 1"),
-        (~F.coalesce(F.col("egress").isin(*EGRESS_MODES), F.lit(False)), "egress must be deny, local-only, or allow"),
-        (n == 0, "scope must authorize at least one repository"),
-        (F.col("_bad") == 1, "repository_id contains unsupported characters"),
-        (F.col("_nd") != n, "repository_id values must be unique"),
+        (F.coalesce(F.col("version") != 1, F.lit(True)), MSG_VERSION),
+        (~F.coalesce(F.col("egress").isin(*EGRESS_MODES), F.lit(False)), MSG_EGRESS),
+        (n == 0, MSG_NO_REPOSITORY),
+        (F.col("_bad") == 1, MSG_ID_CHARACTERS),
+        (F.col("_nd") != n, MSG_ID_UNIQUE),
     )
     return j.select("engagement_id", reason.alias("reason"))
 
@@ -53,10 +63,10 @@ def authorize(requests: DataFrame, scopes: DataFrame, scope_repos: DataFrame, as
                            F.col("allowed_checks").alias("_checks"), F.lit(True).alias("_known"))
     j = requests.join(s, "engagement_id", "left").join(r, ["engagement_id", "repository_id"], "left")
     reason = first_failing(
-        (F.coalesce(F.col("_exp") < F.to_date(F.lit(as_of)), F.lit(True)), "pilot authorization has expired"),
-        (F.col("_known").isNull(), F.concat(F.lit("repository is outside pilot scope: "), F.col("repository_id"))),
-        (F.col("_path") != F.col("path"), "repository path does not match the authorized checkout"),
-        (~F.array_contains("_checks", F.col("check")), F.concat(F.lit("check is outside pilot scope: "), F.col("check"))),
+        (F.coalesce(F.col("_exp") < F.to_date(F.lit(as_of)), F.lit(True)), MSG_EXPIRED),
+        (F.col("_known").isNull(), F.concat(F.lit(MSG_REPOSITORY_OUTSIDE), F.col("repository_id"))),
+        (F.col("_path") != F.col("path"), MSG_PATH),
+        (~F.array_contains("_checks", F.col("check")), F.concat(F.lit(MSG_CHECK_OUTSIDE), F.col("check"))),
     )
     return j.select("request_id", reason.isNull().alias("allowed"), reason.alias("reason"))
 

@@ -26,6 +26,9 @@ QUOTE_CHARS = 240
 SEVERITY_RISK = (("info", "low"), ("low", "low"), ("medium", "medium"),
                  ("high", "high"), ("critical", "critical"))
 TRIAGE_CITATIONS = 10
+# Summary and labels of the triage, which results must equal.
+TRIAGE_SUMMARY = ("Deterministic triage found ", " observation(s) requiring human review.")
+TRIAGE_LABEL, REVIEW_LABEL, NO_REVIEW_LABEL = "deterministic-baseline", "human-review-required", "no-review-observations"
 
 
 def risk_ordinal(risk: Column) -> Column:
@@ -124,10 +127,8 @@ def triage(headers: DataFrame, sources: DataFrame) -> DataFrame:
     return j.select(
         "case_id",
         risk_from_ordinal(F.coalesce(ordv, F.lit(0))).alias("risk"),
-        F.concat(F.lit("Deterministic triage found "), F.col("n_review").cast("string"),
-                 F.lit(" observation(s) requiring human review.")).alias("summary"),
-        F.array(F.lit("deterministic-baseline"),
-                F.when(has_review, F.lit("human-review-required")).otherwise(F.lit("no-review-observations"))).alias("labels"),
+        F.concat(F.lit(TRIAGE_SUMMARY[0]), F.col("n_review").cast("string"), F.lit(TRIAGE_SUMMARY[1])).alias("summary"),
+        F.array(F.lit(TRIAGE_LABEL), F.when(has_review, F.lit(REVIEW_LABEL)).otherwise(F.lit(NO_REVIEW_LABEL))).alias("labels"),
         F.when(has_review, cite(F.filter("_top", lambda e: e["_review"]))).otherwise(cite(F.col("_top"))).alias("citations"),
         F.lit(1.0).alias("confidence"),
         F.col("n_review").cast("bigint").alias("n_review"),

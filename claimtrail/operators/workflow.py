@@ -36,6 +36,11 @@ TRANSITIONS = (
 NOOP_TRANSITIONS = (("published", "approved"), ("published", "published"))
 REJECT_TRANSITION = ("pending_approval", "rejected")
 
+# Reasons, which results must equal.
+MSG_UNKNOWN_CASE = "unknown case_id: "
+MSG_NOT_PENDING = "cannot approve a case in state "
+MSG_REVIEWER = "a named reviewer is required"
+
 MAX_ATTEMPTS = 3
 BASE_DELAY_SECONDS = 0.01
 
@@ -229,10 +234,10 @@ def approve(state: DataFrame, decisions: DataFrame, allow_reject: bool = False)
         .otherwise(F.lit("approved"))
     )
     message = (
-        F.when(F.col("_state").isNull(), F.concat(F.lit("unknown case_id: "), F.col("case_id")))
+        F.when(F.col("_state").isNull(), F.concat(F.lit(MSG_UNKNOWN_CASE), F.col("case_id")))
         .when(eff_state == "published", F.lit(None))
-        .when(eff_state != "pending_approval", F.concat(F.lit("cannot approve a case in state "), eff_state))
-        .when(is_blank("reviewer"), F.lit("a named reviewer is required"))
+        .when(eff_state != "pending_approval", F.concat(F.lit(MSG_NOT_PENDING), eff_state))
+        .when(is_blank("reviewer"), F.lit(MSG_REVIEWER))
         .when(is_reject & F.lit(not allow_reject), F.lit("rejection is not enabled"))
     )
     return d.select("case_id", "seq", "reviewer", outcome.alias("outcome"), message.alias("message"))
@@ -423,7 +428,7 @@ def lookup(state: DataFrame, wanted: DataFrame) -> DataFrame:
     """Point reads; an unknown id yields an error row."""
     j = wanted.select("case_id").join(state, "case_id", "left")
     return j.withColumn("error", F.when(F.col("state").isNull(),
-                                        F.concat(F.lit("unknown case_id: "), F.col("case_id"))))
+                                        F.concat(F.lit(MSG_UNKNOWN_CASE), F.col("case_id"))))
 
 
 def assessment_fingerprint(df: DataFrame) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.rank import global_rank, rank_within
 
+# The field names of the files that are read and written.
 SOURCE = T.StructType([T.StructField("source_id", T.StringType()), T.StructField("text", T.StringType())])
 CASE = T.StructType([
     T.StructField("case_id", T.StringType()), T.StructField("title", T.StringType()),

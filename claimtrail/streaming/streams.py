@@ -50,10 +50,10 @@ def replay(df: DataFrame, ts: str, path: str, run: Callable[[], None], n_slices:
             cond = cond & (arrival <= F.lit(bounds[i + 1]))
         df.where(cond).repartitionByRange(spark.sparkContext.defaultParallelism, arrival).write.parquet(f"{path}/slice={i:04d}")
         run()
-    if hold_ms is not None:
-        end = df.agg(F.max(ts).alias("_end"))
-        late = F.col("_end") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(hold_ms / 1000))
-        beat = df.limit(1).crossJoin(end).select(*[
+    end = df.agg(F.max(ts)).first()[0] if hold_ms is not None else None
+    if end is not None:
+        late = F.lit(end) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(hold_ms / 1000))
+        beat = df.limit(1).select(*[
             late.cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) if f.name == key
             else F.col(f.name) for f in df.schema.fields])
         beat.write.parquet(f"{path}/slice={n_slices:04d}")
