@@ -2,12 +2,13 @@
 encoded once, and its ids go back to the places where it stands.
 
 1. Tasks split texts into words (the pre-tokenizer's pattern) in slices of bounded
-   size.  A text becomes the list of its words' slots in the slice; the slice's
+   size.  A text becomes the list of its words' slots in the slice, packed; the slice's
    distinct words leave as packets, one for each part of the distinct-word table.
    A frequent word so is one entry for each slice, however often it stands there.
 2. The table is dealt by word.  A task that holds a part encodes each of its words
    once and sends the ids back under (slice, slot).
-3. Texts and ids meet again by slice; slots give every text its ids in order.
+3. Texts and ids meet again by slice, where the texts' slots lie already; slots give
+   every text its ids in order.
 
 Decoding joins ids with the vocabulary's pieces, which is as large as the
 vocabulary and not as the corpus.  Added tokens (``<|endoftext|>``) are cut out
@@ -21,6 +22,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import key_id, partitions, real_id, stored, texts
+from ._common import key_id, partitions, real_id, texts
 from .bpe import _NOT_LATIN, latin
 
 SLICE_CHARS = 8 << 20       # text of one slice; a longer text is a slice of its own
 PARTS = 4                   # parts of the distinct-word table for each shuffle partition
 REMEMBERED = 32 << 20       # bytes of words and ids that a part's task remembers
 
-_SLICE = "slice long, part int, start int, words binary, _id long, slots binary"
+_SLICE = "slice long, part int, words binary, ids binary, lengths binary, slots binary, places binary"
 
 
 def byte_letters() -> list[str]:
@@ -47,16 +49,25 @@ def byte_letters() -> list[str]:
 
 
 # -- packed lists -------------------------------------------------------------
+def planed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, their lowest bytes first, then the next: small numbers leave long runs of zeros."""
+    return zlib.compress(np.ascontiguousarray(np.asarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
+
+
+def unplaned(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def packed(items: list[bytes]) -> bytes:
-    lengths = np.array([len(x) for x in items], np.uint32).tobytes()
-    return zlib.compress(len(items).to_bytes(8, "little") + lengths + b"".join(items), 1)
+    lengths = planed(np.array([len(x) for x in items], np.uint32))
+    return len(lengths).to_bytes(8, "little") + lengths + zlib.compress(b"".join(items), 6)
 
 
 def unpacked(blob: bytes) -> list[bytes]:
-    raw = zlib.decompress(blob)
-    n = int.from_bytes(raw[:8], "little")
-    ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 8), dtype=np.int64) + 8 + 4 * n
-    return [raw[a:b] for a, b in zip([8 + 4 * n, *ends[:-1].tolist()], ends.tolist())] if n else []
+    at = 8 + int.from_bytes(blob[:8], "little")
+    raw, ends = zlib.decompress(blob[at:]), np.cumsum(unplaned(blob[8:at]), dtype=np.int64).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 # -- splitting ----------------------------------------------------------------
@@ -86,45 +97,43 @@ class _Slots(dict):
         return slot
 
 
-def _slice_rows(number: int, ids: list[int], slots: list[list[int]], table: dict[str, int], parts: int) -> pd.DataFrame:
-    """Rows of one finished slice.  Slots are numbered anew by (part, word), so a packet is a range of them."""
+def _slice_rows(number: int, ids: list[int], found: list[list[int]], table: dict[str, int], parts: int) -> pd.DataFrame:
+    """Rows of one finished slice: its texts in one, and a packet of words for each part.  Slots are numbered
+    anew from the most frequent word on, so that most are small."""
     words = [w.encode("utf-8", "surrogatepass") for w in table]
+    flat = np.array(list(chain.from_iterable(found)), np.int64)
+    slot = np.empty(len(words), np.uint32)
+    slot[np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")] = np.arange(len(words), dtype=np.uint32)
     part = np.array([zlib.crc32(w) for w in words], np.uint32) % np.uint32(parts)
-    order = sorted(range(len(words)), key=lambda i: (part[i], words[i]))
-    place = np.empty(len(words), np.uint32)
-    place[order] = np.arange(len(words), dtype=np.uint32)
-    width = np.uint16 if len(words) <= 1 << 16 else np.uint32
-    rows = [(number, None, None, None, i, zlib.compress(width().dtype.char.encode() + place[np.array(s, np.int64)].astype(width).tobytes(), 1))
-            for i, s in zip(ids, slots)]
-    at = part[order]
-    edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])).tolist() if len(words) else []
-    for lo, hi in zip(edges, [*edges[1:], len(words)]):
-        rows.append((number, int(at[lo]), lo, packed([words[i] for i in order[lo:hi]]), None, None))
-    out = pd.DataFrame(rows, columns=["slice", "part", "start", "words", "_id", "slots"])
-    return out.astype({"part": "Int32", "start": "Int32", "_id": "Int64"})
+    order = np.array(sorted(range(len(words)), key=lambda i: (part[i], words[i])), np.int64)
+    rows = [(number, None, None, np.array(ids, np.int64).tobytes(), np.array([len(x) for x in found], np.int64).tobytes(),
+             planed(slot[flat]), planed(slot[order]))]
+    for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
+        rows.append((number, int(part[at[0]]), packed([words[i] for i in at.tolist()]), None, None, None, None))
+    return pd.DataFrame(rows, columns=["slice", "part", "words", "ids", "lengths", "slots", "places"]).astype({"part": "Int32"})
 
 
 def _cut(df: DataFrame, pattern: str, added: list[str], parts: int, slice_chars: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split, first = Splitter(pattern, added), (TaskContext.get().partitionId()) << 32
-        number, size, ids, slots, table = first, 0, [], [], _Slots()
+        number, size, ids, found, table = first, 0, [], [], _Slots()
         for pdf in batches:
             for i, t in zip(pdf["_id"].tolist(), pdf["text"]):
                 if size and size + len(t) > slice_chars:
-                    yield _slice_rows(number, ids, slots, table, parts)
-                    number, size, ids, slots, table = number + 1, 0, [], [], _Slots()
+                    yield _slice_rows(number, ids, found, table, parts)
+                    number, size, ids, found, table = number + 1, 0, [], [], _Slots()
                 ids.append(i)
-                slots.append(list(map(table.__getitem__, split(t))))
+                found.append(list(map(table.__getitem__, split(t))))
                 size += len(t)
         if ids:
-            yield _slice_rows(number, ids, slots, table, parts)
+            yield _slice_rows(number, ids, found, table, parts)
 
     return df.mapInPandas(run, _SLICE)
 
 
 # -- the distinct-word table ----------------------------------------------------
 def _encoded(packets: DataFrame, definition: str, n: int) -> DataFrame:
-    """Each packet with its words' ids (4 bytes each, little-endian) in the place of the words."""
+    """Each packet with its words' ids in the place of the words: how many a word has, then all of them."""
     spark = packets.sparkSession
     shared = spark.sparkContext.broadcast(definition)
 
@@ -135,23 +144,25 @@ def _encoded(packets: DataFrame, definition: str, n: int) -> DataFrame:
         tokenizer = Tokenizer.from_str(shared.value)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        table: dict[bytes, bytes] = {}
+        table: dict[bytes, np.ndarray] = {}
         held = 0
         for pdf in batches:
-            out = []
+            counts, out = [], []
             for blob in pdf["words"]:
                 words = unpacked(blob)
                 new = [w for w in words if w not in table]
                 for w, e in zip(new, tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)):
-                    table[w] = np.array(e.ids, "<u4").tobytes()
-                    held += len(w) + len(table[w]) + 200
-                out.append(packed([table[w] for w in words]))
+                    table[w] = np.array(e.ids, "<u4")
+                    held += len(w) + 4 * len(e.ids) + 250
+                ids = [table[w] for w in words]
+                counts.append(planed(np.array([len(x) for x in ids], np.uint32)))
+                out.append(planed(np.concatenate(ids)))
                 if held > REMEMBERED:
                     table.clear()
                     held = 0
-            yield pdf[["slice", "start"]].assign(ids=out)
+            yield pdf[["slice", "part"]].assign(counts=counts, coded=out)
 
-    return packets.repartition(n, "part").select("slice", "start", "words").mapInPandas(run, "slice long, start int, ids binary")
+    return packets.repartition(n, "part").mapInPandas(run, "slice long, part int, counts binary, coded binary")
 
 
 def definition(path: str) -> tuple[str, dict]:
@@ -188,25 +199,32 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     text, parsed = definition(path)
     shared = spark.sparkContext.broadcast(pieces(parsed))
     n = partitions(spark)
-    cut = stored(_cut(texts(df, id_col, text_col), pattern, [a["content"] for a in parsed["added_tokens"]], PARTS * n, slice_chars), "slices")
-    encoded = _encoded(cut.where(F.col("words").isNotNull()), text, n)
+    cut = _cut(texts(df, id_col, text_col), pattern, [a["content"] for a in parsed["added_tokens"]], PARTS * n, slice_chars)
+    # one shuffle serves both uses of the slices, so they are cut once and need no table; a condition
+    # that may not be moved below it keeps the optimizer from making two different shuffles
+    cut = cut.repartition(n, "slice")
+    with_a = lambda c: F.when(F.monotonically_increasing_id() >= 0, F.col(c).isNotNull())
+    encoded = _encoded(cut.where(with_a("words")), text, n)
 
     def meet(docs: pd.DataFrame, packets: pd.DataFrame) -> pd.DataFrame:
-        ids: list[bytes] = []
-        for blob in packets.sort_values("start")["ids"]:
-            ids += unpacked(blob)
-        ends = np.cumsum([0] + [len(x) // 4 for x in ids])
-        each = spelt(np.frombuffer(b"".join(ids), "<u4"), shared.value)
-        words = [b"".join(each[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        out = []
-        for i, blob in zip(docs["_id"].tolist(), docs["slots"]):
-            raw = zlib.decompress(blob)
-            slots = np.frombuffer(raw, raw[:1].decode(), offset=1).tolist()
-            coded = b"".join([ids[s] for s in slots])
-            out.append((i, len(coded) // 4, coded, b"".join([words[s] for s in slots]).decode("utf-8", "replace")))
+        text, out, at = docs.iloc[0], [], 0
+        packets = packets.sort_values("part")
+        none = np.zeros(0, "<u4")
+        ids = np.concatenate([none, *map(unplaned, packets["coded"])])
+        ends = np.cumsum(np.concatenate([[0], *map(unplaned, packets["counts"])]).astype(np.int64)).tolist()
+        each, raw = spelt(ids, shared.value), ids.tobytes()
+        table, words = [b""] * (len(ends) - 1), [b""] * (len(ends) - 1)
+        for s, a, b in zip(unplaned(text["places"]).tolist(), ends, ends[1:]):
+            table[s], words[s] = raw[4 * a:4 * b], b"".join(each[a:b])
+        flat = unplaned(text["slots"]).tolist()
+        for i, n in zip(np.frombuffer(text["ids"], np.int64).tolist(), np.frombuffer(text["lengths"], np.int64).tolist()):
+            own = flat[at:at + n]
+            at += n
+            coded = b"".join([table[s] for s in own])
+            out.append((i, len(coded) // 4, coded, b"".join([words[s] for s in own]).decode("utf-8", "replace")))
         return pd.DataFrame(out, columns=["_id", "n_tokens", "packed", "decoded"])
 
-    docs = cut.where(F.col("slots").isNotNull()).select("slice", "_id", "slots")
+    docs = cut.where(with_a("ids"))
     return (docs.groupBy("slice").cogroup(encoded.groupBy("slice"))
             .applyInPandas(meet, "_id long, n_tokens long, packed binary, decoded string")
             .select(real_id().alias("doc_id"), "n_tokens", "packed", "decoded"))

@@ -101,6 +101,15 @@ def test_word_table_round_trip_equals_the_library(spark, library):
         assert Counter((r.doc_id, r.n_tokens, bytes(r.packed), r.decoded) for r in got) == _round(library, rows)
 
 
+def test_texts_are_cut_once(spark):
+    """Both uses of the slices read one shuffle."""
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = wordbpe.round_trip(df, queries.TOKENIZER, queries.PATTERN)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert text.count("ReusedExchange") == 1 and text.count("MapInPandas") == 2
+
+
 def test_word_table_forgets_and_encodes_again(spark, library, monkeypatch):
     monkeypatch.setattr(wordbpe, "REMEMBERED", 1)
     rows = _awkward(2, 200)
