@@ -53,3 +53,15 @@ def json_string(x) -> Column:
     """A JSON string literal for ``x`` (quotes included)."""
     body = F.to_json(F.array(_c(x)))
     return F.regexp_replace(F.regexp_replace(body, r"^\[", ""), r"\]$", "")
+
+
+# Characters that HTML text and attributes escape, the ampersand first.
+HTML_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
+
+
+def html_escape(x) -> Column:
+    """``html.escape(s)``: null stays null."""
+    c = _c(x)
+    for raw, escaped in HTML_ESCAPES:
+        c = F.replace(c, F.lit(raw), F.lit(escaped))
+    return c

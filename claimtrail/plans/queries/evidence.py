@@ -195,6 +195,20 @@ def q_d10t(spark, sf_dir):
     return hits.select("text_id", "rule_id", "observation_id", "match_index", "match_length")
 
 
+_REDACTED = "text"
+for _rule in TEXT_RULES:
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_rule[1]}', '[REDACTED]', 'g')"
+
+
+@register("D10_redact", f"""
+SELECT doc_id, sha256({_REDACTED}) AS redacted_sha256, {_REDACTED} <> text AS changed FROM documents
+""")
+def q_d10r(spark, sf_dir):
+    """Whole texts with every match of the rules taken out."""
+    docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", "text", evidence.redact("text", TEXT_RULES).alias("redacted"))
+    return docs.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"), (F.col("redacted") != F.col("text")).alias("changed"))
+
+
 @register("D11_scan_status", f"""
 WITH e AS (SELECT event_id, {_SCANNER} AS scanner, user_id % 3 AS rc, value >= 5 AS present FROM events)
 SELECT event_id, scanner, CAST(rc AS BIGINT) AS return_code,

@@ -106,6 +106,17 @@ def q_j4(spark, sf_dir):
     return report.counters(ev)
 
 
+@register("J7_html_escape", """
+SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'),
+                               chr(39), '&#x27;')) AS escaped_sha256
+FROM pages
+""")
+def q_j7h(spark, sf_dir):
+    """Raw pages as text that a report can show."""
+    from ...functions.text import html_escape
+    return fixtures.table(spark, sf_dir, "pages").select("page_id", F.sha2(html_escape("html"), 256).alias("escaped_sha256"))
+
+
 @register("J5_latency", """
 WITH r AS (SELECT event_type AS name, value, ts, row_number() OVER (PARTITION BY event_type ORDER BY value, ts) AS rn,
                   count(*) OVER (PARTITION BY event_type) AS n FROM events)

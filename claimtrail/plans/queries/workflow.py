@@ -177,6 +177,17 @@ def q_g5(spark, sf_dir):
     return workflow.approve(fixtures.state_snapshot(spark, sf_dir), dec)
 
 
+@register("G5_apply_approvals", f"""
+WITH {_SNAPSHOT}, o AS ({ORACLES['G5_approve']})
+SELECT s.case_id, s.case_fingerprint, coalesce(o.outcome, s.state) AS state, coalesce(o.reviewer, s.reviewer) AS reviewer, s.updated_seq
+FROM snap s LEFT JOIN (SELECT * FROM o WHERE outcome = 'approved') o USING (case_id)
+""")
+def q_g5a(spark, sf_dir):
+    """The state table after those decisions."""
+    snap = fixtures.state_snapshot(spark, sf_dir)
+    return workflow.apply_approvals(snap, q_g5(spark, sf_dir)).select("case_id", "case_fingerprint", "state", "reviewer", "updated_seq")
+
+
 @register("G6_publish", f"""
 WITH {_SNAPSHOT},
   rq AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS case_id, event_id AS seq FROM events
