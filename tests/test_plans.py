@@ -1,44 +1,29 @@
-"""Scale lint over every registered query's physical plan: no cartesian or
-nested-loop join, no row-at-a-time Python UDF, and no window without a
-partition key (which would run on one task)."""
+"""Scale lint over every registered query's physical plans: the one it returns, and those that it
+checkpoints or writes on the way."""
 
 import os
 
 import pytest
 
 from claimtrail.plans import catalog
+from tests.plan_lint import eager_plans, findings
 
 SF = "/root/testdata/sf0.001"
 
 
-def _nodes(plan):
-    stack = [plan]
-    while stack:
-        p = stack.pop()
-        yield p
-        for i in range(p.children().size()):
-            stack.append(p.children().apply(i))
-        # subqueries and AQE wrappers
-        try:
-            stack.append(p.executedPlan())
-        except Exception:
-            pass
-        try:
-            stack.append(p.initialPlan())
-        except Exception:
-            pass
-
-
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 def test_no_unscalable_operators(spark):
     bad = []
     for name, fn in catalog.QUERIES.items():
-        df = fn(spark, SF)
-        plan = df._jdf.queryExecution().executedPlan()
-        for node in _nodes(plan):
-            cls = node.getClass().getSimpleName()
-            if cls in ("CartesianProductExec", "BroadcastNestedLoopJoinExec", "BatchEvalPythonExec"):
-                bad.append(f"{name}: {cls}")
-            if cls == "WindowExec" and node.partitionSpec().isEmpty():
-                bad.append(f"{name}: window without partition key")
+        with eager_plans() as eager:
+            df = fn(spark, SF)
+        bad += [f"{name}: {x}" for x in findings(df)] + [f"{name}, on the way: {x}" for x in eager]
     assert not bad, bad
+
+
+def test_the_lint_sees_written_plans(spark, tmp_path):
+    a = spark.range(5)
+    with eager_plans() as eager:
+        a.crossJoin(a.withColumnRenamed("id", "b")).write.parquet(str(tmp_path / "x"))
+        a.selectExpr("row_number() over (order by id) as n").checkpoint()
+    assert any("Product" in x or "NestedLoop" in x for x in eager) and "window without partition key" in eager
