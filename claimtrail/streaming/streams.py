@@ -237,15 +237,16 @@ class _Settling(StatefulProcessor):
         raise NotImplementedError
 
     def _set(self, at: int) -> None:
-        if self.alarm.exists():
-            if self.alarm.get()[0] <= at:
+        before = self.alarm.get()
+        if before is not None:
+            if before[0] <= at:
                 return
-            self.handle.deleteTimer(self.alarm.get()[0])
+            self.handle.deleteTimer(before[0])
         self.handle.registerTimer(at)
         self.alarm.update((at,))
 
     def handleInputRows(self, key, rows, timerValues):
-        last = (self.value.get() if self.value.exists() else self.start)[-1]
+        last = (self.value.get() or self.start)[-1]
         new, late = [], []
         for pdf in rows:
             for row in pdf[list(self.columns)].itertuples(index=False, name=None):
@@ -260,10 +261,9 @@ class _Settling(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
-        self.alarm.clear()
         rows = sorted(self.waiting.get(), key=lambda row: row[0])
         n = _passed(rows, now)
-        value, out = self.settle(key, self.value.get() if self.value.exists() else self.start, rows[:n])
+        value, out = self.settle(key, self.value.get() or self.start, rows[:n])
         if n:
             self.value.update(value)
             if rows[n:]:
@@ -271,7 +271,11 @@ class _Settling(StatefulProcessor):
             else:
                 self.waiting.clear()
         if rows[n:]:
-            self._set(min(row[-1] for row in rows[n:] if row[-1] > now))
+            at = min(row[-1] for row in rows[n:] if row[-1] > now)
+            self.handle.registerTimer(at)
+            self.alarm.update((at,))
+        else:
+            self.alarm.clear()
         if out:
             yield self.frame(out)
 
