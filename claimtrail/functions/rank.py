@@ -3,7 +3,8 @@
 An un-partitioned ``row_number()`` window moves every row to one task.
 Instead: range-partition on the order keys, sort inside each partition, tag
 rows with ``monotonically_increasing_id`` (partition id in the high bits,
-position in the low 33 bits), materialize with a reliable checkpoint (range
+position in the low 33 bits), materialize with a reliable checkpoint or a table
+on disk (range
 bounds are sampled, so both passes must see the same layout), count rows per
 partition, and add each partition's prefix offset.  The per-partition counts
 are the only rows the driver sees (one per partition).
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
+from ..session import checkpoint_root, written
 
 _LOW_BITS = 33
 
@@ -33,9 +34,10 @@ def _sort_cols(order_by: Sequence) -> list[Column]:
 
 
 def global_rank(df: DataFrame, order_by: Sequence, rank_col: str = "rank",
-                num_partitions: int | None = None, keep_partition: str | None = None) -> Ranked:
+                num_partitions: int | None = None, keep_partition: str | None = None, table: bool = False) -> Ranked:
     """``order_by`` must be a total order (end it with a unique key).
-    ``keep_partition`` names a column for the number of a row's range."""
+    ``keep_partition`` names a column for the number of a row's range.  ``table`` writes the
+    ranges as a table, a third of a checkpoint's size, which does not keep the order of the rows."""
     spark = df.sparkSession
     checkpoint_root(spark)
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -44,8 +46,8 @@ def global_rank(df: DataFrame, order_by: Sequence, rank_col: str = "rank",
         df.repartitionByRange(n_parts, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_mid", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
     )
+    laid_out = written(laid_out, "ranked") if table else laid_out.checkpoint(eager=True)
     counts = {
         r["pid"]: r["n"]
         for r in laid_out.groupBy((F.shiftright(F.col("_mid"), _LOW_BITS)).alias("pid"))
@@ -59,8 +61,8 @@ def global_rank(df: DataFrame, order_by: Sequence, rank_col: str = "rank",
         acc += counts.get(pid, 0)
     place = F.shiftright(F.col("_mid"), _LOW_BITS).cast("int")
     # the offsets as a small table: one row for each range
-    table = spark.createDataFrame(list(enumerate(offsets)), "_pid int, _offset bigint")
-    laid_out = laid_out.withColumn("_pid", place).join(F.broadcast(table), "_pid")
+    starts = spark.createDataFrame(list(enumerate(offsets)), "_pid int, _offset bigint")
+    laid_out = laid_out.withColumn("_pid", place).join(F.broadcast(starts), "_pid")
     offset = F.col("_offset")
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
     ranked = laid_out.withColumn(rank_col, (offset + local + 1).cast("bigint")).drop("_mid", "_offset")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rank import global_rank
-from ..functions.substring import containing, written
+from ..functions.substring import anchors, keys_in, numbered
+from ..session import written
 
 # The condition pattern of image names and the acceptance
 # limits (median and p95 relative error in percent; reprojection).
@@ -52,18 +53,33 @@ def parse_condition(results: DataFrame, image: str = "image") -> DataFrame:
 
 def match_objects(results: DataFrame, truth: DataFrame, image: str = "image") -> DataFrame:
     """The first truth object (in truth order) whose key occurs in the image
-    name, by the exact substring equi-join of ``functions.substring``; names
-    without one keep null columns."""
-    names = written(results.select(F.col(image).alias("_name")).distinct(), "names")
-    hits = containing(
-        names.select("_name", F.col("_name").alias("_text")), "_name", "_text",
-        truth.select("object", F.col("object").alias("_key")), "object", "_key")
-    first = truth.groupBy("object").agg(F.min_by(F.struct("true_mm", "truth_pos"), "truth_pos").alias("_v"))
-    best = (hits.join(first, "object").groupBy("_name")
-            .agg(F.min_by(F.struct("object", F.col("_v.true_mm").alias("true_mm")), F.col("_v.truth_pos")).alias("_b")))
-    return (results.join(best, results[image] == best["_name"], "left")
-            .select(*[results[c] for c in results.columns], F.col("_b.object").alias("object"),
-                    F.col("_b.true_mm").alias("true_mm")))
+    name, by the exact substring keys of ``functions.substring``; names
+    without one keep null columns.
+
+    Names are searched once and written with the keys that may stand in them; a row meets the objects
+    once, and only rows with several such keys are grouped again."""
+    first = written(truth.where(F.length("object") > 0).groupBy("object").agg(
+        F.min_by(F.struct("true_mm", "truth_pos"), "truth_pos").alias("_v")).select(
+        F.col("object").alias("_p"), F.col("_v.true_mm").alias("_mm"), F.col("_v.truth_pos").alias("_pos")), "truth")
+    patterns = numbered(first, "_p")
+    keys = anchors(results.select(F.col(image).alias("_t")).where(F.length("_t") > 0), patterns)
+    long = not keys.where("_long").isEmpty()
+    objects = keys.join(patterns, "_pid").join(first, "_p") if long else first.withColumn("_key", F.col("_p"))
+    found = written(results.select("*", keys_in(keys)(F.col(image)).alias("_keys")), "names")
+
+    def met(rows: DataFrame) -> DataFrame:
+        rows = rows.select("*", F.explode_outer("_keys").alias("_k"))
+        same = F.col("_k") == F.col("_key")
+        return rows.join(objects.select("_key", "_p", "_mm", "_pos"), same & F.contains(F.col(image), F.col("_p")) if long else same, "left")
+
+    # a long key may stand for several objects
+    one = F.size("_keys") <= (0 if long else 1)
+    single = met(found.where(one)).select(*results.columns, F.col("_p").alias("object"), F.col("_mm").alias("true_mm"))
+    several = met(found.where(~one).withColumn("_row", F.monotonically_increasing_id()))
+    best = several.groupBy("_row").agg(
+        F.first(F.struct(*results.columns)).alias("_r"),
+        F.min_by(F.struct(F.col("_p").alias("object"), F.col("_mm").alias("true_mm")), F.col("_pos")).alias("_b"))
+    return single.unionByName(best.select("_r.*", "_b.object", "_b.true_mm"))
 
 
 def measurement_errors(results: DataFrame, truth: DataFrame, image: str = "image") -> DataFrame:
@@ -91,8 +107,10 @@ def measurement_rejects(results: DataFrame, truth: DataFrame, image: str = "imag
 def error_summary(errors: DataFrame, tie_break: str = "image") -> DataFrame:
     """I4: n, median (mean of the two middle values for even n), p95 =
     sorted[min(n−1, int(0.95·n))], and the verdict.  Exact, from one global
-    rank; only the picked ranks are aggregated."""
-    ranked = global_rank(errors.select("rel_pct", tie_break), [F.col("rel_pct"), F.col(tie_break)])
+    rank; only the picked ranks are aggregated.  Which of equal errors has a rank does not matter: a hash of
+    ``tie_break`` only keeps them spread over tasks."""
+    values = written(errors.select("rel_pct", F.xxhash64(tie_break).alias("_tie")), "errors")
+    ranked = global_rank(values, ["rel_pct", "_tie"], table=True)
     n = ranked.n
     if n == 0:
         return errors.sparkSession.createDataFrame([], "n long, median_pct double, p95_pct double, verdict string")

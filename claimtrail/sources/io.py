@@ -155,7 +155,7 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(TRUTH).option("header", True).csv(path).select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_mid"))
-    return global_rank(rows, ["_file", "_blk", "_mid"], "truth_pos").df.drop("_file", "_blk", "_mid")
+    return global_rank(rows, ["_file", "_blk", "_mid"], "truth_pos", table=True).df.drop("_file", "_blk", "_mid")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

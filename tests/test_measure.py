@@ -36,6 +36,30 @@ def test_first_truth_key_in_order_wins(spark):
     assert measure.match_objects(res, truth).first().object == "b"
 
 
+def test_rows_with_none_one_and_several_keys_stay(spark):
+    long = "k" * 100 + "".join(map(str, range(60)))
+    rows = [("d1_ab", 1.0), ("d1_ab", 1.0), ("d1_b", None), ("zz", 2.0), (None, 3.0), ("", 4.0), (f"x{long}ab", 5.0), (f"x{long[:-1]}y", 6.0)]
+    truth = spark.createDataFrame([("ab", 10.0, 2), ("b", 5.0, 3), ("b", 6.0, 4), (long, 7.0, 1), (long + "q", 8.0, 0), (None, 1.0, 5), ("", 1.0, 6)],
+                                  "object string, true_mm double, truth_pos long")
+    res = spark.createDataFrame(rows, "image string, measured_mm double")
+    key = lambda r: tuple(map(str, r))
+    expected = [("d1_ab", 1.0, "ab", 10.0)] * 2 + [("d1_b", None, "b", 5.0), ("zz", 2.0, None, None), (None, 3.0, None, None), ("", 4.0, None, None),
+                                                  (f"x{long}ab", 5.0, long, 7.0), (f"x{long[:-1]}y", 6.0, None, None)]
+    assert sorted(map(tuple, measure.match_objects(res, truth).collect()), key=key) == sorted(expected, key=key)
+    short = truth.where("length(object) < 100")
+    assert sorted((tuple(r)[2] for r in measure.match_objects(res, short).collect()), key=str) == [None, None, None, None, "ab", "ab", "ab", "b"]
+
+
+def test_names_meet_the_objects_in_one_shuffle(spark):
+    """A name with one key is neither made distinct nor grouped: only names with several keys have a group."""
+    res = spark.createDataFrame([(f"d1_a2_l_r3_P{i}x.png", 10.0) for i in range(50)], "image string, measured_mm double")
+    truth = spark.createDataFrame([(f"P{i}x", 5.0, i) for i in range(50)], "object string, true_mm double, truth_pos long")
+    m = measure.match_objects(res, truth)
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 and "Union" in plan and plan.count("Aggregate") == 1
+    assert m.where("object = regexp_extract(image, '(P[0-9]+x)', 1)").count() == 50
+
+
 def test_plane_distance_identity_and_scale(spark):
     pts = spark.createDataFrame([(1, 0.0, 0.0, 3.0, 4.0)], "image long, x1 double, y1 double, x2 double, y2 double")
     ident = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])], "image long, h array<double>")

@@ -58,3 +58,12 @@ def test_a_gram_that_all_share_proposes_no_pairs(spark, length):
     patterns = [(f"{head}{i:05d}",) for i in range(400)]
     texts = spark.createDataFrame([(i, f"x{i} {head}{i:05d} {head}") for i in range(600)], "_tid long, _t string")
     assert _proposals(texts, spark.createDataFrame(patterns, "_p string")) <= 8 * 600
+
+
+def test_only_keys_that_occur_leave_a_text(spark):
+    """Texts of the patterns' own letters, where every gram meets many patterns."""
+    rng = random.Random(7)
+    texts = [(i, "".join(rng.choice("Px012") for _ in range(300))) for i in range(200)]
+    patterns = {f"P{rng.randrange(3 ** 7):o}x" for _ in range(500)}
+    true = sum(p in t for _, t in texts for p in patterns)
+    assert true <= _proposals(spark.createDataFrame(texts, "_tid long, _t string"), spark.createDataFrame([(p,) for p in patterns], "_p string")) <= 1.5 * true + 200
