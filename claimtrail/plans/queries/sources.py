@@ -35,7 +35,7 @@ def q_a2(spark, sf_dir):
     docs = fixtures.sarif_documents(spark, sf_dir).withColumn(
         "_file", F.concat(F.lit("repo-"), F.floor(F.col("doc_id") / 500).cast("string")))
     runs = docs.select("_file", "doc_id", F.explode("sarif.runs").alias("run"))
-    per_file = runs.groupBy("_file").agg(
+    per_file = sio.spread(runs, "_file").groupBy("_file").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "run"))), lambda e: e["run"]).alias("runs"))
     path = scratch_path(spark, "sarif")
     (per_file.select("_file", F.to_json(F.struct(F.lit("2.1.0").alias("version"), "runs")).alias("value"))
@@ -153,7 +153,7 @@ def q_a7(spark, sf_dir):
     """One trainer-state JSON per user written, read (log_history exploded),
     summarized per run."""
     ev = fixtures.table(spark, sf_dir, "events")
-    hist = ev.groupBy("user_id").agg(F.max("event_id").alias("global_step"), F.transform(F.array_sort(
+    hist = sio.spread(ev.select("user_id", "event_id", "value"), "user_id").groupBy("user_id").agg(F.max("event_id").alias("global_step"), F.transform(F.array_sort(
         F.collect_list(F.struct(F.col("event_id").alias("step"), (F.col("value") / 100).alias("loss")))),
         lambda e: F.struct(F.lit(1.0).alias("epoch"), F.lit(None).cast("double").alias("grad_norm"),
                            F.lit(0.0002).alias("learning_rate"), e["loss"].alias("loss"),
@@ -177,7 +177,7 @@ def q_a4f(spark, sf_dir):
     (A4), canonical JSON with nesting and escapes (B6), links verified (B4)."""
     path = scratch_path(spark, "foreign")
     lines = fixtures.foreign_audit_lines(spark, sf_dir).withColumn("conv", F.col("conv_id"))
-    lines.repartition("conv").sortWithinPartitions("conv", "pos").select("conv", "value").write.partitionBy("conv").text(path)
+    sio.spread(lines, "conv").sortWithinPartitions("conv", "pos").select("conv", "value").write.partitionBy("conv").text(path)
     found = chainops.foreign_chain_verify(sio.read_lines(spark, path))
     return found.select(F.regexp_extract("file", r"conv=(-?[0-9]+)/", 1).cast("bigint").alias("conv_id"), "valid", "first_bad_line", "n")
 
@@ -205,7 +205,7 @@ def q_a7t(spark, sf_dir):
     lines = ev.select(F.col("user_id").alias("run"), "event_id", F.explode(F.array(
         F.struct(F.lit(0).alias("i"), F.concat(F.col("event_id").cast("string"), F.lit("%|##| 'loss pending'")).alias("value")),
         F.struct(F.lit(1).alias("i"), F.concat(F.lit("{'loss': "), (F.col("value") / 100).cast("string"), F.lit(", 'epoch': 1}")).alias("value")))).alias("l"))
-    lines.repartition("run").sortWithinPartitions("run", "event_id", "l.i").select("run", "l.value").write.partitionBy("run").text(path)
+    sio.spread(lines, "run").sortWithinPartitions("run", "event_id", "l.i").select("run", "l.value").write.partitionBy("run").text(path)
     log = sio.read_text_log(spark, path)
     run = F.regexp_extract("file", r"run=(-?[0-9]+)/", 1).cast("bigint")
     return log.groupBy(run.alias("run")).agg(F.count("*").cast("bigint").alias("n"), F.round(F.sum("loss"), 6).alias("loss"),

@@ -130,7 +130,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_mid"), F.col("value").alias("line"))
-    r = global_rank(t, [F.col("file"), F.col("_blk"), F.col("_mid")], "_rk").df
+    r = global_rank(t, [F.col("file"), F.col("_blk"), F.col("_mid")], "_rk", table=True).df
     return rank_within(r, ["file"], "_rk", "line_no", None).drop("_blk", "_mid", "_rk")
 
 
@@ -201,4 +201,11 @@ def write_audit(audit: DataFrame, path: str) -> None:
 
 def write_report(reports: DataFrame, path: str, key: str = "repository_id", text: str = "text") -> None:
     """One text artifact per repository, written as partitioned text."""
-    reports.select(key, text).write.mode("overwrite").partitionBy(key).text(path)
+    spread(reports.select(key, text), key).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by ``key`` to a fixed number of tasks, before a folder for each key is written.  A file costs the same
+    however small it is, but by their bytes alone small files would all be merged into one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)

@@ -183,3 +183,15 @@ def test_commits_refuse_a_second_writer_and_keep_old_files(spark, tmp_path):
     states = lambda v: {r.state: r["count"] for r in sstate.read_commits(spark, root, v).groupBy("state").count().collect()}
     assert states(1) == {"received": 1000} and states(2) == states(3) == {"received": 990, "approved": 10}
     assert sstate.compact(spark, root, 3) == 4 and states(None) == states(3) and len(sstate._folders(spark, root, 4)) == 1
+
+
+def test_small_files_are_written_by_several_tasks(spark, tmp_path):
+    from claimtrail.sources import io
+    reports = spark.range(64).coalesce(1).selectExpr("concat('r', id) AS repository_id", "cast(id AS string) AS text")
+    io.write_report(reports, str(tmp_path / "reports"))
+    files = list((tmp_path / "reports").glob("repository_id=r*/part-*.txt"))
+    assert len(files) == 64 and len({f.name.split("-")[1] for f in files}) > 4
+    # a merge by bytes after the grouping must not bring them back into one task
+    grouped = io.spread(spark.range(640).selectExpr("id % 64 AS k", "id"), "k").groupBy("k").count()
+    grouped.selectExpr("k", "cast(count AS string) AS value").write.partitionBy("k").text(str(tmp_path / "grouped"))
+    assert len({f.name.split("-")[1] for f in (tmp_path / "grouped").glob("k=*/part-*.txt")}) > 4
