@@ -270,6 +270,6 @@ def prohibited_claims(assessments: DataFrame, **kw) -> DataFrame:
 def passage_overlap(passages: DataFrame, texts: DataFrame) -> DataFrame:
     """All (passage_id, text_id) where the passage occurs verbatim in the
     text.  ``passages(passage_id, passage)``, ``texts(text_id, text)``.  One exact
-    equi-join on sampled q-grams for every number and length of passages."""
+    equi-join on whole keys for every number and length of passages."""
     from ..functions.substring import containing
     return containing(texts, "text_id", "text", passages, "passage_id", "passage")
