@@ -17,6 +17,7 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -212,92 +213,134 @@ def stream_states(stream: DataFrame, ts: str = "ts", delay: str = "1 day",
             .applyInPandasWithState(step, _K3_OUT, _K3_STATE, "update", timeout))
 
 
+BUCKETS = 512           # of the keys that settle: a bucket is one key of the state
+CHUNK = 10_000          # rows of a state element and of an emitted frame
+_KEY = "k"              # before a key's text; the null key is the empty text
+
+
+def _pack(rows: Sequence[tuple], schema: pa.Schema) -> bytes:
+    columns = [pa.array(c, f.type, from_pandas=True) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)]
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, schema) as writer:
+        writer.write_batch(pa.record_batch(columns, schema=schema))
+    return out.getvalue().to_pybytes()
+
+
+def _unpack(packed: bytes) -> Iterator[tuple]:
+    with pa.ipc.open_stream(pa.py_buffer(bytes(packed))) as reader:
+        return zip(*[c.to_pylist() for c in reader.read_all().columns])
+
+
 class _Settling(StatefulProcessor):
-    """Keeps a key's rows until the watermark has passed them, then settles them in seq order.
+    """Keeps the rows of a bucket of keys until the watermark has passed them, then settles each key's in seq order.
 
-    The rows that wait are a list state with one element each, ``settled`` is a value state and one timer stands at the
-    earliest event time that waits.  A row waits for all smaller seq that still wait.  Rows without
-    a seq (heartbeats) only move the watermark."""
+    A state call costs more than a row, so the keys are dealt into buckets: the rows that wait are a list state, of which
+    an element holds up to CHUNK rows that came together, and one value state has what each key's settled rows came to, and the
+    bucket's timer, which stands at the earliest event time that waits.  A row waits for all smaller seq of its key
+    that still wait.  Rows without a seq (heartbeats) only move the watermark."""
 
-    row: str            # schema of a row that waits; seq first, event time in ms last
-    settled: str        # schema of what the settled rows came to; the last seq is its last field
+    columns: list       # of an input row: the key's text; seq, a text, event time in ms
+    settled: list       # (name, type) of what a key's settled rows came to; the last seq comes last
     start: tuple
+    out: str            # schema of an emitted row, the key's text first
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
-        self.value = handle.getValueState("settled", self.settled)
-        self.alarm = handle.getValueState("alarm", "at long")
+        self.waiting = handle.getListState("waiting", "packed binary")
+        self.value = handle.getValueState("settled", "packed binary, alarm long")
+        self.row = pa.schema(list(zip(self.columns, (pa.string(), pa.int64(), pa.string(), pa.int64()))))
+        self.kept = pa.schema([("key", pa.string()), *self.settled])
 
-    def settle(self, key: tuple, value: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
-        """The value after ``rows``, and the rows to emit."""
+    def settle(self, value: tuple, key: str, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        """The value after ``rows`` (seq, text), and the rows to emit."""
         raise NotImplementedError
 
-    def late(self, key: tuple, row: tuple) -> tuple:
+    def late(self, key: str, seq: int, text: str | None) -> tuple:
         raise NotImplementedError
 
-    def _set(self, at: int) -> None:
-        before = self.alarm.get()
-        if before is not None:
-            if before[0] <= at:
-                return
-            self.handle.deleteTimer(before[0])
-        self.handle.registerTimer(at)
-        self.alarm.update((at,))
+    def _frames(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in self.out.split(", ")]
+        for i in range(0, len(rows), CHUNK):
+            yield pd.DataFrame(rows[i:i + CHUNK], columns=names)
 
     def handleInputRows(self, key, rows, timerValues):
-        last = (self.value.get() or self.start)[-1]
-        new, late = [], []
+        packed, alarm = self.value.get() or (None, None)
+        last = {k: v[-1] for k, *v in _unpack(packed)} if packed is not None else {}
+        none, before, late = self.start[-1], alarm, []
         for pdf in rows:
-            for row in pdf[list(self.columns)].itertuples(index=False, name=None):
-                row = tuple(x.item() if hasattr(x, "item") else x for x in row)
-                if row[0] >= 0:
-                    (late if row[0] <= last else new).append(row)
-        if new:
-            self.waiting.appendList(new)
-            self._set(min(row[-1] for row in new))
-        if late:
-            yield self.frame([self.late(key, row) for row in late])
+            new = []
+            for row in zip(*[pdf[c].tolist() for c in self.columns]):
+                if row[1] >= 0:
+                    if row[1] <= last.get(row[0], none):
+                        late.append(self.late(*row[:3]))
+                    else:
+                        new.append(row)
+            for i in range(0, len(new), CHUNK):
+                self.waiting.appendValue((_pack(new[i:i + CHUNK], self.row),))
+            alarm = min([row[-1] for row in new] + ([] if alarm is None else [alarm]), default=None)
+        if alarm != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(alarm)
+            self.value.update((_pack([], self.kept) if packed is None else bytes(packed), alarm))
+        yield from self._frames(late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get(), key=lambda row: row[0])
-        n = _passed(rows, now)
-        value, out = self.settle(key, self.value.get() or self.start, rows[:n])
-        if n:
-            self.value.update(value)
+        keys: dict[str, list] = {}
+        for (chunk,) in self.waiting.get():
+            for k, *row in _unpack(chunk):
+                keys.setdefault(k, []).append(row)
+        packed, _ = self.value.get()
+        values = {k: tuple(v) for k, *v in _unpack(packed)}
+        out, rest, alarm = [], [], None
+        for k, rows in keys.items():
+            rows.sort(key=lambda row: row[0])
+            n = _passed(rows, now)
+            if n:
+                values[k], emitted = self.settle(values.get(k, self.start), k, [row[:2] for row in rows[:n]])
+                out += emitted
             if rows[n:]:
-                self.waiting.put(rows[n:])
+                at = min(row[-1] for row in rows[n:] if row[-1] > now)
+                alarm = at if alarm is None else min(alarm, at)
+                rest += [(k, *row) for row in rows[n:]]
+        if out:
+            if rest:
+                self.waiting.put([(_pack(rest[i:i + CHUNK], self.row),) for i in range(0, len(rest), CHUNK)])
             else:
                 self.waiting.clear()
-        if rows[n:]:
-            at = min(row[-1] for row in rows[n:] if row[-1] > now)
-            self.handle.registerTimer(at)
-            self.alarm.update((at,))
-        else:
-            self.alarm.clear()
-        if out:
-            yield self.frame(out)
+            packed = _pack([(k, *v) for k, v in values.items()], self.kept)
+        if alarm is not None:
+            self.handle.registerTimer(alarm)
+        self.value.update((bytes(packed), alarm))
+        yield from self._frames(out)
 
     def close(self) -> None:
         pass
 
 
+def _settling(rows: DataFrame, key: str, processor: _Settling, buckets: int) -> DataFrame:
+    """The rows that ``processor`` emits; ``key`` gets its type back."""
+    dealt = rows.withColumn("key_text", F.coalesce(F.concat(F.lit(_KEY), F.col(key).cast("string")), F.lit(""))) \
+        .withColumn("bucket", F.pmod(F.xxhash64("key_text"), F.lit(buckets)).cast("int")).drop(key)
+    out = dealt.groupBy("bucket").transformWithStateInPandas(processor, processor.out, "append", "eventTime")
+    own = F.when(F.col("key_text") != "", F.substring("key_text", len(_KEY) + 1, 1 << 30)).cast(rows.schema[key].dataType)
+    return out.select(own.alias(key), *[c for c in out.columns if c != "key_text"])
+
+
 class _States(_Settling):
-    row, columns = "seq long, to_state string, ms long", ["seq", "to_state", "settle_ms"]
-    settled, start = "state int, accepted long, rejected long, last_seq long", (0, 0, 0, -1)
-    out = "case_id string, seq long, to_state string, from_state string, state string, accepted boolean, late boolean, n_accepted long, n_rejected long"
+    columns = ["key_text", "seq", "to_state", "settle_ms"]
+    settled = [("state", pa.int64()), ("accepted", pa.int64()), ("rejected", pa.int64()), ("last_seq", pa.int64())]
+    start = (0, 0, 0, -1)
+    out = "key_text string, seq long, to_state string, from_state string, state string, accepted boolean, late boolean, n_accepted long, n_rejected long"
 
     def __init__(self, allowed: list[list[int]]):
         self.allowed = allowed
 
-    def frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in self.out.split(", ")])
-
-    def settle(self, key, value, rows):
+    def settle(self, value, key, rows):
         state, accepted, rejected, last = value
         out = []
-        for seq, to, _ in rows:
+        for seq, to in rows:
             before, target = state, STATE_IDS.get(to, 0)
             after = self.allowed[state][target] if target else -1
             if after >= 0:
@@ -305,22 +348,22 @@ class _States(_Settling):
             else:
                 rejected += 1
             last = seq
-            out.append((key[0], seq, to, _STATE_NAMES.get(before), _STATE_NAMES.get(state), after >= 0, False, accepted, rejected))
+            out.append((key, seq, to, _STATE_NAMES.get(before), _STATE_NAMES.get(state), after >= 0, False, accepted, rejected))
         return (state, accepted, rejected, last), out
 
-    def late(self, key, row):
-        return (key[0], row[0], row[1], None, None, False, True, None, None)
+    def late(self, key, seq, text):
+        return (key, seq, text, None, None, False, True, None, None)
 
 
-def settled_states(stream: DataFrame, ts: str = "ts", delay: str = "1 day", allow_reject: bool = False) -> DataFrame:
+def settled_states(stream: DataFrame, ts: str = "ts", delay: str = "1 day", allow_reject: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """K3 with one row for each event (append mode): (case_id, seq, to_state, from_state, state, accepted, late,
     n_accepted, n_rejected), as G4 gives them, once the watermark has passed the event and all of its case before it.  An event
     that comes after a larger seq of its case has settled is emitted with ``late`` and changes nothing.
     An event without a seq only moves the watermark.  The state of a case is its settled state and
-    the events of one delay."""
+    the events of one delay; ``buckets`` stays as a checkpoint began, and some thousands of cases in one are well."""
     s = event_time(stream, ts).withWatermark(ts, delay).withColumn("settle_ms", (F.unix_micros(F.col(ts)) / 1000).cast("long"))
     s = s.withColumn("seq", F.coalesce(F.col("seq").cast("long"), F.lit(-1)))
-    return s.groupBy("case_id").transformWithStateInPandas(_States(transition_matrix(allow_reject)), _States.out, "append", "eventTime")
+    return _settling(s.select("case_id", "seq", "to_state", "settle_ms", ts), "case_id", _States(transition_matrix(allow_reject)), buckets)
 
 
 def settled_finals(settled: DataFrame) -> DataFrame:
@@ -456,33 +499,30 @@ def stream_chain(stream: DataFrame, ts: str = "ts", delay: str = "1 day") -> Dat
 
 
 class _Chains(_Settling):
-    row, columns = "seq long, canon string, ms long", ["seq", "canon_text", "settle_ms"]
-    settled, start = "tail_hash string, last_seq long", (GENESIS, -1)
-    out = "chain long, seq long, previous_hash string, event_hash string"
-
-    def frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in self.out.split(", ")])
+    columns = ["key_text", "seq", "canon_text", "settle_ms"]
+    settled, start = [("tail_hash", pa.string()), ("last_seq", pa.int64())], (GENESIS, -1)
+    out = "key_text string, seq long, previous_hash string, event_hash string"
 
-    def settle(self, key, value, rows):
+    def settle(self, value, key, rows):
         tail, last = value
         out = []
-        for seq, canon, _ in rows:
+        for seq, canon in rows:
             before, tail, last = tail, hashlib.sha256((canon + f"{len(tail)}:{tail}").encode("utf-8")).hexdigest(), seq
-            out.append((key[0], seq, before, tail))
+            out.append((key, seq, before, tail))
         return (tail, last), out
 
-    def late(self, key, row):
-        return (key[0], row[0], None, None)
+    def late(self, key, seq, text):
+        return (key, seq, None, None)
 
 
-def settled_chain(stream: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
+def settled_chain(stream: DataFrame, ts: str = "ts", delay: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """K7 with one row for each audit row (append mode): (chain, seq, previous_hash, event_hash), once the watermark has
     passed it and all of its chain before it.  One that comes after a larger seq of its chain has settled has null hashes;
-    one without a seq only moves the watermark.  The state of a chain is its tail and the rows of one delay."""
+    one without a seq only moves the watermark.  The state of a chain is its tail and the rows of one delay (``buckets``: see K3)."""
     s = event_time(stream, ts).withWatermark(ts, delay).withColumn("canon_text", record_canon()) \
         .withColumn("settle_ms", (F.unix_micros(F.col(ts)) / 1000).cast("long"))
     s = s.withColumn("seq", F.coalesce(F.col("seq").cast("long"), F.lit(-1))).select("chain", "seq", "canon_text", "settle_ms", ts)
-    return s.groupBy("chain").transformWithStateInPandas(_Chains(), _Chains.out, "append", "eventTime")
+    return _settling(s, "chain", _Chains(), buckets)
 
 
 def latest_chain(emitted: DataFrame) -> DataFrame:

@@ -207,3 +207,78 @@ def test_sources_that_come_late_ground_earlier_citations(spark, tmp_path):
         streams.run_to_folder(joined, out, ck, state_partitions=2)
     got = {(r.case_id, r.cpos): r.status for r in streams.read_folder(spark, out).where("case_id <> 'z'").collect()}
     assert got == {("a", 0): "ok", ("a", 1): "unresolved", ("b", 0): "unresolved", ("b", 1): "unknown_source"}
+
+
+class _Held:
+    """The state of one bucket, with its calls counted."""
+
+    def __init__(self):
+        self.calls, self.timers, self.kept = 0, set(), {}
+
+    def state(self, name):
+        outer = self
+
+        class State:
+            def get(self):
+                outer.calls += 1
+                return outer.kept.get(name) if name != "waiting" else iter(outer.kept.get(name, []))
+
+            def update(self, value):
+                outer.calls += 1
+                outer.kept[name] = value
+
+            put = update
+
+            def appendValue(self, value):
+                outer.calls += 1
+                outer.kept.setdefault(name, []).append(value)
+
+            def clear(self):
+                outer.calls += 1
+                outer.kept.pop(name, None)
+        return State()
+
+    def getListState(self, name, schema):
+        return self.state(name)
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 500
+
+
+def test_the_keys_of_a_bucket_share_their_state_calls():
+    """A thousand cases cost as many state calls as one; each settles by itself."""
+    import pandas as pd
+    from claimtrail.operators.workflow import transition_matrix
+    held, states = _Held(), streams._States(transition_matrix(False))
+    states.init(held)
+    rows = [(f"k{c}", 2 - i, ("pending_approval", "received")[i], 100 + i) for i in range(2) for c in range(1000)]
+    rows += [("k7", 3, "approved", 900), ("k8", 4, "approved", 300), ("k8", 3, "approved", 900), ("k9", -1, None, 50)]
+    list(states.handleInputRows((0,), iter([pd.DataFrame(rows, columns=states.columns)]), held))
+    assert held.timers == {100}
+    held.timers.clear()
+    out = pd.concat(list(states.handleExpiredTimer((0,), held, None)))
+    assert held.calls < 12 and held.timers == {900}
+    assert len(out) == 2000 and set(out[out.seq == 2].state) == {"pending_approval"} and set(out[out.seq == 2].n_accepted) == {2}
+    late = pd.concat(list(states.handleInputRows((0,), iter([pd.DataFrame([("k5", 2, "approved", 800)], columns=states.columns)]), held)))
+    assert late.late.tolist() == [True] and held.timers == {900}
+
+
+def test_a_null_case_settles_beside_others(spark, tmp_path):
+    inp, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    big = 2 ** 62
+    rows = [(None, big + 1, "pending_approval", T0), (None, big, "received", T0), ("", 1, "received", T0), ("x", 9, None, T0), ("x", None, None, T0 + 9 * DAY)]
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(f"{inp}/b0")
+    stream = streams.stream_files(spark, inp, spark.createDataFrame([], EVENTS).schema, None)
+    streams.run_to_folder(streams.settled_states(stream, buckets=1), out, ck, state_partitions=2, rocksdb=True)
+    got = {(r.case_id, r.seq, r.state, r.accepted) for r in streams.read_folder(spark, out).collect()}
+    assert got == {(None, big, "received", True), (None, big + 1, "pending_approval", True), ("", 1, "received", True), ("x", 9, None, False)}
