@@ -6,6 +6,8 @@ truth file's row order), points and homographies as plain columns.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ MEDIAN_LIMIT_PCT = 2.0
 P95_LIMIT_PCT = 4.0
 MIN_VIEWS = 10
 MAX_RMS_PX = 0.5
+BROADCAST_BYTES = 128 << 20     # of truth objects that are sent to every executor instead of shuffling the names
 
 
 def _project(h: Column, x: Column, y: Column):
@@ -51,10 +54,11 @@ def parse_condition(results: DataFrame, image: str = "image") -> DataFrame:
     )
 
 
-def match_objects(results: DataFrame, truth: DataFrame, image: str = "image") -> DataFrame:
+def match_objects(results: DataFrame, truth: DataFrame, image: str = "image", keep: Sequence[str] | None = None) -> DataFrame:
     """The first truth object (in truth order) whose key occurs in the image
     name, by the exact substring keys of ``functions.substring``; names
-    without one keep null columns.
+    without one keep null columns.  ``keep``: the columns of ``results`` to return (default: all), so that no others
+    are written and shuffled.
 
     Names are searched once and written with the keys that may stand in them; a row meets the objects
     once, and only rows with several such keys are grouped again."""
@@ -65,7 +69,11 @@ def match_objects(results: DataFrame, truth: DataFrame, image: str = "image") ->
     keys = anchors(results.select(F.col(image).alias("_t")).where(F.length("_t") > 0), patterns)
     long = not keys.where("_long").isEmpty()
     objects = keys.join(patterns, "_pid").join(first, "_p") if long else first.withColumn("_key", F.col("_p"))
-    found = written(results.select("*", keys_in(keys)(F.col(image)).alias("_keys")), "names")
+    if not long and (first.agg(F.sum(F.octet_length("_p") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        objects = F.broadcast(objects)
+    columns = list(keep or results.columns)
+    carried = columns + [image] * (long and image not in columns)
+    found = written(results.select(*carried, keys_in(keys)(F.col(image)).alias("_keys")), "names")
 
     def met(rows: DataFrame) -> DataFrame:
         rows = rows.select("*", F.explode_outer("_keys").alias("_k"))
@@ -74,10 +82,10 @@ def match_objects(results: DataFrame, truth: DataFrame, image: str = "image") ->
 
     # a long key may stand for several objects
     one = F.size("_keys") <= (0 if long else 1)
-    single = met(found.where(one)).select(*results.columns, F.col("_p").alias("object"), F.col("_mm").alias("true_mm"))
+    single = met(found.where(one)).select(*columns, F.col("_p").alias("object"), F.col("_mm").alias("true_mm"))
     several = met(found.where(~one).withColumn("_row", F.monotonically_increasing_id()))
     best = several.groupBy("_row").agg(
-        F.first(F.struct(*results.columns)).alias("_r"),
+        F.first(F.struct(*columns)).alias("_r"),
         F.min_by(F.struct(F.col("_p").alias("object"), F.col("_mm").alias("true_mm")), F.col("_pos")).alias("_b"))
     return single.unionByName(best.select("_r.*", "_b.object", "_b.true_mm"))
 
@@ -96,12 +104,12 @@ def measurement_errors(results: DataFrame, truth: DataFrame, image: str = "image
 def measurement_rejects(results: DataFrame, truth: DataFrame, image: str = "image") -> DataFrame:
     """Rows I3 drops, counted by cause: no truth object in the name, or no
     condition pattern (the reference drops both silently)."""
-    m = match_objects(results, truth, image)
     has_cond = F.regexp_extract(F.col(image), CONDITION_PATTERN, 0) != ""
+    m = match_objects(results.select(image, has_cond.alias("_cond")), truth, image, keep=["_cond"])
     return m.agg(
         F.count(F.lit(1)).cast("bigint").alias("rows"),
         F.sum(F.col("object").isNull().cast("long")).cast("bigint").alias("no_object"),
-        F.sum((F.col("object").isNotNull() & ~has_cond).cast("long")).cast("bigint").alias("no_condition"))
+        F.sum((F.col("object").isNotNull() & ~F.col("_cond")).cast("long")).cast("bigint").alias("no_condition"))
 
 
 def error_summary(errors: DataFrame, tie_break: str = "image") -> DataFrame:
@@ -109,7 +117,7 @@ def error_summary(errors: DataFrame, tie_break: str = "image") -> DataFrame:
     sorted[min(n−1, int(0.95·n))], and the verdict.  Exact, from one global
     rank; only the picked ranks are aggregated.  Which of equal errors has a rank does not matter: a hash of
     ``tie_break`` only keeps them spread over tasks."""
-    values = written(errors.select("rel_pct", F.xxhash64(tie_break).alias("_tie")), "errors")
+    values = written(errors.select("rel_pct", F.hash(tie_break).alias("_tie")), "errors")
     ranked = global_rank(values, ["rel_pct", "_tie"], table=True)
     n = ranked.n
     if n == 0:

@@ -75,3 +75,22 @@ def test_reprojection_rms(spark):
                                 "view long, corner long, x double, y double")
     rows = {r.view: r for r in measure.reprojection_rms(obs, prj).collect()}
     assert rows["3"].rms_px == pytest.approx(0.5) and rows["*"].verdict == "PASS" and rows["*"].points == 40
+
+
+def test_rejects_carry_no_names_and_meet_broadcast_objects(spark):
+    """The names are searched, then only what is counted is written; a bounded number of objects comes to the rows."""
+    results = spark.createDataFrame([("d1_a2_sun_r3_P1x", 1.0), ("P2x", 1.0), ("d1_a2_sun_r3", 1.0), (None, 1.0), ("P1x_P2x", 1.0)],
+                                    "image string, measured_mm double")
+    truth = spark.createDataFrame([("P1x", 1.0, 2), ("P2x", 2.0, 1)], "object string, true_mm double, truth_pos int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counts = measure.measurement_rejects(results, truth)
+        plan = counts._jdf.queryExecution().optimizedPlan().toString()
+        assert tuple(counts.first()) == (5, 2, 2)
+        assert "image" not in plan and "broadcast" in plan
+        kept = measure.match_objects(results, truth, keep=["measured_mm"])
+        assert kept.columns == ["measured_mm", "object", "true_mm"]
+        assert sorted(r.object or "" for r in kept.collect()) == ["", "", "P1x", "P2x", "P2x"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
