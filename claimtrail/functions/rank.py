@@ -107,9 +107,9 @@ def rank_within(ranked: DataFrame, group_cols: Sequence[str], rank_col: str = "r
                 out: str = "rank_in_group", size_col: str | None = "group_size") -> DataFrame:
     """Per-group rank from a global rank whose order starts with ``group_cols``:
     rank minus the group's first rank, plus one.  The group table is an
-    aggregate (one row per group); AQE broadcasts it when it is small."""
-    firsts = ranked.groupBy(*group_cols).agg(
-        F.min(rank_col).alias("_first"), F.count(F.lit(1)).alias("_size"))
+    aggregate (one row per group), written first: where its size allows the optimizer to broadcast it, the rows are not shuffled."""
+    firsts = written(ranked.groupBy(*group_cols).agg(
+        F.min(rank_col).alias("_first"), F.count(F.lit(1)).alias("_size")), "firsts")
     out_df = ranked.join(firsts, list(group_cols)).withColumn(
         out, (F.col(rank_col) - F.col("_first") + 1).cast("bigint"))
     if size_col:

@@ -76,13 +76,13 @@ def observations(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
     """One observation per line item; report = supplier (repository);
     ``pos`` is the report order (order, line, part), from one global rank, so a
     supplier of any size is split over tasks.  ``materialize`` writes
-    the whole table once as a reliable checkpoint for plans that read it several
+    the whole table once for plans that read it several
     times (selection, summary, fingerprint, metrics)."""
     from ..functions.rank import global_rank, rank_within
-    from ..session import checkpoint_root
+    from ..session import written
     li = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_discount", "l_quantity")
-    ranked = global_rank(li, ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"], "_rank").df
+    ranked = global_rank(li, ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"], "_rank", table=True).df
     obs = rank_within(ranked, ["l_suppkey"], "_rank", "_pos", None).select(
         F.lit("eng-1").alias("engagement_id"),
         F.concat(F.lit("repo-"), F.col("l_suppkey").cast("string")).alias("repository_id"),
@@ -96,10 +96,7 @@ def observations(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
         F.concat(F.lit("quantity "), F.col("l_quantity").cast("bigint").cast("string"),
                  F.lit(" \"units\"")).alias("message"),
     )
-    if materialize:
-        checkpoint_root(spark)
-        obs = obs.checkpoint(eager=True)
-    return obs
+    return written(obs, "observations") if materialize else obs
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from ...operators import evaluate, measure
 from ...operators import evidence, scope
 from ...operators import report
 from ...operators import triage, validate, workflow
-from ...session import scratch_path
+from ...session import scratch_path, written
 from ...sources import io as sio
 from ...sources import state as sstate
 from ...streaming import streams
@@ -335,16 +335,17 @@ _TRIAGE_SQL = f"""
 
 def _triage_by_repo(spark, sf_dir, materialize=False):
     """Observations, the per-repository case sources and their triage.
-    ``materialize`` checkpoints the observation table for callers that also
+    ``materialize`` writes the observation table for callers that also
     fingerprint it (triage alone reads it twice, cheaply, with the position
     window pruned away)."""
     obs = fixtures.observations(spark, sf_dir, materialize=materialize)
-    sel = evidence.select_evidence(obs)
+    sel = written(evidence.select_evidence(obs).select(
+        "engagement_id", "repository_id", "sel_pos", "observation_id", "text"), "selected")
     summ = evidence.selection_summary(fixtures.reports(spark, sf_dir), obs, sel)
     src = sel.select(F.col("repository_id").alias("case_id"), F.col("sel_pos").alias("pos"),
                      F.col("observation_id").alias("source_id"), "text").unionByName(
         summ.select(F.col("repository_id").alias("case_id"), F.col("sel_pos").alias("pos"), "source_id", "text"))
-    src = src.checkpoint(eager=True)   # the case sources are read by several steps
+    src = written(src, "sources")   # the case sources are read by several steps
     return obs, src, triage.triage(src.select("case_id").distinct(), src)
 
 
