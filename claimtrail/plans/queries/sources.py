@@ -202,12 +202,13 @@ def q_a7t(spark, sf_dir):
     """Text logs, one for each user: progress lines and dictionaries with the loss."""
     path = scratch_path(spark, "logs")
     ev = fixtures.table(spark, sf_dir, "events")
-    lines = ev.select(F.col("user_id").alias("run"), "event_id", F.explode(F.array(
+    rows = sio.spread(ev.select(F.col("user_id").alias("run"), "event_id", "value"), "run")
+    lines = rows.select("run", "event_id", F.explode(F.array(
         F.struct(F.lit(0).alias("i"), F.concat(F.col("event_id").cast("string"), F.lit("%|##| 'loss pending'")).alias("value")),
         F.struct(F.lit(1).alias("i"), F.concat(F.lit("{'loss': "), (F.col("value") / 100).cast("string"), F.lit(", 'epoch': 1}")).alias("value")))).alias("l"))
-    sio.spread(lines, "run").sortWithinPartitions("run", "event_id", "l.i").select("run", "l.value").write.partitionBy("run").text(path)
+    sio.write_text_files(lines.sortWithinPartitions("run", "event_id", "l.i").select("run", "l.value"), path, "run", "value")
     log = sio.read_text_log(spark, path)
-    run = F.regexp_extract("file", r"run=(-?[0-9]+)/", 1).cast("bigint")
+    run = F.regexp_extract("file", r"run=(-?[0-9]+)[/.]", 1).cast("bigint")
     return log.groupBy(run.alias("run")).agg(F.count("*").cast("bigint").alias("n"), F.round(F.sum("loss"), 6).alias("loss"),
                                              F.max("line_no").cast("bigint").alias("last_line"))
 

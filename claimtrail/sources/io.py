@@ -3,8 +3,11 @@ inference), so a directory of any size is read without a sampling pass."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
+from urllib.parse import quote
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +67,10 @@ TRAIN_LOG = T.StructType([
 ])
 
 MAX_SARIF_BYTES = 50_000_000
+SMALL_FILE = 1 << 20        # a text file up to this size is split into its lines as one value
+BOM = b"\xef\xbb\xbf"
+FOLDER_FILES = 500          # files of a folder, which is listed at once
+COMPRESSED = r"\.(gz|bz2|deflate|lz4|lzo|snappy|xz|zst|zstd)$"     # their size says nothing of their text's
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png")
 
 
@@ -124,10 +131,34 @@ def read_scope(spark: SparkSession, path: str):
 
 # ---------------------------------------------------------------- A4
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their 1-based line number per file, without loading a
-    file as one value: the line order is (file, split start, position in the
-    split), made dense by a global rank."""
-    t = spark.read.text(path).select(
+    """Text lines with their 1-based line number per file.  A file of at most ``SMALL_FILE`` bytes is split in its
+    task, in one pass and without a shuffle, so many small files cost little more than being opened.  A larger (or
+    compressed) file is never one value: its line order is (file, split start, position in the split), made dense
+    by a global rank."""
+    files = spark.read.format("binaryFile").load(path)      # one listing; opens a file without copying the configuration
+    large = (F.col("_metadata.file_size") > F.lit(SMALL_FILE)) | F.col("_metadata.file_name").rlike(COMPRESSED)
+    lines = _small_files(files.where(~large).coalesce(_tasks(spark)))       # the scan deals 32 files to a task
+    if files.where(large).select(F.lit(1)).isEmpty():        # a condition on the listing, nothing is read
+        return lines
+    return lines.unionByName(_ranked_lines(spark.read.text(path).where(large)))
+
+
+def _small_files(files: DataFrame) -> DataFrame:
+    """Lines as the text reader finds them (ended by LF, CR or both; no byte order mark).  The bytes are split as
+    Latin-1, one character each, so a line that is no valid UTF-8 stays as it is."""
+    t = files.where((F.length("content") > 0) & (F.col("content") != F.lit(BOM))).select(
+        F.col("_metadata.file_path").alias("file"), F.decode("content", "ISO-8859-1").alias("_text"))
+    text = F.when(F.startswith("_text", F.lit(BOM.decode("latin-1"))), F.expr("substring(_text, 4)")).otherwise(F.col("_text"))
+    t = t.select("file", F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")).alias("_text"))
+    body = F.when(F.endswith("_text", F.lit("\n")), F.left("_text", F.length("_text") - 1)).otherwise(F.col("_text"))
+    # the outer form: the array is never empty, and the optimizer adds no filter that splits a second time
+    return t.select("file", F.posexplode_outer(F.split(body, "\n")).alias("_pos", "_line")).select(
+        "file", F.encode("_line", "ISO-8859-1").cast("string").alias("line"),
+        (F.col("_pos") + 1).cast("bigint").alias("line_no"))
+
+
+def _ranked_lines(t: DataFrame) -> DataFrame:
+    t = t.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_mid"), F.col("value").alias("line"))
     r = global_rank(t, [F.col("file"), F.col("_blk"), F.col("_mid")], "_rk", table=True).df
@@ -207,5 +238,62 @@ def write_report(reports: DataFrame, path: str, key: str = "repository_id", text
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """Rows dealt by ``key`` to a fixed number of tasks, before a folder for each key is written.  A file costs the same
     however small it is, but by their bytes alone small files would all be merged into one task."""
+    return rows.repartition(_tasks(rows.sparkSession), key)
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def write_text_files(rows: DataFrame, path: str, key: str, text: str) -> None:
+    """One text file for each value of ``key``, its lines in the order of ``rows`` (null is a blank line).  ``rows`` must hold a
+    key in one task (``spread``).  A file of key 5 is ``part=<n>/<key>=5.txt``.  In a local or mounted folder Hadoop's classes
+    start five processes for each file (chmod), so there the tasks write by themselves, each attempt into folders of its own;
+    those of the attempts that count are renamed when all have ended.  Other stores take Spark's writer, whose
+    file is ``<key>=5/part-...txt``."""
     spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = jvm_path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() != "file":
+        rows.select(key, text).write.partitionBy(key).text(path)
+        return
+    fs.mkdirs(at)                                   # also when there are no rows
+    folder = fs.makeQualified(at).toUri().getPath()
+    written = rows.select(F.col(key).cast("string"), F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n"))).mapInArrow(
+        _file_writer(folder, key, FOLDER_FILES), "folder string").collect()       # a name for FOLDER_FILES files
+    for n, r in enumerate(written):
+        if not fs.rename(jvm_path(f"{folder}/{r.folder}"), jvm_path(f"{folder}/part={n}")):
+            raise OSError(f"{folder}/{r.folder} was not renamed")
+
+
+def _file_writer(folder: str, key: str, most: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        task = TaskContext.get()
+        own = f"_attempt-{task.partitionId()}-{task.taskAttemptId()}"
+        names, name, out = {}, None, None           # file -> its number
+        try:
+            for batch in batches:
+                lines = batch.column(1).cast(pa.large_binary())
+                starts = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset:lines.offset + len(lines) + 1]
+                data, first = memoryview(lines.buffers()[2] or b""), 0
+                runs = pc.run_end_encode(batch.column(0))
+                for value, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                    now = f"{key}={'__HIVE_DEFAULT_PARTITION__' if value is None else quote(value, safe='')}.txt"
+                    if now != name:
+                        if out:
+                            out.close()
+                        n = names.setdefault(now, len(names)) // most
+                        os.makedirs(f"{folder}/{own}-{n}", exist_ok=True)
+                        name, out = now, open(f"{folder}/{own}-{n}/{now}", "ab")
+                    out.write(data[starts[first]:starts[end]])
+                    first = end
+        finally:
+            if out:
+                out.close()
+        yield pa.RecordBatch.from_pydict({"folder": pa.array([f"{own}-{n}" for n in range(-(-len(names) // most))], pa.string())})
+    return run

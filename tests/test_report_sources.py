@@ -195,3 +195,62 @@ def test_small_files_are_written_by_several_tasks(spark, tmp_path):
     grouped = io.spread(spark.range(640).selectExpr("id % 64 AS k", "id"), "k").groupBy("k").count()
     grouped.selectExpr("k", "cast(count AS string) AS value").write.partitionBy("k").text(str(tmp_path / "grouped"))
     assert len({f.name.split("-")[1] for f in (tmp_path / "grouped").glob("k=*/part-*.txt")}) > 4
+
+
+def test_small_files_keep_their_lines_without_a_rank(spark, tmp_path, monkeypatch):
+    """Every line end, byte order marks, bytes that are no UTF-8, null and blank lines: the same lines in one pass, by the
+    rank of large files, and by a plain model; small files are not ranked."""
+    import gzip
+    import re
+    from claimtrail.sources import io
+    data = {"lf": b"a\nb\n\nc", "crlf": b"a\r\n\r\nb\r\n", "cr": b"a\rb\r", "mixed": b"\n\r\n\r\ra\n\n", "bom": b"\xef\xbb\xbfa\n\xef\xbb\xbfb\n",
+            "only": b"\xef\xbb\xbf", "line": b"\xef\xbb\xbf\n", "bytes": b"\xff\xfe\x80a\n\xc3\n\xe2\x82\xac\x00\n", "empty": b""}
+    model = {}
+    for name, raw in data.items():
+        (tmp_path / f"{name}.txt").write_bytes(raw)
+        text = raw.removeprefix(io.BOM).decode("latin-1")
+        lines = re.split("\r\n|\r|\n", text)
+        model |= {(f"{name}.txt", n): x for n, x in enumerate(lines if lines[-1] else lines[:-1], 1)}
+
+    def found():
+        rows = io.read_lines(spark, str(tmp_path)).selectExpr("file", "line_no", "decode(cast(line AS binary), 'ISO-8859-1') AS line").collect()
+        assert len({(r.file, r.line_no) for r in rows}) == len(rows)
+        return {(r.file.rsplit("/", 1)[-1], r.line_no): r.line for r in rows}
+
+    with monkeypatch.context() as m:
+        m.setattr(io, "global_rank", None)
+        assert found() == model
+        assert "Exchange" not in io.read_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    long = "".join(f"line {i}\n" for i in range(3000))                   # larger than the bound, and one that unpacks to more
+    (tmp_path / "long.txt").write_text(long)
+    (tmp_path / "packed.txt.gz").write_bytes(gzip.compress(b"x\ny\n"))
+    monkeypatch.setattr(io, "SMALL_FILE", 20_000)
+    model |= {("long.txt", i + 1): f"line {i}" for i in range(3000)} | {("packed.txt.gz", 1): "x", ("packed.txt.gz", 2): "y"}
+    assert found() == model
+    monkeypatch.setattr(io, "SMALL_FILE", 0)
+    assert found() == model
+
+
+def test_text_files_one_for_each_key(spark, tmp_path, monkeypatch):
+    """Files of several folders and batches, null and odd keys, null lines; a task that fails once leaves nothing that is read."""
+    import os
+    import pathlib
+    from claimtrail.sources import io
+    monkeypatch.setattr(io, "FOLDER_FILES", 3)
+    rows = spark.range(30_000).selectExpr("CASE WHEN id % 40 = 39 THEN null WHEN id % 40 = 38 THEN 'a/b=%' ELSE cast(id % 40 AS string) END AS k",
+                                          "id", "CASE WHEN id % 7 <> 0 THEN concat('é', id) END AS line")
+    io.write_text_files(io.spread(rows, "k").sortWithinPartitions("k", "id"), str(tmp_path / "logs"), "k", "line")
+    files = {p.name: p for p in (tmp_path / "logs").rglob("*.txt")}
+    assert len(files) == 40 == len(list((tmp_path / "logs").glob("part=*/k=*.txt"))) and {"k=__HIVE_DEFAULT_PARTITION__.txt", "k=a%2Fb%3D%25.txt"} <= set(files)
+    assert max(len(os.listdir(d)) for d in (tmp_path / "logs").glob("part=*")) == 3 and not list((tmp_path / "logs").glob("_attempt*"))
+    for k in range(38):
+        want = [f"é{i}" if i % 7 else "" for i in range(k, 30_000, 40)]
+        assert files[f"k={k}.txt"].read_text().split("\n") == want + [""]
+    assert io.read_lines(spark, str(tmp_path / "logs")).count() == 30_000
+    io.write_text_files(io.spread(rows.where("id < 0"), "k"), str(tmp_path / "none"), "k", "line")
+    assert io.read_lines(spark, str(tmp_path / "none")).count() == 0
+    folder = pathlib.Path(tmp_path / "twice")
+    (folder / "_attempt-0-99-0").mkdir(parents=True)                      # of a task that was lost
+    (folder / "_attempt-0-99-0" / "k=1.txt").write_text("half")
+    io.write_text_files(io.spread(rows.where("k = '1'"), "k"), str(folder), "k", "line")
+    assert io.read_lines(spark, str(folder)).count() == 750
